@@ -201,9 +201,3 @@ def last_comment(scored: DataFrame, company: str | None = None) -> DataFrame:
     return df.groupBy("company").agg(*[
         F.max_by("text", F.when(src == x, key)).alias(x) for x in SOURCES])
 
-
-def top_word(grams: DataFrame) -> DataFrame:
-    """Most frequent gram per (company, n); first (lowest gram) wins ties."""
-    return (grams.groupBy("company", "n")
-            .agg(F.min_by("gram", F.struct(-F.col("count"), F.col("gram"))).alias("top_gram"),
-                 F.max("count").alias("top_count")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedlens.functions.text import DIGITS, KEEP_CLASS, STOP_WORDS, WORD
 from feedlens.plans.fixture_sql import with_fixture as W
 
 A1 = ("CASE WHEN sentiment = 'positive' THEN 1 WHEN sentiment = 'negative' THEN -1 "
@@ -190,3 +191,53 @@ UNION ALL SELECT 'reddit', id FROM wh_reddit WHERE id NOT IN (SELECT id FROM pre
 SELECT count(*) FILTER (WHERE id IS NULL) AS null_id, count(*) FILTER (WHERE source IS NULL) AS null_source,
   count(*) FILTER (WHERE company IS NULL) AS null_company FROM predictions""", ctes=SOFTMAX_CTE),
 }
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+CLEAN = (f"lower(replace(regexp_replace(regexp_replace(coalesce(text, ''), '{KEEP_CLASS}', '', 'g'), "
+         f"'{DIGITS}', '', 'g'), chr(10), ' '))")
+GRAMS_CTE = f"""
+cl AS (SELECT company, date, string_split({CLEAN}, ' ') AS w FROM reviews),
+g AS (
+  SELECT company, date, 1 AS n, unnest(list_filter(w, lambda x: x <> '' AND x NOT IN ({_STOP}))) AS gram FROM cl
+  UNION ALL
+  SELECT company, date, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+  FROM cl WHERE len(w) >= 2
+  UNION ALL
+  SELECT company, date, 3, unnest(list_transform(range(1, len(w) - 1),
+                                                 lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM cl WHERE len(w) >= 3
+),
+gc AS (SELECT company, n, gram, count(*) AS count FROM g GROUP BY 1, 2, 3),
+top AS (SELECT *, row_number() OVER (PARTITION BY company, n ORDER BY count DESC, gram ASC) AS rank FROM gc),
+top100 AS (SELECT * FROM top WHERE rank <= 100)"""
+NAMES = {1: "word", 2: "bigram", 3: "trigram"}
+
+
+def _report(n: int) -> str:
+    pat = "^" + " ".join([WORD] * n) + "$"
+    return W(f"""SELECT company, gram AS {NAMES[n]}, count, rank FROM top
+WHERE n = {n} AND rank <= 20 AND regexp_matches(gram, '{pat}')""", ctes=GRAMS_CTE)
+
+
+ORACLES.update({
+    "clean_text": W(f"SELECT id, {CLEAN} AS clean_text FROM reviews"),
+    "ngrams_all": W("SELECT company, n, gram, count FROM gc", ctes=GRAMS_CTE),
+    "word_counts": W("SELECT company, gram AS word, count FROM gc WHERE n = 1", ctes=GRAMS_CTE),
+    "bigram_counts": W("SELECT company, gram AS bigram, count FROM gc WHERE n = 2", ctes=GRAMS_CTE),
+    "trigram_counts": W("SELECT company, gram AS trigram, count FROM gc WHERE n = 3", ctes=GRAMS_CTE),
+    "ngram_merge": W("SELECT company, n, gram, count FROM gc", ctes=GRAMS_CTE),
+    "ngram_top100": W("SELECT company, n, gram, count, rank FROM top100", ctes=GRAMS_CTE),
+    "ngram_map": W("""
+SELECT company, n, count(*) AS n_entries, CAST(sum(count) AS BIGINT) AS total,
+  sha256(array_to_string(list_sort(list(gram || '=' || CAST(count AS VARCHAR))), chr(10))) AS entries_sha
+FROM top100 GROUP BY 1, 2""", ctes=GRAMS_CTE),
+    "ngram_unpack": W("SELECT company, n, gram, count FROM top100", ctes=GRAMS_CTE),
+    "word_cloud": W("SELECT company, gram AS word, count FROM top100 WHERE n = 1", ctes=GRAMS_CTE),
+    "top_words": _report(1),
+    "top_bigrams": _report(2),
+    "top_trigrams": _report(3),
+    "top_word": W("""
+SELECT company, n, arg_min(gram, {'c': -count, 'g': gram}) AS top_gram, max(count) AS top_count
+FROM top100 GROUP BY 1, 2""", ctes=GRAMS_CTE),
+})

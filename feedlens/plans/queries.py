@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from feedlens.functions.text import clean_text
 from feedlens.operators import metrics as M
+from feedlens.operators import ngrams as NG
 from feedlens.operators import scoring as SC
 from feedlens.operators import warehouse as WH
 from feedlens.sources.tables import reviews, scored
@@ -67,3 +71,33 @@ QUERIES: dict[str, Query] = {
     "fk_violations": lambda s, d: WH.fk_violations(_warehouse(s, d)),
     "null_violations": lambda s, d: WH.null_violations(_warehouse(s, d)),
 }
+
+
+def _grams(spark, sf):
+    return NG.ngram_counts(reviews(spark, sf).select("company", "text"))
+
+
+def _merged(spark, sf):
+    r = reviews(spark, sf).select("company", "text", "date")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    first = NG.ngram_counts(r.filter(F.col("date") < cut))
+    second = NG.ngram_counts(r.filter(F.col("date") >= cut))
+    return NG.merge_counts(first, second)
+
+
+QUERIES.update({
+    "clean_text": lambda s, d: reviews(s, d).select("id", clean_text(F.col("text")).alias("clean_text")),
+    "ngrams_all": _grams,
+    "word_counts": lambda s, d: NG.counts_of(_grams(s, d), 1),
+    "bigram_counts": lambda s, d: NG.counts_of(_grams(s, d), 2),
+    "trigram_counts": lambda s, d: NG.counts_of(_grams(s, d), 3),
+    "ngram_merge": _merged,
+    "ngram_top100": lambda s, d: NG.top_k(_grams(s, d), 100),
+    "ngram_map": lambda s, d: NG.map_digest(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
+    "ngram_unpack": lambda s, d: NG.from_maps(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
+    "word_cloud": lambda s, d: NG.counts_of(NG.top_k(_grams(s, d), 100), 1),
+    "top_words": lambda s, d: NG.top_n_report(_grams(s, d), 1, 20),
+    "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d), 2, 20),
+    "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d), 3, 20),
+    "top_word": lambda s, d: NG.top_word(NG.top_k(_grams(s, d), 100)),
+})
