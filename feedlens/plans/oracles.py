@@ -241,3 +241,115 @@ FROM top100 GROUP BY 1, 2""", ctes=GRAMS_CTE),
 SELECT company, n, arg_min(gram, {'c': -count, 'g': gram}) AS top_gram, max(count) AS top_count
 FROM top100 GROUP BY 1, 2""", ctes=GRAMS_CTE),
 })
+
+
+# --- datasets and evaluation -------------------------------------------------------------
+SPLIT_CTE = """
+lab AS (SELECT id, company, sentiment FROM scored WHERE sentiment <> 'unknown'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY company, sentiment ORDER BY md5(id), id) AS r,
+         count(*) OVER (PARTITION BY company, sentiment) AS n FROM lab),
+split AS (SELECT id, company, sentiment, CASE WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+          FROM rk),
+train AS (SELECT id, company, sentiment FROM split WHERE split = 'train'),
+per AS (SELECT company, sentiment, count(*) AS c FROM train GROUP BY 1, 2),
+tgt AS (SELECT company, max(c) FILTER (WHERE sentiment <> 'neutral') AS target,
+          max(c) FILTER (WHERE sentiment = 'neutral') AS cur FROM per GROUP BY 1),
+neu AS (SELECT t.*, target, cur, row_number() OVER (PARTITION BY t.company ORDER BY md5(t.id), t.id) AS rk
+        FROM train t JOIN tgt ON tgt.company = t.company WHERE sentiment = 'neutral')"""
+
+CONF_CTE = """
+ev AS (SELECT source, gold_label AS gold, sentiment AS pred, logit_neg, logit_neu, logit_pos
+       FROM scored WHERE gold_label IS NOT NULL),
+conf AS (SELECT source, gold, pred, count(*) AS n FROM ev GROUP BY 1, 2, 3),
+lt AS (SELECT gold AS label, sum(n) AS true_sum, sum(CASE WHEN gold = pred THEN n ELSE 0 END) AS tp
+       FROM conf GROUP BY 1),
+lp AS (SELECT pred AS label, sum(n) AS pred_sum FROM conf GROUP BY 1),
+pl AS (SELECT coalesce(lt.label, lp.label) AS label, coalesce(tp, 0) AS tp, coalesce(true_sum, 0) AS true_sum,
+         coalesce(pred_sum, 0) AS pred_sum FROM lt FULL OUTER JOIN lp ON lt.label = lp.label),
+plm AS (SELECT *, CASE WHEN pred_sum > 0 THEN tp / pred_sum ELSE 0 END AS precision,
+          CASE WHEN true_sum > 0 THEN tp / true_sum ELSE 0 END AS recall,
+          CASE WHEN true_sum + pred_sum > 0 THEN 2 * tp / (true_sum + pred_sum) ELSE 0 END AS f1 FROM pl),
+slt AS (SELECT source, gold AS label, sum(n) AS true_sum, sum(CASE WHEN gold = pred THEN n ELSE 0 END) AS tp
+        FROM conf GROUP BY 1, 2),
+slp AS (SELECT source, pred AS label, sum(n) AS pred_sum FROM conf GROUP BY 1, 2),
+spl AS (SELECT coalesce(slt.source, slp.source) AS source, coalesce(slt.label, slp.label) AS label,
+          coalesce(tp, 0) AS tp, coalesce(true_sum, 0) AS true_sum, coalesce(pred_sum, 0) AS pred_sum
+        FROM slt FULL OUTER JOIN slp ON slt.source = slp.source AND slt.label = slp.label),
+splm AS (SELECT *, CASE WHEN pred_sum > 0 THEN tp / pred_sum ELSE 0 END AS precision,
+           CASE WHEN true_sum > 0 THEN tp / true_sum ELSE 0 END AS recall,
+           CASE WHEN true_sum + pred_sum > 0 THEN 2 * tp / (true_sum + pred_sum) ELSE 0 END AS f1 FROM spl),
+g AS (SELECT 'global' AS scope, 'all' AS key, round(sum(tp) / sum(true_sum), 4) AS accuracy,
+        round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1 FROM plm),
+bl AS (SELECT 'label' AS scope, d.label AS key, round(coalesce(recall, 0), 4) AS accuracy,
+         round(coalesce(precision, 0), 4) AS precision, round(coalesce(recall, 0), 4) AS recall,
+         round(coalesce(f1, 0), 4) AS f1
+       FROM (VALUES ('negative'), ('neutral'), ('positive')) d(label) LEFT JOIN plm ON plm.label = d.label),
+bs AS (SELECT 'source' AS scope, source AS key, round(sum(tp) / sum(true_sum), 4) AS accuracy,
+         round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1
+       FROM splm GROUP BY source)"""
+
+LOSS_CTE = """
+lx AS (SELECT source, CASE source WHEN 'trustpilot' THEN 0.1 ELSE 0.2 END AS eps,
+         CASE source WHEN 'trustpilot' THEN 1.0 ELSE 0.5 END AS weight,
+         CASE gold WHEN 'negative' THEN logit_neg WHEN 'neutral' THEN logit_neu ELSE logit_pos END AS xy,
+         logit_neg, logit_neu, logit_pos,
+         greatest(logit_neg, logit_neu, logit_pos) AS m FROM ev WHERE source IN ('trustpilot', 'youtube')),
+ly AS (SELECT *, m + ln(exp(logit_neg - m) + exp(logit_neu - m) + exp(logit_pos - m)) AS lse FROM lx),
+lz AS (SELECT source, weight, -(1 - eps) * (xy - lse)
+         - eps / 3 * ((logit_neg - lse) + (logit_neu - lse) + (logit_pos - lse)) AS ce FROM ly),
+per_src AS (SELECT source, avg(ce) AS loss, first(weight) AS weight FROM lz GROUP BY 1)"""
+
+ORACLES.update({
+    "stratified_split": W("SELECT id, company, sentiment, split FROM split", ctes=SPLIT_CTE),
+    "balanced_set": W("""
+SELECT id, company, sentiment, 1 AS copy FROM train WHERE sentiment <> 'neutral'
+UNION ALL SELECT id, company, sentiment, 1 FROM neu WHERE target IS NULL
+UNION ALL SELECT id, company, sentiment, 1 FROM neu WHERE target IS NOT NULL AND cur >= target AND rk <= target
+UNION ALL SELECT id, company, sentiment, CAST(r.copy AS INT) FROM (
+  SELECT *, CAST(floor(target / cur) + CASE WHEN rk <= target % cur THEN 1 ELSE 0 END AS BIGINT) AS reps
+  FROM neu WHERE cur < target) x, range(1, x.reps + 1) r(copy)""", ctes=SPLIT_CTE),
+    "quota_sample": W("""
+SELECT id, company, stars, date, rank FROM (
+  SELECT id, company, stars, date,
+    row_number() OVER (PARTITION BY company, stars ORDER BY date DESC, id DESC) AS rank
+  FROM scored WHERE source = 'trustpilot')
+WHERE rank <= CASE WHEN stars = 3 THEN 6 ELSE 3 END"""),
+    "train_set": W("""
+SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+  WHEN 'positive' THEN 2 END AS sentiment_encoded FROM (
+  SELECT id, sentiment, 'trustpilot' AS source FROM scored
+  WHERE source = 'trustpilot' AND (stars NOT IN (2, 4) OR stars IS NULL)
+  UNION ALL SELECT id, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
+    "cap_per_item": W("""
+SELECT * FROM (SELECT id, company, videoid, date,
+  row_number() OVER (PARTITION BY company, videoid ORDER BY date, id) AS rank
+  FROM scored WHERE source = 'youtube') WHERE rank <= 3"""),
+    "cap_oldest": W("""
+SELECT * FROM (SELECT id, company, subreddit, date,
+  row_number() OVER (PARTITION BY company, subreddit ORDER BY date, id) AS rank
+  FROM scored WHERE source = 'reddit') WHERE rank <= 5"""),
+    "newest_unseen": W("""
+SELECT * FROM (SELECT id, company, date,
+  row_number() OVER (PARTITION BY company ORDER BY date DESC, id DESC) AS rank
+  FROM scored WHERE source = 'reddit' AND date >= TIMESTAMP '2024-01-10') WHERE rank <= 10"""),
+    "unseen_items": W("""
+SELECT DISTINCT company, videoid FROM scored a WHERE source = 'youtube' AND date >= TIMESTAMP '2024-01-15'
+  AND NOT EXISTS (SELECT 1 FROM scored b WHERE b.source = 'youtube' AND b.date < TIMESTAMP '2024-01-15'
+                  AND b.company = a.company AND b.videoid IS NOT DISTINCT FROM a.videoid)"""),
+    "company_budget": W("""
+SELECT * FROM (SELECT company, item, n_comments, item_order,
+  CAST(coalesce(sum(n_comments) OVER (PARTITION BY company ORDER BY item_order, item
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_total
+  FROM (SELECT company, videoid AS item, count(*) AS n_comments, min(date) AS item_order
+        FROM scored WHERE source = 'youtube' GROUP BY 1, 2)) WHERE prior_total < 10"""),
+    "class_counts": W("SELECT company, sentiment, count(*) AS n_rows FROM scored GROUP BY 1, 2"),
+    "eval_global": W("SELECT accuracy, precision, recall, f1 FROM g", ctes=CONF_CTE),
+    "eval_by_label": W("SELECT key AS label, accuracy, precision, recall, f1 FROM bl", ctes=CONF_CTE),
+    "eval_by_source": W("SELECT key AS source, accuracy, precision, recall, f1 FROM bs", ctes=CONF_CTE),
+    "eval_loss": W("""
+SELECT source, round(loss, 4) AS loss, weight FROM per_src
+UNION ALL SELECT 'total', round(sum(loss * weight), 4), NULL FROM per_src""", ctes=CONF_CTE + "," + LOSS_CTE),
+    "eval_long": W("""
+SELECT scope, key, metric, value FROM (SELECT * FROM g UNION ALL SELECT * FROM bl UNION ALL SELECT * FROM bs)
+UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1))""", ctes=CONF_CTE),
+})

@@ -101,3 +101,67 @@ QUERIES.update({
     "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d), 3, 20),
     "top_word": lambda s, d: NG.top_word(NG.top_k(_grams(s, d), 100)),
 })
+
+
+# --- datasets and evaluation -------------------------------------------------------------
+from feedlens.operators import datasets as DS  # noqa: E402
+from feedlens.operators import evaluate as EV  # noqa: E402
+
+CUT = "2024-01-15"  # boundary between the "earlier crawl" and the new batch
+
+
+def _labelled(spark, sf):
+    return DS.drop_unknown(_scored(spark, sf).select("id", "company", "source", "sentiment", "date", "stars"))
+
+
+def _split(spark, sf):
+    return DS.stratified_split(_labelled(spark, sf).select("id", "company", "sentiment"))
+
+
+def _before(df, cut=CUT):
+    return df.filter(F.col("date") < F.lit(cut).cast("timestamp_ntz"))
+
+
+def _after(df, cut=CUT):
+    return df.filter(F.col("date") >= F.lit(cut).cast("timestamp_ntz"))
+
+
+def _videos(spark, sf):
+    yt = _scored(spark, sf).filter(F.col("source") == "youtube")
+    return yt.groupBy("company", F.col("videoid").alias("item")).agg(
+        F.count(F.lit(1)).alias("n_comments"), F.min("date").alias("item_order"))
+
+
+def _eval_input(spark, sf):
+    return _scored(spark, sf).select("source", "logit_neg", "logit_neu", "logit_pos",
+                                     F.col("gold_label").alias("gold"), F.col("sentiment").alias("pred"))
+
+
+QUERIES.update({
+    "stratified_split": _split,
+    "balanced_set": lambda s, d: DS.balance(_split(s, d).filter(F.col("split") == "train").drop("split")),
+    "quota_sample": lambda s, d: DS.quota_sample(
+        _scored(s, d).filter(F.col("source") == "trustpilot").select("id", "company", "stars", "date"), 3),
+    "train_set": lambda s, d: DS.train_set(
+        _scored(s, d).filter(F.col("source") == "trustpilot"),
+        _scored(s, d).filter(F.col("source") == "youtube")).drop("text"),
+    "cap_per_item": lambda s, d: DS.cap_per_item(
+        _scored(s, d).filter(F.col("source") == "youtube").select("id", "company", "videoid", "date"),
+        "videoid", 3),
+    "cap_oldest": lambda s, d: DS.cap_per_item(
+        _scored(s, d).filter(F.col("source") == "reddit").select("id", "company", "subreddit", "date"),
+        "subreddit", 5),
+    "newest_unseen": lambda s, d: DS.newest_unseen(
+        _scored(s, d).filter(F.col("source") == "reddit").select("id", "company", "date"),
+        _before(_scored(s, d).filter(F.col("source") == "reddit"), "2024-01-10"), 10),
+    "unseen_items": lambda s, d: DS.unseen_items(
+        _after(_scored(s, d).filter(F.col("source") == "youtube")).select("company", "videoid").distinct(),
+        _before(_scored(s, d).filter(F.col("source") == "youtube")), ["company", "videoid"]),
+    "company_budget": lambda s, d: DS.company_budget(_videos(s, d), 10),
+    "class_counts": lambda s, d: DS.class_counts(_scored(s, d)),
+    "eval_global": lambda s, d: EV.global_metrics(_eval_input(s, d)),
+    "eval_by_label": lambda s, d: EV.label_metrics(_eval_input(s, d)),
+    "eval_by_source": lambda s, d: EV.global_metrics(_eval_input(s, d), ["source"]),
+    "eval_loss": lambda s, d: EV.eval_loss(_eval_input(s, d)),
+    "eval_long": lambda s, d: EV.metrics_long(_eval_input(s, d)),
+})
