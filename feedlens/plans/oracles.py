@@ -353,3 +353,86 @@ UNION ALL SELECT 'total', round(sum(loss * weight), 4), NULL FROM per_src""", ct
 SELECT scope, key, metric, value FROM (SELECT * FROM g UNION ALL SELECT * FROM bl UNION ALL SELECT * FROM bs)
 UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1))""", ctes=CONF_CTE),
 })
+
+
+# --- ingest ----------------------------------------------------------------------------------
+DATE_RE = (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
+           r"(Z|[+-]\d{2}:\d{2})?$")
+WIRE_DATE = ("CASE source WHEN 'youtube' THEN strftime(date, '%Y-%m-%dT%H:%M:%SZ') "
+             "WHEN 'trustpilot' THEN strftime(date, '%Y-%m-%dT%H:%M:%S.%gZ') "
+             "WHEN 'reddit' THEN strftime(date, '%Y-%m-%d %H:%M:%S') END")
+
+
+def _parse(col: str) -> str:
+    g = lambda i: f"regexp_extract({col}, '{DATE_RE}', {i})"
+    frac = f"(CASE WHEN {g(7)} = '' THEN 0 ELSE CAST({g(7)} AS DOUBLE) / pow(10, length({g(7)})) END)"
+    secs = f"(CAST(coalesce(nullif({g(6)}, ''), '0') AS DOUBLE) + {frac})"
+    tz = g(8)
+    off = (f"(CASE WHEN {tz} IN ('', 'Z') THEN 0 ELSE (CASE WHEN substr({tz}, 1, 1) = '-' THEN -1 ELSE 1 END)"
+           f" * (CAST(substr({tz}, 2, 2) AS INT) * 60 + CAST(substr({tz}, 5, 2) AS INT)) END)")
+    ts = (f"make_timestamp(CAST({g(1)} AS BIGINT), CAST({g(2)} AS BIGINT), CAST({g(3)} AS BIGINT), "
+          f"CAST(coalesce(nullif({g(4)}, ''), '0') AS BIGINT), CAST(coalesce(nullif({g(5)}, ''), '0') AS BIGINT), "
+          f"{secs})")
+    return f"(CASE WHEN regexp_full_match({col}, '{DATE_RE}') THEN {ts} - to_minutes({off}) END)"
+
+
+def _rid(*cols: str) -> str:
+    return "sha256(concat_ws('␟', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '␞')" for c in cols) + "))"
+
+
+WIRE_CTE = f"""
+wire AS (SELECT source, text, company, {WIRE_DATE} AS date, stars, location, videoid, like_count,
+           youtube_reply_count, subreddit, vote, reddit_reply_count FROM reviews)"""
+HW_CTE = """
+hw AS (SELECT company, max(date) AS highwater FROM reviews WHERE date < TIMESTAMP '2024-01-15' GROUP BY 1)"""
+
+ORACLES.update({
+    "normalize_dates": W(f"""
+SELECT id, raw, {_parse('raw')} AS parsed FROM (
+  SELECT id, CASE CAST(id AS BIGINT) % 6
+    WHEN 0 THEN strftime(date, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN 1 THEN strftime(date, '%Y-%m-%dT%H:%M:%S.%gZ')
+    WHEN 2 THEN strftime(date + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+    WHEN 3 THEN strftime(date, '%Y-%m-%d %H:%M:%S')
+    WHEN 4 THEN strftime(date, '%Y-%m-%d')
+    ELSE 'n/a ' || id END AS raw FROM reviews)"""),
+    "review_id": W(f"SELECT company, source, {_rid('source', 'company', 'text', 'date')} AS review_id FROM wire",
+                   ctes=WIRE_CTE),
+    "canonical_reviews": W(f"""
+SELECT source, company, {_parse('date')} AS date, stars, location, videoid, like_count, youtube_reply_count,
+  subreddit, vote, reddit_reply_count, {_rid('source', 'company', 'text', 'date')} AS id FROM wire""",
+                           ctes=WIRE_CTE),
+    "dedup_reviews": W(f"""
+SELECT company, {_rid('company', 'text')} AS content_key, arg_min(id, {{'d': date, 'i': id}}) AS kept_id,
+  count(*) AS n_copies FROM reviews GROUP BY 1, 2"""),
+    "nested_comments": W("""
+SELECT company, videoid, text, date, like_count, youtube_reply_count FROM wire WHERE source = 'youtube'""",
+                         ctes=WIRE_CTE),
+    "eligibility": W("""
+SELECT company, item, duration_s, comment_count, view_count,
+  CASE WHEN duration_s < 240 THEN 'too_short'
+       WHEN comment_count < 10 OR view_count < 1000 THEN 'currently_irrelevant' ELSE 'accepted' END AS status
+FROM (SELECT company, videoid AS item, CAST((sum(like_count) % 9) * 60 + (count(*) * 7) % 60 AS BIGINT) AS duration_s,
+        count(*) AS comment_count, CAST(sum(like_count) * 50 AS BIGINT) AS view_count
+      FROM reviews WHERE source = 'youtube' GROUP BY 1, 2)"""),
+    "duration_seconds": W("""
+SELECT id, duration, CAST(CASE k WHEN 0 THEN h * 3600 + m * 60 + s WHEN 1 THEN m * 60 ELSE 0 END AS BIGINT)
+  AS seconds FROM (
+  SELECT id, CAST(id AS BIGINT) % 6 AS k, youtube_reply_count % 3 AS h, like_count % 60 AS m,
+    like_count % 47 AS s,
+    CASE CAST(id AS BIGINT) % 6
+      WHEN 0 THEN 'PT' || (youtube_reply_count % 3) || 'H' || (like_count % 60) || 'M' || (like_count % 47) || 'S'
+      WHEN 1 THEN 'PT' || (like_count % 60) || 'M'
+      WHEN 2 THEN 'PT' WHEN 3 THEN '0'
+      WHEN 4 THEN 'P1DT' || (youtube_reply_count % 3) || 'H' ELSE '' END AS duration
+  FROM reviews WHERE source = 'youtube')"""),
+    "since_highwater": W("""
+SELECT r.id, r.company, r.date FROM reviews r LEFT JOIN hw ON hw.company = r.company
+WHERE hw.highwater IS NULL OR r.date >= hw.highwater""", ctes=HW_CTE),
+    "highwater_update": W("""
+SELECT coalesce(hw.company, b.company) AS company, greatest(hw.highwater, b.m) AS highwater
+FROM hw FULL OUTER JOIN (SELECT company, max(date) AS m FROM reviews WHERE date >= TIMESTAMP '2024-01-15'
+                         GROUP BY 1) b ON b.company = hw.company""", ctes=HW_CTE),
+    "encode_payload": W("SELECT company AS topic, count(*) AS n_rows, true AS within_limit FROM reviews GROUP BY 1"),
+    "decode_payload": W("SELECT * FROM wire", ctes=WIRE_CTE),
+})

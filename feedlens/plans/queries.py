@@ -165,3 +165,90 @@ QUERIES.update({
     "eval_loss": lambda s, d: EV.eval_loss(_eval_input(s, d)),
     "eval_long": lambda s, d: EV.metrics_long(_eval_input(s, d)),
 })
+
+
+# --- ingest ----------------------------------------------------------------------------------
+from feedlens.operators import ingest as IN  # noqa: E402
+
+RAW_DATE_FORMS = 6
+
+
+def _raw_dates(spark, sf):
+    """Review dates rendered in the shapes producers send (ISO Z, fraction, offset, space, date, junk)."""
+    r = reviews(spark, sf).select("id", "date")
+    k = F.col("id").cast("bigint") % RAW_DATE_FORMS
+    shifted = F.col("date") + F.expr("INTERVAL 2 HOURS")
+    raw = (F.when(k == 0, F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+           .when(k == 1, F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+           .when(k == 2, F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+           .when(k == 3, F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+           .when(k == 4, F.date_format("date", "yyyy-MM-dd"))
+           .otherwise(F.concat(F.lit("n/a "), F.col("id"))))
+    return r.select("id", raw.alias("raw"))
+
+
+def _wire(spark, sf):
+    return IN.wire_rows(reviews(spark, sf))
+
+
+def _by_source(wire):
+    yt = wire.filter(F.col("source") == "youtube").select(
+        "source", "text", "date", "company", "videoid", "like_count", "youtube_reply_count")
+    tp = wire.filter(F.col("source") == "trustpilot").select(
+        "date", "stars", "text", F.col("location").alias("tp_location"), "source", "company")
+    rd = wire.filter(F.col("source") == "reddit").select(
+        "source", "text", "date", "company", "subreddit", "vote", "reddit_reply_count")
+    return yt, tp, rd
+
+
+def _video_items(spark, sf):
+    yt = reviews(spark, sf).filter(F.col("source") == "youtube")
+    return yt.groupBy("company", F.col("videoid").alias("item")).agg(
+        F.concat(F.lit("PT"), (F.sum("like_count") % 9).cast("string"), F.lit("M"),
+                 ((F.count(F.lit(1)) * 7) % 60).cast("string"), F.lit("S")).alias("duration"),
+        F.count(F.lit(1)).alias("comment_count"),
+        (F.sum("like_count") * 50).cast("bigint").alias("view_count"))
+
+
+def _durations(spark, sf):
+    yt = reviews(spark, sf).filter(F.col("source") == "youtube")
+    k = F.col("id").cast("bigint") % 6
+    h, m, s = F.col("youtube_reply_count") % 3, F.col("like_count") % 60, F.col("like_count") % 47
+    raw = (F.when(k == 0, F.format_string("PT%dH%dM%dS", h, m, s))
+           .when(k == 1, F.format_string("PT%dM", m))
+           .when(k == 2, F.lit("PT")).when(k == 3, F.lit("0"))
+           .when(k == 4, F.format_string("P1DT%dH", h)).otherwise(F.lit("")))
+    return yt.select("id", raw.alias("duration")).withColumn("seconds", IN.duration_seconds(F.col("duration")))
+
+
+def _highwater(spark, sf):
+    r = reviews(spark, sf).select("company", "date")
+    return _before(r).groupBy("company").agg(F.max("date").alias("highwater"))
+
+
+def _messages(spark, sf):
+    return IN.encode_payload(_wire(spark, sf))
+
+
+QUERIES.update({
+    "normalize_dates": lambda s, d: _raw_dates(s, d).withColumn("parsed", IN.parse_date(F.col("raw"))),
+    "review_id": lambda s, d: _wire(s, d).select(
+        "company", "source", IN.review_id("source", "company", "text", "date").alias("review_id")),
+    "canonical_reviews": lambda s, d: IN.canonicalize(*_by_source(_wire(s, d))).drop("text"),
+    "dedup_reviews": lambda s, d: IN.dedup_reviews(reviews(s, d)),
+    "nested_comments": lambda s, d: IN.nested_comments(
+        IN.comment_payloads(_wire(s, d).filter(F.col("source") == "youtube"))),
+    "eligibility": lambda s, d: IN.eligibility(
+        _video_items(s, d), IN.company_config(reviews(s, d).select("company").distinct())),
+    "duration_seconds": _durations,
+    "since_highwater": lambda s, d: IN.since_highwater(
+        reviews(s, d).select("id", "company", "date"), _highwater(s, d)),
+    "highwater_update": lambda s, d: IN.highwater_update(
+        _highwater(s, d), _after(reviews(s, d).select("company", "date"))),
+    "encode_payload": lambda s, d: _messages(s, d).groupBy("topic").agg(
+        F.sum("n_rows").cast("bigint").alias("n_rows"), (F.max("n_rows") <= 100).alias("within_limit")),
+    "decode_payload": lambda s, d: IN.split_dead_letters(IN.decode_payload(_messages(s, d)))[0].drop("topic"),
+    "dead_letter": lambda s, d: IN.split_dead_letters(IN.decode_payload(
+        _messages(s, d).select("topic", F.substring("payload", 1, 64).alias("payload"))))[1]
+        .groupBy("topic").agg(F.count(F.lit(1)).alias("n_dead")),
+})
