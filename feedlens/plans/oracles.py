@@ -436,3 +436,54 @@ FROM hw FULL OUTER JOIN (SELECT company, max(date) AS m FROM reviews WHERE date
     "encode_payload": W("SELECT company AS topic, count(*) AS n_rows, true AS within_limit FROM reviews GROUP BY 1"),
     "decode_payload": W("SELECT * FROM wire", ctes=WIRE_CTE),
 })
+
+
+# --- retrieval -------------------------------------------------------------------------------
+CHUNK = ("(CASE WHEN j = '' THEN NULL WHEN regexp_extract(j, '(?s)^(.{1,100})(?: |\\z)', 1) <> '' "
+         "THEN regexp_extract(j, '(?s)^(.{1,100})(?: |\\z)', 1) ELSE split_part(j, ' ', 1) END)")
+
+
+def _retr_cte(where: str = "") -> str:
+    return f"""
+rows AS (SELECT * FROM scored {where}),
+ex AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+cent AS (SELECT label AS topic, i, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY 1, 2),
+items AS (SELECT r.company, r.sentiment, r.source, e.vec_id AS id
+          FROM embeddings e JOIN rows r ON r.id = CAST(e.vec_id AS VARCHAR)),
+dist AS (SELECT it.company, it.sentiment, it.source, it.id, c.topic,
+           sum((CAST(ex.x AS DOUBLE) - c.m) * (CAST(ex.x AS DOUBLE) - c.m)) AS dist
+         FROM items it JOIN ex ON ex.vec_id = it.id JOIN cent c ON c.i = ex.i
+         GROUP BY it.company, it.sentiment, it.source, it.id, c.topic),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, sentiment, source, topic
+                                                     ORDER BY dist, id) AS rank FROM dist) WHERE rank <= 3),
+ch AS (SELECT CAST(id AS BIGINT) AS id, {CHUNK} AS chunk FROM (
+         SELECT id, array_to_string(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), ' ') AS j
+         FROM rows)),
+ctx AS (SELECT h.company, h.sentiment, h.source, h.topic, string_agg(ch.chunk, chr(10) ORDER BY h.rank) AS context
+        FROM hits h JOIN ch ON ch.id = h.id WHERE ch.chunk IS NOT NULL
+        GROUP BY h.company, h.sentiment, h.source, h.topic),
+grid AS (SELECT c.company, s.sentiment, src.source, t.topic
+         FROM (SELECT DISTINCT company FROM rows) c
+         CROSS JOIN (VALUES ('negative'), ('neutral'), ('positive')) s(sentiment)
+         CROSS JOIN (VALUES ('reddit'), ('trustpilot'), ('youtube')) src(source)
+         CROSS JOIN (SELECT DISTINCT topic FROM cent) t),
+ans AS (SELECT g.company, g.sentiment, g.source, g.topic, coalesce(ctx.context, 'No reviews found') AS answer
+        FROM grid g LEFT JOIN ctx ON ctx.company = g.company AND ctx.sentiment = g.sentiment
+          AND ctx.source = g.source AND ctx.topic = g.topic)"""
+
+
+ORACLES.update({
+    "first_chunk": W(f"""
+SELECT id, chunk FROM (SELECT id, {CHUNK} AS chunk FROM (
+  SELECT id, array_to_string(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), ' ') AS j
+  FROM scored)) WHERE chunk IS NOT NULL"""),
+    "reviews_in_range": W("""
+SELECT id, company, date FROM scored WHERE sentiment = 'negative' AND source = 'youtube'
+  AND date >= TIMESTAMP '2024-01-05' AND date <= TIMESTAMP '2024-01-20'"""),
+    "retrieve_topk": W("SELECT company, sentiment, source, id, topic, round(dist, 6) AS dist, rank FROM hits",
+                       ctes=_retr_cte()),
+    "topic_context": W("SELECT * FROM ctx", ctes=_retr_cte()),
+    "answers": W("SELECT * FROM ans", ctes=_retr_cte()),
+    "answers_upsert": W("SELECT * FROM ans", ctes=_retr_cte("WHERE date >= TIMESTAMP '2024-01-15'")),
+    "answers_read": W("SELECT * FROM ans WHERE company = 'src0'", ctes=_retr_cte()),
+})

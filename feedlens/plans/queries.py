@@ -252,3 +252,61 @@ QUERIES.update({
         _messages(s, d).select("topic", F.substring("payload", 1, 64).alias("payload"))))[1]
         .groupBy("topic").agg(F.count(F.lit(1)).alias("n_dead")),
 })
+
+
+# --- retrieval -------------------------------------------------------------------------------
+from feedlens.operators import retrieval as RT  # noqa: E402
+from feedlens.sources.tables import table  # noqa: E402
+
+
+def _vec_items(spark, sf, rows=None):
+    rows = _scored(spark, sf) if rows is None else rows
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return e.join(rows.select("id", *RT.GROUP), F.col("id") == F.col("vec_id").cast("string")).select(
+        *RT.GROUP, F.col("vec_id").alias("id"), "embedding")
+
+
+def _topics(spark, sf):
+    return RT.topic_vectors(RT.centroids(table(spark, sf, "embeddings")))
+
+
+def _hits(spark, sf, rows=None):
+    return RT.nearest(_vec_items(spark, sf, rows), _topics(spark, sf), RT.K)
+
+
+def _contexts(spark, sf, rows=None):
+    rows = _scored(spark, sf) if rows is None else rows
+    texts = RT.chunks(rows.select("id", "text")).select(F.col("id").cast("bigint").alias("id"), "chunk")
+    return RT.topic_context(_hits(spark, sf, rows), texts)
+
+
+def _answers(spark, sf, rows=None):
+    rows = _scored(spark, sf) if rows is None else rows
+    topics = [t for t, _ in _topics(spark, sf)]
+    return RT.answers(rows.select("company").distinct(), _contexts(spark, sf, rows), topics)
+
+
+def _text_answers(spark, sf):
+    rows = RT.chunks(_scored(spark, sf).select("id", *RT.GROUP, "text"))
+    vecs = RT.embed_text(rows)
+    topic_df = spark.createDataFrame([(t,) for t in RT.TOPICS], "chunk string")
+    topic_vecs = [(r["chunk"], list(r["embedding"])) for r in RT.embed_text(topic_df).collect()]
+    hits = RT.nearest(vecs, topic_vecs, RT.K)
+    ctx = RT.topic_context(hits, rows)
+    return RT.answers(rows.select("company").distinct(), ctx, RT.TOPICS)
+
+
+QUERIES.update({
+    "first_chunk": lambda s, d: RT.chunks(_scored(s, d).select("id", "text")).select("id", "chunk"),
+    "reviews_in_range": lambda s, d: RT.reviews_in_range(
+        _scored(s, d), "negative", "youtube", "2024-01-05", "2024-01-20").select("id", "company", "date"),
+    "retrieve_topk": _hits,
+    "topic_context": _contexts,
+    "answers": _answers,
+    "answers_upsert": lambda s, d: RT.answers_upsert(
+        _answers(s, d, _before(_scored(s, d))), _answers(s, d, _after(_scored(s, d)))),
+    "answers_read": lambda s, d: RT.flatten_answers(RT.answers_read(RT.nest_answers(_answers(s, d)), "src0")),
+    "embed_text": lambda s, d: RT.embed_text(RT.chunks(_scored(s, d).select("id", "text"))).select(
+        "id", "embedding"),
+    "retrieve_text": _text_answers,
+})
