@@ -487,3 +487,41 @@ SELECT id, company, date FROM scored WHERE sentiment = 'negative' AND source = '
     "answers_upsert": W("SELECT * FROM ans", ctes=_retr_cte("WHERE date >= TIMESTAMP '2024-01-15'")),
     "answers_read": W("SELECT * FROM ans WHERE company = 'src0'", ctes=_retr_cte()),
 })
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+def _html_text(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{ent}', '{ch}')"
+    return t
+
+
+ORACLES.update({
+    "page_title_text": f"""
+SELECT page_id, title, content, title || ' ' || content AS text FROM (
+  SELECT page_id,
+    coalesce({_html_text("nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')")}, 'No Title') AS title,
+    coalesce({_html_text("nullif(regexp_extract(html, '(?is)<p>(.*?)</p>', 1), '')")}, 'No Content') AS content
+  FROM pages)""",
+    "page_json_reviews": W("""
+SELECT date, stars, CASE WHEN length(text) - length(replace(text, ' ', '')) >= 3 THEN text ELSE text || ' ' END
+  AS text, coalesce(location, 'N/A') AS tp_location, source, company FROM wire WHERE source = 'trustpilot'""",
+                           ctes=WIRE_CTE),
+    "flatten_keyed": W("""
+SELECT company, text, CAST(date AS VARCHAR) AS date, videoid AS yt_videoid,
+  CASE WHEN sentiment = 'neutral' THEN 'other-comments' ELSE 'product-feedback' END AS topic, sentiment
+FROM scored WHERE source = 'youtube'"""),
+    "json_roundtrip": W("""
+SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+  WHEN 'positive' THEN 2 END AS sentiment_encoded FROM (
+  SELECT id, sentiment, 'trustpilot' AS source FROM scored
+  WHERE source = 'trustpilot' AND (stars NOT IN (2, 4) OR stars IS NULL)
+  UNION ALL SELECT id, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
+    "doc_store": W("SELECT company, source, date, text, sentiment FROM scored"),
+    "geo_points": W("""
+SELECT s.id, s.company, s.sentiment, s.location, g.lon, g.lat FROM scored s
+JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.0), ('UK', -3.0, 55.0),
+             ('de', 10.0, 51.0), ('fr', 2.0, 46.0), ('en', -3.0, 55.0)) g(location, lon, lat)
+  ON g.location = s.location WHERE s.source = 'trustpilot'"""),
+})

@@ -310,3 +310,39 @@ QUERIES.update({
         "id", "embedding"),
     "retrieve_text": _text_answers,
 })
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+from feedlens.sources import files as FS  # noqa: E402
+from feedlens.sources import pages as PG  # noqa: E402
+
+
+def _keyed_rows(spark, sf):
+    s = _scored(spark, sf).filter(F.col("source") == "youtube")
+    topic = F.when(F.col("sentiment") == "neutral", "other-comments").otherwise("product-feedback")
+    return s.select("company", "text", "date", "videoid", topic.alias("topic"), "sentiment")
+
+
+def _json_roundtrip(spark, sf):
+    df = DS.train_set(_scored(spark, sf).filter(F.col("source") == "trustpilot"),
+                      _scored(spark, sf).filter(F.col("source") == "youtube")).drop("text")
+    path = FS.write_json(df, FS.scratch_path(spark, "json"))
+    return FS.read_json(spark, path, df.schema)
+
+
+def _doc_store(spark, sf):
+    path = FS.write_doc_store(_scored(spark, sf), FS.scratch_path(spark, "docs"))
+    return FS.read_doc_store(spark, path).select("company", "source", "date", "text", "sentiment")
+
+
+QUERIES.update({
+    "page_title_text": lambda s, d: PG.page_title_text(table(s, d, "pages")),
+    "page_json_reviews": lambda s, d: PG.page_json_reviews(
+        PG.review_pages(_wire(s, d).filter(F.col("source") == "trustpilot"))),
+    "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d))),
+    "json_roundtrip": _json_roundtrip,
+    "doc_store": _doc_store,
+    "geo_points": lambda s, d: FS.geo_points(s, _scored(s, d).filter(F.col("source") == "trustpilot")),
+    "synth_reviews": lambda s, d: FS.synth_reviews(
+        reviews(s, d).groupBy("company").agg(F.count(F.lit(1)).alias("n"))),
+})
