@@ -525,3 +525,15 @@ JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.
              ('de', 10.0, 51.0), ('fr', 2.0, 46.0), ('en', -3.0, 55.0)) g(location, lon, lat)
   ON g.location = s.location WHERE s.source = 'trustpilot'"""),
 })
+
+
+# --- streaming -------------------------------------------------------------------------------
+ORACLES.update({
+    "stream_ingest": W(f"""
+SELECT DISTINCT {_rid('source', 'company', 'text', 'date')} AS id, source, company, {_parse('date')} AS date
+FROM wire""", ctes=WIRE_CTE),
+    "ngram_state": W("SELECT company, n, gram, count FROM gc", ctes=GRAMS_CTE),
+    "stream_daily": W("""
+SELECT company, CAST(date AS DATE) AS day, round(avg(CASE WHEN stars > 3 THEN 1 WHEN stars = 3 THEN 0
+  WHEN stars IS NOT NULL THEN -1 END), 6) AS score, count(*) AS n_rows FROM reviews GROUP BY 1, 2"""),
+})

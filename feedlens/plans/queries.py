@@ -346,3 +346,38 @@ QUERIES.update({
     "synth_reviews": lambda s, d: FS.synth_reviews(
         reviews(s, d).groupBy("company").agg(F.count(F.lit(1)).alias("n"))),
 })
+
+
+# --- streaming -------------------------------------------------------------------------------
+from feedlens.streaming import pipeline as SP  # noqa: E402
+
+
+def _landing(spark, sf):
+    path = FS.scratch_path(spark, "landing")
+    _wire(spark, sf).repartition(4).write.parquet(path)
+    return path
+
+
+def _run_stream(spark, sf):
+    base = FS.scratch_path(spark, "stream")
+    src = SP.file_source(spark, _landing(spark, sf))
+    _, state = SP.run_ingest(spark, src, f"{base}/out", f"{base}/checkpoint")
+    return base, state
+
+
+def _stream_predictions(spark, sf):
+    base, _ = _run_stream(spark, sf)
+    return spark.read.parquet(f"{base}/out/warehouse/predictions").select("id", "source", "company", "date")
+
+
+def _stream_daily(spark, sf):
+    base = FS.scratch_path(spark, "daily")
+    SP.daily_stream(spark, SP.file_source(spark, _landing(spark, sf)), f"{base}/out", f"{base}/checkpoint")
+    return SP.read_daily(spark, f"{base}/out")
+
+
+QUERIES.update({
+    "stream_ingest": _stream_predictions,
+    "ngram_state": lambda s, d: _run_stream(s, d)[1].read(),
+    "stream_daily": _stream_daily,
+})
