@@ -72,16 +72,18 @@ def unigrams(words: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words))
 
 
-def ngrams_tagged(words: Column, max_n: int = 3, stop_words: list[str] = STOP_WORDS) -> Column:
+def ngrams_tagged(words: Column, max_n: int = 3, stop_words: list[str] = STOP_WORDS,
+                  ns: tuple[int, ...] | None = None) -> Column:
     """One array<struct<n int, gram string>> holding uni-, bi- and trigrams of a row."""
-    parts = [F.transform(unigrams(words, stop_words),
-                         lambda w: F.struct(F.lit(1).alias("n"), w.alias("gram")))]
     def tag(n):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
 
-    for n in range(2, max_n + 1):
-        parts.append(F.transform(_window_grams(words, n), tag(n)))
-    return F.concat(*parts)
+    wanted = ns or tuple(range(1, max_n + 1))
+    parts = []
+    for n in wanted:
+        grams = unigrams(words, stop_words) if n == 1 else _window_grams(words, n)
+        parts.append(F.transform(grams, tag(n)))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def well_formed(gram: Column, n: int) -> Column:

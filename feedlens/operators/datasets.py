@@ -7,10 +7,9 @@ engine, on any cluster size.
 Scale: a stratum (one company x sentiment) may hold a third of all rows, and
 the cut (20 % for a split, a class count for balancing) is large, so a window
 over the stratum would sort that third in one task. ``rank_cut`` instead
-finds the cut through a histogram of hash prefixes: it counts rows per
-(stratum, prefix bucket) (a small table), locates the bucket holding the k-th
-row with a running sum over that small table, and only ranks rows inside
-that one boundary bucket, a 1/65536 slice of the stratum.
+ranks inside (stratum, hash-prefix bucket) pieces, 1/65536 of a stratum
+each, and adds the number of rows in earlier buckets, taken from a small
+per-bucket histogram with a running sum.
 """
 
 from __future__ import annotations
@@ -30,23 +29,22 @@ def rank_cut(df: DataFrame, keys: list[str], k: Column | str, order: Column | No
              id_col: str = "id", flag: str = "in_cut") -> DataFrame:
     """Flag the first ``k`` rows of each stratum in ``order`` (default md5(id), then id).
 
-    Exact (equal to ``row_number() <= k``) without ranking a whole stratum
-    in one task. ``k`` is a column of ``df`` (constant within a stratum).
+    Exact (equal to ``row_number() <= k`` over the stratum) but ranked per
+    (stratum, hash-prefix bucket): the rows are shuffled once on that pair
+    (the join with the bucket histogram and the window share the
+    partitioning), each window partition is one bucket of one stratum, and
+    the running count of earlier buckets comes from the small histogram.
     """
     k = F.col(k) if isinstance(k, str) else k
     o = md5_key(id_col) if order is None else order
     d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, BUCKET_HEX)).withColumn("_rc_k", k)
     hist = d.groupBy(*keys, "_rc_b").agg(F.count(F.lit(1)).alias("_rc_n"))
     w = Window.partitionBy(*keys).orderBy("_rc_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_rc_before", F.coalesce(F.sum("_rc_n").over(w), F.lit(0)))
+    hist = hist.select(*keys, "_rc_b", F.coalesce(F.sum("_rc_n").over(w), F.lit(0)).alias("_rc_before"))
     d = d.join(hist, [*keys, "_rc_b"])
-    whole = F.col("_rc_before") + F.col("_rc_n") <= F.col("_rc_k")
-    none = F.col("_rc_before") >= F.col("_rc_k")
-    inside = d.filter(whole | none).withColumn(flag, whole)
-    edge = d.filter(~whole & ~none)
     wr = Window.partitionBy(*keys, "_rc_b").orderBy("_rc_o", id_col)
-    edge = edge.withColumn(flag, F.col("_rc_before") + F.row_number().over(wr) <= F.col("_rc_k"))
-    return inside.unionByName(edge).drop("_rc_o", "_rc_b", "_rc_k", "_rc_n", "_rc_before")
+    d = d.withColumn(flag, F.col("_rc_before") + F.row_number().over(wr) <= F.col("_rc_k"))
+    return d.drop("_rc_o", "_rc_b", "_rc_k", "_rc_before")
 
 
 def drop_unknown(df: DataFrame) -> DataFrame:

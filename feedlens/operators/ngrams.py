@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedlens.functions.text import STOP_WORDS, clean_text, ngrams_tagged, tokens, well_formed
+from feedlens.operators.parallel import spread
 
 NAMES = {1: "word", 2: "bigram", 3: "trigram"}
 
 
 def ngram_counts(docs: DataFrame, max_n: int = 3, stop_words: list[str] = STOP_WORDS,
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", ns: tuple[int, ...] | None = None) -> DataFrame:
     """T2 + A8/A9/A10: (company, n, gram, count) for every gram of every text.
 
     Unigrams drop empty tokens and stop words; bigrams and trigrams keep both
-    (the reference rule).
+    (the reference rule). ``ns`` restricts generation to some n (a filter on
+    ``n`` cannot be pushed below the explode, so callers needing one n say so).
     """
+    docs = spread(docs.select("company", text_col))
     words = docs.select("company", tokens(clean_text(F.col(text_col))).alias("w"))
-    exploded = words.select("company", F.explode(ngrams_tagged(F.col("w"), max_n, stop_words)).alias("g"))
+    tagged = ngrams_tagged(F.col("w"), max_n, stop_words, ns)
+    exploded = words.select("company", F.explode(tagged).alias("g"))
     return (exploded.groupBy("company", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
             .agg(F.count(F.lit(1)).alias("count")))
 

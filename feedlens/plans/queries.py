@@ -73,8 +73,8 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _grams(spark, sf):
-    return NG.ngram_counts(reviews(spark, sf).select("company", "text"))
+def _grams(spark, sf, ns=None):
+    return NG.ngram_counts(reviews(spark, sf).select("company", "text"), ns=ns)
 
 
 def _merged(spark, sf):
@@ -88,17 +88,17 @@ def _merged(spark, sf):
 QUERIES.update({
     "clean_text": lambda s, d: reviews(s, d).select("id", clean_text(F.col("text")).alias("clean_text")),
     "ngrams_all": _grams,
-    "word_counts": lambda s, d: NG.counts_of(_grams(s, d), 1),
-    "bigram_counts": lambda s, d: NG.counts_of(_grams(s, d), 2),
-    "trigram_counts": lambda s, d: NG.counts_of(_grams(s, d), 3),
+    "word_counts": lambda s, d: NG.counts_of(_grams(s, d, (1,)), 1),
+    "bigram_counts": lambda s, d: NG.counts_of(_grams(s, d, (2,)), 2),
+    "trigram_counts": lambda s, d: NG.counts_of(_grams(s, d, (3,)), 3),
     "ngram_merge": _merged,
     "ngram_top100": lambda s, d: NG.top_k(_grams(s, d), 100),
     "ngram_map": lambda s, d: NG.map_digest(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
     "ngram_unpack": lambda s, d: NG.from_maps(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
-    "word_cloud": lambda s, d: NG.counts_of(NG.top_k(_grams(s, d), 100), 1),
-    "top_words": lambda s, d: NG.top_n_report(_grams(s, d), 1, 20),
-    "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d), 2, 20),
-    "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d), 3, 20),
+    "word_cloud": lambda s, d: NG.counts_of(NG.top_k(_grams(s, d, (1,)), 100), 1),
+    "top_words": lambda s, d: NG.top_n_report(_grams(s, d, (1,)), 1, 20),
+    "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d, (2,)), 2, 20),
+    "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d, (3,)), 3, 20),
     "top_word": lambda s, d: NG.top_word(NG.top_k(_grams(s, d), 100)),
 })
 
