@@ -26,7 +26,7 @@ def md5_key(id_col: str = "id") -> Column:
 
 
 def rank_cut(df: DataFrame, keys: list[str], k: Column | str, order: Column | None = None,
-             id_col: str = "id", flag: str = "in_cut") -> DataFrame:
+             id_col: str = "id", flag: str = "in_cut", bucket_hex: int = BUCKET_HEX) -> DataFrame:
     """Flag the first ``k`` rows of each stratum in ``order`` (default md5(id), then id).
 
     Exact (equal to ``row_number() <= k`` over the stratum) but ranked per
@@ -37,7 +37,7 @@ def rank_cut(df: DataFrame, keys: list[str], k: Column | str, order: Column | No
     """
     k = F.col(k) if isinstance(k, str) else k
     o = md5_key(id_col) if order is None else order
-    d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, BUCKET_HEX)).withColumn("_rc_k", k)
+    d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, bucket_hex)).withColumn("_rc_k", k)
     hist = d.groupBy(*keys, "_rc_b").agg(F.count(F.lit(1)).alias("_rc_n"))
     w = Window.partitionBy(*keys).orderBy("_rc_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*keys, "_rc_b", F.coalesce(F.sum("_rc_n").over(w), F.lit(0)).alias("_rc_before"))
