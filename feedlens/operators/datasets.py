@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedlens.operators.parallel import replicate
+
 BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
 
 
@@ -83,8 +85,8 @@ def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:
     up = neu.filter(F.col("_cur") < F.col("_target")).withColumn(
         "_rem", F.col("_target") % F.col("_cur"))
     up = rank_cut(up, ["company"], "_rem", flag="_extra")
-    reps = (F.floor(F.col("_target") / F.col("_cur")) + F.when(F.col("_extra"), 1).otherwise(0)).cast("int")
-    up = up.withColumn("copy", F.explode(F.sequence(F.lit(1), reps)))
+    reps = (F.floor(F.col("_target") / F.col("_cur")) + F.when(F.col("_extra"), 1).otherwise(0)).cast("bigint")
+    up = replicate(up.withColumn("_reps", reps), "_reps", "copy").drop("_reps")
     cols = train.columns + ["copy"]
     return (others.select(*cols).unionByName(keep_all.select(*cols))
             .unionByName(down.select(*cols)).unionByName(up.select(*cols)))

@@ -17,3 +17,20 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def replicate(df: DataFrame, times: str, out: str = "copy", chunk: int = 100_000) -> DataFrame:
+    """Repeat each row ``times`` times (``out`` = 1..times) without one task doing a huge explode.
+
+    Copy numbers are cut into chunks of ``chunk``; the chunk rows are spread
+    over the cluster first and expanded locally.
+    """
+    from pyspark.sql import functions as F
+
+    n = F.col(times).cast("bigint")
+    c = df.withColumn("_rp_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / chunk).cast("bigint") - 1)))
+    c = c.repartition(*[F.col(x) for x in df.columns[:1]], "_rp_c")
+    lo = F.col("_rp_c") * chunk + 1
+    hi = F.least(n, (F.col("_rp_c") + 1) * chunk)
+    return (c.withColumn("_rp_k", F.explode(F.sequence(lo, hi)))
+            .withColumn(out, F.col("_rp_k").cast("int")).drop("_rp_c", "_rp_k"))

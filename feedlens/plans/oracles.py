@@ -537,3 +537,6 @@ FROM wire""", ctes=WIRE_CTE),
 SELECT company, CAST(date AS DATE) AS day, round(avg(CASE WHEN stars > 3 THEN 1 WHEN stars = 3 THEN 0
   WHEN stars IS NOT NULL THEN -1 END), 6) AS score, count(*) AS n_rows FROM reviews GROUP BY 1, 2"""),
 })
+
+ORACLES["json_write"] = ORACLES["json_roundtrip"]
+ORACLES["json_read"] = ORACLES["json_roundtrip"]

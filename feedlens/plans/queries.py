@@ -133,7 +133,7 @@ def _videos(spark, sf):
 
 
 def _eval_input(spark, sf):
-    return _scored(spark, sf).select("source", "logit_neg", "logit_neu", "logit_pos",
+    return scored(spark, sf, with_gold=True).select("source", "logit_neg", "logit_neu", "logit_pos",
                                      F.col("gold_label").alias("gold"), F.col("sentiment").alias("pred"))
 
 
@@ -330,6 +330,24 @@ def _json_roundtrip(spark, sf):
     return FS.read_json(spark, path, df.schema)
 
 
+def _train_rows(spark, sf):
+    return DS.train_set(_scored(spark, sf).filter(F.col("source") == "trustpilot"),
+                        _scored(spark, sf).filter(F.col("source") == "youtube")).drop("text")
+
+
+def _json_write(spark, sf):
+    df = _train_rows(spark, sf)
+    path = FS.write_json(df, FS.scratch_path(spark, "jsonl"))
+    FS.write_json(df.filter(F.lit(False)), path)  # S10: appending an empty batch leaves the data as it was
+    return spark.read.schema(df.schema).json(path)
+
+
+def _json_read(spark, sf):
+    df = _train_rows(spark, sf)
+    path = FS.write_json_arrays(df, FS.scratch_path(spark, "jsonarr"))
+    return FS.read_json(spark, path, df.schema, array_of_records=True)
+
+
 def _doc_store(spark, sf):
     path = FS.write_doc_store(_scored(spark, sf), FS.scratch_path(spark, "docs"))
     return FS.read_doc_store(spark, path).select("company", "source", "date", "text", "sentiment")
@@ -341,6 +359,8 @@ QUERIES.update({
         PG.review_pages(_wire(s, d).filter(F.col("source") == "trustpilot"))),
     "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d))),
     "json_roundtrip": _json_roundtrip,
+    "json_write": _json_write,
+    "json_read": _json_read,
     "doc_store": _doc_store,
     "geo_points": lambda s, d: FS.geo_points(s, _scored(s, d).filter(F.col("source") == "trustpilot")),
     "synth_reviews": lambda s, d: FS.synth_reviews(

@@ -35,6 +35,22 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 10_000) -> str:
+    """Array-of-records JSON files (the dataset shape the training reader expects).
+
+    Rows are spread over ``ceil(n / rows_per_file)`` hash buckets, one JSON
+    array per bucket, so no file (and no task) holds more than about
+    ``rows_per_file`` records whatever the input size.
+    """
+    n = df.count()
+    buckets = max(1, -(-n // rows_per_file))
+    b = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
+    arrays = (df.withColumn("_b", b).groupBy("_b")
+              .agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")))
+    arrays.select("value").write.mode("overwrite").text(path)
+    return path
+
+
 KEYED_SCHEMA = "map<string, array<struct<text: string, date: string, yt_videoid: string, " \
                "topic: string, sentiment: string>>>"
 
@@ -86,14 +102,22 @@ SYNTH_WORDS = ["service", "price", "quality", "support", "delivery", "app", "upd
                "great", "slow", "fast", "broken", "love", "hate", "refund", "team"]
 
 
-def synth_reviews(counts: DataFrame, seed: int = 42) -> DataFrame:
+def synth_reviews(counts: DataFrame, seed: int = 42, chunk: int = 100_000) -> DataFrame:
     """Synthetic reviews, ``n`` per company from ``counts(company, n)``.
 
     Each row's fields are hashes of (company, row number, seed), so the output
-    is identical on any partitioning; rows are generated with
-    ``explode(sequence)`` per company in parallel, never on the driver.
+    is identical on any partitioning. Rows are generated in two steps: a
+    company's count is cut into chunks of ``chunk`` row numbers, the chunks are
+    spread over the cluster, and each chunk expands locally, so a company
+    with a third of all rows still fans out over many tasks.
     """
-    rows = counts.select("company", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    n = F.col("n").cast("bigint")
+    chunks = counts.select("company", n.alias("n"), F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.ceil(n / chunk).cast("bigint") - 1)).alias("c"))
+    chunks = chunks.repartition("company", "c")
+    lo = F.col("c") * chunk + 1
+    hi = F.least(F.col("n"), (F.col("c") + 1) * chunk)
+    rows = chunks.select("company", F.explode(F.sequence(lo, hi)).alias("k"))
 
     def h(tag: str):
         return F.abs(F.xxhash64(F.col("company"), F.col("k"), F.lit(seed), F.lit(tag)))

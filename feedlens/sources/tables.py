@@ -22,16 +22,25 @@ def _when_source(doc_id: Column, k: int, value: Column) -> Column:
     return F.when(doc_id % 3 == k, value)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical wide review rows derived from ``documents`` + ``labels``.
+def reviews(spark: SparkSession, sf_dir: str, with_gold: bool = False) -> DataFrame:
+    """Canonical wide review rows derived from ``documents`` (+ ``labels``).
 
     One sparse wide frame for all three sources (the canonical schema), with
     the per-source columns NULL where they do not apply. ``logit_*`` stand in
-    for a model's output and ``gold_label`` for a human label.
+    for a model's output. ``gold_label`` (a human label, from ``labels``
+    keyed by doc_id) is joined only when asked for: the evaluation jobs need
+    it, and every other job then reads ``documents`` alone instead of moving
+    review text through a join.
     """
     d = table(spark, sf_dir, "documents").alias("d")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").alias("l")
-    j = d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left")
+    if with_gold:
+        lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").alias("l")
+        j = d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left")
+        gold = (F.when(F.col("l.toxic") == 1, "negative").when(F.col("l.quality") == 1, "positive")
+                .when(F.col("l.quality") == 0, "neutral"))
+    else:
+        j = d
+        gold = F.lit(None).cast("string")
     doc_id, n_chars, lang = F.col("d.doc_id"), F.col("d.n_chars"), F.col("d.lang")
     date = F.expr(
         "CAST(DATE'2024-01-01' AS TIMESTAMP_NTZ) + "
@@ -54,16 +63,15 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((n_chars % 7).cast("double") / 2).alias("logit_neg"),
         ((n_chars % 5).cast("double") / 2).alias("logit_neu"),
         ((n_chars % 11).cast("double") / 4).alias("logit_pos"),
-        F.when(F.col("l.toxic") == 1, "negative").when(F.col("l.quality") == 1, "positive")
-        .when(F.col("l.quality") == 0, "neutral").alias("gold_label"),
+        gold.alias("gold_label"),
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, with_gold: bool = False) -> DataFrame:
     """Reviews with a sentiment: model argmax for youtube/reddit, stars rule for trustpilot."""
     from feedlens.functions.score import logits_label, stars_sentiment
 
-    r = reviews(spark, sf_dir)
+    r = reviews(spark, sf_dir, with_gold)
     return r.withColumn(
         "sentiment",
         F.when(F.col("source") != "trustpilot",
