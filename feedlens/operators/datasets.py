@@ -100,7 +100,8 @@ def quota_sample(df: DataFrame, quota: int = 80, key: str = "stars") -> DataFram
     filter on top.
     """
     w = Window.partitionBy("company", key).orderBy(F.col("date").desc(), F.col("id").desc())
-    ranked = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * quota)
+    ranked = (df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * quota)
+            .withColumn("rank", F.col("rank").cast("bigint")))
     limit = F.when(F.col(key) == 3, 2 * quota).otherwise(quota)
     return ranked.filter(F.col("rank") <= limit)
 
@@ -119,14 +120,16 @@ def cap_per_item(df: DataFrame, item: str, cap: int, ascending: bool = True) ->
     """At most ``cap`` rows per item in arrival order (oldest first)."""
     o = [F.col("date").asc(), F.col("id").asc()] if ascending else [F.col("date").desc(), F.col("id").desc()]
     w = Window.partitionBy("company", item).orderBy(*o)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+    return (df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def newest_unseen(posts: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:
     """W8 (+ J3): anti join the already-seen ids, then the newest ``n`` per company."""
     fresh = posts.join(seen.select("id"), "id", "left_anti")
     w = Window.partitionBy("company").orderBy(F.col("date").desc(), F.col("id").desc())
-    return fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return (fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def unseen_items(items: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

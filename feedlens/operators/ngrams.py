@@ -51,7 +51,8 @@ def merge_counts(state: DataFrame, batch: DataFrame) -> DataFrame:
 def top_k(grams: DataFrame, k: int = 100) -> DataFrame:
     """K most frequent grams per (company, n); ties broken by gram ascending."""
     w = Window.partitionBy("company", "n").orderBy(F.col("count").desc(), F.col("gram").asc())
-    return grams.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (grams.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def top_n_report(grams: DataFrame, n: int, k: int = 20) -> DataFrame:
@@ -71,7 +72,7 @@ def map_digest(maps: DataFrame) -> DataFrame:
     """Flat, order-independent rendering of A12 maps for comparison."""
     entries = F.array_sort(F.transform(F.map_entries("counts"),
                                        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
-    return maps.select("company", "n", F.size("counts").alias("n_entries"),
+    return maps.select("company", "n", F.size("counts").cast("bigint").alias("n_entries"),
                        F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"),
                                    lambda a, x: a + x).alias("total"),
                        F.sha2(F.array_join(entries, "\n"), 256).alias("entries_sha"))

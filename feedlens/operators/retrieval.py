@@ -74,7 +74,8 @@ def nearest(items: DataFrame, topics: list[tuple[object, list[float]]], k: int =
         x = items.select(*group, id_col, F.explode(d).alias("d")).select(
             *group, id_col, F.col("d.topic").alias("topic"), F.col("d.dist").alias("dist"))
         w = Window.partitionBy(*group, "topic").orderBy("dist", id_col)
-        r = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        r = (x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
         out = r if out is None else out.unionByName(r)
     return out.withColumn("dist", F.round("dist", DIST_SCALE))
 

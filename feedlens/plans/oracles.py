@@ -290,7 +290,7 @@ bs AS (SELECT 'source' AS scope, source AS key, round(sum(tp) / sum(true_sum), 4
 
 LOSS_CTE = """
 lx AS (SELECT source, CASE source WHEN 'trustpilot' THEN 0.1 ELSE 0.2 END AS eps,
-         CASE source WHEN 'trustpilot' THEN 1.0 ELSE 0.5 END AS weight,
+         CAST(CASE source WHEN 'trustpilot' THEN 1.0 ELSE 0.5 END AS DOUBLE) AS weight,
          CASE gold WHEN 'negative' THEN logit_neg WHEN 'neutral' THEN logit_neu ELSE logit_pos END AS xy,
          logit_neg, logit_neu, logit_pos,
          greatest(logit_neg, logit_neu, logit_pos) AS m FROM ev WHERE source IN ('trustpilot', 'youtube')),
