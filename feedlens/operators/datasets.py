@@ -27,8 +27,9 @@ def md5_key(id_col: str = "id") -> Column:
     return F.md5(F.col(id_col).cast("string"))
 
 
-def rank_cut(df: DataFrame, keys: list[str], k: Column | str, order: Column | None = None,
-             id_col: str = "id", flag: str = "in_cut", bucket_hex: int = BUCKET_HEX) -> DataFrame:
+def rank_cut(df: DataFrame, keys: list[str], k: Column | str | None = None, order: Column | None = None,
+             id_col: str = "id", flag: str = "in_cut", bucket_hex: int = BUCKET_HEX,
+             k_of_n=None) -> DataFrame:
     """Flag the first ``k`` rows of each stratum in ``order`` (default md5(id), then id).
 
     Exact (equal to ``row_number() <= k`` over the stratum) but ranked per
@@ -36,13 +37,20 @@ def rank_cut(df: DataFrame, keys: list[str], k: Column | str, order: Column | No
     (the join with the bucket histogram and the window share the
     partitioning), each window partition is one bucket of one stratum, and
     the running count of earlier buckets comes from the small histogram.
+    Either ``k`` is a column of ``df`` (constant within a stratum) or
+    ``k_of_n`` maps the stratum size (a column) to k, taken from the same
+    histogram so no separate count-and-join is needed.
     """
-    k = F.col(k) if isinstance(k, str) else k
     o = md5_key(id_col) if order is None else order
-    d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, bucket_hex)).withColumn("_rc_k", k)
+    d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, bucket_hex))
     hist = d.groupBy(*keys, "_rc_b").agg(F.count(F.lit(1)).alias("_rc_n"))
     w = Window.partitionBy(*keys).orderBy("_rc_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*keys, "_rc_b", F.coalesce(F.sum("_rc_n").over(w), F.lit(0)).alias("_rc_before"))
+    cols = [F.coalesce(F.sum("_rc_n").over(w), F.lit(0)).alias("_rc_before")]
+    if k_of_n is not None:
+        cols.append(k_of_n(F.sum("_rc_n").over(Window.partitionBy(*keys))).alias("_rc_k"))
+    else:
+        d = d.withColumn("_rc_k", F.col(k) if isinstance(k, str) else k)
+    hist = hist.select(*keys, "_rc_b", *cols)
     d = d.join(hist, [*keys, "_rc_b"])
     wr = Window.partitionBy(*keys, "_rc_b").orderBy("_rc_o", id_col)
     d = d.withColumn(flag, F.col("_rc_before") + F.row_number().over(wr) <= F.col("_rc_k"))
@@ -57,10 +65,8 @@ def drop_unknown(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, test_size: float = 0.2,
                      strata: tuple[str, ...] = ("company", "sentiment")) -> DataFrame:
     """Per stratum the first ceil(test_size * n) rows by md5(id) are test, the rest train."""
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.join(sizes, list(strata)).withColumn("_k", F.ceil(F.col("_n") * F.lit(test_size)))
-    cut = rank_cut(d, list(strata), "_k", flag="_test")
-    return cut.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "_n", "_k")
+    cut = rank_cut(df, list(strata), flag="_test", k_of_n=lambda n: F.ceil(n * F.lit(test_size)))
+    return cut.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS
 
@@ -91,9 +92,17 @@ def eval_loss(df: DataFrame, gold: str = "gold") -> DataFrame:
                     smoothed_ce([F.col("logit_neg"), F.col("logit_neu"), F.col("logit_pos")], idx, eps)
                     .alias("ce")))
     per = rows.groupBy("source").agg(F.avg("ce").alias("loss"), F.first("weight").alias("weight"))
-    total = per.agg(F.lit("total").alias("source"), F.sum(F.col("loss") * F.col("weight")).alias("loss"),
-                    F.lit(None).cast("double").alias("weight"))
-    return per.unionByName(total).select("source", F.round("loss", DIGITS).alias("loss"), "weight")
+    # The weighted total comes from a window over the (one row per source) result, so the
+    # per-source aggregate is computed once rather than once per union branch.
+    w = Window.partitionBy()
+    per = (per.withColumn("_total", F.sum(F.col("loss") * F.col("weight")).over(w))
+           .withColumn("_rn", F.row_number().over(w.orderBy("source"))))
+    own = F.struct(F.col("source"), F.col("loss"), F.col("weight"))
+    tot = F.struct(F.lit("total").alias("source"), F.col("_total").alias("loss"),
+                   F.lit(None).cast("double").alias("weight"))
+    both = per.select(F.explode(F.when(F.col("_rn") == 1, F.array(own, tot)).otherwise(F.array(own))).alias("r"))
+    return both.select(F.col("r.source").alias("source"), F.round("r.loss", DIGITS).alias("loss"),
+                       F.col("r.weight").alias("weight"))
 
 
 def metrics_long(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
