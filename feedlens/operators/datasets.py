@@ -143,16 +143,35 @@ def unseen_items(items: DataFrame, seen: DataFrame, keys: list[str]) -> DataFram
     return items.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
+def prior_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str,
+                out: str = "prior_total") -> DataFrame:
+    """Running sum of ``value`` over rows strictly before each row (in ``order``) within ``keys``.
+
+    Two levels, so no single window holds a whole key: ``bucket`` (a coarse,
+    order-preserving key such as the day) splits each key; bucket sums come
+    from a small per-(key, bucket) table with a running sum, and rows are only
+    ordered within their own (key, bucket).
+    """
+    d = df.withColumn("_pt_b", bucket)
+    sums = d.groupBy(*keys, "_pt_b").agg(F.sum(value).alias("_pt_s"))
+    wb = Window.partitionBy(*keys).orderBy("_pt_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_pt_b", F.coalesce(F.sum("_pt_s").over(wb), F.lit(0)).alias("_pt_before"))
+    d = d.join(sums, [*keys, "_pt_b"])
+    wr = Window.partitionBy(*keys, "_pt_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(value).over(wr), F.lit(0))
+    return d.withColumn(out, (F.col("_pt_before") + inner).cast("bigint")).drop("_pt_b", "_pt_before")
+
+
 def company_budget(items: DataFrame, budget: int) -> DataFrame:
     """Walk items in order, keep each item whose earlier total of comments is below budget.
 
     ``items`` has one row per (company, item) with ``n_comments`` and an
-    ``item_order`` column; a running sum replaces the crawler's loop.
+    ``item_order`` timestamp; a running sum replaces the crawler's loop,
+    computed per (company, day) so a company with many items is not ordered
+    in one task.
     """
-    w = (Window.partitionBy("company").orderBy("item_order", "item")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    prior = F.coalesce(F.sum("n_comments").over(w), F.lit(0)).cast("bigint")
-    return items.withColumn("prior_total", prior).filter(F.col("prior_total") < budget)
+    out = prior_total(items, ["company"], F.to_date("item_order"), ["item_order", "item"], "n_comments")
+    return out.filter(F.col("prior_total") < budget)
 
 
 def class_counts(df: DataFrame) -> DataFrame:
