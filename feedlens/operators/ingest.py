@@ -232,17 +232,21 @@ def encode_payload(wire: DataFrame, max_rows: int = 100) -> DataFrame:
         schema = _arrow_wire_schema()
         for rb in batches:
             tbl = pa.Table.from_batches([rb]).select(cols).cast(schema)
+            # sort once by company, then cut each company's run into messages
+            tbl = tbl.take(pc.sort_indices(tbl, sort_keys=[("company", "ascending")], null_placement="at_end"))
+            runs = pc.value_counts(tbl["company"])
             topics, blobs, counts = [], [], []
-            for company in pc.unique(tbl["company"]).to_pylist():
-                mask = pc.is_null(tbl["company"]) if company is None else pc.equal(tbl["company"], company)
-                part = tbl.filter(mask)
-                for off in range(0, part.num_rows, max_rows):
-                    chunk = part.slice(off, max_rows)
+            start = 0
+            for run in runs.to_pylist():
+                company, size = run["values"], run["counts"]
+                for off in range(start, start + size, max_rows):
+                    chunk = tbl.slice(off, min(max_rows, start + size - off))
                     buf = io.BytesIO()
                     pq.write_table(chunk, buf)
                     topics.append(company)
                     counts.append(chunk.num_rows)
                     blobs.append(buf.getvalue())
+                start += size
             yield pa.RecordBatch.from_arrays(
                 [pa.array(topics, pa.string()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())],
                 names=["topic", "n_rows", "payload"])
