@@ -270,20 +270,21 @@ def _topics(spark, sf):
     return RT.topic_vectors(RT.centroids(table(spark, sf, "embeddings")))
 
 
-def _hits(spark, sf, rows=None):
-    return RT.nearest(_vec_items(spark, sf, rows), _topics(spark, sf), RT.K)
+def _hits(spark, sf, rows=None, topics=None):
+    return RT.nearest(_vec_items(spark, sf, rows), topics or _topics(spark, sf), RT.K)
 
 
-def _contexts(spark, sf, rows=None):
+def _contexts(spark, sf, rows=None, topics=None):
     rows = _scored(spark, sf) if rows is None else rows
     texts = RT.chunks(rows.select("id", "text")).select(F.col("id").cast("bigint").alias("id"), "chunk")
-    return RT.topic_context(_hits(spark, sf, rows), texts)
+    return RT.topic_context(_hits(spark, sf, rows, topics), texts)
 
 
 def _answers(spark, sf, rows=None):
     rows = _scored(spark, sf) if rows is None else rows
-    topics = [t for t, _ in _topics(spark, sf)]
-    return RT.answers(rows.select("company").distinct(), _contexts(spark, sf, rows), topics)
+    topics = _topics(spark, sf)
+    return RT.answers(rows.select("company").distinct(), _contexts(spark, sf, rows, topics),
+                      [t for t, _ in topics])
 
 
 def _text_answers(spark, sf):
