@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # classes (Java's and RE2's ``\w`` / ``\s`` are ASCII-only), then ``\d+``.
 KEEP_CLASS = r"[^\p{L}\p{N}_\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]"
 DIGITS = r"\p{Nd}+"
+# Both steps only delete characters, so they collapse into one pass that keeps
+# letters, non-decimal numbers, underscore and whitespace.
+DROP_ONE_PASS = r"[^\p{L}\p{Nl}\p{No}_\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]+"
 WORD = r"[\p{L}\p{N}_]+"
 
 # The English stop-word list (NLTK corpus, 179 words), in its natural order.
@@ -39,8 +42,7 @@ STOP_WORDS = [
 
 def clean_text(text: Column) -> Column:
     """Drop punctuation and digits, LF to space, lower-case; NULL becomes ''."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), KEEP_CLASS, "")
-    t = F.regexp_replace(t, DIGITS, "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), DROP_ONE_PASS, "")
     return F.lower(F.translate(t, "\n", " "))
 
 
