@@ -78,24 +78,26 @@ def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:
     exact). Non-neutral rows pass unchanged with ``copy`` = 1. A company
     without neutral rows keeps its other rows; a company without non-neutral
     rows keeps its neutral rows as they are.
+
+    One pass: the per-company target comes from a small aggregate, one rank
+    cut over the (company, sentiment) strata decides every neutral row, and
+    the number of copies is a column that chunked replication expands.
     """
     per = train.groupBy("company", "sentiment").agg(F.count(F.lit(1)).alias("_c"))
     tgt = per.groupBy("company").agg(
         F.max(F.when(F.col("sentiment") != neutral, F.col("_c"))).alias("_target"),
         F.max(F.when(F.col("sentiment") == neutral, F.col("_c"))).alias("_cur"))
-    others = train.filter(F.col("sentiment") != neutral).withColumn("copy", F.lit(1))
-    neu = train.filter(F.col("sentiment") == neutral).join(tgt, "company")
-    keep_all = neu.filter(F.col("_target").isNull()).withColumn("copy", F.lit(1))
-    down = neu.filter(F.col("_target").isNotNull() & (F.col("_cur") >= F.col("_target")))
-    down = rank_cut(down, ["company"], "_target", flag="_keep").filter("_keep").withColumn("copy", F.lit(1))
-    up = neu.filter(F.col("_cur") < F.col("_target")).withColumn(
-        "_rem", F.col("_target") % F.col("_cur"))
-    up = rank_cut(up, ["company"], "_rem", flag="_extra")
-    reps = (F.floor(F.col("_target") / F.col("_cur")) + F.when(F.col("_extra"), 1).otherwise(0)).cast("bigint")
-    up = replicate(up.withColumn("_reps", reps), "_reps", "copy").drop("_reps")
-    cols = train.columns + ["copy"]
-    return (others.select(*cols).unionByName(keep_all.select(*cols))
-            .unionByName(down.select(*cols)).unionByName(up.select(*cols)))
+    d = train.join(tgt, "company")
+    is_neu = F.col("sentiment") == neutral
+    short = F.col("_cur") < F.col("_target")
+    k = F.when(is_neu & short, F.col("_target") % F.col("_cur")).when(is_neu, F.col("_target")).otherwise(0)
+    d = rank_cut(d.withColumn("_k", k), ["company", "sentiment"], "_k", flag="_in")
+    extra = F.when(F.col("_in"), 1).otherwise(0)
+    copies = (F.when(~is_neu | F.col("_target").isNull(), 1)
+              .when(short, F.floor(F.col("_target") / F.col("_cur")) + extra)
+              .otherwise(extra)).cast("bigint")
+    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    return replicate(d.select(*train.columns, "_copies"), "_copies", "copy").drop("_copies")
 
 
 def quota_sample(df: DataFrame, quota: int = 80, key: str = "stars") -> DataFrame:
