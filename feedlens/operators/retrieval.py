@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS, SOURCES
 from feedlens.functions.text import first_chunk
+from feedlens.operators.parallel import spread
 
 K = 3
 MAX_TOPICS_PER_PASS = 64
@@ -45,7 +46,12 @@ def reviews_in_range(df: DataFrame, sentiment: str, source: str, date_from: str
 
 
 def chunks(df: DataFrame, size: int = 100) -> DataFrame:
-    """The first chunk of each review's text; empty texts yield no row."""
+    """The first chunk of each review's text; empty texts yield no row.
+
+    The whole text is split and scanned, so the work is spread over the
+    cluster first when the input arrives in too few partitions.
+    """
+    df = spread(df)
     return df.withColumn("chunk", first_chunk(F.col("text"), size)).filter(F.col("chunk").isNotNull())
 
 

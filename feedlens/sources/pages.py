@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlens.operators.parallel import spread
+
 # Defaults for a review block without title or paragraph.
 NO_TITLE = "No Title"
 NO_CONTENT = "No Content"
@@ -34,6 +36,7 @@ def html_text(fragment: Column) -> Column:
 
 def page_title_text(pages: DataFrame) -> DataFrame:
     """S13 + P8: title and first paragraph of each page, defaults when absent; text = title + ' ' + body."""
+    pages = spread(pages.select("page_id", "html"))
     title = F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
     body = F.nullif(F.regexp_extract("html", r"(?is)<p>(.*?)</p>", 1), F.lit(""))
     t = F.coalesce(html_text(title), F.lit(NO_TITLE))
