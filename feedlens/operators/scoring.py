@@ -89,7 +89,15 @@ def threshold_labels(reviews: DataFrame, topic_threshold: float = 0.45,
         threshold_label(F.col("sentiment_scores"), SENTIMENTS, sentiment_threshold).alias("sentiment"))
 
 
-def gated_labels(reviews: DataFrame, topic_threshold: float = 0.45) -> DataFrame:
-    """T9 + U4: topic first; only product feedback gets the sentiment model's label."""
+def gated_labels(reviews: DataFrame, topic_threshold: float = 0.45, existing: str | None = None) -> DataFrame:
+    """T9 + U4: topic first; only product feedback gets the sentiment model's label.
+
+    U4: with ``existing`` naming a column of already assigned labels, rows
+    that have one keep it (the labelling pass skips them).
+    """
     lab = threshold_labels(reviews, topic_threshold)
-    return lab.select("id", "topic", gated_sentiment(F.col("topic"), F.col("sentiment")).alias("sentiment"))
+    gated = gated_sentiment(F.col("topic"), F.col("sentiment"))
+    if existing is not None:
+        lab = lab.join(reviews.select("id", F.col(existing).alias("_existing")), "id")
+        gated = F.coalesce(F.col("_existing"), gated)
+    return lab.select("id", "topic", gated.alias("sentiment"))
