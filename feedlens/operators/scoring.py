@@ -64,14 +64,14 @@ def softmax_table(reviews: DataFrame) -> DataFrame:
                                             sc["sentiment"].alias("sentiment")))
 
 
-def topic_scores(reviews: DataFrame) -> DataFrame:
+def topic_scores(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stand-in zero-shot topic scores (entailment probabilities) from the fixture logits.
 
     The three logits, read as scores for product-feedback / video-feedback /
     other-comments, are what a zero-shot model would return per candidate label.
     """
     return reviews.select(
-        "id", "company", "source", "text", "logit_neg", "logit_neu", "logit_pos",
+        "id", "company", "source", "text", "logit_neg", "logit_neu", "logit_pos", *keep,
         F.array(F.exp("logit_pos"), F.exp("logit_neu"), F.exp("logit_neg")).alias("topic_scores"),
         F.array(F.exp("logit_neg"), F.exp("logit_neu"), F.exp("logit_pos")).alias("sentiment_scores"))
 
@@ -80,11 +80,11 @@ TOPIC_CANDIDATES = ["product-feedback", "video-feedback", "other-comments"]
 
 
 def threshold_labels(reviews: DataFrame, topic_threshold: float = 0.45,
-                     sentiment_threshold: float = 0.0) -> DataFrame:
+                     sentiment_threshold: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """label = argmax of normalised scores if it clears the threshold, else unknown."""
-    ts = topic_scores(reviews)
+    ts = topic_scores(reviews, keep)
     return ts.select(
-        "id",
+        "id", *keep,
         threshold_label(F.col("topic_scores"), TOPIC_CANDIDATES, topic_threshold).alias("topic"),
         threshold_label(F.col("sentiment_scores"), SENTIMENTS, sentiment_threshold).alias("sentiment"))
 
@@ -95,9 +95,9 @@ def gated_labels(reviews: DataFrame, topic_threshold: float = 0.45, existing: st
     U4: with ``existing`` naming a column of already assigned labels, rows
     that have one keep it (the labelling pass skips them).
     """
-    lab = threshold_labels(reviews, topic_threshold)
+    keep = (existing,) if existing else ()
+    lab = threshold_labels(reviews, topic_threshold, keep=keep)
     gated = gated_sentiment(F.col("topic"), F.col("sentiment"))
-    if existing is not None:
-        lab = lab.join(reviews.select("id", F.col(existing).alias("_existing")), "id")
-        gated = F.coalesce(F.col("_existing"), gated)
+    if existing:
+        gated = F.coalesce(F.col(existing), gated)
     return lab.select("id", "topic", gated.alias("sentiment"))
