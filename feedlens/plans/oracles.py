@@ -520,7 +520,8 @@ SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutra
   UNION ALL SELECT id, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
     "doc_store": W("SELECT company, source, date, text, sentiment FROM scored"),
     "geo_points": W("""
-SELECT s.id, s.company, s.sentiment, s.location, g.lon, g.lat FROM scored s
+SELECT s.id, s.company, s.sentiment, s.location, CAST(g.lon AS DOUBLE) AS lon, CAST(g.lat AS DOUBLE) AS lat
+FROM scored s
 JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.0), ('UK', -3.0, 55.0),
              ('de', 10.0, 51.0), ('fr', 2.0, 46.0), ('en', -3.0, 55.0)) g(location, lon, lat)
   ON g.location = s.location WHERE s.source = 'trustpilot'"""),
