@@ -28,6 +28,7 @@ def replicate(df: DataFrame, times: str, out: str = "copy", chunk: int = 100_000
     from pyspark.sql import functions as F
 
     n = F.col(times).cast("bigint")
+    df = df.filter(n > 0)  # zero copies: no row (sequence(0, -1) would count down)
     c = df.withColumn("_rp_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / chunk).cast("bigint") - 1)))
     c = c.repartition(*[F.col(x) for x in df.columns[:1]], "_rp_c")
     lo = F.col("_rp_c") * chunk + 1

@@ -35,3 +35,31 @@ def test_balance_company_without_neutral_or_others(spark):
     df = spark.createDataFrame(rows, "id string, company string, sentiment string")
     got = sorted((r.id, r.copy) for r in balance(df).collect())
     assert got == [("1", 1), ("2", 1), ("3", 1), ("4", 1)]
+
+
+def test_prior_total_matches_plain_window(spark):
+    """Two-level running total equals one window over the whole key (hot key included)."""
+    import datetime as dt
+
+    from feedlens.operators.datasets import prior_total
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 4 else "cold", f"v{i}", (i * 7) % 13, base + dt.timedelta(hours=(i * 5) % 200))
+            for i in range(800)]
+    df = spark.createDataFrame(rows, "company string, item string, n_comments int, item_order timestamp_ntz")
+    got = {(r.company, r.item): r.prior_total for r in prior_total(
+        df, ["company"], F.to_date("item_order"), ["item_order", "item"], "n_comments").collect()}
+    w = Window.partitionBy("company").orderBy("item_order", "item").rowsBetween(Window.unboundedPreceding, -1)
+    want = {(r.company, r.item): r.p for r in df.withColumn(
+        "p", F.coalesce(F.sum("n_comments").over(w), F.lit(0))).collect()}
+    assert got == want
+
+
+def test_replicate_counts(spark):
+    from feedlens.operators.parallel import replicate
+
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 250)], "k string, times bigint")
+    out = replicate(df, "times", "copy", chunk=100)
+    got = {r.k: (r.n, r.lo, r.hi) for r in out.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()}
+    assert got == {"b": (1, 1, 1), "c": (250, 1, 250)}
