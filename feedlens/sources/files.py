@@ -112,7 +112,7 @@ def synth_reviews(counts: DataFrame, seed: int = 42, chunk: int = 100_000) -> Da
     with a third of all rows still fans out over many tasks.
     """
     n = F.col("n").cast("bigint")
-    chunks = counts.select("company", n.alias("n"), F.explode(
+    chunks = counts.filter(n > 0).select("company", n.alias("n"), F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.ceil(n / chunk).cast("bigint") - 1)).alias("c"))
     chunks = chunks.repartition("company", "c")
     lo = F.col("c") * chunk + 1
