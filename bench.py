@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from feedlens.plans.queries import QUERIES  # noqa: E402
-from feedlens.session import local_session  # noqa: E402
+from feedlens.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "daily_pivot", "avg_sentiment", "last_comment", "stars_matrix",
@@ -31,6 +31,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), "feedlens-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     # Warm-up: the same plans once on the smallest tables (JIT and codegen caches), not timed.
     warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):
