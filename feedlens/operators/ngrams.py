@@ -63,7 +63,11 @@ def top_n_report(grams: DataFrame, n: int, k: int = 20) -> DataFrame:
 
 
 def to_maps(grams: DataFrame) -> DataFrame:
-    """One map<gram, count> per (company, n) (the stored document shape)."""
+    """One map<gram, count> per (company, n) (the stored document shape).
+
+    Meant for top-k views (at most k entries per group, as stored); the full
+    counts stay a long table, never one map per company.
+    """
     return (grams.groupBy("company", "n")
             .agg(F.map_from_entries(F.collect_list(F.struct("gram", "count"))).alias("counts")))
 
