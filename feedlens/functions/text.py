@@ -1,4 +1,4 @@
-"""Text expressions: cleaning, tokens, n-grams, chunking, durations, dates, ids.
+"""Text expressions: cleaning, tokens, n-grams, chunking, durations.
 
 All are native Catalyst expressions (Java regex with Unicode property
 classes), so they run inside whole-stage codegen with no Python worker.
@@ -115,30 +115,3 @@ def duration_seconds(d: Column) -> Column:
         return F.coalesce(F.regexp_extract(d, pat, i).try_cast("bigint"), F.lit(0))
 
     return F.when(d.rlike("^PT"), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(F.lit(0).cast("bigint"))
-
-
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}"
-
-
-def normalize_date(s: Column) -> Column:
-    """ISO-8601 (``Z`` = UTC, offsets honoured, fractions kept), then
-    ``yyyy-MM-dd HH:mm:ss``, ``yyyy-MM-ddTHH:mm:ss``, ``yyyy-MM-dd``; as UTC
-    TIMESTAMP_NTZ, NULL when nothing parses (those rows go to a reject output).
-
-    The shape guard stops ``try_cast`` from reading '10:00' as today.
-    """
-    iso = F.regexp_replace(s, "Z$", "+00:00")
-    with_zone = F.regexp_extract(iso, r"([+-]\d{2}:\d{2})$", 1) != ""
-    parsed_zone = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"))
-    parsed = F.coalesce(
-        F.when(with_zone, parsed_zone),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-    )
-    return F.when(s.rlike(ISO_SHAPE), parsed.cast("timestamp_ntz"))
-
-
-def content_id(*cols: Column) -> Column:
-    """Replay-stable row id = sha256 over the row content (NULL-safe, separator-safe)."""
-    return F.sha2(F.to_json(F.struct(*cols)), 256)
