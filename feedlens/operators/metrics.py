@@ -118,11 +118,18 @@ def companies(scored: DataFrame) -> DataFrame:
     return scored.select("company").distinct()
 
 
-def volume_by_topic(wire: DataFrame) -> DataFrame:
-    """Rows consumed per topic (= company) and whether the topic had data."""
-    return (wire.groupBy(F.col("company").alias("topic"))
-            .agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("has_data", F.col("n_rows") > 0))
+def volume_by_topic(consumed: DataFrame) -> DataFrame:
+    """Rows consumed per topic and whether the topic had data.
+
+    ``consumed`` is either decoded messages (``topic``, ``n_rows`` per
+    message, so a topic whose messages were empty still appears with 0) or
+    plain rows with a ``company`` column (one row each).
+    """
+    if "n_rows" in consumed.columns:
+        per = consumed.groupBy("topic").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+    else:
+        per = consumed.groupBy(F.col("company").alias("topic")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return per.withColumn("has_data", F.col("n_rows") > 0)
 
 
 def stars_matrix(scored: DataFrame, company: str | None = None) -> DataFrame:

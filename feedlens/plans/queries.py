@@ -43,7 +43,7 @@ QUERIES: dict[str, Query] = {
     "avg_sentiment": lambda s, d: M.avg_sentiment(_scored(s, d)),
     "interactions_30d": lambda s, d: M.interactions_30d(_scored(s, d), AS_OF),
     "companies": lambda s, d: M.companies(_scored(s, d)),
-    "volume_by_topic": lambda s, d: M.volume_by_topic(reviews(s, d)),
+    "volume_by_topic": lambda s, d: M.volume_by_topic(_messages(s, d).select("topic", "n_rows")),
     "stars_matrix": lambda s, d: M.stars_matrix(_scored(s, d)),
     "avg_stars": lambda s, d: M.avg_stars(_scored(s, d)),
     "subreddit_matrix": lambda s, d: M.subreddit_matrix(_scored(s, d)),
