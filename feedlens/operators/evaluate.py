@@ -33,10 +33,16 @@ def confusion(df: DataFrame, scope: list[str], gold: str = "gold", pred: str = "
 
 def per_label(conf: DataFrame, scope: list[str]) -> DataFrame:
     """tp / support / predicted counts per observed label, with precision, recall, f1."""
-    t = conf.groupBy(*scope, F.col("gold").alias("label")).agg(
-        F.sum("n").alias("true_sum"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))).alias("tp"))
-    p = conf.groupBy(*scope, F.col("pred").alias("label")).agg(F.sum("n").alias("pred_sum"))
-    j = t.join(p, [*scope, "label"], "full_outer").na.fill(0, ["true_sum", "tp", "pred_sum"])
+    # Each confusion cell counts once for its gold label and once for its predicted label:
+    # one explode and one aggregate give every observed label (no join of the two sides).
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("gold").alias("label"), F.col("n").alias("t"), hit.alias("h"), zero.alias("p")),
+        F.struct(F.col("pred").alias("label"), zero.alias("t"), zero.alias("h"), F.col("n").alias("p")))
+    e = conf.select(*scope, F.explode(sides).alias("e")).filter(F.col("e.label").isNotNull())
+    j = e.groupBy(*scope, F.col("e.label").alias("label")).agg(
+        F.sum("e.t").alias("true_sum"), F.sum("e.h").alias("tp"), F.sum("e.p").alias("pred_sum"))
     return j.select(
         *scope, "label", "tp", "true_sum", "pred_sum",
         _safe_div(F.col("tp"), F.col("pred_sum")).alias("precision"),
