@@ -63,3 +63,23 @@ def test_replicate_counts(spark):
     got = {r.k: (r.n, r.lo, r.hi) for r in out.groupBy("k").agg(
         F.count(F.lit(1)).alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()}
     assert got == {"b": (1, 1, 1), "c": (250, 1, 250)}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(sizes=st.lists(st.integers(min_value=1, max_value=300), min_size=1, max_size=5),
+       frac=st.floats(min_value=0.0, max_value=1.0))
+def test_rank_cut_property(spark, sizes, frac):
+    """For random strata sizes and cut points the bucketed cut equals row_number() <= k."""
+    rows = [(f"{s}-{i}", f"s{s}") for s, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, company string")
+    k = lambda n: F.floor(n * F.lit(frac)).cast("bigint")
+    got = {r.id for r in rank_cut(df, ["company"], k_of_n=k, bucket_hex=1).filter("in_cut").collect()}
+    w = Window.partitionBy("company").orderBy(md5_key(), F.col("id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("company"))
+    want = {r.id for r in df.withColumn("r", F.row_number().over(w)).withColumn("n", n)
+            .filter(F.col("r") <= F.floor(F.col("n") * F.lit(frac))).collect()}
+    assert got == want
