@@ -1,4 +1,4 @@
-"""The star-shaped warehouse and the per-company document store.
+"""The star-shaped warehouse (the document store, S4, is in sources.files).
 
 One scored frame fans out to a ``predictions`` fact table and three
 per-source satellite tables. The writer persists the scored frame once so the
@@ -64,12 +64,6 @@ def read_warehouse(spark: SparkSession, path: str | None = None, jdbc_url: str |
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def write_doc_store(scored: DataFrame, path: str, mode: str = "append") -> None:
-    """Per-company collections as one partitioned write (company names the collection)."""
-    (scored.select("company", "source", "date", "text", "sentiment")
-     .write.mode(mode).partitionBy("company").parquet(path))
-
-
 def detail(tables: dict[str, DataFrame], source: str, company: str | None = None) -> DataFrame:
     """A satellite table joined with predictions on id (company via predictions)."""
     pred = tables["predictions"]
