@@ -87,11 +87,21 @@ def nearest(items: DataFrame, topics: list[tuple[object, list[float]]], k: int =
 
 
 def topic_vectors(spark_df: DataFrame) -> list[tuple[object, list[float]]]:
-    """Collect a topic table (bounded: checked against the limit per pass times 16)."""
-    n = spark_df.count()
-    if n > MAX_TOPICS_PER_PASS * 16:
-        raise ValueError(f"{n} topic vectors: too many to inline; cluster them first")
-    return [(r["topic"], list(r["vec"])) for r in spark_df.collect()]
+    """Collect a topic table (bounded: checked against the limit per pass times 16).
+
+    The (small, aggregated) table is cached between the size check and the
+    collect, so its input is scanned once.
+    """
+    from pyspark import StorageLevel
+
+    t = spark_df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = t.count()
+        if n > MAX_TOPICS_PER_PASS * 16:
+            raise ValueError(f"{n} topic vectors: too many to inline; cluster them first")
+        return [(r["topic"], list(r["vec"])) for r in t.collect()]
+    finally:
+        t.unpersist()
 
 
 def topic_context(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "chunk") -> DataFrame:
