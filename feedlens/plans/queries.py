@@ -10,15 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from feedlens.functions.text import clean_text
+from feedlens.operators import datasets as DS
+from feedlens.operators import evaluate as EV
+from feedlens.operators import ingest as IN
 from feedlens.operators import metrics as M
 from feedlens.operators import ngrams as NG
+from feedlens.operators import retrieval as RT
 from feedlens.operators import scoring as SC
 from feedlens.operators import warehouse as WH
-from feedlens.sources.tables import reviews, scored
+from feedlens.sources import files as FS
+from feedlens.sources import pages as PG
+from feedlens.sources.tables import reviews, scored, table
+from feedlens.streaming import pipeline as SP
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,8 +110,6 @@ QUERIES.update({
 
 
 # --- datasets and evaluation -------------------------------------------------------------
-from feedlens.operators import datasets as DS  # noqa: E402
-from feedlens.operators import evaluate as EV  # noqa: E402
 
 CUT = "2024-01-15"  # boundary between the "earlier crawl" and the new batch
 
@@ -168,7 +172,6 @@ QUERIES.update({
 
 
 # --- ingest ----------------------------------------------------------------------------------
-from feedlens.operators import ingest as IN  # noqa: E402
 
 RAW_DATE_FORMS = 6
 
@@ -255,8 +258,6 @@ QUERIES.update({
 
 
 # --- retrieval -------------------------------------------------------------------------------
-from feedlens.operators import retrieval as RT  # noqa: E402
-from feedlens.sources.tables import table  # noqa: E402
 
 
 def _vec_items(spark, sf, rows=None):
@@ -314,8 +315,6 @@ QUERIES.update({
 
 
 # --- sources and sinks -----------------------------------------------------------------------
-from feedlens.sources import files as FS  # noqa: E402
-from feedlens.sources import pages as PG  # noqa: E402
 
 
 def _keyed_rows(spark, sf):
@@ -370,7 +369,6 @@ QUERIES.update({
 
 
 # --- streaming -------------------------------------------------------------------------------
-from feedlens.streaming import pipeline as SP  # noqa: E402
 
 
 def _landing(spark, sf):
