@@ -37,3 +37,12 @@ def test_a1_ignores_null_a4_counts_it(spark):
     assert daily_by_source(df).first().daily_sentiment_score == 1.0
     tot = [r for r in avg_sentiment(df).collect() if r.source is None][0]
     assert tot.avg_sentiment == round(-1 / 3, 6)
+
+
+def test_volume_counts_topics_with_empty_messages(spark):
+    """A topic whose messages decoded to no rows is listed with 0 and has_data false."""
+    from feedlens.operators.metrics import volume_by_topic
+
+    msgs = spark.createDataFrame([("a", 3), ("a", 2), ("b", 0)], "topic string, n_rows int")
+    got = {r.topic: (r.n_rows, r.has_data) for r in volume_by_topic(msgs).collect()}
+    assert got == {"a": (5, True), "b": (0, False)}
