@@ -93,3 +93,19 @@ def test_dates(spark):
     ten = dt.datetime(2024, 3, 1, 10)
     assert got[:5] == [ten, ten.replace(microsecond=123000), ten, ten, dt.datetime(2024, 3, 1)]
     assert got[5:] == [None, None, None, None]
+
+
+def test_ngram_edge_rules(spark):
+    """One-word text, double spaces (empty tokens kept in bi/trigrams), stop words, ties at the cut."""
+    from feedlens.operators.ngrams import ngram_counts, top_k, top_n_report
+
+    docs = spark.createDataFrame([("c", "Solo"), ("c", "the cat  sat"), ("c", "dog cat")],
+                                 "company string, text string")
+    g = {(r.n, r.gram): r["count"] for r in ngram_counts(docs).collect()}
+    assert g[(1, "solo")] == 1 and g[(1, "cat")] == 2 and (1, "the") not in g and (1, "") not in g
+    assert g[(2, "cat ")] == 1 and g[(2, " sat")] == 1 and g[(2, "the cat")] == 1
+    assert g[(3, "the cat ")] == 1 and g[(3, "cat  sat")] == 1
+    top = [r.gram for r in top_k(ngram_counts(docs), 2).filter("n = 1").orderBy("rank").collect()]
+    assert top == ["cat", "dog"]  # tie at count 1 broken by gram ascending
+    report = {r.bigram for r in top_n_report(ngram_counts(docs), 2, 20).collect()}
+    assert report == {"the cat", "dog cat"}  # grams with an empty token fail the well-formed filter
