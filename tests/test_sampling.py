@@ -83,3 +83,17 @@ def test_rank_cut_property(spark, sizes, frac):
     want = {r.id for r in df.withColumn("r", F.row_number().over(w)).withColumn("n", n)
             .filter(F.col("r") <= F.floor(F.col("n") * F.lit(frac))).collect()}
     assert got == want
+
+
+def test_nearest_ties_and_small_groups(spark):
+    """Equal distances rank by id; a group with fewer than k items returns what it has."""
+    from feedlens.operators.retrieval import nearest
+
+    rows = [("c", "positive", "youtube", 1, [1.0, 0.0]), ("c", "positive", "youtube", 2, [1.0, 0.0]),
+            ("c", "positive", "youtube", 3, [0.0, 1.0]), ("c", "positive", "youtube", 4, [5.0, 5.0]),
+            ("d", "negative", "reddit", 9, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "company string, sentiment string, source string, id long, "
+                                     "embedding array<float>")
+    hits = nearest(df, [("t", [1.0, 0.0])], k=3)
+    got = sorted((r.company, r.rank, r.id) for r in hits.collect())
+    assert got == [("c", 1, 1), ("c", 2, 2), ("c", 3, 3), ("d", 1, 9)]
