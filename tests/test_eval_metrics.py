@@ -46,3 +46,15 @@ def test_volume_counts_topics_with_empty_messages(spark):
     msgs = spark.createDataFrame([("a", 3), ("a", 2), ("b", 0)], "topic string, n_rows int")
     got = {r.topic: (r.n_rows, r.has_data) for r in volume_by_topic(msgs).collect()}
     assert got == {"a": (5, True), "b": (0, False)}
+
+
+def test_macro_with_label_never_gold_and_source_split(spark):
+    gold = ["negative", "negative", "neutral", "neutral"]
+    pred = ["positive", "negative", "neutral", "positive"]
+    src = ["youtube", "youtube", "trustpilot", "trustpilot"]
+    df = spark.createDataFrame(list(zip(gold, pred, src)), "gold string, pred string, source string")
+    assert list(global_metrics(df).first()) == py_macro(gold, pred)
+    by = {r.source: list(r)[1:] for r in global_metrics(df, ["source"]).collect()}
+    assert by["youtube"] == py_macro(gold[:2], pred[:2])
+    assert by["trustpilot"] == py_macro(gold[2:], pred[2:])
+    assert set(by) == {"youtube", "trustpilot"}  # a source without labelled rows has no row
