@@ -2,7 +2,7 @@
 
 Every query is fully executed with the ``noop`` sink (all rows produced,
 nothing collected to the driver), after one untimed warm-up pass of the same
-queries on the smallest tables.
+queries on a smaller scale factor.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def main() -> None:
     spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), "feedlens-bench")
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
-    # Warm-up: the same plans once on the smallest tables (JIT and codegen caches), not timed.
-    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    # Warm-up: the same plans once on a smaller scale factor (JIT and codegen caches), not timed.
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm):
         for n in names:
             QUERIES[n](spark, warm).write.format("noop").mode("overwrite").save()
