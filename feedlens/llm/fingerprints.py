@@ -7,8 +7,8 @@ a wide vector, and the fingerprint is the sum of the vectors:
 
 * ``EXACT`` lanes of 32 uniform bits from the whole paragraph, summed modulo
   2**32: equal multisets of paragraphs have equal sums, in any order;
-* ``SIGNS`` narrow lanes that hold, for the paragraph's runs of one and two
-  words, the sum of hashed signs modulo 2**32: the same kind of sum, whose inner
+* ``SIGNS`` narrow lanes that hold, for the paragraph's pairs of neighbouring
+  words (a lone word for itself), the sum of hashed signs modulo 2**32: the same kind of sum, whose inner
   product estimates how many runs two texts share (cosine);
 * the numbers of paragraphs and runs.
 
@@ -31,7 +31,7 @@ from pyspark.sql import Window
 
 from feedlens.llm.common import texts, written
 
-EXACT, SIGNS = 8, 64
+EXACT, SIGNS = 8, 128
 #: Each packed sum holds two sign lanes of 32 bits.
 PACKED = SIGNS // 2
 _MASK = "4294967297L"  # 1 in each half of a long
@@ -46,15 +46,15 @@ def lane_sums(rows: DataFrame, key: str, text: str, weights: dict[str, str]) ->
     lines = rows.select(key, *weights.values(), F.explode(F.split(F.col(text), "\n")).alias("line"))
     words = F.expr(r"filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w != '')")
     lines = lines.select(key, *weights.values(), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.alias("w"))
-    # Element 0 (null) stands for the paragraph itself; then its words and pairs of neighbours.
-    runs = F.expr("concat(array(CAST(NULL AS BIGINT)), transform(w, x -> xxhash64(x)), "
-                  "CASE WHEN size(w) > 1 THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) "
-                  "ELSE CAST(array() AS ARRAY<BIGINT>) END)")
-    units = lines.select(key, *weights.values(), "a", "b", F.explode(runs).alias("h"))
+    # Element 0 (null) stands for the paragraph itself; then its pairs of neighbours, or its only word.
+    runs = F.expr("concat(array(CAST(NULL AS BIGINT)), CASE WHEN size(w) > 1 "
+                  "THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) "
+                  "ELSE transform(w, x -> xxhash64(x)) END)")
+    units = lines.select(key, *weights.values(), "a", "b", F.explode(runs).alias("h")).withColumn("g", F.xxhash64("h", F.lit(2)))
     sums = []
     for p, w in weights.items():
         sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN {w} * (xxhash64(a, b, {i}) & 4294967295L) ELSE 0L END")).alias(f"{p}_e{i}") for i in range(EXACT)]
-        sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN 0L ELSE {w} * (shiftrightunsigned(h, {i}) & {_MASK}) END")).alias(f"{p}_s{i}") for i in range(PACKED)]
+        sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN 0L ELSE {w} * (shiftrightunsigned({'hg'[i // 32]}, {i % 32}) & {_MASK}) END")).alias(f"{p}_s{i}") for i in range(PACKED)]
         sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN {w} ELSE 0L END")).alias(f"{p}_n_paragraphs"),
                  F.sum(F.expr(f"CASE WHEN h IS NULL THEN 0L ELSE {w} END")).alias(f"{p}_n_runs")]
     return units.groupBy(key).agg(*sums)
