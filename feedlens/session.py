@@ -26,7 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("FEEDLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -36,13 +36,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and state tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared filesystem the
-    cluster names); it is only invented here when unset, as in tests.
+    cluster names). A local master (tests, bench) may leave it unset and gets a
+    temporary folder; any other master without it is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext._jsc.sc().getCheckpointDir()  # type: ignore[attr-defined]
         conf = conf.get() if conf.isDefined() else None
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="feedlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
