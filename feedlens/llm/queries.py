@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import exact_dedup, fingerprints, url_filter
+from feedlens.llm import exact_dedup, fingerprints, packing, url_filter
 from feedlens.sources.tables import table
 
 
@@ -23,8 +23,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; $FEEDLENS_TOKENIZERS names another folder."""
+    import os
+
+    folder = os.environ.get("FEEDLENS_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op7_fingerprints": op7_fingerprints,
+    "op10_packing": op10_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
