@@ -104,8 +104,9 @@ def shingle_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     n = len(h) - k + 1
     s = np.full(n, k, np.uint64)
     for j in range(k):
-        s = mixed(s * _MIX + h[j:j + n])
-    return s
+        s *= _MIX
+        s += h[j:j + n]
+    return mixed(s)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

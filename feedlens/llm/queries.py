@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import exact_dedup, fingerprints, packing, url_filter
+from feedlens.llm import exact_dedup, fingerprints, jaccard_join, packing, url_filter
 from feedlens.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (exact_dedup.exact_groups(spark, table(spark, sf_dir, "documents"))
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
@@ -39,5 +43,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op10_packing": op10_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
