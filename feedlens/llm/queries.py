@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import exact_dedup, fingerprints, jaccard_join, packing, quality, toxicity, url_filter
+from feedlens.llm import exact_dedup, fingerprints, jaccard_join, katz, packing, quality, toxicity, url_filter
 from feedlens.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.tag(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op1_quality": op1_quality,
+    "op5_katz": op5_katz,
     "op6_toxicity": op6_toxicity,
     "op10_packing": op10_packing,
     "op8_jaccard_join": op8_jaccard_join,
