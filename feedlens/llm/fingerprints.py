@@ -31,7 +31,7 @@ from pyspark.sql import Window
 
 from feedlens.llm.common import texts, written
 
-EXACT, SIGNS = 8, 128
+EXACT, SIGNS = 8, 96
 #: Each packed sum holds two sign lanes of 32 bits.
 PACKED = SIGNS // 2
 _MASK = "4294967297L"  # 1 in each half of a long
@@ -44,20 +44,21 @@ def lane_sums(rows: DataFrame, key: str, text: str, weights: dict[str, str]) ->
     takes its paragraphs out again.
     """
     lines = rows.select(key, *weights.values(), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    words = F.expr(r"filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w != '')")
-    lines = lines.select(key, *weights.values(), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.alias("w"))
-    # Element 0 (null) stands for the paragraph itself; then its pairs of neighbours, or its only word.
-    runs = F.expr("concat(array(CAST(NULL AS BIGINT)), CASE WHEN size(w) > 1 "
-                  "THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) "
-                  "ELSE transform(w, x -> xxhash64(x)) END)")
-    units = lines.select(key, *weights.values(), "a", "b", F.explode(runs).alias("h")).withColumn("g", F.xxhash64("h", F.lit(2)))
-    sums = []
+    hashed = F.expr(r"transform(filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w != ''), w -> xxhash64(w))")
+    whole = lines.select(key, *weights.values(), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    # Words are hashed first and pairs made of their hashes; a lone word stands for itself.
+    runs = F.expr("CASE WHEN size(x) > 1 THEN zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (p, q) -> xxhash64(p, q)) ELSE x END")
+    pairs = (lines.select(key, *weights.values(), hashed.alias("x")).select(key, *weights.values(), F.explode(runs).alias("h"))
+             .withColumn("g", F.xxhash64("h", F.lit(2))))
+    # Each sum is a short expression of plain columns: the aggregate stays compiled code.
+    exact, signs = [], []
     for p, w in weights.items():
-        sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN {w} * (xxhash64(a, b, {i}) & 4294967295L) ELSE 0L END")).alias(f"{p}_e{i}") for i in range(EXACT)]
-        sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN 0L ELSE {w} * (shiftrightunsigned({'hg'[i // 32]}, {i % 32}) & {_MASK}) END")).alias(f"{p}_s{i}") for i in range(PACKED)]
-        sums += [F.sum(F.expr(f"CASE WHEN h IS NULL THEN {w} ELSE 0L END")).alias(f"{p}_n_paragraphs"),
-                 F.sum(F.expr(f"CASE WHEN h IS NULL THEN 0L ELSE {w} END")).alias(f"{p}_n_runs")]
-    return units.groupBy(key).agg(*sums)
+        exact += [F.sum(F.expr(f"{w} * (xxhash64(a, b, {i}) & 4294967295L)")).alias(f"{p}_e{i}") for i in range(EXACT)]
+        exact.append(F.sum(w).alias(f"{p}_n_paragraphs"))
+        signs += [F.sum(F.expr(f"{w} * (shiftrightunsigned({'hg'[i // 32]}, {i % 32}) & {_MASK})")).alias(f"{p}_s{i}") for i in range(PACKED)]
+        signs.append(F.sum(w).alias(f"{p}_n_runs"))
+    runs_of = pairs.groupBy(key).agg(*signs)
+    return whole.groupBy(key).agg(*exact).join(runs_of, key, "left").na.fill(0)
 
 
 LANES = [*(f"e{i}" for i in range(EXACT)), *(f"s{i}" for i in range(PACKED)), "n_paragraphs", "n_runs"]
@@ -78,24 +79,17 @@ def as_string(prefix: str = "") -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.col(prefix + n))), 8 if n[0] == "e" else 16, "0") for n in LANES])
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated cosine (0 to 1) of two texts' runs from lane structs ``a`` and ``b``; 1.0 for equal fingerprints.
+def signed(p: str) -> Column:
+    """The sums of signs of lanes struct ``p``: twice the set bits less the number of runs, as an array."""
+    halves = ", ".join(f"2 * ({p}.s{i} & 4294967295L) - {p}.n_runs, 2 * shiftrightunsigned({p}.s{i}, 32) - {p}.n_runs" for i in range(PACKED))
+    return F.expr(f"transform(array({halves}), v -> CAST(v AS DOUBLE))")
 
-    A packed sum counts set bits in two halves; twice the count less the
-    number of runs is the sum of signs of that lane.
-    """
-    def lanes(p: str) -> str:
-        halves = ", ".join(f"2 * ({p}.s{i} & 4294967295L) - {p}.n_runs, 2 * shiftrightunsigned({p}.s{i}, 32) - {p}.n_runs" for i in range(PACKED))
-        return f"transform(array({halves}), v -> CAST(v AS DOUBLE))"
-
-    def total(x: str) -> str:
-        return f"aggregate({x}, 0D, (t, v) -> t + v)"
 
-    dot = total(f"zip_with({lanes(a)}, {lanes(b)}, (x, y) -> x * y)")
-    norms = [f"sqrt({total(f'transform({lanes(p)}, v -> v * v)')})" for p in (a, b)]
-    same = " AND ".join(f"{a}.{n} = {b}.{n}" for n in LANES)
-    return F.expr(f"CASE WHEN {same} THEN 1D WHEN {norms[0]} = 0D OR {norms[1]} = 0D THEN 0D "
-                  f"ELSE greatest(0D, least(1D, {dot} / ({norms[0]} * {norms[1]}))) END")
+def likeness(a: str, b: str, same: Column) -> Column:
+    """Estimated cosine (0 to 1) of two texts' runs from their arrays of signed sums; 1.0 for equal fingerprints."""
+    dot = f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (t, v) -> t + v)"
+    norms = " * ".join(f"sqrt(aggregate({p}, 0D, (t, v) -> t + v * v))" for p in (a, b))
+    return F.when(same, 1.0).otherwise(F.expr(f"coalesce(greatest(0D, least(1D, try_divide({dot}, {norms}))), 0D)"))
 
 
 def followed(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 10_000) -> DataFrame:
@@ -155,11 +149,13 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         named_struct('body', concat(cut_line, head), 'of_text', 0L, 'of_edited', 1L)), p -> p IS NOT NULL)""")
     sums = lane_sums(f.select("row", F.explode(pieces).alias("p")).select("row", "p.*"), "row", "body",
                      {"t": "of_text", "d": "of_edited"})
-    sums = written(spark, sums.select("row", as_struct("t").alias("t"), as_struct("d").alias("d")), "lanes")
+    sums = sums.select("row", as_struct("t").alias("t"), as_struct("d").alias("d"))
+    sums = written(spark, sums.select("row", as_string("t.").alias("t"), as_string("d.").alias("d"),
+                                      signed("t").alias("t_signs"), signed("d").alias("d_signs")), "lanes")
     meta = f.select("row", "doc_id", "n_chars", "next_row",
                     F.sha2(F.concat("stays", "head").cast("binary"), 256).alias("edited_sha256"))
-    following = sums.select(F.col("row").alias("next_row"), F.col("t").alias("n"))
+    following = sums.select(F.col("row").alias("next_row"), F.col("t").alias("n"), F.col("t_signs").alias("n_signs"))
     return (meta.join(sums, "row").join(following, "next_row")
-            .select("doc_id", "n_chars", "edited_sha256", as_string("t.").alias("fingerprint"),
-                    as_string("d.").alias("edited_fingerprint"), likeness("t", "d").alias("near_edited"),
-                    likeness("t", "n").alias("near_next")))
+            .select("doc_id", "n_chars", "edited_sha256", F.col("t").alias("fingerprint"), F.col("d").alias("edited_fingerprint"),
+                    likeness("t_signs", "d_signs", F.col("t") == F.col("d")).alias("near_edited"),
+                    likeness("t_signs", "n_signs", F.col("t") == F.col("n")).alias("near_next")))
