@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import exact_dedup, fingerprints, jaccard_join, katz, packing, pieces, quality, toxicity, url_filter
+from feedlens.llm import exact_dedup, fingerprints, jaccard_join, katz, packing, pieces, quality, toxicity, url_filter, windows
 from feedlens.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op1_quality": op1_quality,
+    "op2_compact_windows": op2_compact_windows,
     "op4_pieces": op4_pieces,
     "op5_katz": op5_katz,
     "op6_toxicity": op6_toxicity,
