@@ -35,11 +35,15 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage: ``df`` as a Parquet table in the shared checkpoint folder, read back."""
+def written(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cut the lineage: ``df`` as a Parquet table in the shared checkpoint folder, read back.
+
+    ``few``: a table that is narrow and far smaller than the input is written by
+    no more than two tasks a core, whatever the shuffle's partitions.
+    """
     path = f"{checkpoint_dir(spark).rstrip('/')}/feedlens-llm/{name}-{uuid.uuid4().hex}"
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each step's links are cut to the
     shared folder, and the links of a step never outnumber those before it.
     """
-    edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", few=True)
     mark = None
     while True:
         # Large star: every larger neighbour moves to the smallest member of the neighbourhood.
@@ -24,7 +24,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours meet at the smallest of them.
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(spark, moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        edges = written(spark, moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links", few=True)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).collect()[0]
         if seen == mark:
             break

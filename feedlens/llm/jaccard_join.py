@@ -14,8 +14,8 @@ reach the bound that the two sizes set, ceil(3 (|x| + |y|) / 7):
   rows that share none of these cannot reach the bound. With each entry goes its
   position, so a pair is dropped when what is left of either row is too short.
 * Every column links its rows to its first row (round 1): entries, not pairs.
-  Rows that a verified link already joins to a common row are one class, and round
-  2 pairs only rows of different classes. So a column of n near-copies costs n
+  Rows that verified links already join are one class, and round 2 pairs only rows
+  of different classes. So a column of n near-copies costs n
   candidates, while every link between different classes is found.
 * Candidates are verified on the whole sets; components follow from the links.
 
@@ -39,8 +39,8 @@ from pyspark.sql import Window
 from feedlens.llm.common import python_ready, rows_of, shingle_hashes, small, texts, word_hashes, written
 from feedlens.llm.components import components
 
-#: Counters of the frequency sketch: 4 bytes each, the size of what is broadcast at any input.
-SKETCH = 1 << 22
+#: Counters of the frequency sketch: one byte each when broadcast, at any input.
+SKETCH = 1 << 24
 _SLICE = 1 << 16
 
 
@@ -56,20 +56,21 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n) a document; and at the end of each task its frequency counts in slices (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size, out = np.zeros(SKETCH, np.uint32), [], 0, []
+        total, held, size, out = np.zeros(SKETCH, np.uint8), [], 0, []
 
         def add() -> None:
-            nonlocal total, held, size
+            nonlocal held, size
             if held:
-                total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                total[at] = np.minimum(total[at] + n, 255)  # a task's share; only the order of columns depends on it
             held, size = [], 0
 
         for doc_id, text in rows_of(batches):
             s = shingle_set(text)
             out.append((doc_id, set_key(s) if len(s) else None, len(s), None, None))
-            held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+            held.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
             size += len(s)
-            if size > 2_000_000:
+            if size > 500_000:
                 add()
             if len(out) >= 4096:
                 yield _rows(out)
@@ -89,20 +90,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def frequencies(counts: DataFrame) -> np.ndarray:
-    """The sketch of the whole corpus, summed slice by slice on the executors; SKETCH numbers come back."""
+    """Logarithmic frequency classes of the whole corpus, summed slice by slice on the executors; SKETCH bytes come back."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, c in zip(b.column(0).to_pylist(), b.column(1)):
-                c = np.frombuffer(c.as_buffer(), np.uint32)
-                sums[i] = sums[i] + c if i in sums else c
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                                         ["part", "counts"])
-
-    total = np.zeros(SKETCH, np.uint32)
-    for r in counts.repartition(SKETCH // _SLICE, "part").mapInArrow(add, "part int, counts binary").collect():
-        total[r["part"] * _SLICE:(r["part"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.uint32)
+                c = np.frombuffer(c.as_buffer(), np.uint8)
+                sums[i] = sums[i] + c if i in sums else c.astype(np.uint32)
+        classes = [np.minimum(255, np.round(8 * np.log2(1.0 + v))).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["part", "counts"])
+
+    total = np.zeros(SKETCH, np.uint8)
+    parts = min(SKETCH // _SLICE, 4 * counts.sparkSession.sparkContext.defaultParallelism)
+    for r in counts.repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect():
+        total[r["part"] * _SLICE:(r["part"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.uint8)
     return total
 
 
@@ -152,12 +154,12 @@ _BOUND = "least({a}n - {a}pos, {b}n - {b}pos) >= CAST(ceil(3 * ({a}n + {b}n) / 7
 def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of row keys whose whole sets link."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = written(spark, keys.join(reps, "key").select("doc_id", "key"), f"{name}-wanted")
+    wanted = written(spark, keys.join(reps, "key").select("doc_id", "key"), f"{name}-wanted", few=True)
     sets = written(spark, sets_of(docs, wanted), f"{name}-sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
-    return written(spark, both.where("100 * i >= 75 * (size(x) + size(y) - i)").select("a", "b"), f"{name}-links")
+    return written(spark, both.where("100 * i >= 75 * (size(x) + size(y) - i)").select("a", "b"), f"{name}-links", few=True)
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,19 +178,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     table = written(spark, table.select("col", "key", "n", "pos", "pivot"), "columns")
     star = (table.where("key <> pivot.key").where(_BOUND.format(a="", b="pivot."))
             .select(F.greatest("key", "pivot.key").alias("a"), F.least("key", "pivot.key").alias("b")).distinct())
-    star = written(spark, star, "star")
+    star = written(spark, star, "star", few=True)
     links = verified(spark, docs, star, reps, "star")
 
-    # Rows joined by a link to one common row are of one class: pairs inside a class add nothing.
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    classes = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("class"))
+    # Rows that the links so far join are of one class: pairs inside a class add nothing.
+    classes = components(spark, links).select(F.col("node").alias("key"), F.col("root").alias("class"))
     table = table.drop("pivot").join(small(classes), "key", "left").withColumn("class", F.coalesce("class", "key"))
     mixed = table.groupBy("col").agg((F.min("class") < F.max("class")).alias("open")).where("open").select("col")
     table = written(spark, table.join(mixed, "col").distinct(), "open-columns")
     pairs = (table.alias("p").join(table.alias("q"), F.expr(
         "p.col = q.col AND p.key > q.key AND p.class <> q.class AND " + _BOUND.format(a="p.", b="q.")))
         .select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct())
-    pairs = written(spark, pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(spark, pairs.join(star, ["a", "b"], "left_anti"), "pairs", few=True)
     links = links.unionByName(verified(spark, docs, pairs, reps, "cross"))
 
     roots = components(spark, links).withColumnRenamed("node", "key")
