@@ -46,9 +46,9 @@ from feedlens.llm.common import fold, mixed, python_ready, rows_of, texts, words
 from feedlens.session import checkpoint_dir
 
 K = 5
-BLOCK = 4_500_000          # tokens held by one task at a time
+BLOCK = 1_500_000          # tokens held by one task at a time
 RANGE_BYTES = 24_000_000   # text bytes per range of words
-HOT_TEXTS, HOT_SHARE, HOT_MOST = 2000, 0.002, 500
+HOT_TEXTS, HOT_SHARE, HOT_MOST = 500, 0.002, 500
 END, BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n end")), np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,25 +95,26 @@ def _block_rows(block: int, ids: _Ids, tok: list[np.ndarray], sizes: list[int],
     inner[at_end] = False
     w[inner] = np.concatenate(tok) if tok else 0
     w[~inner] = len(vocab)
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[at_end - n + 1] = len(vocab) + 1
+    key = w * (len(vocab) + 2)
+    key[1:] += w[:-1]
+    first = at_end - n + 1
+    key[first] = w[first] * (len(vocab) + 2) + len(vocab) + 1
+    del w, inner
     vocab = np.append(vocab, [END, BEGIN])
-    doc = np.repeat(np.arange(len(n)), n)
+    doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
     # Occurrences in order of (pair); pairs then in order of (range, word).
-    key = w * len(vocab) + h
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, doc = key[order], doc[order]
+    del order
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    occ = np.diff(np.append(start, len(key)))
-    in_train = np.array(train, bool)[doc[order]].astype(np.int64)
-    cnt = np.add.reduceat(in_train, start)
-    pw, ph = vocab[key[start] // len(vocab)], vocab[key[start] % len(vocab)]
+    occ = np.diff(np.append(start, len(key))).astype(np.uint32)
+    cnt = np.add.reduceat(np.array(train, bool)[doc].astype(np.uint32), start).astype(np.uint32)
+    key = key[start]
+    pw, ph = vocab[key // len(vocab)], vocab[key % len(vocab)]
     ranges = place(ph, pw, block, bits, hot)
     by = np.lexsort((pw, ranges))
-    run = np.argsort(np.repeat(np.argsort(by, kind="stable"), occ), kind="stable")
-    docs = doc[order][run].astype(np.uint32)
-    pw, ph, cnt, occ, ranges = pw[by], ph[by], cnt[by].astype(np.uint32), occ[by].astype(np.uint32), ranges[by]
+    docs = doc[np.argsort(np.repeat(np.argsort(by).astype(np.int32), occ), kind="stable")]
+    pw, ph, cnt, occ, ranges = pw[by], ph[by], cnt[by], occ[by], ranges[by]
     ends = np.cumsum(occ.astype(np.int64))
     out = []
     for r in np.unique(ranges).tolist():
