@@ -86,10 +86,10 @@ def signed(p: str) -> Column:
 
 
 def likeness(a: str, b: str, same: Column) -> Column:
-    """Estimated cosine (0 to 1) of two texts' runs from their arrays of signed sums; 1.0 for equal fingerprints."""
+    """Estimated cosine (0 to 1) of two texts' runs from their arrays of signed sums; 1.0 for equal fingerprints only."""
     dot = f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (t, v) -> t + v)"
     norms = " * ".join(f"sqrt(aggregate({p}, 0D, (t, v) -> t + v * v))" for p in (a, b))
-    return F.when(same, 1.0).otherwise(F.expr(f"coalesce(greatest(0D, least(1D, try_divide({dot}, {norms}))), 0D)"))
+    return F.when(same, 1.0).otherwise(F.expr(f"coalesce(greatest(0D, least(0.9999D, try_divide({dot}, {norms}))), 0D)"))
 
 
 def followed(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 10_000) -> DataFrame:

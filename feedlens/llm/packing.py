@@ -186,7 +186,10 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
             out.append((need, n))
             for k, m in need.items():
                 left[k] -= n * m
-    return out + best_fit(left, capacity)
+    out += best_fit(left, capacity)
+    # Rounding can cost a sequence or two where counts are small: then best fit alone may need fewer.
+    plain = best_fit(counts.astype(np.int64), capacity)
+    return min(out, plain, key=lambda p: sum(n for _, n in p))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
