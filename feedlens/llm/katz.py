@@ -73,7 +73,7 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(h * _M ^ w)
 
 
-def place(h: np.ndarray, w: np.ndarray, block: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def place(h: np.ndarray, w: np.ndarray, block: int, bits: int, hot: tuple[np.ndarray, ...]) -> np.ndarray:
     """Range of each pair: that of its word; hot words by pair, hot pairs by pair and block."""
     hash_, p = w.copy(), pair_hash(h, w)
     hot_w, _ = _is_in(w, hot[0])
@@ -199,8 +199,8 @@ class Model:
         return self.d1[np.minimum(c, K + 1)] * c / (self.n + 1)
 
 
-def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and of pairs with at least HOT_SHARE of the tokens of a bounded sample of texts."""
+def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of pairs with at least HOT_SHARE of the tokens of a bounded sample of texts; the pairs' two words."""
     # The sample: whole texts with the smallest hashes; its size does not grow.
     sample = docs.select(F.xxhash64("text").alias("k"), F.substring("text", 1, 20_000).alias("t")).orderBy("k").limit(HOT_TEXTS)
 
@@ -220,10 +220,11 @@ def hot_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     h = lambda x: xxhash.xxh64_intdigest(bytes(x))
     rows = sample.select("t").coalesce(1).mapInArrow(count, "kind int, a binary, b binary").collect()
-    words = sorted({h(r["a"]) for r in rows if r["kind"] == 0})[:HOT_MOST]
-    pairs = [(h(r["a"]), h(r["b"])) for r in rows if r["kind"] == 1][:HOT_MOST]
-    hashed = pair_hash(np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.uint64))
-    return np.unique(np.append(np.array(words, np.uint64), END)), np.unique(hashed)
+    words = np.unique(np.array([int(END), *sorted({h(r["a"]) for r in rows if r["kind"] == 0})[:HOT_MOST]], np.uint64))
+    pairs = np.array([(h(r["a"]), h(r["b"])) for r in rows if r["kind"] == 1][:HOT_MOST], np.uint64).reshape(-1, 2)
+    pairs = pairs[_is_in(pairs[:, 0], words)[0] & _is_in(pairs[:, 1], words)[0]]  # both words of a hot pair are hot
+    hashed, first = np.unique(pair_hash(pairs[:, 0], pairs[:, 1]), return_index=True)
+    return words, hashed, pairs[first, 0], pairs[first, 1]
 
 
 class _Tables:
@@ -289,7 +290,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     found = ranges.applyInArrow(counts, "kind string, a binary, b binary").collect()
     stats = sum((np.frombuffer(r["a"], np.int64) for r in found if r["kind"] == "n"), np.zeros(2 * (K + 2) + 2, np.int64)).copy()
     totals = []
-    for kind, keys in (("w", hot[0]), ("p", hot[1])):
+    for kind, keys in (("w", hot[0]), ("p", hot[1])):  # exact totals of hot keys
         sums = np.zeros(len(keys), np.int64)
         for r in found:
             if r["kind"] == kind:
@@ -335,8 +336,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 for x in np.unique(far).tolist():
                     a, b = np.searchsorted(far, [x, x + 1])
                     rows.append(("u", x, block, h[a:b].tobytes(), who[a:b].tobytes(), b""))
-        # Seen mass of each context, under both orders, by range of the context.
-        known = cp > 0
+        # Seen mass of each context, under both orders, by range of the context. A hot pair
+        # is in many ranges: its mass is added once, on the driver.
+        known = (cp > 0) & ~r.hot_p
         ctx, back = np.unique(r.uh[known], return_inverse=True)
         s2, s1 = np.bincount(back, seen[known], len(ctx)), np.bincount(back, p1[known], len(ctx))
         is_hot, _ = _is_in(ctx, context_hot)
@@ -359,6 +361,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         at = np.searchsorted(context_hot, np.frombuffer(row["a"], np.uint64))
         np.add.at(mass[0], at, np.frombuffer(row["b"], np.float64))
         np.add.at(mass[1], at, np.frombuffer(row["c"], np.float64))
+    c_w = totals[0][_is_in(hot[3], hot[0])[1]] if len(hot[3]) else np.zeros(0, np.int64)
+    at, there = np.searchsorted(context_hot, hot[2]), totals[1] > 0
+    np.add.at(mass[0], at[there], (model.d2[np.minimum(totals[1], K + 1)] * totals[1])[there])
+    np.add.at(mass[1], at[there], model.p_word(c_w)[there])
     hot_weight = _back_off(counts_hot, mass[0], mass[1])
 
     def backed(t: pa.Table) -> pa.Table:
