@@ -1,8 +1,8 @@
 """Operator 6: toxic spans by a linear-chain conditional random field.
 
 * **Labelled tokens.** Documents carry labels, tokens do not. Over a bounded sample
-  of labelled training documents (``TOXIC`` and ``CLEAN`` rows, documented limits)
-  every word and word beginning is tested for an association with toxic
+  of labelled training documents (``TOXIC`` and ``CLEAN`` rows, documented limits; a
+  Spark job counts their features) every word and word beginning is tested for an association with toxic
   documents (G-test); tokens of toxic documents that carry a significant one are
   labelled offending, all tokens of clean documents are not.
 * **Training.** A two-state chain with hashed emission weights (word, beginnings,
@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import fold, python_ready, texts, words_of
+from feedlens.llm.common import fold, python_ready, texts, words_of, written
 from feedlens.llm.quality import held_out
 
-TOXIC, CLEAN = 2500, 3500
-WEIGHTS, SIGNIFICANT, SPAN, BLOCK = 1 << 16, 40.0, 0.5, 64
+TOXIC, CLEAN = 1500, 2500
+#: Windows of a training document around offending (or similar) tokens, other windows of a clean one, tokens on each side.
+HITS, OTHERS, AROUND = 6, 2, 6
+WEIGHTS, SIGNIFICANT, OFFENDING, SPAN, BLOCK = 1 << 16, 40.0, 20_000, 0.5, 64
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _TOKEN = re.compile("[^\x20\x09-\x0D]+")
 
@@ -50,34 +52,30 @@ def slots(word: bytes) -> list[int]:
     return [xxhash.xxh32_intdigest(f.encode("utf-8", "replace")) % WEIGHTS for f in features(word)]
 
 
-def offending(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Features whose presence is significantly tied to toxic documents (G statistic, two classes)."""
-    t, c = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
-    n, m, found = len(toxic), len(clean), set()
-    for f, k in t.items():
-        j = c[f]
-        if k >= 5 and k / n > 50 * (j + 0.5) / m and f[0] != "s":
-            total = k + j
-            g = 2 * (k * np.log(k * (n + m) / (n * total)) + (j * np.log(j * (n + m) / (m * total)) if j else 0.0))
-            if g > SIGNIFICANT:
-                found.add(f)
-    return found
+def offending(counts: DataFrame, toxic: int, clean: int) -> set[str]:
+    """Features whose presence is significantly tied to toxic documents (G statistic of ``feature, t, c``)."""
+    t, c, n, m = F.col("t"), F.col("c"), float(toxic), float(clean)
+    both = t + c
+    g = 2 * (t * F.log(t * (n + m) / (n * both)) + F.when(c > 0, c * F.log(c * (n + m) / (m * both))).otherwise(0.0))
+    tied = counts.where((t >= 5) & (t / n > 50 * (c + 0.5) / m) & ~F.col("feature").startswith("s ")).where(g > SIGNIFICANT)
+    # Each takes part in at least five of ``toxic`` documents; the strongest are kept within a fixed bound.
+    return {r["feature"] for r in tied.orderBy(g.desc(), "feature").limit(OFFENDING).collect()}
 
 
-def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, block: int | None = None) -> np.ndarray:
     """P(state 1) of every token: ``e`` are state 1's emission scores of concatenated chains of ``lengths`` tokens."""
-    out = np.zeros(len(e))
+    out, size_ = np.zeros(len(e)), block or BLOCK
     lengths = lengths.astype(np.int64)
     if not len(e):
         return out
-    blocks = -(-lengths // BLOCK)
+    blocks = -(-lengths // size_)
     chain = np.repeat(np.arange(len(lengths)), blocks)
     first_block = np.cumsum(blocks) - blocks
     nth = np.arange(blocks.sum()) - np.repeat(first_block, blocks)
-    begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * BLOCK
-    size = np.minimum(BLOCK, np.repeat(lengths, blocks) - nth * BLOCK)
-    at = begin[:, None] + np.minimum(np.arange(BLOCK), size[:, None] - 1)
-    there = np.arange(BLOCK) < size[:, None]
+    begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * size_
+    size = np.minimum(size_, np.repeat(lengths, blocks) - nth * size_)
+    at = begin[:, None] + np.minimum(np.arange(size_), size[:, None] - 1)
+    there = np.arange(size_) < size[:, None]
     x = np.exp(np.clip(e[at], -30, 30))                      # emission factor of state 1, state 0 has 1
     a = np.exp(trans)                                        # a[i, j]: from state i to j
     nb = len(size)
@@ -88,7 +86,7 @@ def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.n
 
     # Transfer matrix of each block from the state before it, rows normalised jointly.
     product = np.broadcast_to(np.eye(2), (nb, 2, 2)).copy()
-    for t in range(BLOCK):
+    for t in range(size_):
         product = step(product, x[:, t], there[:, t])
         product /= product.sum(axis=(1, 2), keepdims=True)
     # Messages into each block: forward from the chain's start, backward from its end.
@@ -104,13 +102,13 @@ def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.n
         v = np.einsum("nij,nj->ni", product[b + 1], after[b + 1])
         after[b] = v / np.abs(v).sum(1, keepdims=True)
     # Inside the blocks.
-    alpha, m = np.zeros((BLOCK, nb, 2)), into
-    for t in range(BLOCK):
+    alpha, m = np.zeros((size_, nb, 2)), into
+    for t in range(size_):
         new = np.stack([m[:, 0] * a[0, 0] + m[:, 1] * a[1, 0], (m[:, 0] * a[0, 1] + m[:, 1] * a[1, 1]) * x[:, t]], -1)
         m = np.where(there[:, t, None], new / np.abs(new).sum(1, keepdims=True), m)
         alpha[t] = m
     m = after
-    for t in range(BLOCK - 1, -1, -1):
+    for t in range(size_ - 1, -1, -1):
         both = alpha[t] * m
         p = both[:, 1] / np.maximum(both.sum(1), 1e-300)
         on = there[:, t]
@@ -127,14 +125,15 @@ class Crf:
         self.w, self.trans, self.start = np.zeros(WEIGHTS), np.zeros((2, 2)), np.zeros(2)
         self.trained = False
 
-    def fit(self, chains: list[tuple[list[list[int]], np.ndarray]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-4) -> Crf:
-        """Adagrad ascent on the mean conditional log-likelihood of (slots a token, labels)."""
+    def fit(self, lengths: np.ndarray, y: np.ndarray, per: np.ndarray, flat: np.ndarray, rounds: int = 50, rate: float = 0.5,
+            l2: float = 1e-4) -> Crf:
+        """Adagrad ascent on the conditional log-likelihood of chains of ``lengths`` tokens with labels ``y``.
+
+        ``per``: feature slots of each token, ``flat``: the slots.
+        """
         self.trained = True
-        lengths = np.array([len(y) for _, y in chains])
-        y = np.concatenate([y for _, y in chains]).astype(float)
-        per = np.array([len(s) for c, _ in chains for s in c])
-        flat = np.array([i for c, _ in chains for s in c for i in s])
-        token = np.repeat(np.arange(len(per)), per)
+        y = y.astype(float)
+        token = np.repeat(np.arange(len(per), dtype=np.int32), per)
         first = np.cumsum(lengths) - lengths
         inner = np.ones(len(y), bool)
         inner[first] = False
@@ -143,7 +142,7 @@ class Crf:
         np.add.at(want, (y[now - 1].astype(int), y[now].astype(int)), 1)
         for _ in range(rounds):
             e = np.bincount(token, self.w[flat], minlength=len(per))
-            p = marginals(e, lengths, self.trans, self.start)
+            p = marginals(e, lengths, self.trans, self.start, block=2 * AROUND + 1)
             grad = np.bincount(flat, (y - p)[token], minlength=WEIGHTS) / 10 - l2 * self.w
             g2 += grad ** 2
             self.w += rate * grad / np.sqrt(g2)
@@ -177,42 +176,53 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, toxic: int =
     pick = [lab.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic), (0, clean))]
     chosen = pick[0].unionByName(pick[1])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The words of the sample's documents, in order of their first use, with what precedes and follows them.
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Documents that have a feature, by label, summed over the task.
+        found: list[Counter] = [Counter(), Counter()]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(
-                [b" ".join(list(dict.fromkeys(words_of(t)))) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "label", "words"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
-        distinct, "doc_id long, label int, words binary").collect()  # bounded by the sample
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
-    known: dict[bytes, list[str]] = {}
-    docs_words = [(r["label"], bytes(r["words"]).split()) for r in rows]
-    for _, ws in docs_words:
-        for w in ws:
-            if w not in known:
-                known[w] = features(w)
-    sides: list[list[set[str]]] = [[], []]
-    for label, ws in docs_words:
-        sides[label].append({f for w in ws for f in known[w]})
-    bad = offending(sides[1], sides[0])
-    # Clean tokens that begin like offending ones are the telling counter-examples.
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found[min(label, 1)].update({f for w in set(words_of(text)) for f in features(w)})
+                found[min(label, 1)][""] += 1  # the documents themselves
+        keys = list(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([found[k][f] for f in keys], pa.int64()) for k in (1, 0))],
+                                         ["feature", "t", "c"])
+
+    counts = written(spark, sample.mapInArrow(count, "feature string, t long, c long").groupBy("feature").agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c")), "features", few=True)
+    n = counts.where("feature = ''").select("t", "c").collect()
+    if not n or not n[0]["t"] or not n[0]["c"]:
+        return Crf()
+    bad = offending(counts, n[0]["t"], n[0]["c"])
     begins = {f[2:5] for f in bad}
-    chains = []
-    for label, ws in docs_words:
-        y = np.array([label and any(f in bad for f in known[w]) for w in ws], int)
-        if label and not y.any():
-            continue  # nothing in it is known to be offending: no labelled tokens
-        # Tokens around the labelled ones; a bounded run of a clean document.
-        if label:
-            hits = np.flatnonzero(y)[:12].tolist()
-        else:
-            like = [i for i, w in enumerate(ws) if any(f[2:5] in begins for f in known[w] if f[0] == "p")]
-            hits = like[:24] + list(range(12, min(len(ws), 120), 25))
-        for h in hits:
-            part = slice(max(0, h - 12), h + 13)
-            chains.append(([slots(w) for w in ws[part]], y[part]))
-    return Crf().fit(chains) if chains and any(y.any() for _, y in chains) else Crf()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Windows around labelled tokens; in clean documents around tokens that begin like offending ones, and others.
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = list(dict.fromkeys(words_of(text)))
+                has = [features(w) for w in ws]
+                y = np.array([label > 0 and any(f in bad for f in fs) for fs in has], np.uint8)
+                if label:
+                    hits = np.flatnonzero(y)[:HITS].tolist()  # none: no token is known to be offending
+                else:
+                    hits = [i for i, fs in enumerate(has) if any(f[0] == "p" and f[2:5] in begins for f in fs)][:HITS]
+                    hits += range(AROUND, min(len(ws), OTHERS * 4 * AROUND), 4 * AROUND)
+                for h in hits:
+                    part = slice(max(0, h - AROUND), h + AROUND + 1)
+                    found = [slots(w) for w in ws[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (
+                        y[part], np.array([len(s) for s in found], np.uint8), np.array([i for s in found for i in s], np.int32))], ["y", "per", "flat"])
+
+    rows = sample.mapInArrow(windows, "y binary, per binary, flat binary").collect()  # bounded by the sample
+    rows.sort(key=lambda r: (bytes(r["flat"]), bytes(r["y"])))
+    if not rows:
+        return Crf()
+    y, per, flat = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("y", np.uint8), ("per", np.uint8), ("flat", np.int32)))
+    if not y.any():
+        return Crf()
+    return Crf().fit(np.array([len(r["y"]) for r in rows]), y, per.astype(np.int64), flat)
 
 
 def spans(text: str, p: np.ndarray, least: float = SPAN) -> list[dict]:
