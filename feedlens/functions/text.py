@@ -88,9 +88,14 @@ def ngrams_tagged(words: Column, max_n: int = 3, stop_words: list[str] = STOP_WO
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def not_blank(gram: Column) -> Column:
+    """At least one character that is not Unicode white space."""
+    return gram.rlike(r"[^\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]")
+
+
 def well_formed(gram: Column, n: int) -> Column:
-    """Full match of n word-runs separated by single spaces."""
-    return gram.rlike("^" + " ".join([WORD] * n) + "$")
+    """Full match of n word-runs separated by single spaces (``$`` would allow a final line end)."""
+    return gram.rlike(r"\A" + " ".join([WORD] * n) + r"\z")
 
 
 def first_chunk(text: Column, size: int = 100) -> Column:

@@ -34,8 +34,8 @@ SOURCE_DATE_FORMATS = {
     "reddit": "yyyy-MM-dd HH:mm:ss",
 }
 
-DATE_GRAMMAR = (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
-                r"(Z|[+-]\d{2}:\d{2})?$")
+DATE_GRAMMAR = (r"\A(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
+                r"(Z|[+-]\d{2}:\d{2})?\z")
 
 
 def wire_rows(reviews: DataFrame) -> DataFrame:
@@ -81,17 +81,28 @@ def normalize_dates(df: DataFrame, col: str = "date") -> tuple[DataFrame, DataFr
     return good, bad
 
 
+#: Where a row came from, when the source says so: part of the id.
+POSITION = ["topic", "partition", "offset", "row"]
+
+
 def review_id(*cols: str) -> Column:
-    """Replay-stable id = sha256 of the row content (NULL-safe, separator-safe)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("␞")) for c in cols]
-    return F.sha2(F.concat_ws("␟", *parts), 256)
+    """Replay-stable id = sha256 over the columns, each as ``<length>:<text>`` or ``-`` for NULL.
+
+    Lengths make the encoding unambiguous: no separator can occur in the data.
+    """
+    texts = [F.col(c).cast("string") for c in cols]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+                             for t in texts]), 256)
 
 
-def canonicalize(*frames: DataFrame) -> DataFrame:
+def canonicalize(*frames: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Source-specific frames to the wide canonical schema (missing columns NULL).
 
     Accepts the trustpilot producer's ``tp_location`` as ``location``; dates
-    are parsed (P2) and an id assigned (P3).
+    are parsed (P2) and an id assigned (P3) over all wire columns and, where the
+    source gives them, the row's topic, partition, offset and place in its message:
+    only a row that is read again has an id twice. ``raw_date`` keeps the text of a
+    date that does not parse.
     """
     fixed = []
     for f in frames:
@@ -105,9 +116,12 @@ def canonicalize(*frames: DataFrame) -> DataFrame:
     for n, _ in WIRE_FIELDS:
         if n not in u.columns:
             u = u.withColumn(n, F.lit(None))
-    out = u.select(*[F.col(n).cast(t).alias(n) for n, t in WIRE_FIELDS])
-    out = out.withColumn("id", review_id("source", "company", "text", "date"))
-    return out.withColumn("date", parse_date(F.col("date")))
+    at = [c for c in POSITION if c in u.columns]
+    out = u.select(*[F.col(n).cast(t).alias(n) for n, t in WIRE_FIELDS], *at)
+    out = out.withColumn("id", review_id(*CANONICAL, *at)).drop(*at)
+    parsed = parse_date(F.col("date"))
+    return (out.withColumn("raw_date", F.when(parsed.isNull(), F.col("date")))
+            .withColumn("date", parsed)) if keep_raw else out.withColumn("date", parsed)
 
 
 def dedup_reviews(df: DataFrame, keys: tuple[str, ...] = ("company", "text")) -> DataFrame:
@@ -217,8 +231,8 @@ def _arrow_wire_schema():
 def encode_payload(wire: DataFrame, max_rows: int = 100) -> DataFrame:
     """S3: rows to Parquet blobs of at most ``max_rows`` rows, topic = company.
 
-    Batching is local to each partition (no shuffle, no global numbering):
-    each Arrow batch is split by company and sliced into messages.
+    Batching is local to each partition (no shuffle, no global numbering): a
+    company's message is sent when it has ``max_rows`` rows, the rest at the end.
     """
     out = T.StructType([T.StructField("topic", T.StringType()), T.StructField("n_rows", T.IntegerType()),
                         T.StructField("payload", T.BinaryType())])
@@ -230,26 +244,26 @@ def encode_payload(wire: DataFrame, max_rows: int = 100) -> DataFrame:
         import pyarrow.parquet as pq
 
         schema = _arrow_wire_schema()
+        held: dict = {}  # company -> its rows not yet sent, fewer than ``max_rows``
+
+        def message(company, chunk):
+            buf = io.BytesIO()
+            pq.write_table(chunk, buf)
+            return pa.RecordBatch.from_arrays([pa.array([company], pa.string()), pa.array([chunk.num_rows], pa.int32()),
+                                               pa.array([buf.getvalue()], pa.binary())], names=["topic", "n_rows", "payload"])
+
         for rb in batches:
             tbl = pa.Table.from_batches([rb]).select(cols).cast(schema)
-            # sort once by company, then cut each company's run into messages
-            tbl = tbl.take(pc.sort_indices(tbl, sort_keys=[("company", "ascending")], null_placement="at_end"))
-            runs = pc.value_counts(tbl["company"])
-            topics, blobs, counts = [], [], []
-            start = 0
-            for run in runs.to_pylist():
-                company, size = run["values"], run["counts"]
-                for off in range(start, start + size, max_rows):
-                    chunk = tbl.slice(off, min(max_rows, start + size - off))
-                    buf = io.BytesIO()
-                    pq.write_table(chunk, buf)
-                    topics.append(company)
-                    counts.append(chunk.num_rows)
-                    blobs.append(buf.getvalue())
-                start += size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(topics, pa.string()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())],
-                names=["topic", "n_rows", "payload"])
+            for company in pc.unique(tbl["company"]).to_pylist():
+                match = pc.is_null(tbl["company"]) if company is None else pc.equal(tbl["company"], company)
+                own = pa.concat_tables([*([held.pop(company)] if company in held else []), tbl.filter(match)])
+                full = own.num_rows - own.num_rows % max_rows
+                for at in range(0, full, max_rows):
+                    yield message(company, own.slice(at, max_rows))
+                if full < own.num_rows:
+                    held[company] = own.slice(full).combine_chunks()
+        for company, rest in held.items():
+            yield message(company, rest)
 
     return wire.select(*cols).mapInArrow(run, out)
 
@@ -260,10 +274,14 @@ def decode_payload(messages: DataFrame) -> DataFrame:
     Missing columns become NULL, extra columns are dropped, floating columns
     holding integers are cast to int32, ``tp_location`` is read as
     ``location``. A blob that cannot be read yields one row with
-    ``decode_error`` set (the dead-letter output) instead of failing the job.
+    ``decode_error`` and the whole ``payload`` (the dead-letter output) instead of
+    failing the job. ``row`` is the place in the message; partition and offset are
+    passed on when the messages have them. One message is decoded at a time.
     """
-    out = T.StructType([T.StructField("topic", T.StringType()), *WIRE_SCHEMA.fields,
-                        T.StructField("decode_error", T.StringType())])
+    at = [c for c in ("partition", "offset") if c in messages.columns]
+    out = T.StructType([T.StructField("topic", T.StringType()), *[messages.schema[c] for c in at],
+                        T.StructField("row", T.IntegerType()), *WIRE_SCHEMA.fields,
+                        T.StructField("decode_error", T.StringType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -271,35 +289,31 @@ def decode_payload(messages: DataFrame) -> DataFrame:
 
         schema = _arrow_wire_schema()
         names = [f.name for f in out.fields]
+        kinds = {"int": pa.int32(), "bigint": pa.int64()}
+        where = [kinds[f.dataType.simpleString()] for f in out.fields[1:1 + len(at)]]
         for rb in batches:
-            tables = []
-            for topic, blob in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            for topic, blob, *place in zip(*(c.to_pylist() for c in rb.columns)):
+                error = None
                 try:
                     t = pq.read_table(io.BytesIO(blob))
                     if "location" not in t.column_names and "tp_location" in t.column_names:
                         t = t.append_column("location", t["tp_location"])
-                    arrays = []
-                    for f in schema:
-                        if f.name in t.column_names:
-                            arrays.append(t[f.name].cast(f.type))
-                        else:
-                            arrays.append(pa.nulls(t.num_rows, f.type))
-                    arrays = [pa.array([topic] * t.num_rows, pa.string()), *arrays,
-                              pa.nulls(t.num_rows, pa.string())]
-                    tables.append(pa.Table.from_arrays(arrays, names=names))
+                    fields = [t[f.name].cast(f.type).combine_chunks() if f.name in t.column_names
+                              else pa.nulls(t.num_rows, f.type) for f in schema]
+                    n, rows = t.num_rows, pa.array(range(t.num_rows), pa.int32())
                 except Exception as e:  # noqa: BLE001 - any undecodable blob goes to the dead letters
-                    arrays = [pa.array([topic], pa.string()), *[pa.nulls(1, f.type) for f in schema],
-                              pa.array([f"{type(e).__name__}: {e}"[:500]], pa.string())]
-                    tables.append(pa.Table.from_arrays(arrays, names=names))
-            if tables:
-                for b in pa.concat_tables(tables).to_batches():
-                    yield b
+                    error, n = f"{type(e).__name__}: {e}", 1
+                    fields, rows = [pa.nulls(1, f.type) for f in schema], pa.nulls(1, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([topic] * n, pa.string()), *(pa.array([x] * n, k) for x, k in zip(place, where)), rows, *fields,
+                     pa.array([error] * n, pa.string()), pa.array([blob if error else None] * n, pa.binary())], names=names)
 
-    return messages.select("topic", "payload").mapInArrow(run, out)
+    return messages.select("topic", "payload", *at).mapInArrow(run, out)
 
 
 def split_dead_letters(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decoded rows, dead letters)."""
-    good = decoded.filter(F.col("decode_error").isNull()).drop("decode_error")
-    bad = decoded.filter(F.col("decode_error").isNotNull()).select("topic", "decode_error")
+    good = decoded.filter(F.col("decode_error").isNull()).drop("decode_error", "payload")
+    at = [c for c in ("partition", "offset") if c in decoded.columns]
+    bad = decoded.filter(F.col("decode_error").isNotNull()).select("topic", *at, "decode_error", "payload")
     return good, bad

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlens.functions.text import STOP_WORDS, clean_text, ngrams_tagged, tokens, well_formed
+from feedlens.functions.text import STOP_WORDS, clean_text, ngrams_tagged, not_blank, tokens, well_formed
 from feedlens.operators.parallel import spread
 
 NAMES = {1: "word", 2: "bigram", 3: "trigram"}
@@ -56,9 +56,12 @@ def top_k(grams: DataFrame, k: int = 100) -> DataFrame:
 
 
 def top_n_report(grams: DataFrame, n: int, k: int = 20) -> DataFrame:
-    """Top k grams first, then the well-formed filter, so fewer than k may return."""
+    """Top k grams first, then the filter, so fewer than k may return.
+
+    Words only need to be non-blank; bigrams and trigrams must be n word-runs.
+    """
     top = top_k(grams.filter(F.col("n") == n), k)
-    return (top.filter(well_formed(F.col("gram"), n))
+    return (top.filter(not_blank(F.col("gram")) if n == 1 else well_formed(F.col("gram"), n))
             .select("company", F.col("gram").alias(NAMES[n]), "count", "rank"))
 
 

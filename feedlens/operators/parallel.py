@@ -2,9 +2,9 @@
 
 A scan yields one task per file split; a few large unsplittable files (one
 Parquet row group each) would run text cleaning and n-gram generation in a
-handful of tasks. ``spread`` adds a round-robin exchange only when the input
-has fewer partitions than the session's parallelism, so large inputs (already
-split into thousands of scan tasks) are left untouched.
+handful of tasks. ``spread`` adds a round-robin exchange when, and only when,
+the session asks for it (``spark.feedlens.spread.partitions``); it looks at no sizes
+and runs nothing.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame) -> DataFrame:
+    target = int(df.sparkSession.conf.get("spark.feedlens.spread.partitions", "0") or 0)
+    return df.repartition(target) if target > 0 else df
 
 
 def replicate(df: DataFrame, times: str, out: str = "copy", chunk: int = 100_000) -> DataFrame:

@@ -73,10 +73,12 @@ def topic_scores(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return reviews.select(
         "id", "company", "source", "text", "logit_neg", "logit_neu", "logit_pos", *keep,
         F.array(F.exp("logit_pos"), F.exp("logit_neu"), F.exp("logit_neg")).alias("topic_scores"),
-        F.array(F.exp("logit_neg"), F.exp("logit_neu"), F.exp("logit_pos")).alias("sentiment_scores"))
+        F.array(F.exp("logit_pos"), F.exp("logit_neu"), F.exp("logit_neg")).alias("sentiment_scores"))
 
 
+# Candidate labels of the two zero-shot passes; the first of equal scores wins.
 TOPIC_CANDIDATES = ["product-feedback", "video-feedback", "other-comments"]
+SENTIMENT_CANDIDATES = ["positive", "neutral", "negative"]
 
 
 def threshold_labels(reviews: DataFrame, topic_threshold: float = 0.45,
@@ -86,7 +88,7 @@ def threshold_labels(reviews: DataFrame, topic_threshold: float = 0.45,
     return ts.select(
         "id", *keep,
         threshold_label(F.col("topic_scores"), TOPIC_CANDIDATES, topic_threshold).alias("topic"),
-        threshold_label(F.col("sentiment_scores"), SENTIMENTS, sentiment_threshold).alias("sentiment"))
+        threshold_label(F.col("sentiment_scores"), SENTIMENT_CANDIDATES, sentiment_threshold).alias("sentiment"))
 
 
 def gated_labels(reviews: DataFrame, topic_threshold: float = 0.45, existing: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedlens.functions.text import DIGITS, KEEP_CLASS, STOP_WORDS, WORD
+from feedlens.functions.text import STOP_WORDS  # a fixed word list; every rule below is written out here
 from feedlens.plans.fixture_sql import with_fixture as W
 
 A1 = ("CASE WHEN sentiment = 'positive' THEN 1 WHEN sentiment = 'negative' THEN -1 "
@@ -148,7 +148,7 @@ SELECT id,
     CASE WHEN t0 >= t1 AND t0 >= t2 THEN 'product-feedback' WHEN t1 >= t2 THEN 'video-feedback'
          ELSE 'other-comments' END ELSE 'unknown' END AS topic,
   CASE WHEN greatest(s0, s1, s2) > 0 THEN
-    CASE WHEN s0 >= s1 AND s0 >= s2 THEN 'negative' WHEN s1 >= s2 THEN 'neutral' ELSE 'positive' END
+    CASE WHEN s2 >= s1 AND s2 >= s0 THEN 'positive' WHEN s1 >= s0 THEN 'neutral' ELSE 'negative' END
     ELSE 'unknown' END AS sentiment
 FROM ts""", ctes=TS_CTE),
     "gated_sentiment": W("""
@@ -159,7 +159,7 @@ FROM (SELECT id,
     CASE WHEN t0 >= t1 AND t0 >= t2 THEN 'product-feedback' WHEN t1 >= t2 THEN 'video-feedback'
          ELSE 'other-comments' END ELSE 'unknown' END AS topic,
   CASE WHEN greatest(s0, s1, s2) > 0 THEN
-    CASE WHEN s0 >= s1 AND s0 >= s2 THEN 'negative' WHEN s1 >= s2 THEN 'neutral' ELSE 'positive' END
+    CASE WHEN s2 >= s1 AND s2 >= s0 THEN 'positive' WHEN s1 >= s0 THEN 'neutral' ELSE 'negative' END
     ELSE 'unknown' END AS sentiment FROM ts)""", ctes=TS_CTE),
     # warehouse
     "wh_predictions": W("SELECT * FROM predictions", ctes=SOFTMAX_CTE),
@@ -194,8 +194,9 @@ SELECT count(*) FILTER (WHERE id IS NULL) AS null_id, count(*) FILTER (WHERE sou
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
-CLEAN = (f"lower(replace(regexp_replace(regexp_replace(coalesce(text, ''), '{KEEP_CLASS}', '', 'g'), "
-         f"'{DIGITS}', '', 'g'), chr(10), ' '))")
+# Word characters: letters, numbers, underscore; white space as Python's str.isspace has it.
+CLEAN = (r"lower(replace(regexp_replace(regexp_replace(coalesce(text, ''), "
+         r"'[^_\p{L}\p{N}\p{Z}\x09-\x0D\x1C-\x1F\x{85}]', '', 'g'), '\p{Nd}', '', 'g'), chr(10), ' '))")
 GRAMS_CTE = f"""
 cl AS (SELECT company, date, string_split({CLEAN}, ' ') AS w FROM reviews),
 g AS (
@@ -215,9 +216,11 @@ NAMES = {1: "word", 2: "bigram", 3: "trigram"}
 
 
 def _report(n: int) -> str:
-    pat = "^" + " ".join([WORD] * n) + "$"
+    run = r"[_\p{L}\p{N}]+"
+    keep = (r"regexp_matches(gram, '[^\p{Z}\x09-\x0D\x1C-\x1F\x{85}]')" if n == 1
+            else f"regexp_full_match(gram, '{' '.join([run] * n)}')")
     return W(f"""SELECT company, gram AS {NAMES[n]}, count, rank FROM top
-WHERE n = {n} AND rank <= 20 AND regexp_matches(gram, '{pat}')""", ctes=GRAMS_CTE)
+WHERE n = {n} AND rank <= 20 AND {keep}""", ctes=GRAMS_CTE)
 
 
 ORACLES.update({
@@ -233,7 +236,7 @@ SELECT company, n, count(*) AS n_entries, CAST(sum(count) AS BIGINT) AS total,
   sha256(array_to_string(list_sort(list(gram || '=' || CAST(count AS VARCHAR))), chr(10))) AS entries_sha
 FROM top100 GROUP BY 1, 2""", ctes=GRAMS_CTE),
     "ngram_unpack": W("SELECT company, n, gram, count FROM top100", ctes=GRAMS_CTE),
-    "word_cloud": W("SELECT company, gram AS word, count FROM top100 WHERE n = 1", ctes=GRAMS_CTE),
+    "word_cloud": W("SELECT company, gram AS word, count FROM gc WHERE n = 1", ctes=GRAMS_CTE),
     "top_words": _report(1),
     "top_bigrams": _report(2),
     "top_trigrams": _report(3),
@@ -377,7 +380,12 @@ def _parse(col: str) -> str:
 
 
 def _rid(*cols: str) -> str:
-    return "sha256(concat_ws('␟', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '␞')" for c in cols) + "))"
+    one = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols]
+    return f"sha256({' || '.join(one)})"
+
+
+ALL_COLUMNS = ("source", "text", "company", "date", "stars", "location", "videoid", "like_count",
+               "youtube_reply_count", "subreddit", "vote", "reddit_reply_count")
 
 
 WIRE_CTE = f"""
@@ -396,11 +404,11 @@ SELECT id, raw, {_parse('raw')} AS parsed FROM (
     WHEN 3 THEN strftime(date, '%Y-%m-%d %H:%M:%S')
     WHEN 4 THEN strftime(date, '%Y-%m-%d')
     ELSE 'n/a ' || id END AS raw FROM reviews)"""),
-    "review_id": W(f"SELECT company, source, {_rid('source', 'company', 'text', 'date')} AS review_id FROM wire",
+    "review_id": W(f"SELECT company, source, {_rid(*ALL_COLUMNS)} AS review_id FROM wire",
                    ctes=WIRE_CTE),
     "canonical_reviews": W(f"""
-SELECT source, company, {_parse('date')} AS date, stars, location, videoid, like_count, youtube_reply_count,
-  subreddit, vote, reddit_reply_count, {_rid('source', 'company', 'text', 'date')} AS id FROM wire""",
+SELECT source, text, company, {_parse('date')} AS date, stars, location, videoid, like_count, youtube_reply_count,
+  subreddit, vote, reddit_reply_count, {_rid(*ALL_COLUMNS)} AS id FROM wire""",
                            ctes=WIRE_CTE),
     "dedup_reviews": W(f"""
 SELECT company, {_rid('company', 'text')} AS content_key, arg_min(id, {{'d': date, 'i': id}}) AS kept_id,
@@ -435,6 +443,8 @@ FROM hw FULL OUTER JOIN (SELECT company, max(date) AS m FROM reviews WHERE date
                          GROUP BY 1) b ON b.company = hw.company""", ctes=HW_CTE),
     "encode_payload": W("SELECT company AS topic, count(*) AS n_rows, true AS within_limit FROM reviews GROUP BY 1"),
     "decode_payload": W("SELECT * FROM wire", ctes=WIRE_CTE),
+    "dead_letter": W("""SELECT company AS topic, 'no parquet: ' || text AS payload FROM reviews
+WHERE length(text) % 2 = 1"""),
 })
 
 

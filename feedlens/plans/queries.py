@@ -49,7 +49,7 @@ QUERIES: dict[str, Query] = {
     "avg_sentiment": lambda s, d: M.avg_sentiment(_scored(s, d)),
     "interactions_30d": lambda s, d: M.interactions_30d(_scored(s, d), AS_OF),
     "companies": lambda s, d: M.companies(_scored(s, d)),
-    "volume_by_topic": lambda s, d: M.volume_by_topic(_messages(s, d).select("topic", "n_rows")),
+    "volume_by_topic": lambda s, d: M.volume_by_topic(_wire(s, d).select("company")),
     "stars_matrix": lambda s, d: M.stars_matrix(_scored(s, d)),
     "avg_stars": lambda s, d: M.avg_stars(_scored(s, d)),
     "subreddit_matrix": lambda s, d: M.subreddit_matrix(_scored(s, d)),
@@ -101,11 +101,11 @@ QUERIES.update({
     "ngram_top100": lambda s, d: NG.top_k(_grams(s, d), 100),
     "ngram_map": lambda s, d: NG.map_digest(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
     "ngram_unpack": lambda s, d: NG.from_maps(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
-    "word_cloud": lambda s, d: NG.counts_of(NG.top_k(_grams(s, d, (1,)), 100), 1),
+    "word_cloud": lambda s, d: NG.counts_of(_grams(s, d, (1,)), 1),
     "top_words": lambda s, d: NG.top_n_report(_grams(s, d, (1,)), 1, 20),
     "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d, (2,)), 2, 20),
     "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d, (3,)), 3, 20),
-    "top_word": lambda s, d: NG.top_word(NG.top_k(_grams(s, d), 100)),
+    "top_word": lambda s, d: NG.top_word(_grams(s, d)),
 })
 
 
@@ -233,11 +233,18 @@ def _messages(spark, sf):
     return IN.encode_payload(_wire(spark, sf))
 
 
+def _mixed_messages(spark, sf):
+    """Good messages and, for every review whose text has an odd length, one that holds the bare text."""
+    junk = reviews(spark, sf).filter(F.char_length("text") % 2 == 1).select(
+        F.col("company").alias("topic"), F.concat(F.lit("no parquet: "), "text").cast("binary").alias("payload"))
+    return _messages(spark, sf).select("topic", "payload").unionByName(junk)
+
+
 QUERIES.update({
     "normalize_dates": lambda s, d: _raw_dates(s, d).withColumn("parsed", IN.parse_date(F.col("raw"))),
     "review_id": lambda s, d: _wire(s, d).select(
-        "company", "source", IN.review_id("source", "company", "text", "date").alias("review_id")),
-    "canonical_reviews": lambda s, d: IN.canonicalize(*_by_source(_wire(s, d))).drop("text"),
+        "company", "source", IN.review_id(*IN.CANONICAL).alias("review_id")),
+    "canonical_reviews": lambda s, d: IN.canonicalize(*_by_source(_wire(s, d))),
     "dedup_reviews": lambda s, d: IN.dedup_reviews(reviews(s, d)),
     "nested_comments": lambda s, d: IN.nested_comments(
         IN.comment_payloads(_wire(s, d).filter(F.col("source") == "youtube"))),
@@ -250,10 +257,9 @@ QUERIES.update({
         _highwater(s, d), _after(reviews(s, d).select("company", "date"))),
     "encode_payload": lambda s, d: _messages(s, d).groupBy("topic").agg(
         F.sum("n_rows").cast("bigint").alias("n_rows"), (F.max("n_rows") <= 100).alias("within_limit")),
-    "decode_payload": lambda s, d: IN.split_dead_letters(IN.decode_payload(_messages(s, d)))[0].drop("topic"),
-    "dead_letter": lambda s, d: IN.split_dead_letters(IN.decode_payload(
-        _messages(s, d).select("topic", F.substring("payload", 1, 64).alias("payload"))))[1]
-        .groupBy("topic").agg(F.count(F.lit(1)).alias("n_dead")),
+    "decode_payload": lambda s, d: IN.split_dead_letters(IN.decode_payload(_messages(s, d)))[0].drop("topic", "row"),
+    "dead_letter": lambda s, d: IN.split_dead_letters(IN.decode_payload(_mixed_messages(s, d)))[1]
+        .select("topic", F.col("payload").cast("string").alias("payload")),
 })
 
 

@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FEEDLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Local inputs are single files of one row group: see operators.parallel.
+        .config("spark.feedlens.spread.partitions", os.environ.get("FEEDLENS_SPREAD", "16"))
         .getOrCreate()
     )
 
