@@ -38,12 +38,12 @@ DATE_GRAMMAR = (r"\A(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\
                 r"(Z|[+-]\d{2}:\d{2})?\z")
 
 
-def wire_rows(reviews: DataFrame) -> DataFrame:
-    """Reviews as the producers emit them: source-specific date strings, sparse columns."""
+def wire_rows(reviews: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Reviews as the producers emit them: source-specific date strings, sparse columns (and ``extra`` ones as they are)."""
     fmt = F.coalesce(*[F.when(F.col("source") == s, F.date_format("date", f))
                        for s, f in SOURCE_DATE_FORMATS.items()])
     return reviews.select(*[fmt.alias("date") if n == "date" else F.col(n).cast(t).alias(n)
-                            for n, t in WIRE_FIELDS])
+                            for n, t in WIRE_FIELDS], *extra)
 
 
 def parse_date(s: Column) -> Column:

@@ -538,15 +538,34 @@ JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.
 })
 
 
+# The stand-in model: logits are the numbers of negative and positive cue words, and one half.
+CUE_CTE = WIRE_CTE.strip() + """,
+cue AS (SELECT *, regexp_split_to_array(lower(text), '[^_\\p{L}\\p{N}]+') AS w FROM wire),
+cue2 AS (SELECT *, CAST(len(list_filter(w, lambda x: x IN ('bad', 'poor', 'worst', 'terrible', 'slow', 'broken', 'awful', 'hate'))) AS DOUBLE) AS a,
+  CAST(len(list_filter(w, lambda x: x IN ('good', 'great', 'best', 'excellent', 'fast', 'love', 'nice', 'happy'))) AS DOUBLE) AS b FROM cue),
+cue3 AS (SELECT *, exp(a - greatest(a, b, 0.5)) AS ea, exp(0.5 - greatest(a, b, 0.5)) AS en, exp(b - greatest(a, b, 0.5)) AS eb FROM cue2),
+cued AS (SELECT source, text, company, date, stars, location, videoid, like_count, youtube_reply_count, subreddit, vote, reddit_reply_count,
+  CASE WHEN source <> 'trustpilot' THEN ea / (ea + en + eb) END AS negative,
+  CASE WHEN source <> 'trustpilot' THEN en / (ea + en + eb) END AS neutral,
+  CASE WHEN source <> 'trustpilot' THEN eb / (ea + en + eb) END AS positive,
+  CASE WHEN source = 'trustpilot' THEN CASE WHEN stars > 3 THEN 'positive' WHEN stars = 3 THEN 'neutral' ELSE 'negative' END
+    WHEN a >= 0.5 AND a >= b THEN 'negative' WHEN 0.5 >= b THEN 'neutral' ELSE 'positive' END AS sentiment FROM cue3)"""
+
+
 # --- streaming -------------------------------------------------------------------------------
 ORACLES.update({
     "stream_ingest": W(f"""
-SELECT DISTINCT {_rid('source', 'company', 'text', 'date')} AS id, source, company, {_parse('date')} AS date
-FROM wire""", ctes=WIRE_CTE),
+SELECT DISTINCT {_rid(*ALL_COLUMNS)} AS id, source, company, {_parse('date')} AS date, sentiment,
+  CAST(round(negative, 6) AS FLOAT) AS negative_probability, CAST(round(neutral, 6) AS FLOAT) AS neutral_probability,
+  CAST(round(positive, 6) AS FLOAT) AS positive_probability FROM cued""", ctes=CUE_CTE),
     "ngram_state": W("SELECT company, n, gram, count FROM gc", ctes=GRAMS_CTE),
-    "stream_daily": W("""
-SELECT company, CAST(date AS DATE) AS day, round(avg(CASE WHEN stars > 3 THEN 1 WHEN stars = 3 THEN 0
-  WHEN stars IS NOT NULL THEN -1 END), 6) AS score, count(*) AS n_rows FROM reviews GROUP BY 1, 2"""),
+    "stream_rejects": W(f"""
+SELECT DISTINCT {_rid(*ALL_COLUMNS)} AS id, source, company, date, text FROM (
+  SELECT * REPLACE ('some time on ' || date AS date) FROM wire_id WHERE CAST(rid AS BIGINT) % 5 = 0)""",
+                        ctes=WIRE_CTE.replace("wire AS (SELECT ", "wire_id AS (SELECT id AS rid, ")),
+    "stream_daily": W(f"""
+SELECT company, source, CAST({_parse('date')} AS DATE) AS day, round(avg({A1}), 6) AS score, count(*) AS n_rows
+FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)}, sentiment FROM cued) GROUP BY 1, 2, 3""", ctes=CUE_CTE),
 })
 
 ORACLES["json_write"] = ORACLES["json_roundtrip"]

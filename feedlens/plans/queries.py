@@ -379,37 +379,48 @@ QUERIES.update({
 
 def _landing(spark, sf):
     path = FS.scratch_path(spark, "landing")
-    _wire(spark, sf).repartition(2).write.parquet(path)
+    _wire(spark, sf).write.parquet(path)
     return path
 
 
-_STREAM_RUNS: dict = {}
+def _undated_landing(spark, sf):
+    """Wire rows in which every fifth review has a date that no producer's format fits."""
+    path = FS.scratch_path(spark, "undated")
+    r = reviews(spark, sf)
+    wire = IN.wire_rows(r, extra=("id",))
+    bad = F.col("id").cast("bigint") % 5 == 0
+    wire.withColumn("date", F.when(bad, F.concat(F.lit("some time on "), "date")).otherwise(F.col("date"))).drop("id").write.parquet(path)
+    return path
 
 
-def _run_stream(spark, sf):
-    """One ingest run per application and input: its outputs serve both stream queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STREAM_RUNS:
-        base = FS.scratch_path(spark, "stream")
-        src = SP.file_source(spark, _landing(spark, sf))
-        _, state = SP.run_ingest(spark, src, f"{base}/out", f"{base}/checkpoint")
-        _STREAM_RUNS[key] = (base, state)
-    return _STREAM_RUNS[key]
+def _run_stream(spark, sf, landing=_landing):
+    base = FS.scratch_path(spark, "stream")
+    _, state = SP.run_ingest(spark, SP.file_source(spark, landing(spark, sf)), f"{base}/out", f"{base}/checkpoint")
+    return base, state
 
 
 def _stream_predictions(spark, sf):
+    """Predictions of the loop with their probabilities and documents, as the sinks hold them."""
     base, _ = _run_stream(spark, sf)
-    return spark.read.parquet(f"{base}/out/warehouse/predictions").select("id", "source", "company", "date")
+    out = {n: spark.read.parquet(f"{base}/out/warehouse/{n}") for n in ("predictions", "youtube", "reddit")}
+    probs = out["youtube"].select("id", *WH.PROBS).unionByName(out["reddit"].select("id", *WH.PROBS))
+    return out["predictions"].join(probs, "id", "left").select("id", "source", "company", "date", "sentiment", *WH.PROBS)
+
+
+def _stream_rejects(spark, sf):
+    base, _ = _run_stream(spark, sf, _undated_landing)
+    return spark.read.parquet(f"{base}/out/rejects").select("id", "source", "company", "date", "text")
 
 
 def _stream_daily(spark, sf):
     base = FS.scratch_path(spark, "daily")
     SP.daily_stream(spark, SP.file_source(spark, _landing(spark, sf)), f"{base}/out", f"{base}/checkpoint")
-    return SP.read_daily(spark, f"{base}/out")
+    return SP.read_daily(spark, f"{base}/out", by_source=True)
 
 
 QUERIES.update({
     "stream_ingest": _stream_predictions,
     "ngram_state": lambda s, d: _run_stream(s, d)[1].read(),
     "stream_daily": _stream_daily,
+    "stream_rejects": _stream_rejects,
 })
