@@ -126,7 +126,7 @@ def test_katz_matches_brute_force(spark, monkeypatch, block, bytes_a_range, shar
 
 
 def test_katz_on_odd_rows(spark, odd, empty, make):
-    from tests.llm.conftest import ODD
+    from .conftest import ODD
 
     close([tuple(r) for r in katz.score(spark, odd).collect()], brute_katz(ODD))
     assert katz.score(spark, empty).count() == 0

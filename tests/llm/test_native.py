@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlens.llm import exact_dedup, fingerprints, queries, url_filter
-from tests.llm.conftest import ODD
+from .conftest import ODD
 
 SF = "/root/testdata/sf0.001"
 

@@ -9,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from feedlens.llm import packing, pieces, queries
-from tests.llm.conftest import ODD
+from .conftest import ODD
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model")
