@@ -7,7 +7,7 @@ engine, on any cluster size.
 Scale: a stratum (one company x sentiment) may hold a third of all rows, and
 the cut (20 % for a split, a class count for balancing) is large, so a window
 over the stratum would sort that third in one task. ``rank_cut`` instead
-ranks inside (stratum, hash-prefix bucket) pieces, 1/65536 of a stratum
+ranks inside (stratum, hash-prefix bucket) pieces, 1/4096 of a stratum
 each, and adds the number of rows in earlier buckets, taken from a small
 per-bucket histogram with a running sum.
 """
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from feedlens.operators.parallel import replicate
 
-BUCKET_HEX = 4  # 65,536 hash-prefix buckets per stratum
+BUCKET_HEX = 3  # 4,096 hash-prefix buckets per stratum
 
 
 def md5_key(id_col: str = "id") -> Column:
@@ -100,6 +100,37 @@ def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:
     return replicate(d.select(*train.columns, "_copies"), "_copies", "copy").drop("_copies")
 
 
+def split_balanced(df: DataFrame, test_size: float = 0.2, neutral: str = "neutral") -> DataFrame:
+    """U6 then U7 in one go: the balanced training part of a stratified split.
+
+    The same rows as ``balance`` over the train rows of ``stratified_split``. The
+    bucket histogram holds all that both steps need: the test cut, the train
+    size of every stratum, and so the target of each company. Rows are ranked once;
+    a train row's rank is its rank less the test cut. Two scans, one join.
+    """
+    keys = ["company", "sentiment"]
+    d = df.withColumn("_o", md5_key()).withColumn("_b", F.substring("_o", 1, BUCKET_HEX))
+    hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    stratum = Window.partitionBy(*keys)
+    hist = hist.select(*keys, "_b", F.coalesce(F.sum("_n").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                                               F.lit(0)).alias("_before"), F.sum("_n").over(stratum).alias("_all"))
+    hist = hist.withColumn("_cut", F.ceil(F.col("_all") * F.lit(test_size))).withColumn("_train", F.nullif(F.col("_all") - F.col("_cut"), F.lit(0)))
+    company = Window.partitionBy("company")
+    is_neu = F.col("sentiment") == neutral
+    hist = (hist.withColumn("_target", F.max(F.when(~is_neu, F.col("_train"))).over(company))
+            .withColumn("_cur", F.max(F.when(is_neu, F.col("_train"))).over(company)).drop("_all", "_train"))
+    d = d.join(hist, [*keys, "_b"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o", "id"))
+    d = d.withColumn("_r", F.col("_before") + place - F.col("_cut")).filter(F.col("_r") > 0)  # rank among train rows
+    short = F.col("_cur") < F.col("_target")
+    first = lambda k: F.when(F.col("_r") <= k, 1).otherwise(0)
+    copies = (F.when(~is_neu | F.col("_target").isNull(), 1)
+              .when(short, F.floor(F.col("_target") / F.col("_cur")) + first(F.col("_target") % F.col("_cur")))
+              .otherwise(first(F.col("_target")))).cast("bigint")
+    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    return replicate(d.select(*df.columns, "_copies"), "_copies", "copy").drop("_copies")
+
+
 def quota_sample(df: DataFrame, quota: int = 80, key: str = "stars") -> DataFrame:
     """The ``quota`` most recent rows per (company, stars); 3 stars get twice the quota.
 

@@ -54,7 +54,11 @@ def global_metrics(df: DataFrame, scope: list[str] | None = None, gold: str = "g
                    pred: str = "pred") -> DataFrame:
     """A22 (scope = []) / A24 (scope = [source]): accuracy and macro precision, recall, F1."""
     scope = scope or []
-    lab = per_label(confusion(df, scope, gold, pred), scope)
+    return _macro(confusion(df, scope, gold, pred), scope)
+
+
+def _macro(conf: DataFrame, scope: list[str]) -> DataFrame:
+    lab = per_label(conf, scope)
     agg = lab.groupBy(*scope) if scope else lab.groupBy()
     r = lambda c: F.round(c, DIGITS)
     return agg.agg(
@@ -66,8 +70,12 @@ def global_metrics(df: DataFrame, scope: list[str] | None = None, gold: str = "g
 
 def label_metrics(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Per label of the fixed domain: accuracy (= recall), precision, recall, F1."""
-    lab = per_label(confusion(df, [], gold, pred), [])
-    dom = df.sparkSession.createDataFrame([(x,) for x in SENTIMENTS], "label string")
+    return _by_label(confusion(df, [], gold, pred))
+
+
+def _by_label(conf: DataFrame) -> DataFrame:
+    lab = per_label(conf, [])
+    dom = conf.sparkSession.createDataFrame([(x,) for x in SENTIMENTS], "label string")
     j = dom.join(lab, "label", "left").na.fill(0.0, ["precision", "recall", "f1"])
     r = lambda c: F.round(F.col(c), DIGITS)
     return j.select("label", r("recall").alias("accuracy"), r("precision").alias("precision"),
@@ -112,11 +120,16 @@ def eval_loss(df: DataFrame, gold: str = "gold") -> DataFrame:
 
 
 def metrics_long(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Every metric as (scope, key, metric, value)."""
+    """Every metric as (scope, key, metric, value).
+
+    One confusion table by source serves all three scopes: its exchange is reused.
+    """
     names = ["accuracy", "precision", "recall", "f1"]
-    g = global_metrics(df, [], gold, pred).select(F.lit("global").alias("scope"), F.lit("all").alias("key"), *names)
-    lab = label_metrics(df, gold, pred).select(F.lit("label").alias("scope"), F.col("label").alias("key"), *names)
-    src = global_metrics(df, ["source"], gold, pred).select(
+    by_source = confusion(df, ["source"], gold, pred)
+    overall = by_source.groupBy("gold", "pred").agg(F.sum("n").alias("n"))
+    g = _macro(overall, []).select(F.lit("global").alias("scope"), F.lit("all").alias("key"), *names)
+    lab = _by_label(overall).select(F.lit("label").alias("scope"), F.col("label").alias("key"), *names)
+    src = _macro(by_source, ["source"]).select(
         F.lit("source").alias("scope"), F.col("source").alias("key"), *names)
     wide = g.unionByName(lab).unionByName(src)
     return wide.unpivot(["scope", "key"], names, "metric", "value")

@@ -17,6 +17,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS, SOURCES
 
@@ -199,12 +200,16 @@ def youtube_engagement(scored: DataFrame, company: str | None = None) -> DataFra
 def last_comment(scored: DataFrame, company: str | None = None) -> DataFrame:
     """Latest comment per source, three fixed columns, NULL when none.
 
-    ``max_by`` with a (date, id) key gives a stable tie-break and aggregates
-    partially on the map side: no sort, no window, one small shuffle.
+    The latest id per (company, source) is found without text (a window whose
+    ``<= 1`` becomes a partial group limit before its shuffle); the text of
+    those few rows is fetched by a join.
     """
-    df = for_company(scored, company)
-    key = F.struct("date", "id")
-    src = F.lower(F.col("source"))
-    return df.groupBy("company").agg(*[
-        F.max_by("text", F.when(src == x, key)).alias(x) for x in SOURCES])
+    df = for_company(scored, company).withColumn("_src", F.lower(F.col("source")))
+    latest = Window.partitionBy("company", "_src").orderBy(F.col("date").desc(), F.col("id").desc())
+    ids = (df.filter(F.col("_src").isin(*SOURCES)).select("company", "_src", "date", "id")
+           .withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= 1).select("company", "_src", "id"))
+    few = ids.join(df.select("company", "_src", "id", "text"), ["company", "_src", "id"])
+    all_companies = df.select("company", F.lit(None).cast("string").alias("_src"), F.lit(None).cast("string").alias("text")).distinct()
+    return few.select("company", "_src", "text").unionByName(all_companies).groupBy("company").agg(
+        *[F.max(F.when(F.col("_src") == x, F.col("text"))).alias(x) for x in SOURCES])
 

@@ -42,6 +42,13 @@ sm AS (
   FROM sc WHERE source = 'reddit'
 )"""
 
+FAULTY_CTE = SOFTMAX_CTE.strip().rstrip(",") + """,
+pk AS (SELECT *, CAST(id AS BIGINT) AS k FROM predictions),
+kept AS (SELECT * FROM pk WHERE NOT (k % 11 = 0 AND source IN ('youtube', 'reddit'))
+         UNION ALL SELECT * FROM pk WHERE k % 7 = 0),
+bad_predictions AS (SELECT CASE WHEN k % 19 <> 0 THEN id END AS id, CASE WHEN k % 17 <> 0 THEN source END AS source, date,
+    CASE WHEN k % 13 <> 0 THEN company END AS company, sentiment FROM kept),
+bad_reddit AS (SELECT * FROM wh_reddit UNION ALL SELECT * FROM wh_reddit WHERE CAST(id AS BIGINT) % 5 = 0)"""
 TS_CTE = """
 ts0 AS (SELECT id, exp(logit_pos) AS a0, exp(logit_neu) AS a1, exp(logit_neg) AS a2,
           exp(logit_neg) AS b0, exp(logit_neu) AS b1, exp(logit_pos) AS b2 FROM reviews),
@@ -177,19 +184,17 @@ SELECT r.*, p.company, p.date, p.sentiment FROM wh_trustpilot r JOIN predictions
                            ctes=SOFTMAX_CTE),
     "pk_violations": W("""
 SELECT table_name, id, n_rows FROM (
-  SELECT 'predictions' AS table_name, id, count(*) AS n_rows FROM predictions GROUP BY id
+  SELECT 'predictions' AS table_name, id, count(*) AS n_rows FROM bad_predictions GROUP BY id
   UNION ALL SELECT 'trustpilot', id, count(*) FROM wh_trustpilot GROUP BY id
   UNION ALL SELECT 'youtube', id, count(*) FROM wh_youtube GROUP BY id
-  UNION ALL SELECT 'reddit', id, count(*) FROM wh_reddit GROUP BY id) WHERE n_rows > 1""",
-                       ctes=SOFTMAX_CTE),
+  UNION ALL SELECT 'reddit', id, count(*) FROM bad_reddit GROUP BY id) WHERE n_rows > 1""", ctes=FAULTY_CTE),
     "fk_violations": W("""
-SELECT 'trustpilot' AS table_name, id FROM wh_trustpilot WHERE id NOT IN (SELECT id FROM predictions)
-UNION ALL SELECT 'youtube', id FROM wh_youtube WHERE id NOT IN (SELECT id FROM predictions)
-UNION ALL SELECT 'reddit', id FROM wh_reddit WHERE id NOT IN (SELECT id FROM predictions)""",
-                       ctes=SOFTMAX_CTE),
+SELECT 'trustpilot' AS table_name, id FROM wh_trustpilot t WHERE NOT EXISTS (SELECT 1 FROM bad_predictions p WHERE p.id = t.id)
+UNION ALL SELECT 'youtube', id FROM wh_youtube t WHERE NOT EXISTS (SELECT 1 FROM bad_predictions p WHERE p.id = t.id)
+UNION ALL SELECT 'reddit', id FROM bad_reddit t WHERE NOT EXISTS (SELECT 1 FROM bad_predictions p WHERE p.id = t.id)""", ctes=FAULTY_CTE),
     "null_violations": W("""
 SELECT count(*) FILTER (WHERE id IS NULL) AS null_id, count(*) FILTER (WHERE source IS NULL) AS null_source,
-  count(*) FILTER (WHERE company IS NULL) AS null_company FROM predictions""", ctes=SOFTMAX_CTE),
+  count(*) FILTER (WHERE company IS NULL) AS null_company FROM bad_predictions""", ctes=FAULTY_CTE),
 }
 
 

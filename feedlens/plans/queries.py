@@ -36,7 +36,22 @@ def _scored(spark, sf):
 
 
 def _warehouse(spark, sf):
-    return WH.fan_out(SC.score_reviews(reviews(spark, sf)))
+    """The four tables, written as Parquet and read back."""
+    path = FS.scratch_path(spark, "warehouse")
+    WH.write_warehouse(SC.score_reviews(reviews(spark, sf)), path)
+    return WH.read_warehouse(spark, path)
+
+
+def _faulty_warehouse(spark, sf):
+    """The tables with faults made from their own rows: ids that repeat, orphans, missing values."""
+    t = _warehouse(spark, sf)
+    k = F.col("id").cast("bigint")
+    p = t["predictions"]
+    gone = (k % 11 == 0) & F.col("source").isin("youtube", "reddit")
+    p = (p.filter(~gone).unionByName(p.filter(k % 7 == 0))
+         .withColumn("company", F.when(k % 13 != 0, F.col("company"))).withColumn("source", F.when(k % 17 != 0, F.col("source")))
+         .withColumn("id", F.when(k % 19 != 0, F.col("id"))))
+    return t | {"predictions": p, "reddit": t["reddit"].unionByName(t["reddit"].filter(k % 5 == 0))}
 
 
 QUERIES: dict[str, Query] = {
@@ -73,9 +88,9 @@ QUERIES: dict[str, Query] = {
     "reddit_detail": lambda s, d: WH.detail(_warehouse(s, d), "reddit"),
     "youtube_detail": lambda s, d: WH.detail(_warehouse(s, d), "youtube"),
     "trustpilot_detail": lambda s, d: WH.detail(_warehouse(s, d), "trustpilot"),
-    "pk_violations": lambda s, d: WH.pk_violations(_warehouse(s, d)),
-    "fk_violations": lambda s, d: WH.fk_violations(_warehouse(s, d)),
-    "null_violations": lambda s, d: WH.null_violations(_warehouse(s, d)),
+    "pk_violations": lambda s, d: WH.pk_violations(_faulty_warehouse(s, d)),
+    "fk_violations": lambda s, d: WH.fk_violations(_faulty_warehouse(s, d)),
+    "null_violations": lambda s, d: WH.null_violations(_faulty_warehouse(s, d)),
 }
 
 
@@ -143,7 +158,7 @@ def _eval_input(spark, sf):
 
 QUERIES.update({
     "stratified_split": _split,
-    "balanced_set": lambda s, d: DS.balance(_split(s, d).filter(F.col("split") == "train").drop("split")),
+    "balanced_set": lambda s, d: DS.split_balanced(_labelled(s, d).select("id", "company", "sentiment")),
     "quota_sample": lambda s, d: DS.quota_sample(
         _scored(s, d).filter(F.col("source") == "trustpilot").select("id", "company", "stars", "date"), 3),
     "train_set": lambda s, d: DS.train_set(
