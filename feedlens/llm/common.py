@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +60,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def released() -> None:
+    """Give freed memory back to the system: workers are reused by later stages, which have their own needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def python_ready(spark: SparkSession) -> None:
     """Ship the package to the executors' Python workers."""
     ship_package(spark)

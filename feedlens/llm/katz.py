@@ -42,11 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import fold, mixed, python_ready, rows_of, texts, words_of
+from feedlens.llm.common import fold, mixed, python_ready, released, rows_of, texts, words_of
 from feedlens.session import checkpoint_dir
 
 K = 5
-BLOCK = 1_500_000          # tokens held by one task at a time
+BLOCK = 1_000_000          # tokens held by one task at a time
 RANGE_BYTES = 24_000_000   # text bytes per range of words
 HOT_TEXTS, HOT_SHARE, HOT_MOST = 500, 0.002, 500
 END, BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n end")), np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
@@ -148,24 +148,27 @@ class _Range:
         self.blocks = t["block"].to_numpy()
         self.h = np.concatenate(_arr(t["ctx"], np.uint64))
         self.w = np.concatenate([np.repeat(a, b) for a, b in zip(words, pairs)])
-        self.cnt = np.concatenate(_arr(t["cnt"], np.uint32)).astype(np.int64)
-        self.occ = np.concatenate(_arr(t["occ"], np.uint32)).astype(np.int64)
+        cnt = np.concatenate(_arr(t["cnt"], np.uint32))
+        self.occ = np.concatenate(_arr(t["occ"], np.uint32))
         self.size = np.array([int(p.sum()) for p in pairs])       # entries of each block
-        order = np.lexsort((self.h, self.w))
-        w, h, c = self.w[order], self.h[order], self.cnt[order]
-        new_w = np.append(True, w[1:] != w[:-1])
-        new_p = new_w | np.append(True, h[1:] != h[:-1])
+        order = np.lexsort((self.h, self.w)).astype(np.int32)
+        self.w, self.h = self.w[order], self.h[order]
+        new_w = np.append(True, self.w[1:] != self.w[:-1])
+        new_p = new_w | np.append(True, self.h[1:] != self.h[:-1])
         first, first_w = np.flatnonzero(new_p), np.flatnonzero(new_w)
-        self.uw, self.uh = w[first], h[first]
-        self.upair = np.add.reduceat(c, first)
-        self.words, self.cword = w[first_w], np.add.reduceat(c, first_w)
-        self.uword = np.repeat(np.arange(len(first_w)), np.diff(np.append(np.searchsorted(first, first_w), len(first))))
-        self.of = np.empty(len(w), np.int64)                      # entry -> unique pair
-        self.of[order] = np.cumsum(new_p) - 1
+        self.uw, self.uh, self.words = self.w[first], self.h[first], self.w[first_w]
+        del self.w, self.h
+        self.of = np.empty(len(order), np.int32)                  # entry -> unique pair
+        self.of[order] = np.cumsum(new_p, dtype=np.int32) - 1
+        cnt = cnt[order]
+        del order, new_p, new_w
+        self.upair = np.add.reduceat(cnt, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        self.cword = np.add.reduceat(cnt, first_w, dtype=np.int64) if len(first_w) else np.zeros(0, np.int64)
+        self.uword = np.repeat(np.arange(len(first_w), dtype=np.int32), np.diff(np.append(np.searchsorted(first, first_w), len(first))))
+        del cnt, first, first_w
         self.hot_w, at_w = _is_in(self.words, hot[0])
-        up = pair_hash(self.uh, self.uw)
-        self.hot_p, at_p = _is_in(up, hot[1])
-        self.pair_hashes = up
+        self.pair_hashes = pair_hash(self.uh, self.uw) if len(hot[1]) else np.zeros(len(self.uh), np.uint64)
+        self.hot_p, at_p = _is_in(self.pair_hashes, hot[1])
         if totals:
             self.cword = np.where(self.hot_w, totals[0][at_w], self.cword) if len(totals[0]) else self.cword
             self.upair = np.where(self.hot_p, totals[1][at_p], self.upair) if len(totals[1]) else self.upair
@@ -268,9 +271,11 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             total += len(w) + 1
             if total >= BLOCK:
                 yield _block_rows(base + nth, ids, tok, sizes, doc_ids, train, bits, hot)
+                released()
                 ids, tok, sizes, doc_ids, train, total, nth = _Ids(), [], [], [], [], 0, nth + 1
         if sizes:
             yield _block_rows(base + nth, ids, tok, sizes, doc_ids, train, bits, hot)
+            released()
 
     grams = tables.write(docs.select("doc_id", "text", "held").mapInArrow(blocks, BLOCKS), "grams", "range", 1 << bits)
     ranges = grams.where("range >= 0").groupBy("range")
@@ -284,6 +289,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         for kind, key, c in (("w", r.words[r.hot_w], r.cword[r.hot_w]), ("p", r.pair_hashes[r.hot_p], r.upair[r.hot_p])):
             if len(key):
                 rows.append((kind, key.tobytes(), c.tobytes()))
+        released()
         return pa.Table.from_batches([_batch(rows, "kind string, a binary, b binary")])
 
     # One short row a range, and the totals of at most HOT_MOST words and pairs.
@@ -311,11 +317,11 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         here = int(t["range"][0].as_py())
         cp, cw = r.upair, r.cword[r.uword]
         p1 = np.where(cw > 0, model.p_word(cw), p_unknown)
-        end = r.uw == END
         seen = np.where(cp > 0, model.d2[np.minimum(cp, K + 1)] * cp, 0.0)
         # The pair's own part, and 1 / (C(w) + 1) for the pair that follows it.
-        part = np.where(cp > 0, np.log10(np.maximum(seen, 1e-300)), np.log10(p1)) - np.where(end, 0.0, np.log10(cw + 1.0))
+        part = np.where(cp > 0, np.log10(np.maximum(seen, 1e-300)), np.log10(p1))
         base = np.log10(cw + 1.0)
+        part -= np.where(r.uw == END, 0.0, base)
         rows, at, occ_end = [], 0, np.cumsum(r.occ)
         unseen = cp == 0
         docs_in = _arr(t["docs"], np.uint32)
@@ -349,6 +355,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         # Counts of words as contexts: at home here, unless hot.
         home = (r.cword > 0) & ~_is_in(r.words, context_hot)[0]
         rows += _cut(r.words[home], [r.cword[home]], "n", bits)
+        del r, cp, cw, p1, seen, part, base, unseen, known, back, ctx, s1, s2
+        released()
         return pa.Table.from_batches([_batch(rows, OUT)])
 
     context_hot = np.unique(np.append(hot[0], BEGIN))
@@ -394,22 +402,26 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     start = -np.log10(n_docs + 1.0)
     norm = np.log10(float(n_train + v + 1))
 
-    def gathered(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_numpy(zero_copy_only=False)
-        rows = t.filter(pa.array(kind == "r"))
-        out = []
-        d = t.filter(pa.array(kind == "d"))
-        for i in range(len(rows)):
-            ids, known, train, n = (np.frombuffer(rows[k][i].as_buffer(), x) for k, x in (("a", np.int64), ("b", bool), ("c", bool), ("d", np.uint32)))
-            s, b, k = np.full(len(ids), start), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            for total, name, x in ((s, "a", np.float64), (b, "b", np.float64), (k, "c", np.uint32)):
-                for v_ in _arr(d[name], x):
-                    total[:len(v_)] += v_.astype(total.dtype)
-            out.append(pa.RecordBatch.from_arrays(
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One block: its parts are added up as they come; at most one row says which documents it has.
+        sums = {"a": np.zeros(0), "b": np.zeros(0), "c": np.zeros(0, np.int64)}
+        documents = []
+        for t in batches:
+            for i, kind in enumerate(t["kind"].to_pylist()):
+                if kind == "r":
+                    documents.append([np.frombuffer(t[k][i].as_buffer(), x).copy() for k, x in (("a", np.int64), ("b", bool), ("c", bool), ("d", np.uint32))])
+                    continue
+                for name, x in (("a", np.float64), ("b", np.float64), ("c", np.uint32)):
+                    v = np.frombuffer(t[name][i].as_buffer(), x)
+                    if len(v) > len(sums[name]):
+                        sums[name] = np.append(sums[name], np.zeros(len(v) - len(sums[name]), sums[name].dtype))
+                    sums[name][:len(v)] += v.astype(sums[name].dtype)
+        for ids, known, train, n in documents:
+            s, b, k = (np.append(v, np.zeros(len(ids) - len(v), v.dtype)) for v in sums.values())
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=~known), pa.array(~train), pa.array(n.astype(np.int64)), pa.array(k),
-                 pa.array(np.full(len(ids), n_train)), pa.array(b - n * norm), pa.array(s)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out)
+                 pa.array(np.full(len(ids), n_train)), pa.array(b - n * norm), pa.array(s + start)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = grams.where("range = -1").select(F.lit("r").alias("kind"), "block", F.col("words").alias("a"), F.col("pairs").alias("b"),
                                             F.col("ctx").alias("c"), F.col("cnt").alias("d"))
