@@ -175,6 +175,53 @@ def nested_comments(payloads: DataFrame) -> DataFrame:
         s["totalReplyCount"].alias("youtube_reply_count"))
 
 
+SUBMISSION_PAYLOAD = T.StructType([
+    T.StructField("title", T.StringType()), T.StructField("selftext", T.StringType()),
+    T.StructField("created_utc", T.LongType()), T.StructField("subreddit", T.StringType()),
+    T.StructField("score", T.IntegerType()), T.StructField("num_comments", T.IntegerType()),
+    T.StructField("comments", T.ArrayType(T.StructType([
+        T.StructField("body", T.StringType()), T.StructField("created_utc", T.LongType()), T.StructField("score", T.IntegerType()),
+        T.StructField("replies", T.ArrayType(T.StructType([T.StructField("body", T.StringType())]))),
+    ]))),
+])
+
+
+def epoch_date(seconds: Column) -> Column:
+    """Epoch seconds as the UTC timestamp text of the wire format, whatever the session's time zone."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def submission_payloads(rows: DataFrame, thread: Column) -> DataFrame:
+    """Submission API payloads: the lowest id of each ``thread`` is the submission, the others its comments."""
+    epoch = F.expr("CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', date) AS BIGINT)")
+    replies = F.array_repeat(F.struct(F.lit("re").alias("body")), F.coalesce("reddit_reply_count", F.lit(0)))
+    one = F.struct(F.col("id").cast("bigint").alias("k"), F.col("text").alias("body"), epoch.alias("created_utc"), F.col("vote").alias("score"),
+                   replies.alias("replies"), F.col("reddit_reply_count").alias("n"))
+    g = (rows.select("company", "subreddit", thread.alias("thread"), one.alias("one")).groupBy("company", "subreddit", "thread")
+         .agg(F.sort_array(F.collect_list("one")).alias("all")).withColumn("s", F.col("all")[0]))
+    body = F.col("s.body")
+    payload = F.struct(
+        F.substring_index(body, " ", 1).alias("title"), F.expr("substr(s.body, length(substring_index(s.body, ' ', 1)) + 2)").alias("selftext"),
+        F.col("s.created_utc").alias("created_utc"), F.col("subreddit"), F.col("s.score").alias("score"), F.col("s.n").alias("num_comments"),
+        F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))),
+                    lambda c: F.struct(c["body"].alias("body"), c["created_utc"].alias("created_utc"), c["score"].alias("score"), c["replies"].alias("replies"))).alias("comments"))
+    return g.select("company", F.to_json(payload).alias("payload"))
+
+
+def nested_submissions(payloads: DataFrame) -> DataFrame:
+    """P8 + P9: a row for each submission ("title: body") and for each of its comments, with reply counts."""
+    p = payloads.select("company", F.from_json("payload", SUBMISSION_PAYLOAD).alias("s"))
+    post = F.struct(F.concat(F.col("s.title"), F.lit(": "), F.col("s.selftext")).alias("text"), F.col("s.created_utc").alias("at"),
+                    F.col("s.score").alias("vote"), F.col("s.num_comments").alias("n"))
+    comments = F.transform(F.col("s.comments"), lambda c: F.struct(
+        c["body"].alias("text"), c["created_utc"].alias("at"), c["score"].alias("vote"), F.coalesce(F.array_size(c["replies"]), F.lit(0)).alias("n")))
+    rows = p.select("company", F.col("s.subreddit").alias("subreddit"),
+                    F.explode(F.concat(F.array(post), F.coalesce(comments, F.array().cast("array<struct<text:string,at:bigint,vote:int,n:int>>")))).alias("r"))
+    return rows.select(F.lit("reddit").alias("source"), F.col("r.text").alias("text"), "company", epoch_date(F.col("r.at")).alias("date"),
+                       "subreddit", F.col("r.vote").alias("vote"), F.col("r.n").alias("reddit_reply_count"))
+
+
 # --- P10 / J4: eligibility against per-company thresholds ---------------------------------
 # Default crawl thresholds of the company configuration.
 DEFAULT_THRESHOLDS = {"min_duration": 240, "min_comment": 10, "min_view": 1000}

@@ -514,11 +514,22 @@ def _html_text(x: str) -> str:
 
 ORACLES.update({
     "page_title_text": f"""
-SELECT page_id, title, content, title || ' ' || content AS text FROM (
-  SELECT page_id,
+SELECT page_id, block, title, content, title || ' ' || content AS text FROM (
+  SELECT page_id, block,
     coalesce({_html_text("nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')")}, 'No Title') AS title,
-    coalesce({_html_text("nullif(regexp_extract(html, '(?is)<p>(.*?)</p>', 1), '')")}, 'No Content') AS content
-  FROM pages)""",
+    coalesce({_html_text("p")}, 'No Content') AS content
+  FROM (SELECT page_id, html, unnest(range(greatest(len(ps), 1))) AS block, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE [NULL] END) AS p
+        FROM (SELECT page_id, html, regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages)))""",
+    "review_blocks": W("""
+SELECT company, CASE WHEN stars = 2 THEN 'No Title ' || text
+    WHEN length(text) - length(replace(text, ' ', '')) >= 3 THEN text ELSE text || ' ' END AS text,
+  stars, date, CASE WHEN stars > 3 THEN 'positive' WHEN stars < 3 THEN 'negative' ELSE 'neutral' END AS sentiment
+FROM wire WHERE source = 'trustpilot' AND stars IS NOT NULL""", ctes=WIRE_CTE),
+    "nested_submissions": W("""
+SELECT 'reddit' AS source, CASE WHEN first THEN split_part(text, ' ', 1) || ': ' || substr(text, length(split_part(text, ' ', 1)) + 2) ELSE text END AS text,
+  company, strftime(date, '%Y-%m-%dT%H:%M:%SZ') AS date, subreddit, vote, reddit_reply_count
+FROM (SELECT *, row_number() OVER (PARTITION BY company, subreddit, CAST(id AS BIGINT) // 300 ORDER BY CAST(id AS BIGINT)) = 1 AS first
+      FROM reviews WHERE source = 'reddit')"""),
     "page_json_reviews": W("""
 SELECT date, stars, CASE WHEN length(text) - length(replace(text, ' ', '')) >= 3 THEN text ELSE text || ' ' END
   AS text, coalesce(location, 'N/A') AS tp_location, source, company FROM wire WHERE source = 'trustpilot'""",

@@ -374,10 +374,18 @@ def _doc_store(spark, sf):
     return FS.read_doc_store(spark, path).select("company", "source", "date", "text", "sentiment")
 
 
+def _paged(spark, sf):
+    """Trustpilot wire rows with the page they stand on: those of a company and of 300 neighbouring ids."""
+    rows = reviews(spark, sf).filter(F.col("source") == "trustpilot")
+    return IN.wire_rows(rows, extra=("id",)).withColumn("page", F.floor(F.col("id").cast("bigint") / 300))
+
+
 QUERIES.update({
     "page_title_text": lambda s, d: PG.page_title_text(table(s, d, "pages")),
-    "page_json_reviews": lambda s, d: PG.page_json_reviews(
-        PG.review_pages(_wire(s, d).filter(F.col("source") == "trustpilot"))),
+    "page_json_reviews": lambda s, d: PG.page_json_reviews(PG.review_pages(_paged(s, d), F.col("page"))),
+    "review_blocks": lambda s, d: PG.review_blocks(PG.block_pages(_paged(s, d), F.col("page"))),
+    "nested_submissions": lambda s, d: IN.nested_submissions(IN.submission_payloads(
+        reviews(s, d).filter(F.col("source") == "reddit"), F.floor(F.col("id").cast("bigint") / 300))),
     "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d))),
     "json_roundtrip": _json_roundtrip,
     "json_write": _json_write,

@@ -35,14 +35,63 @@ def html_text(fragment: Column) -> Column:
 
 
 def page_title_text(pages: DataFrame) -> DataFrame:
-    """S13 + P8: title and first paragraph of each page, defaults when absent; text = title + ' ' + body."""
+    """S13 + P8 over plain pages: one row per paragraph block (``block`` counts from 0) with the page's title.
+
+    Defaults where a page has no title or no paragraph; text = title + ' ' + paragraph.
+    """
     pages = spread(pages.select("page_id", "html"))
     title = F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
-    body = F.nullif(F.regexp_extract("html", r"(?is)<p>(.*?)</p>", 1), F.lit(""))
-    t = F.coalesce(html_text(title), F.lit(NO_TITLE))
-    c = F.coalesce(html_text(body), F.lit(NO_CONTENT))
-    return pages.select("page_id", t.alias("title"), c.alias("content"),
-                        F.concat_ws(" ", t, c).alias("text"))
+    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    rows = pages.select("page_id", title.alias("t"), F.posexplode(
+        F.when(F.size(blocks) > 0, blocks).otherwise(F.array(F.lit(None).cast("string")))).alias("block", "p"))
+    t, c = F.coalesce(html_text(F.col("t")), F.lit(NO_TITLE)), F.coalesce(html_text(F.col("p")), F.lit(NO_CONTENT))
+    return rows.select("page_id", F.col("block").cast("bigint").alias("block"), t.alias("title"), c.alias("content"),
+                       F.concat_ws(" ", t, c).alias("text"))
+
+
+# Class names of a review's header (rating, time) and content block on the review site.
+HEADER_CLASS = "styles_reviewHeader__iU9Px"
+CONTENT_CLASS = "styles_reviewContent__0Q2Tg"
+
+
+def review_blocks(pages: DataFrame, company_col: str = "company") -> DataFrame:
+    """Every review block of a page; header and content are paired by their position.
+
+    Title and paragraph default when the block lacks them; a block without a whole
+    rating or without a time is left out. More than 3 stars are positive, fewer
+    negative, 3 neutral.
+    """
+    heads = F.regexp_extract_all("html", F.lit(rf'(?is)<div[^>]*class="{HEADER_CLASS}"[^>]*>.*?</div>'), F.lit(0))
+    bodies = F.regexp_extract_all("html", F.lit(rf'(?is)<div[^>]*class="{CONTENT_CLASS}"[^>]*>(.*?)</div>'), F.lit(1))
+    rows = pages.select(company_col, F.explode(F.arrays_zip(heads.alias("head"), bodies.alias("body"))).alias("r"))
+    part = lambda tag: F.when(F.col("r.body").rlike(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>"),
+                              html_text(F.regexp_extract("r.body", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)))
+    stars = F.regexp_extract("r.head", r'(?is)data-service-review-rating="([^"]*)"', 1).try_cast("int")
+    date = F.nullif(F.regexp_extract("r.head", r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit(""))
+    text = F.concat_ws(" ", F.coalesce(part("h2"), F.lit(NO_TITLE)), F.coalesce(part("p"), F.lit(NO_CONTENT)))
+    out = rows.filter(F.col("r.body").isNotNull()).select(F.col(company_col).alias("company"), text.alias("text"), stars.alias("stars"), date.alias("date"))
+    return out.filter(F.col("stars").isNotNull() & F.col("date").isNotNull()).select(
+        "company", "text", "stars", "date",
+        F.when(F.col("stars") > 3, "positive").when(F.col("stars") < 3, "negative").otherwise("neutral").alias("sentiment"))
+
+
+def _escaped(text: Column) -> Column:
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(ch), F.lit(ent))
+    return text
+
+
+def block_pages(rows: DataFrame, page: Column) -> DataFrame:
+    """Review pages with one header and content block per row of ``page``; two-star reviews lack a title."""
+    title = F.substring_index(F.col("text"), " ", 3)
+    rest = F.expr("substr(text, length(substring_index(text, ' ', 3)) + 2)")
+    block = F.concat(
+        F.lit(f'<div class="{HEADER_CLASS}" data-service-review-rating="'), F.coalesce(F.col("stars").cast("string"), F.lit("none")),
+        F.lit('"><time datetime="'), F.col("date"), F.lit(f'">then</time></div><div class="{CONTENT_CLASS}">'),
+        F.when(F.col("stars") == 2, F.lit("")).otherwise(F.concat(F.lit("<h2>"), _escaped(title), F.lit("</h2>"))),
+        F.lit("<p>"), _escaped(F.when(F.col("stars") == 2, F.col("text")).otherwise(rest)), F.lit("</p></div>"))
+    html = F.concat(F.lit("<html><body><p>Reviews</p>"), F.array_join(F.sort_array(F.collect_list("b")), ""), F.lit("</body></html>"))
+    return rows.select("company", page.alias("page"), block.alias("b")).groupBy("company", "page").agg(html.alias("html")).drop("page")
 
 
 def page_json_reviews(pages: DataFrame, company_col: str = "company") -> DataFrame:
@@ -65,8 +114,8 @@ def page_json_reviews(pages: DataFrame, company_col: str = "company") -> DataFra
         F.col(company_col).alias("company"))
 
 
-def review_pages(rows: DataFrame) -> DataFrame:
-    """Review pages in the shape the JSON job reads, one page per review row."""
+def review_pages(rows: DataFrame, page: Column) -> DataFrame:
+    """Review pages in the shape the JSON job reads: the reviews of each ``page`` in one script."""
     title = F.substring_index(F.col("text"), " ", 3)
     rest = F.expr("substr(text, length(substring_index(text, ' ', 3)) + 2)")
     review = F.struct(
@@ -74,8 +123,8 @@ def review_pages(rows: DataFrame) -> DataFrame:
         F.col("stars").cast("string").alias("rating"),
         title.alias("title"), rest.alias("text"),
         F.when(F.col("location").isNotNull(), F.struct(F.col("location").alias("countryCode"))).alias("consumer"))
-    payload = F.to_json(F.struct(F.struct(F.struct(F.array(review).alias("reviews")).alias("pageProps"))
+    payload = F.to_json(F.struct(F.struct(F.struct(F.collect_list("r").alias("reviews")).alias("pageProps"))
                                  .alias("props")))
     html = F.concat(F.lit("<html><head><script>var x = 1;</script></head><body><p>"), F.col("company"),
                     F.lit("</p><script type=\"application/json\">"), payload, F.lit("</script></body></html>"))
-    return rows.select("company", html.alias("html"))
+    return rows.select("company", page.alias("page"), review.alias("r")).groupBy("company", "page").agg(html.alias("html")).drop("page")
