@@ -1,13 +1,12 @@
 """Nearest reviews per topic and assembled answers.
 
-Exact k-nearest search of every review vector against a small set of topic
-vectors. The topic set is checked against ``MAX_TOPICS_PER_PASS`` and inlined
-into the projection as a literal array, so each review row computes its
-distances to all topics in one vectorised expression: no join, no cross
-join, no shuffle before the top-k. Top-k per (company, sentiment, source,
-topic) is a row_number limit that Spark plans as a partial WindowGroupLimit,
-so a hot company only ships k rows per map task. More topics than the limit
-run as several passes of the same job, unioned.
+Exact k-nearest search of every review vector against the topic vectors. The
+topic table (one vector per topic of the dashboard) enters the projection as a
+scalar subquery: it is computed once, when the query runs, and every review row
+computes its distances to all topics in one expression: no join, no cross join,
+no shuffle before the top-k, and no job while the query is built. Top-k per
+(company, sentiment, source, topic) is a row_number limit that Spark plans as a
+partial WindowGroupLimit, so a hot company only ships k rows per map task.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from feedlens.functions.text import first_chunk
 from feedlens.operators.parallel import spread
 
 K = 3
-MAX_TOPICS_PER_PASS = 64
 DIST_SCALE = 6
 # Retrieval topics and the empty-answer text.
 TOPICS = ["Customer service", "Product quality", "Price", "General"]
@@ -49,7 +47,7 @@ def chunks(df: DataFrame, size: int = 100) -> DataFrame:
     """The first chunk of each review's text; empty texts yield no row.
 
     The whole text is split and scanned, so the work is spread over the
-    cluster first when the input arrives in too few partitions.
+    cluster first when the session asks for it.
     """
     df = spread(df)
     return df.withColumn("chunk", first_chunk(F.col("text"), size)).filter(F.col("chunk").isNotNull())
@@ -63,45 +61,23 @@ def centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") ->
         F.col(key).alias("topic"), F.transform("s", lambda x: x["m"]).alias("vec"))
 
 
-def _sq_dist(v: Column, t: list[float]) -> Column:
-    tv = F.array(*[F.lit(float(x)) for x in t])
-    return F.aggregate(F.zip_with(v, tv, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
+def _sq_dist(v: Column, t: Column) -> Column:
+    return F.aggregate(F.zip_with(v, t, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(items: DataFrame, topics: list[tuple[object, list[float]]], k: int = K,
+def nearest(items: DataFrame, topics: DataFrame, k: int = K,
             vec: str = "embedding", group: list[str] = GROUP, id_col: str = "id") -> DataFrame:
-    """Exact squared-L2 top-k items per (group, topic)."""
-    passes = [topics[i:i + MAX_TOPICS_PER_PASS] for i in range(0, len(topics), MAX_TOPICS_PER_PASS)]
-    out = None
-    for chunk in passes:
-        d = F.array(*[F.struct(F.lit(name).alias("topic"), _sq_dist(F.col(vec), t).alias("dist"))
-                      for name, t in chunk])
-        x = items.select(*group, id_col, F.explode(d).alias("d")).select(
-            *group, id_col, F.col("d.topic").alias("topic"), F.col("d.dist").alias("dist"))
-        w = Window.partitionBy(*group, "topic").orderBy("dist", id_col)
-        r = (x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("bigint")))
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("dist", F.round("dist", DIST_SCALE))
-
-
-def topic_vectors(spark_df: DataFrame) -> list[tuple[object, list[float]]]:
-    """Collect a topic table (bounded: checked against the limit per pass times 16).
-
-    The (small, aggregated) table is cached between the size check and the
-    collect, so its input is scanned once.
-    """
-    from pyspark import StorageLevel
-
-    t = spark_df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = t.count()
-        if n > MAX_TOPICS_PER_PASS * 16:
-            raise ValueError(f"{n} topic vectors: too many to inline; cluster them first")
-        return [(r["topic"], list(r["vec"])) for r in t.collect()]
-    finally:
-        t.unpersist()
+    """Exact squared-L2 top-k items per (group, topic); ``topics``: (topic, vec)."""
+    all_topics = topics.agg(F.sort_array(F.collect_list(F.struct("topic", "vec")))).scalar()
+    items = items.select(*group, id_col, vec, all_topics.alias("_topics"))
+    d = F.transform("_topics", lambda t: F.struct(t["topic"].alias("topic"), _sq_dist(F.col(vec), t["vec"]).alias("dist")))
+    x = items.select(*group, id_col, F.explode(d).alias("d")).select(
+        *group, id_col, F.col("d.topic").alias("topic"), F.col("d.dist").alias("dist"))
+    w = Window.partitionBy(*group, "topic").orderBy("dist", id_col)
+    r = (x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+         .withColumn("rank", F.col("rank").cast("bigint")))
+    return r.withColumn("dist", F.round("dist", DIST_SCALE))
 
 
 def topic_context(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "chunk") -> DataFrame:
@@ -113,18 +89,18 @@ def topic_context(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_co
                     .alias("context")))
 
 
-def answers(companies: DataFrame, contexts: DataFrame, topics: list, summarize=None) -> DataFrame:
+def answers(companies: DataFrame, contexts: DataFrame, topics: DataFrame, summarize=None) -> DataFrame:
     """An answer for every company x sentiment x source x topic.
 
-    The domain is generated per company with ``explode`` of a literal array
-    (no join of domains); missing contexts read "No reviews found".
+    The domain is generated per company with ``explode`` of arrays, the topics'
+    one a scalar subquery (no join of domains); missing contexts read "No reviews found".
     ``summarize`` maps a context column to a summary column (default:
     extractive = the context itself); a model plugs in via ``summarize_with``.
     """
-    dom = F.array(*[F.struct(F.lit(s).alias("sentiment"), F.lit(src).alias("source"), F.lit(t).alias("topic"))
-                    for s in SENTIMENTS for src in SOURCES for t in topics])
-    grid = companies.select("company", F.explode(dom).alias("d")).select(
-        "company", "d.sentiment", "d.source", "d.topic")
+    dom = F.array(*[F.struct(F.lit(s).alias("sentiment"), F.lit(src).alias("source")) for s in SENTIMENTS for src in SOURCES])
+    names = topics.agg(F.collect_set("topic")).scalar()
+    grid = companies.select("company", names.alias("_topics"), F.explode(dom).alias("d")).select(
+        "company", "d.sentiment", "d.source", F.explode("_topics").alias("topic"))
     j = grid.join(contexts, [*GROUP, "topic"], "left")
     summary = summarize(F.col("context")) if summarize else F.col("context")
     return j.select(*GROUP, "topic", F.coalesce(summary, F.lit(NO_REVIEWS)).alias("answer"))

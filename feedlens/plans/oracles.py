@@ -499,7 +499,13 @@ SELECT id, company, date FROM scored WHERE sentiment = 'negative' AND source = '
                        ctes=_retr_cte()),
     "topic_context": W("SELECT * FROM ctx", ctes=_retr_cte()),
     "answers": W("SELECT * FROM ans", ctes=_retr_cte()),
-    "answers_upsert": W("SELECT * FROM ans", ctes=_retr_cte("WHERE date >= TIMESTAMP '2024-01-15'")),
+    "answers_upsert": W(f"""
+SELECT * FROM (WITH {_retr_cte("WHERE date >= TIMESTAMP '2024-01-15' AND NOT regexp_matches(company, '[123]$')").strip()}
+               SELECT * FROM ans)
+UNION ALL
+SELECT * FROM (WITH {_retr_cte("WHERE date < TIMESTAMP '2024-01-15'").strip()}
+               SELECT * FROM ans) WHERE company NOT IN (
+  SELECT company FROM scored WHERE date >= TIMESTAMP '2024-01-15' AND NOT regexp_matches(company, '[123]$'))"""),
     "answers_read": W("SELECT * FROM ans WHERE company = 'src0'", ctes=_retr_cte()),
 })
 
@@ -549,7 +555,7 @@ SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutra
 SELECT s.id, s.company, s.sentiment, s.location, CAST(g.lon AS DOUBLE) AS lon, CAST(g.lat AS DOUBLE) AS lat
 FROM scored s
 JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.0), ('UK', -3.0, 55.0),
-             ('de', 10.0, 51.0), ('fr', 2.0, 46.0), ('en', -3.0, 55.0)) g(location, lon, lat)
+             ('de', 10.0, 51.0), ('fr', 2.0, 46.0), ('en', -3.0, 55.0), ('es', -4.0, 40.0)) g(location, lon, lat)
   ON g.location = s.location WHERE s.source = 'trustpilot'"""),
 })
 

@@ -38,16 +38,14 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 10_000) -> str:
     """Array-of-records JSON files (the dataset shape the training reader expects).
 
-    Rows are spread over ``ceil(n / rows_per_file)`` hash buckets, one JSON
-    array per bucket, so no file (and no task) holds more than about
-    ``rows_per_file`` records whatever the input size.
+    Each partition's rows are numbered and cut into runs of ``rows_per_file``, one
+    JSON array per run: no file holds more records, equal rows or not, and nothing
+    is counted first.
     """
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
-    b = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
+    b = F.floor(F.monotonically_increasing_id() / rows_per_file)
     arrays = (df.withColumn("_b", b).groupBy("_b")
               .agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")))
-    arrays.select("value").write.mode("overwrite").text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)  # an array is a file
     return path
 
 
@@ -81,17 +79,18 @@ def read_doc_store(spark: SparkSession, path: str, company: str | None = None) -
     return df if company is None else df.filter(F.col("company") == F.lit(company))
 
 
-# Location to [longitude, latitude] lookup, with the language codes seen in reviews.
+# Longitude and latitude by location: country names as reviewers give them, and for the test tables,
+# whose reviews have a language instead, a country of each language.
 LOCATIONS = [
     ("USA", -100.0, 40.0), ("Germany", 10.0, 51.0), ("France", 2.0, 46.0), ("UK", -3.0, 55.0),
-    ("de", 10.0, 51.0), ("fr", 2.0, 46.0), ("en", -3.0, 55.0),
+    ("de", 10.0, 51.0), ("fr", 2.0, 46.0), ("en", -3.0, 55.0), ("es", -4.0, 40.0),
 ]
 
 
 def geo_points(spark: SparkSession, tp: DataFrame) -> DataFrame:
     """Trustpilot rows with coordinates; unmatched locations are dropped (inner join).
 
-    The lookup is a fixed 7-row literal table, so broadcasting it is safe at any scale.
+    The lookup is a literal table of a few rows, so broadcasting it is safe at any scale.
     """
     lut = spark.createDataFrame(LOCATIONS, "location string, lon double, lat double")
     return tp.join(F.broadcast(lut), "location").select("id", "company", "sentiment", "location", "lon", "lat")

@@ -94,6 +94,6 @@ def test_nearest_ties_and_small_groups(spark):
             ("d", "negative", "reddit", 9, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "company string, sentiment string, source string, id long, "
                                      "embedding array<float>")
-    hits = nearest(df, [("t", [1.0, 0.0])], k=3)
+    hits = nearest(df, spark.createDataFrame([("t", [1.0, 0.0])], "topic string, vec array<double>"), k=3)
     got = sorted((r.company, r.rank, r.id) for r in hits.collect())
     assert got == [("c", 1, 1), ("c", 2, 2), ("c", 3, 3), ("d", 1, 9)]
