@@ -323,11 +323,11 @@ SELECT id, company, stars, date, rank FROM (
   FROM scored WHERE source = 'trustpilot')
 WHERE rank <= CASE WHEN stars = 3 THEN 6 ELSE 3 END"""),
     "train_set": W("""
-SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+SELECT id, text, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
   WHEN 'positive' THEN 2 END AS sentiment_encoded FROM (
-  SELECT id, sentiment, 'trustpilot' AS source FROM scored
+  SELECT id, text, sentiment, 'trustpilot' AS source FROM scored
   WHERE source = 'trustpilot' AND (stars NOT IN (2, 4) OR stars IS NULL)
-  UNION ALL SELECT id, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
+  UNION ALL SELECT id, text, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
     "cap_per_item": W("""
 SELECT * FROM (SELECT id, company, videoid, date,
   row_number() OVER (PARTITION BY company, videoid ORDER BY date, id) AS rank
@@ -545,11 +545,11 @@ SELECT company, text, CAST(date AS VARCHAR) AS date, videoid AS yt_videoid,
   CASE WHEN sentiment = 'neutral' THEN 'other-comments' ELSE 'product-feedback' END AS topic, sentiment
 FROM scored WHERE source = 'youtube'"""),
     "json_roundtrip": W("""
-SELECT id, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
+SELECT id, text, sentiment, source, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1
   WHEN 'positive' THEN 2 END AS sentiment_encoded FROM (
-  SELECT id, sentiment, 'trustpilot' AS source FROM scored
+  SELECT id, text, sentiment, 'trustpilot' AS source FROM scored
   WHERE source = 'trustpilot' AND (stars NOT IN (2, 4) OR stars IS NULL)
-  UNION ALL SELECT id, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
+  UNION ALL SELECT id, text, sentiment, 'youtube' FROM scored WHERE source = 'youtube')"""),
     "doc_store": W("SELECT company, source, date, text, sentiment FROM scored"),
     "geo_points": W("""
 SELECT s.id, s.company, s.sentiment, s.location, CAST(g.lon AS DOUBLE) AS lon, CAST(g.lat AS DOUBLE) AS lat

@@ -163,7 +163,7 @@ QUERIES.update({
         _scored(s, d).filter(F.col("source") == "trustpilot").select("id", "company", "stars", "date"), 3),
     "train_set": lambda s, d: DS.train_set(
         _scored(s, d).filter(F.col("source") == "trustpilot"),
-        _scored(s, d).filter(F.col("source") == "youtube")).drop("text"),
+        _scored(s, d).filter(F.col("source") == "youtube")),
     "cap_per_item": lambda s, d: DS.cap_per_item(
         _scored(s, d).filter(F.col("source") == "youtube").select("id", "company", "videoid", "date"),
         "videoid", 3),
@@ -347,14 +347,14 @@ def _keyed_rows(spark, sf):
 
 def _json_roundtrip(spark, sf):
     df = DS.train_set(_scored(spark, sf).filter(F.col("source") == "trustpilot"),
-                      _scored(spark, sf).filter(F.col("source") == "youtube")).drop("text")
+                      _scored(spark, sf).filter(F.col("source") == "youtube"))
     path = FS.write_json(df, FS.scratch_path(spark, "json"))
     return FS.read_json(spark, path, df.schema)
 
 
 def _train_rows(spark, sf):
     return DS.train_set(_scored(spark, sf).filter(F.col("source") == "trustpilot"),
-                        _scored(spark, sf).filter(F.col("source") == "youtube")).drop("text")
+                        _scored(spark, sf).filter(F.col("source") == "youtube"))
 
 
 def _json_write(spark, sf):
