@@ -23,7 +23,7 @@ def test_no_cartesian_products(spark, name):
     assert "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", ["ngram_top100", "word_cloud", "top_bigrams", "quota_sample", "retrieve_topk",
+@pytest.mark.parametrize("name", ["ngram_top100", "top_bigrams", "quota_sample", "retrieve_topk",
                                   "cap_per_item", "newest_unseen"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     p = plan(QUERIES[name](spark, SMALL))
