@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import fold, mixed, python_ready, released, rows_of, texts, words_of
+from feedlens.llm.common import fold, mixed, python_ready, released, rows_of, texts, words_of, written
 from feedlens.session import checkpoint_dir
 
 K = 5
@@ -361,6 +361,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     context_hot = np.unique(np.append(hot[0], BEGIN))
     parts = tables.write(ranges.applyInArrow(scores, OUT), "scores", "dest", 1 << bits)
+    # The scores hold all that is needed of the n-gram table but the documents of each block: the table can go.
+    rows = written(spark, grams.where("range = -1").select(F.lit("r").alias("kind"), "block", F.col("words").alias("a"), F.col("pairs").alias("b"),
+                                                           F.col("ctx").alias("c"), F.col("cnt").alias("d")), "blocks")
+    tables.drop("grams")
     counts_hot = np.where(context_hot == BEGIN, n_docs, 0)
     is_w, at_w = _is_in(context_hot, hot[0])
     counts_hot = np.where(is_w, totals[0][at_w], counts_hot)
@@ -423,8 +427,6 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                  pa.array(np.full(len(ids), n_train)), pa.array(b - n * norm), pa.array(s + start)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = grams.where("range = -1").select(F.lit("r").alias("kind"), "block", F.col("words").alias("a"), F.col("pairs").alias("b"),
-                                            F.col("ctx").alias("c"), F.col("cnt").alias("d"))
     sums = parts.where("kind = 'd'").unionByName(corrected).select("kind", "block", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
     return rows.unionByName(sums).groupBy("block").applyInArrow(
         gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
