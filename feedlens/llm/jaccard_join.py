@@ -134,18 +134,21 @@ def entries(docs: DataFrame, sketch) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the rows whose one member document is in ``wanted`` (doc_id, key)."""
+    """(key, shingles) of the rows whose one member document is in ``wanted`` (doc_id, key); once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
-                keys = [set_key(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+                sets = {set_key(s): s.view(np.int64) for s in map(shingle_set, part.column(1).to_pylist()) if len(s)}
+                new = [k for k in sets if k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[k] for k in new], pa.list_(pa.int64()))], ["key", "shingles"])
 
+    # Repeated rows of one doc_id may give a key from several tasks: links are made distinct later.
     chosen = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    return chosen.select("doc_id", "text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+    return chosen.select("doc_id", "text").mapInArrow(run, "key long, shingles array<long>")
 
 
 _BOUND = "least({a}n - {a}pos, {b}n - {b}pos) >= CAST(ceil(3 * ({a}n + {b}n) / 7) AS INT)"
