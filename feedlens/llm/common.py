@@ -44,7 +44,8 @@ def written(spark: SparkSession, df: DataFrame, name: str, few: bool = False) ->
     """
     path = f"{checkpoint_dir(spark).rstrip('/')}/feedlens-llm/{name}-{uuid.uuid4().hex}"
     out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
-    out.write.option("compression", "zstd").parquet(path)
+    # Row groups of 16 MB: tables that hold texts are read back by enough tasks.
+    out.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Window
 
 from feedlens.llm.common import texts, written
 
-EXACT, SIGNS = 8, 96
+EXACT, SIGNS = 8, 48
 #: Each packed sum holds two sign lanes of 32 bits.
 PACKED = SIGNS // 2
 _MASK = "4294967297L"  # 1 in each half of a long
