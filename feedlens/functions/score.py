@@ -69,11 +69,6 @@ def gated_sentiment(topic: Column, model_label: Column) -> Column:
             .otherwise(model_label))
 
 
-def prob_columns(probabilities: Column) -> list[Column]:
-    """Probability array to three named columns (NULL when the array is NULL)."""
-    return [F.get(probabilities, i).alias(f"{name}_probability") for i, name in enumerate(SENTIMENTS)]
-
-
 # --- F1: pluggable model scorer ------------------------------------------------------------
 
 ScorerFactory = Callable[[], Callable[[list[str]], list[list[float]]]]

@@ -73,14 +73,6 @@ def parse_date(s: Column) -> Column:
     return F.when(ok, local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0)))
 
 
-def normalize_dates(df: DataFrame, col: str = "date") -> tuple[DataFrame, DataFrame]:
-    """P2 job: (parsed rows, rejected rows). Unparsable dates go to the reject output."""
-    p = df.withColumn("_ts", parse_date(F.col(col)))
-    good = p.filter(F.col("_ts").isNotNull()).withColumn(col, F.col("_ts")).drop("_ts")
-    bad = p.filter(F.col("_ts").isNull()).drop("_ts")
-    return good, bad
-
-
 #: Where a row came from, when the source says so: part of the id.
 POSITION = ["topic", "partition", "offset", "row"]
 
