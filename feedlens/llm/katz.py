@@ -47,7 +47,9 @@ from feedlens.session import checkpoint_dir
 
 K = 5
 BLOCK = 1_000_000          # tokens held by one task at a time
-RANGE_BYTES = 24_000_000   # text bytes per range of words
+RANGE_BYTES = 24_000_000   # text bytes per range of words: what a task holds at a time grows no further
+BUCKET_BITS = 6            # the ranges lie in 2**BUCKET_BITS buckets, one task each
+MERGE_BYTES = 64_000_000   # documents' sums that a task gathers over its ranges before it sends them on
 HOT_TEXTS, HOT_SHARE, HOT_MOST = 500, 0.002, 500
 END, BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n end")), np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -256,7 +258,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     docs = texts(docs, id_col, text_col)
     docs = docs.withColumn("held", F.coalesce(fold(F.col("doc_id"), folds) == hold, F.lit(False)))
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
+    bits = max(BUCKET_BITS, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
     hot, tables = hot_keys(docs), _Tables(spark)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +279,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield _block_rows(base + nth, ids, tok, sizes, doc_ids, train, bits, hot)
             released()
 
-    grams = tables.write(docs.select("doc_id", "text", "held").mapInArrow(blocks, BLOCKS), "grams", "range", 1 << bits)
-    ranges = grams.where("range >= 0").groupBy("range")
+    found = docs.select("doc_id", "text", "held").mapInArrow(blocks, BLOCKS)
+    found = found.withColumn("bucket", F.shiftright("range", bits - BUCKET_BITS))
+    grams = tables.write(found, "grams", "bucket", 1 << BUCKET_BITS)
+    ranges = grams.where("range >= 0").groupBy("bucket", "range")
 
     def counts(t: pa.Table) -> pa.Table:
         r = _Range(t, hot)
@@ -359,8 +363,36 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         released()
         return pa.Table.from_batches([_batch(rows, OUT)])
 
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums of one block's documents over all ranges of the task are one row: they do not grow with the ranges.
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, v in held.items():
+                yield _batch([("d", block % (1 << bits), block, *(x.tobytes() for x in v))], OUT)
+            held.clear()
+
+        for t in batches:
+            is_d = np.array([k == "d" for k in t["kind"].to_pylist()], bool)
+            if not is_d.all():
+                yield t.filter(pa.array(~is_d))
+            t = t.filter(pa.array(is_d))
+            for i, block in enumerate(t["block"].to_pylist()):
+                new = [np.frombuffer(t[c][i].as_buffer(), x) for c, x in (("a", np.float64), ("b", np.float64), ("c", np.uint32))]
+                old = held.get(block)
+                if old is None or len(old[0]) < len(new[0]):
+                    new, old = [x.copy() for x in new], old or [x[:0] for x in new]
+                    held[block] = new
+                else:
+                    new, old = old, new
+                for x, y in zip(new, old):
+                    x[:len(y)] += y
+            if sum(x.nbytes for v in held.values() for x in v) > MERGE_BYTES:
+                yield from flush()
+        yield from flush()
+
     context_hot = np.unique(np.append(hot[0], BEGIN))
-    parts = tables.write(ranges.applyInArrow(scores, OUT), "scores", "dest", 1 << bits)
+    parts = tables.write(ranges.applyInArrow(scores, OUT).mapInArrow(merged, OUT), "scores", "dest", 1 << BUCKET_BITS)
     # The scores hold all that is needed of the n-gram table but the documents of each block: the table can go.
     rows = written(spark, grams.where("range = -1").select(F.lit("r").alias("kind"), "block", F.col("words").alias("a"), F.col("pairs").alias("b"),
                                                            F.col("ctx").alias("c"), F.col("cnt").alias("d")), "blocks")
