@@ -22,6 +22,9 @@ SHINGLE, SIMILARITY = 5, 0.75
 #: Rows up to which a narrow table of ids or keys (16 bytes a row) is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Column of the row key that :func:`numbered` adds.
+ROW = "__row"
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +64,19 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def numbered(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with a key of its own for every row, written; a table that has it is given back as it is.
+
+    The key (a long, not negative) follows the order of ``id_col``, null ids last. Equal ids are
+    ordered arbitrarily, and spread over tasks however many there are.
+    """
+    if ROW in docs.columns:
+        return docs
+    plain = docs.withColumn(ROW, F.monotonically_increasing_id())
+    in_order = plain.orderBy(F.col(id_col).isNull(), F.col(id_col).cast("long"), ROW)
+    return written(spark, in_order.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def released() -> None:
     """Give freed memory back to the system: workers are reused by later stages, which have their own needs."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from feedlens.llm.common import ascii_lower, small, texts, written
+from feedlens.llm.common import ROW, ascii_lower, numbered, small, texts, written
 
 MAX_DEPTH = 14   # directory of at most 16,384 slots
 SALTS = 32       # overflow pages of a chained bucket
@@ -121,7 +121,14 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_last(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less the duplicates."""
-    gone = exact_groups(spark, docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    gone = written(spark, gone, "gone")
-    return docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs``, all columns, less the duplicates: one row of each group stays, one with the largest id.
+
+    Decided by row: rows with one id, or none, are told apart by their texts.
+    """
+    rows = numbered(spark, docs, id_col)
+    # Row keys without an id lie below all others: they never win over a number.
+    flipped = -1 - F.col(ROW)
+    own = rows.withColumn(ROW, F.when(F.col(id_col).isNull(), flipped).otherwise(F.col(ROW)))
+    gone = exact_groups(spark, own, ROW, text_col).where("NOT kept").select(F.col("doc_id").alias(ROW))
+    gone = written(spark, gone.select(F.when(F.col(ROW) < 0, flipped).otherwise(F.col(ROW)).alias("__gone")), "gone")
+    return rows.join(small(gone), rows[ROW] == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from feedlens.llm.common import python_ready, rows_of, shingle_hashes, small, texts, word_hashes, written
+from feedlens.llm.common import ROW, numbered, python_ready, rows_of, shingle_hashes, small, texts, word_hashes, written
 from feedlens.llm.components import components
 
 #: Counters of the frequency sketch: one byte each when broadcast, at any input.
@@ -210,8 +210,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less all but the smallest doc_id of each component."""
-    gone = (jaccard_components(spark, docs, id_col, text_col).where("doc_id <> component_id")
+    """The rows of ``docs``, all columns, less all but one row of each component: one with the smallest id, null ids last.
+
+    Decided by row: rows with one id, or none, are told apart by their texts.
+    """
+    rows = numbered(spark, docs, id_col)
+    gone = (jaccard_components(spark, rows, ROW, text_col).where("doc_id <> component_id")
             .select(F.col("doc_id").alias("__gone")))
     gone = written(spark, gone, "gone")
-    return docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    return rows.join(small(gone), rows[ROW] == F.col("__gone"), "left_anti").select(*docs.columns)
