@@ -4,11 +4,10 @@ The vocabulary of a public BPE model (pieces, scores, byte fallback) is read
 from its file; nothing is trained. A text is encoded as the model does it: a space
 becomes U+2581, one is put in front, and the best-scored merge of neighbouring
 symbols is applied until none is left. Dropout skips a candidate merge when the
-keyed hash of (seed, variant, merged piece, position) falls below ``dropout``, so a
-seed always gives the same segmentation and another seed gives another one. The
-variant of a word (one of ``VARIANTS``) is drawn by a keyed hash of the text and
-of the word's place in it: one word is segmented differently in different
-places, and the segmentations of (word, variant) can be remembered.
+keyed hash of (seed, text, place of the word in the text, merged piece, position) falls below
+``dropout``, so a seed always gives the same segmentation and another seed gives another
+one, and every occurrence of a word draws its own merges. Which of a word's possible merges an
+occurrence skips decides its segmentation: that is remembered by (word, skipped merges).
 
 Decoding joins the pieces' bytes. It is lossless for every text: symbols without a
 piece, and a literal U+2581, are spelt in bytes. ``dropout=0`` gives the model's own ids.
@@ -39,11 +38,11 @@ INFINITE = float("inf")
 
 
 class Pieces:
-    """One model's pieces with a remembered segmentation of each (word, variant)."""
+    """One model's pieces with a remembered segmentation of each (word, skipped merges)."""
 
-    LIMIT = 600_000
+    LIMIT = 300_000
 
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,9 +56,12 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.id[p], self.rank[p] = i, (-sp.get_score(i), i)
                 self.bytes[i] = p.replace(SPACE, " ").encode()
-        self.seed, self.variants, self.threshold = seed, max(1, variants if dropout else 1), int(dropout * (1 << 32))
-        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}".encode()) & 0xFFFFFFFF for v in range(self.variants)]
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.seed, self.threshold = seed, int(dropout * (1 << 32))
+        self.longest = max(map(len, self.rank), default=0)
+        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}".encode()) & 0xFFFFFFFF for v in range(VARIANTS)]
+        #: word -> (hash constants of its possible merges, their number, ids by skipped merges); size counts the ids.
+        self.known: dict[str, tuple[bytes, int, dict[bytes, bytes]]] = {}
+        self.size = 0
 
     def offer(self, piece: str, key: int, at: int) -> float:
         """Priority of a candidate merge (less is better); infinite when it is no piece or is skipped."""
@@ -125,17 +127,44 @@ class Pieces:
         return [s for s in sym if s is not None]
 
     def segment(self, word: str, variant: int) -> bytes:
-        """ids (little-endian uint32) of one word; ``word`` starts with its spaces as plain spaces."""
+        """ids of one word under one of ``VARIANTS`` fixed keys."""
+        return self.drawn(word, self.keys[variant])
+
+    @staticmethod
+    def symbols(word: str) -> list[str]:
         body = word.lstrip(" ")
-        n = len(word) - len(body)
         # A literal U+2581 is no space: as a symbol it has no piece.
-        symbols = [SPACE] * n + [c if c != SPACE else "\0" + c for c in body]
+        return [SPACE] * (len(word) - len(body)) + [c if c != SPACE else "\0" + c for c in body]
+
+    def drawn(self, word: str, key: int) -> bytes:
+        """ids (little-endian uint32) of one word under ``key``; ``word`` starts with its spaces as plain spaces."""
         ids: list[int] = []
-        for s in self.merged(symbols, self.keys[variant]):
+        for s in self.merged(self.symbols(word), key):
             i = self.id.get(s)
             ids += [i] if i is not None else [self.byte_id[b] for b in s.lstrip("\0").encode("utf-8", "surrogatepass") or b"\0"]
         return np.array(ids, "<u4").tobytes()
 
+    def learnt(self, word: str) -> tuple[bytes, int, dict[bytes, bytes] | None]:
+        """The word's entry in ``known``: its possible merges are the pieces that two possible parts make."""
+        sym = self.symbols(word)
+        if len(sym) > 48:
+            return b"", 0, None  # not remembered
+        if self.size >= self.LIMIT:
+            self.known.clear()
+            self.size = 0
+        n, start, out = len(sym), list(itertools.accumulate(map(len, sym), initial=0)), []
+        made = {(i, i + 1) for i in range(n)}
+        if self.threshold:
+            for width in range(2, min(n, self.longest) + 1):
+                for i in range(n - width + 1):
+                    s = self.rank.get("".join(sym[i:i + width]))
+                    if s is not None and any((i, k) in made and (k, i + width) in made for k in range(i + 1, i + width)):
+                        made.add((i, i + width))
+                        out.append((s[1] * 0x9E3779B1 + start[i] * 0x85EBCA77) & 0xFFFFFFFF)
+        self.size += 1
+        e = self.known[word] = (np.array(out, np.uint32).tobytes(), len(out), {})
+        return e
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -151,21 +180,27 @@ class Pieces:
             words = [*joined, " " * spaces + words[-1]]
         else:
             words = [" " + w for w in words]
-        if self.variants == 1:
-            which = itertools.repeat(0)
-        else:
-            base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF)
-            x = (np.arange(len(words), dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            which = ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        known, out = self.known, []
-        for w, v in zip(words, which):
-            b = known[v].get(w)
+        known, out, at = self.known, [], 0
+        entries = [known.get(w) or self.learnt(w) for w in words]
+        base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF)
+        x = (np.arange(len(words), dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        keys = (x >> np.uint64(32)).astype(np.uint32)
+        # As in offer(), for all possible merges of all words at once.
+        x = np.repeat(keys, [e[1] for e in entries]) + np.frombuffer(b"".join([e[0] for e in entries]), np.uint32)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        skipped = ((x ^ (x >> np.uint32(13))) < np.uint64(self.threshold)).tobytes()
+        for n, (_, size, ids) in enumerate(entries):
+            if ids is None:
+                out.append(self.drawn(words[n], int(keys[n])))
+                continue
+            these = skipped[at:at + size]
+            at += size
+            b = ids.get(these)
             if b is None:
-                if len(known[v]) >= self.LIMIT // self.variants:
-                    known[v].clear()
-                b = known[v][w] = self.segment(w, v)
+                b = ids[these] = self.drawn(words[n], int(keys[n]))
+                self.size += 1
             out.append(b)
         return b"".join(out)
 
@@ -176,17 +211,17 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str, seed: int, dropout: float, variants: int) -> Pieces:
-    return Pieces(path, seed, dropout, variants)
+def pieces(path: str, seed: int, dropout: float) -> Pieces:
+    return Pieces(path, seed, dropout)
 
 
-def encode(spark: SparkSession, docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS,
+def encode(spark: SparkSession, docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPOUT,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row."""
     python_ready(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model, seed, dropout, variants)
+        p = pieces(model, seed, dropout)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -203,7 +238,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model: str, id_col: str = "d
     python_ready(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model, SEED, 0.0, 1)
+        p = pieces(model, SEED, 0.0)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
