@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import exact_dedup, fingerprints, jaccard_join, katz, packing, pieces, quality, toxicity, url_filter, windows
+from feedlens.llm import (divergence, exact_dedup, fill_middle, fingerprints, jaccard_join, katz, packing, pieces, quality,
+                          toxicity, url_filter, voronoi, windows)
 from feedlens.sources.tables import table
 
 
@@ -59,6 +60,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.search(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op7_fingerprints": op7_fingerprints,
@@ -70,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_voronoi": op11_voronoi,
+    "op12_divergence": op12_divergence,
+    "op13_fill_middle": op13_fill_middle,
 }
