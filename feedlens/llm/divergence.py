@@ -98,24 +98,44 @@ class Block:
     def entries(self) -> int:
         return sum(map(len, self.docs.values())) + sum(len(c) for by_source in self.counts.values() for c in by_source.values())
 
-    def segments(self, shards: int, run: int) -> Iterator[dict]:
-        """The block's terms in order, by shard."""
+    def segments(self, shards: int, run: int) -> Iterator[pa.RecordBatch]:
+        """The block's terms in order, by shard: a batch for each lang."""
         for lang, docs in sorted(self.docs.items()):
+            terms = sorted(docs)
+            if not terms:
+                continue
             names = sorted(self.counts[lang])
-            postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-            for i, name in enumerate(names):
-                for term, c in self.counts[lang][name].items():
-                    postings[term].append((i, c))
-            by_shard: dict[int, list[bytes]] = defaultdict(list)
             salt = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
-            for term in sorted(docs):
-                by_shard[zlib.crc32(term, salt) % shards].append(term)
-            for shard, terms in by_shard.items():
-                for at in range(0, len(terms), SEGMENT):
-                    part = terms[at:at + SEGMENT]
-                    flat = [p for t in part for p in postings[t]]
-                    yield {"shard": shard, "lang": lang, "first": part[0], "run": run, "terms": part, "docs": [docs[t] for t in part],
-                           "sizes": [len(postings[t]) for t in part], "sources": names, "source": [i for i, _ in flat], "counts": [c for _, c in flat]}
+            shard = np.fromiter((zlib.crc32(t, salt) % shards for t in terms), np.int32, len(terms))
+            order = np.argsort(shard, kind="stable")  # the terms by (shard, term)
+            rank = np.empty(len(terms), np.int64)
+            rank[order] = np.arange(len(terms))
+            place = dict(zip(terms, rank.tolist()))
+            by_source = [self.counts[lang][name] for name in names]
+            at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source])
+            source = np.repeat(np.arange(len(names), dtype=np.int32), [len(c) for c in by_source])
+            postings = np.argsort(at, kind="stable")
+            sizes = np.bincount(at, minlength=len(terms)).astype(np.int32)
+            # Where segments begin: at a new shard, and at every SEGMENT-th term of a shard.
+            shard = shard[order]
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            within = np.arange(len(terms)) - np.repeat(first, np.diff(np.r_[first, len(terms)]))
+            begin = np.flatnonzero(within % SEGMENT == 0)
+            of_terms = pa.array(np.r_[begin, len(terms)].astype(np.int32))
+            of_postings = pa.array(np.r_[0, np.cumsum(sizes)][np.r_[begin, len(terms)]].astype(np.int32))
+            ordered = pa.array([terms[i] for i in order.tolist()], pa.binary())
+            n = len(begin)
+            lists = {
+                "terms": pa.ListArray.from_arrays(of_terms, ordered),
+                "docs": pa.ListArray.from_arrays(of_terms, pa.array(np.fromiter((docs[terms[i]] for i in order.tolist()), np.int64, len(terms)))),
+                "sizes": pa.ListArray.from_arrays(of_terms, pa.array(sizes)),
+                "sources": pa.array([names] * n, pa.list_(pa.string())),
+                "source": pa.ListArray.from_arrays(of_postings, pa.array(source[postings])),
+                "counts": pa.ListArray.from_arrays(of_postings, pa.array(count[postings])),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), pa.array([lang] * n, pa.string()), ordered.take(pa.array(begin)),
+                                              pa.array([run] * n, pa.int64()), *lists.values()], schema=_RUN)
 
 
 def spilled(batches: Iterator[pa.RecordBatch], shards: int, postings: int) -> Iterator[pa.RecordBatch]:
@@ -131,9 +151,9 @@ def spilled(batches: Iterator[pa.RecordBatch], shards: int, postings: int) -> It
             if since >= PIECE:  # a byte adds less than one entry
                 since = 0
                 if block.entries() >= postings:
-                    yield from _as_batches(block.segments(shards, run), _RUN)
+                    yield from block.segments(shards, run)
                     block, run = Block(), run + 1
-    yield from _as_batches(block.segments(shards, run), _RUN)
+    yield from block.segments(shards, run)
 
 
 def _as_batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 64) -> Iterator[pa.RecordBatch]:
@@ -169,6 +189,21 @@ class Cursor:
         return docs
 
 
+def segments_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of ``RUN``, their lists as Python lists; a few rows at a time."""
+    for at in range(0, batch.num_rows, 16):
+        part = batch.slice(at, 16)
+        lists = {}
+        for name in ("terms", "docs", "sizes", "source", "counts"):
+            column = part.column(name)
+            flat = column.flatten()
+            values = flat.to_pylist() if name == "terms" else flat.to_numpy().tolist()
+            ends = np.cumsum(np.diff(column.offsets.to_numpy())).tolist()
+            lists[name] = [values[start:end] for start, end in zip([0, *ends], ends)]
+        for i, (shard, lang, first, run, sources) in enumerate(zip(*(part.column(n).to_pylist() for n in ("shard", "lang", "first", "run", "sources")))):
+            yield {"shard": shard, "lang": lang, "first": first, "run": run, "sources": sources} | {n: x[i] for n, x in lists.items()}
+
+
 def merged(rows: Iterator[dict], min_docs: int) -> Iterator[dict]:
     """Frequencies of the terms in ``min_docs`` documents; ``rows``: segments of one (shard, lang) in the order of ``first``."""
     heap: list[Cursor] = []
@@ -204,7 +239,7 @@ def frequencies(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS,
         return spilled(batches, shards, postings)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for at in range(0, b.num_rows, 16) for r in b.slice(at, 16).to_pylist())
+        rows = (r for b in batches for r in segments_of(b))
         by_shard = ((lang, merged(segments, min_docs)) for (_, lang), segments in groupby(rows, lambda r: (r["shard"], r["lang"])))
         yield from _as_batches(({"lang": lang} | term for lang, terms in by_shard for term in terms), _FREQUENCY, 1_000)
 

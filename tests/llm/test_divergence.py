@@ -99,7 +99,7 @@ def test_runs_are_spilled_in_order_and_merged(monkeypatch, segment):
     for at in range(0, len(rows), 50):
         t, lang, s = zip(*rows[at:at + 50])
         batches.append(pa.RecordBatch.from_arrays([pa.array(lang), pa.array(s), pa.array([x.encode() for x in t], pa.binary())], ["lang", "source", "text"]))
-    runs = [r for b in divergence.spilled(iter(batches), 4, 30) for r in b.to_pylist()]
+    runs = [r for b in divergence.spilled(iter(batches), 4, 30) for r in divergence.segments_of(b)]
     assert len({r["run"] for r in runs}) > 10
     assert all(r["terms"] == sorted(r["terms"]) and r["first"] == r["terms"][0] for r in runs)
     runs.sort(key=lambda r: (r["shard"], r["lang"], r["first"], r["run"]))
