@@ -384,7 +384,7 @@ def _paged(spark, sf):
 QUERIES.update({
     "page_title_text": lambda s, d: PG.page_title_text(table(s, d, "pages")),
     "page_json_reviews": lambda s, d: PG.page_json_reviews(PG.review_pages(_paged(s, d), F.col("page"))),
-    "review_blocks": lambda s, d: PG.review_blocks(PG.block_pages(_paged(s, d), F.col("page"))),
+    "review_blocks": lambda s, d: PG.review_blocks(PG.block_pages(_paged(s, d), F.col("page"), F.pmod(F.xxhash64("id"), F.lit(4)))),
     "nested_submissions": lambda s, d: IN.nested_submissions(IN.submission_payloads(
         reviews(s, d).filter(F.col("source") == "reddit"), F.floor(F.col("id").cast("bigint") / 300))),
     "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d))),

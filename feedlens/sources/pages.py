@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens.operators.parallel import spread
+from feedlens.sources.markup import attribute, blocks_of, element_text, first_element, has_class, nested, tag_events
 
 # Defaults for a review block without title or paragraph.
 NO_TITLE = "No Title"
@@ -54,44 +55,87 @@ HEADER_CLASS = "styles_reviewHeader__iU9Px"
 CONTENT_CLASS = "styles_reviewContent__0Q2Tg"
 
 
-def review_blocks(pages: DataFrame, company_col: str = "company") -> DataFrame:
-    """Every review block of a page; header and content are paired by their position.
+def review_blocks(pages: DataFrame, company_col: str = "company", key: tuple[str, ...] = ("company", "page")) -> DataFrame:
+    """Every review block of a page; the n-th header belongs to the n-th content block.
 
-    Title and paragraph default when the block lacks them; a block without a whole
-    rating or without a time is left out. More than 3 stars are positive, fewer
-    negative, 3 neutral.
+    A page is cut into tag events and texts (``sources.markup``); a block is all that
+    stands between a ``div`` whose class list has the block's class and that div's own closing
+    tag, however many divs are nested in it. Title: the first ``h2`` of the content, text: its
+    first ``p``, each with the texts of all its descendants; they default when the block lacks them.
+    A block without a whole rating or without a time is left out. More than 3 stars are
+    positive, fewer negative, 3 neutral.
+
+    ``key`` identifies a page: its events are ordered in one exchange on the key, no more than a
+    page in one window. A block inside a block of its own class takes its texts from the outer one.
+    Null and empty pages, and pages without blocks, give no rows.
     """
-    heads = F.regexp_extract_all("html", F.lit(rf'(?is)<div[^>]*class="{HEADER_CLASS}"[^>]*>.*?</div>'), F.lit(0))
-    bodies = F.regexp_extract_all("html", F.lit(rf'(?is)<div[^>]*class="{CONTENT_CLASS}"[^>]*>(.*?)</div>'), F.lit(1))
-    rows = pages.select(company_col, F.explode(F.arrays_zip(heads.alias("head"), bodies.alias("body"))).alias("r"))
-    part = lambda tag: F.when(F.col("r.body").rlike(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>"),
-                              html_text(F.regexp_extract("r.body", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)))
-    stars = F.regexp_extract("r.head", r'(?is)data-service-review-rating="([^"]*)"', 1).try_cast("int")
-    date = F.nullif(F.regexp_extract("r.head", r'(?is)<time[^>]*datetime="([^"]*)"', 1), F.lit(""))
-    text = F.concat_ws(" ", F.coalesce(part("h2"), F.lit(NO_TITLE)), F.coalesce(part("p"), F.lit(NO_CONTENT)))
-    out = rows.filter(F.col("r.body").isNotNull()).select(F.col(company_col).alias("company"), text.alias("text"), stars.alias("stars"), date.alias("date"))
+    events = nested(tag_events(spread(pages.select(*dict.fromkeys([*key, company_col]), "html")), list(dict.fromkeys([*key, company_col]))), list(key))
+    for kind, name in (("head", HEADER_CLASS), ("body", CONTENT_CLASS)):
+        events = blocks_of(events, list(key), kind, (F.col("name") == "div") & has_class("tag", name))
+    member = F.array_compact(F.array(*[F.when(F.col(kind).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("nth"))) for kind in ("head", "body")]))
+    rows = events.withColumn("m", F.explode(member))
+    kept = F.struct("pos", "until", "name", "opens", "tag")
+    # The exchange on the key serves this grouping too.
+    blocks = rows.groupBy(*key, F.col(company_col).alias("_company"), F.col("m.nth").alias("nth")).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("m.kind") == kind, kept))).alias(kind) for kind in ("head", "body")])
+    stars = attribute(F.get("head", 0)["tag"], "data-service-review-rating", decode=False).try_cast("int")
+    date = F.nullif(attribute(first_element("head", "time")["tag"], "datetime"), F.lit(""))
+    text = F.concat_ws(" ", F.coalesce(element_text("body", "h2"), F.lit(NO_TITLE)), F.coalesce(element_text("body", "p"), F.lit(NO_CONTENT)))
+    out = blocks.filter(F.size("body") > 0).select(F.col("_company").alias("company"), text.alias("text"), stars.alias("stars"), date.alias("date"))
     return out.filter(F.col("stars").isNotNull() & F.col("date").isNotNull()).select(
         "company", "text", "stars", "date",
         F.when(F.col("stars") > 3, "positive").when(F.col("stars") < 3, "negative").otherwise("neutral").alias("sentiment"))
 
 
-def _escaped(text: Column) -> Column:
-    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(ch), F.lit(ent))
-    return text
+def _escaped(text: Column, style: Column) -> Column:
+    """``text`` as HTML; ``style`` (0 to 3) chooses among named, decimal and hexadecimal references, and which letters become some."""
+    named = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00e9", "&eacute;"), ("\u00fc", "&uuml"), ("\u00df", "&szlig;")]
+    decimal = [("&", "&#38;"), ("<", "&#60;"), (">", "&#62;"), ("e", "&#101;"), ("\u00f1", "&#241;")]
+    hexadecimal = [("&", "&#x26;"), ("<", "&#X3c;"), (">", "&#x3E;"), ("a", "&#x61;"), ("\u00e4", "&#xE4;")]
+
+    def by(pairs: list[tuple[str, str]]) -> Column:
+        out = text
+        for ch, ref in pairs:
+            out = F.replace(out, F.lit(ch), F.lit(ref))
+        return out
+
+    return F.when(style == 1, by(named)).when(style == 2, by(decimal)).when(style == 3, by(hexadecimal)).otherwise(by(named[:3]))
 
 
-def block_pages(rows: DataFrame, page: Column) -> DataFrame:
-    """Review pages with one header and content block per row of ``page``; two-star reviews lack a title."""
+def block_pages(rows: DataFrame, page: Column, style: Column | None = None) -> DataFrame:
+    """Review pages with one header and content block per row of ``page``; two-star reviews lack a title.
+
+    ``style`` (0 to 3, default 0 for all) varies the markup as sites do: further classes in the class list,
+    divs nested around the time and the title, other quotes and case, tags inside the title, comments
+    and scripts that hold tags, other character references.
+    """
+    style = F.lit(0) if style is None else style
     title = F.substring_index(F.col("text"), " ", 3)
     rest = F.expr("substr(text, length(substring_index(text, ' ', 3)) + 2)")
+    rating, time = F.coalesce(F.col("stars").cast("string"), F.lit("none")), F.col("date")
+    body = F.concat(
+        F.when(F.col("stars") == 2, F.lit("")).otherwise(F.concat(
+            F.when(style == 1, F.lit('<div class="title"><h2 class="t1"><span>')).when(style == 2, F.lit("<DIV><DIV><H2>")).otherwise(F.lit("<h2>")),
+            _escaped(title, style),
+            F.when(style == 1, F.lit("</span></h2></div>")).when(style == 2, F.lit("</H2></DIV><br/></DIV >")).otherwise(F.lit("</h2>")))),
+        F.when(style == 3, F.lit("<!-- <p>no text</p></div> --><p data-x='a > b'>")).otherwise(F.lit("<p>")),
+        _escaped(F.when(F.col("stars") == 2, F.col("text")).otherwise(rest), style), F.lit("</p>"),
+        F.when(style == 1, F.lit("<div><p>Reply</p><div>of the shop</div></div>")).otherwise(F.lit("")))
     block = F.concat(
-        F.lit(f'<div class="{HEADER_CLASS}" data-service-review-rating="'), F.coalesce(F.col("stars").cast("string"), F.lit("none")),
-        F.lit('"><time datetime="'), F.col("date"), F.lit(f'">then</time></div><div class="{CONTENT_CLASS}">'),
-        F.when(F.col("stars") == 2, F.lit("")).otherwise(F.concat(F.lit("<h2>"), _escaped(title), F.lit("</h2>"))),
-        F.lit("<p>"), _escaped(F.when(F.col("stars") == 2, F.col("text")).otherwise(rest)), F.lit("</p></div>"))
-    html = F.concat(F.lit("<html><body><p>Reviews</p>"), F.array_join(F.sort_array(F.collect_list("b")), ""), F.lit("</body></html>"))
-    return rows.select("company", page.alias("page"), block.alias("b")).groupBy("company", "page").agg(html.alias("html")).drop("page")
+        F.when(style == 1, F.concat(F.lit(f'<div class="paper {HEADER_CLASS}\n wide" data-service-review-rating="'), rating,
+                                    F.lit('"><div class="stars"><img alt="</div>"></div><div><div><time class="x" datetime="'), time, F.lit('">then</time></div></div></div>')))
+        .when(style == 2, F.concat(F.lit(f"<DIV title='class=\"none\"' CLASS='{HEADER_CLASS}' data-service-review-rating="), rating,
+                                   F.lit("><div>by <b>a user</b></div><TIME dateTime='"), time, F.lit("'>then</TIME></DIV>")))
+        .otherwise(F.concat(F.lit(f'<div class="{HEADER_CLASS}" data-service-review-rating="'), rating,
+                            F.lit('"><time datetime="'), time, F.lit('">then</time></div>'))),
+        F.when(style == 1, F.lit(f'<div class="x {CONTENT_CLASS}">')).when(style == 2, F.lit(f"<Div id=c class='{CONTENT_CLASS} y'>"))
+        .when(style == 3, F.lit(f'<script>"<div class={CONTENT_CLASS}>"</script><div class="{CONTENT_CLASS}">')).otherwise(F.lit(f'<div class="{CONTENT_CLASS}">')),
+        body, F.lit("</div>"))
+    block = F.concat(F.when(style == 1, F.lit('<article><div class="card"><div>')).otherwise(F.lit("")), block,
+                     F.when(style == 1, F.lit("</div></div></article>")).when(style == 3, F.lit("</div>")).otherwise(F.lit("")))
+    html = F.concat(F.lit(f'<html><body><p>Reviews</p><div class="not-{CONTENT_CLASS}"><p>none</p></div>'),
+                    F.array_join(F.sort_array(F.collect_list("b")), ""), F.lit("</body></html>"))
+    return rows.select("company", page.alias("page"), block.alias("b")).groupBy("company", "page").agg(html.alias("html"))
 
 
 def page_json_reviews(pages: DataFrame, company_col: str = "company") -> DataFrame:
