@@ -19,6 +19,7 @@ from feedlens.functions.score import (
     SENTIMENTS, ScorerFactory, gated_sentiment, score_with_model, softmax_label,
     stars_sentiment, threshold_label,
 )
+from feedlens.operators.sentiment_model import SentimentModel
 
 PROB_SCALE = 6
 
@@ -29,9 +30,11 @@ def _probs_to_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "probabilities"], *cols)
 
 
-def score_reviews(reviews: DataFrame, factory: ScorerFactory | None = None) -> DataFrame:
+def score_reviews(reviews: DataFrame, factory: ScorerFactory | SentimentModel | None = None) -> DataFrame:
     """P6 + P7: sentiment from the model for youtube/reddit, from stars for trustpilot.
 
+    ``factory``: a fitted model, or a factory of a Python one; without it the input's logits are read.
+
     Output = input columns (minus logits) + sentiment + three probability
     columns (NULL for trustpilot).
     """
@@ -47,7 +50,8 @@ def score_reviews(reviews: DataFrame, factory: ScorerFactory | None = None) -> D
     tp = reviews.filter(is_tp).select(
         *keep, stars_sentiment(F.col("stars")).alias("sentiment"),
         F.lit(None).cast(T.ArrayType(T.DoubleType())).alias("probabilities"))
-    other = score_with_model(reviews.filter(~is_tp).select(*keep), "text", factory)
+    rest = reviews.filter(~is_tp).select(*keep)
+    other = factory.apply(rest) if isinstance(factory, SentimentModel) else score_with_model(rest, "text", factory)
     return _probs_to_columns(tp.unionByName(other.select(*tp.columns)))
 
 

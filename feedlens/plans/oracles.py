@@ -560,18 +560,51 @@ JOIN (VALUES ('USA', -100.0, 40.0), ('Germany', 10.0, 51.0), ('France', 2.0, 46.
 })
 
 
-# The stand-in model: logits are the numbers of negative and positive cue words, and one half.
-CUE_CTE = WIRE_CTE.strip() + """,
-cue AS (SELECT *, regexp_split_to_array(lower(text), '[^_\\p{L}\\p{N}]+') AS w FROM wire),
-cue2 AS (SELECT *, CAST(len(list_filter(w, lambda x: x IN ('bad', 'poor', 'worst', 'terrible', 'slow', 'broken', 'awful', 'hate'))) AS DOUBLE) AS a,
-  CAST(len(list_filter(w, lambda x: x IN ('good', 'great', 'best', 'excellent', 'fast', 'love', 'nice', 'happy'))) AS DOUBLE) AS b FROM cue),
-cue3 AS (SELECT *, exp(a - greatest(a, b, 0.5)) AS ea, exp(0.5 - greatest(a, b, 0.5)) AS en, exp(b - greatest(a, b, 0.5)) AS eb FROM cue2),
-cued AS (SELECT source, text, company, date, stars, location, videoid, like_count, youtube_reply_count, subreddit, vote, reddit_reply_count,
-  CASE WHEN source <> 'trustpilot' THEN ea / (ea + en + eb) END AS negative,
-  CASE WHEN source <> 'trustpilot' THEN en / (ea + en + eb) END AS neutral,
-  CASE WHEN source <> 'trustpilot' THEN eb / (ea + en + eb) END AS positive,
+# Naive Bayes: weights are log probabilities with one added to each count, in whole millionths.
+_WORDS = f"list_filter(string_split({CLEAN}, ' '), lambda x: x <> '' AND x NOT IN ({_STOP}))"
+
+
+def _log(count: str, of: str) -> str:
+    return f"CAST(round(1000000 * ln(({count} + 1) / CAST({of} AS DOUBLE))) AS BIGINT)"
+
+
+NB_CTE = f"""
+nbt AS (SELECT text, sentiment FROM scored WHERE (source = 'trustpilot' AND (stars NOT IN (2, 4) OR stars IS NULL)) OR source = 'youtube'),
+nbw AS (SELECT sentiment, unnest({_WORDS}) AS word FROM nbt),
+nbc AS (SELECT word, count(*) FILTER (WHERE sentiment = 'negative') AS c0, count(*) FILTER (WHERE sentiment = 'neutral') AS c1,
+          count(*) FILTER (WHERE sentiment = 'positive') AS c2 FROM nbw GROUP BY 1),
+nbn AS (SELECT sum(c0) AS n0, sum(c1) AS n1, sum(c2) AS n2, count(*) AS v FROM nbc),
+nbm AS (SELECT word, {_log('c0', '(n0 + v)')} AS negative, {_log('c1', '(n1 + v)')} AS neutral, {_log('c2', '(n2 + v)')} AS positive FROM nbc, nbn),
+nbp AS (SELECT {_log("count(*) FILTER (WHERE sentiment = 'negative')", '(count(*) + 3)')} AS p0,
+          {_log("count(*) FILTER (WHERE sentiment = 'neutral')", '(count(*) + 3)')} AS p1,
+          {_log("count(*) FILTER (WHERE sentiment = 'positive')", '(count(*) + 3)')} AS p2 FROM nbt)"""
+
+
+def _nb_scored(rows: str, key: str) -> str:
+    """CTEs: ``cued`` = the rows of a table with the model's probabilities and label."""
+    return f"""
+nbu AS (SELECT {key} AS k, unnest({_WORDS}) AS word FROM {rows}),
+nbs AS (SELECT k, sum(negative) AS s0, sum(neutral) AS s1, sum(positive) AS s2 FROM nbu JOIN nbm USING (word) GROUP BY 1),
+cue AS (SELECT r.*, (coalesce(s0, 0) + p0) / 1000000.0::DOUBLE AS l0, (coalesce(s1, 0) + p1) / 1000000.0::DOUBLE AS l1,
+          (coalesce(s2, 0) + p2) / 1000000.0::DOUBLE AS l2 FROM {rows} r LEFT JOIN nbs ON nbs.k = r.{key}, nbp),
+cue2 AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS ea, exp(l1 - greatest(l0, l1, l2)) AS en, exp(l2 - greatest(l0, l1, l2)) AS eb FROM cue),
+cue3 AS (SELECT *, ea / (ea + en + eb) AS q0, en / (ea + en + eb) AS q1, eb / (ea + en + eb) AS q2 FROM cue2),
+cued AS (SELECT * EXCLUDE (l0, l1, l2, ea, en, eb, q0, q1, q2),
+  CASE WHEN source <> 'trustpilot' THEN q0 END AS negative, CASE WHEN source <> 'trustpilot' THEN q1 END AS neutral,
+  CASE WHEN source <> 'trustpilot' THEN q2 END AS positive,
   CASE WHEN source = 'trustpilot' THEN CASE WHEN stars > 3 THEN 'positive' WHEN stars = 3 THEN 'neutral' ELSE 'negative' END
-    WHEN a >= 0.5 AND a >= b THEN 'negative' WHEN 0.5 >= b THEN 'neutral' ELSE 'positive' END AS sentiment FROM cue3)"""
+    WHEN q0 >= q1 AND q0 >= q2 THEN 'negative' WHEN q1 >= q2 THEN 'neutral' ELSE 'positive' END AS sentiment FROM cue3)"""
+
+
+CUE_CTE = WIRE_CTE.strip().replace("wire AS (SELECT ", "wire AS (SELECT id AS rid, ") + "," + NB_CTE + "," + _nb_scored("wire", "rid")
+
+ORACLES.update({
+    "sentiment_model": W("""
+SELECT word, negative, neutral, positive FROM nbm UNION ALL SELECT NULL, p0, p1, p2 FROM nbp""", ctes=NB_CTE),
+    "model_sentiment": W("""
+SELECT rid AS id, source, company, sentiment, round(negative, 6) AS negative_probability, round(neutral, 6) AS neutral_probability,
+  round(positive, 6) AS positive_probability FROM cued""", ctes=CUE_CTE),
+})
 
 
 # --- streaming -------------------------------------------------------------------------------

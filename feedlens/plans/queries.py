@@ -21,6 +21,7 @@ from feedlens.operators import ngrams as NG
 from feedlens.operators import retrieval as RT
 from feedlens.operators import scoring as SC
 from feedlens.operators import warehouse as WH
+from feedlens.operators.sentiment_model import SentimentModel
 from feedlens.sources import files as FS
 from feedlens.sources import pages as PG
 from feedlens.sources.tables import reviews, scored, table
@@ -417,9 +418,20 @@ def _undated_landing(spark, sf):
     return path
 
 
+def _model(spark, sf):
+    """The sentiment model of the loop, fitted on the training set."""
+    return SentimentModel.fitted(spark, _train_rows(spark, sf), FS.scratch_path(spark, "model"))
+
+
+def _model_sentiment(spark, sf):
+    r = reviews(spark, sf)
+    out = SC.score_reviews(r.select([c for c in r.columns if not c.startswith("logit_")]), _model(spark, sf))
+    return out.select("id", "source", "company", "sentiment", *WH.PROBS)
+
+
 def _run_stream(spark, sf, landing=_landing):
     base = FS.scratch_path(spark, "stream")
-    _, state = SP.run_ingest(spark, SP.file_source(spark, landing(spark, sf)), f"{base}/out", f"{base}/checkpoint")
+    _, state = SP.run_ingest(spark, SP.file_source(spark, landing(spark, sf)), f"{base}/out", f"{base}/checkpoint", _model(spark, sf))
     return base, state
 
 
@@ -438,11 +450,13 @@ def _stream_rejects(spark, sf):
 
 def _stream_daily(spark, sf):
     base = FS.scratch_path(spark, "daily")
-    SP.daily_stream(spark, SP.file_source(spark, _landing(spark, sf)), f"{base}/out", f"{base}/checkpoint")
+    SP.daily_stream(spark, SP.file_source(spark, _landing(spark, sf)), f"{base}/out", f"{base}/checkpoint", _model(spark, sf))
     return SP.read_daily(spark, f"{base}/out", by_source=True)
 
 
 QUERIES.update({
+    "sentiment_model": lambda s, d: _model(s, d).table,
+    "model_sentiment": _model_sentiment,
     "stream_ingest": _stream_predictions,
     "ngram_state": lambda s, d: _run_stream(s, d)[1].read(),
     "stream_daily": _stream_daily,
