@@ -11,12 +11,15 @@ partial WindowGroupLimit, so a hot company only ships k rows per map task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS, SOURCES
-from feedlens.functions.text import first_chunk
+from feedlens.functions.summary import summary
+from feedlens.functions.text import clean_text, first_chunk, tokens
 from feedlens.operators.parallel import spread
 
 K = 3
@@ -89,36 +92,20 @@ def topic_context(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_co
                     .alias("context")))
 
 
-def answers(companies: DataFrame, contexts: DataFrame, topics: DataFrame, summarize=None) -> DataFrame:
+def answers(companies: DataFrame, contexts: DataFrame, topics: DataFrame, summarize: Callable[[Column], Column] = summary) -> DataFrame:
     """An answer for every company x sentiment x source x topic.
 
     The domain is generated per company with ``explode`` of arrays, the topics'
     one a scalar subquery (no join of domains); missing contexts read "No reviews found".
-    ``summarize`` maps a context column to a summary column (default:
-    extractive = the context itself); a model plugs in via ``summarize_with``.
+    ``summarize`` maps a context column to a summary column; the default takes the most
+    central sentences (:func:`feedlens.functions.summary.summary`).
     """
     dom = F.array(*[F.struct(F.lit(s).alias("sentiment"), F.lit(src).alias("source")) for s in SENTIMENTS for src in SOURCES])
     names = topics.agg(F.collect_set("topic")).scalar()
     grid = companies.select("company", names.alias("_topics"), F.explode(dom).alias("d")).select(
         "company", "d.sentiment", "d.source", F.explode("_topics").alias("topic"))
     j = grid.join(contexts, [*GROUP, "topic"], "left")
-    summary = summarize(F.col("context")) if summarize else F.col("context")
-    return j.select(*GROUP, "topic", F.coalesce(summary, F.lit(NO_REVIEWS)).alias("answer"))
-
-
-def summarize_with(df: DataFrame, factory, col: str = "context") -> DataFrame:
-    """T8 hook: run a summariser on the executors (loaded once per worker) over ``col``."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType(df.schema.fields + [T.StructField("summary", T.StringType())])
-
-    def run(batches):
-        model = factory()
-        for pdf in batches:
-            pdf["summary"] = [model(x) if x is not None else None for x in pdf[col].tolist()]
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    return j.select(*GROUP, "topic", F.coalesce(summarize(F.col("context")), F.lit(NO_REVIEWS)).alias("answer"))
 
 
 def nest_answers(flat: DataFrame) -> DataFrame:
@@ -145,14 +132,48 @@ def answers_read(store: DataFrame, company: str) -> DataFrame:
     return store.filter(F.col("company") == F.lit(company))
 
 
-def embed_text(df: DataFrame, text_col: str = "chunk", dim: int = 64, out: str = "embedding") -> DataFrame:
-    """T5 default encoder: feature hashing of the cleaned tokens, L2-normalised (Spark ML)."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+#: Dimensions of a text vector; weights of words are whole numbers of 1 / IDF_UNIT.
+DIM, IDF_UNIT = 64, 10_000
+
 
-    from feedlens.functions.text import clean_text, tokens
+def _text_words(text_col: str) -> Column:
+    return F.filter(tokens(clean_text(F.col(text_col))), lambda w: w != "")
 
-    tok = df.withColumn("_tok", F.filter(tokens(clean_text(F.col(text_col))), lambda w: w != ""))
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
-    nz = Normalizer(inputCol="_tf", outputCol="_nz", p=2.0).transform(tf)
-    return nz.withColumn(out, vector_to_array("_nz")).drop("_tok", "_tf", "_nz")
+
+def word_weights(corpus: DataFrame, text_col: str = "chunk") -> DataFrame:
+    """(word, weight): inverse document frequencies, ``1 + ln((1 + n) / (1 + df))``, of a corpus of texts; one row without word for unseen ones."""
+    rows = corpus.select(_text_words(text_col).alias("w"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    df = rows.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = df.withColumn("n", n.scalar())
+    df = df.unionByName(n.select(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("df"), "n"))
+    idf = 1 + F.log((1 + F.col("n")).cast("double") / (1 + F.col("df")))
+    return df.select("word", F.round(idf * float(IDF_UNIT)).cast("bigint").alias("weight"))
+
+
+def _place(word: Column) -> tuple[Column, Column]:
+    """(dimension, sign) of a word from its md5: the first 8 hexadecimal digits, and whether the next is below 8."""
+    digits = F.md5(word)
+    return F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint") % DIM, F.when(F.substring(digits, 9, 1) < "8", 1).otherwise(-1)
+
+
+def embed_text(df: DataFrame, weights: DataFrame, text_col: str = "chunk", id_col: str = "id", out: str = "embedding") -> DataFrame:
+    """T5: signed feature hashing of the cleaned tokens, weighted by ``weights``, of length 1.
+
+    Each token adds its weight, with its sign, to one of ``DIM`` dimensions; the signs make
+    collisions cancel on average. Sums are whole numbers, so the vector does not depend on
+    any order. Words are counted by text before they meet the weights (joined by word; Spark
+    broadcasts a small table of weights), and a text's sums are one row a text and dimension: no texts
+    are shuffled but by their ids. A text without tokens has the zero vector.
+    """
+    place, sign = _place(F.col("word"))
+    unseen = weights.filter(F.col("word").isNull()).select("weight").scalar()
+    used = df.select(id_col, F.explode(_text_words(text_col)).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    known = used.join(weights.filter(F.col("word").isNotNull()), "word", "left").withColumn("weight", F.coalesce("weight", unseen))
+    sums = known.groupBy(id_col, place.alias("dim")).agg(F.sum(sign * F.col("n") * F.col("weight")).alias("v"))
+    vec = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("_v"))  # at most DIM entries
+    flat = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("_v", i.cast("bigint")), F.lit(0).cast("bigint")))
+    squares = F.sqrt(F.aggregate("_flat", F.lit(0).cast("bigint"), lambda t, x: t + x * x).cast("double"))
+    j = df.join(vec, id_col, "left").withColumn("_flat", F.when(F.col("_v").isNotNull(), flat).otherwise(F.array_repeat(F.lit(0).cast("bigint"), DIM)))
+    return (j.withColumn("_len", squares).withColumn(out, F.transform("_flat", lambda x: F.coalesce(x / F.nullif(F.col("_len"), F.lit(0.0)), F.lit(0.0))))
+            .drop("_v", "_flat", "_len"))

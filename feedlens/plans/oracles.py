@@ -458,6 +458,27 @@ CHUNK = ("(CASE WHEN j = '' THEN NULL WHEN regexp_extract(j, '(?s)^(.{1,100})(?:
          "THEN regexp_extract(j, '(?s)^(.{1,100})(?: |\\z)', 1) ELSE split_part(j, ' ', 1) END)")
 
 
+def _summary(contexts: str) -> str:
+    """CTEs: ``summed`` = a table of contexts (company, sentiment, source, topic, context) with their summaries (sentences, words and scores as rows)."""
+    words = f"list_filter(string_split({CLEAN.replace('coalesce(text', 'coalesce(s')}, ' '), lambda x: x <> '' AND x NOT IN ({_STOP}))"
+    return f"""
+sen AS (SELECT company, sentiment, source, topic, nth, trim(s, ' ') AS s FROM (
+          SELECT *, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS nth FROM (
+            SELECT *, regexp_extract_all(context, '[^.!?\\n]+[.!?]*') AS l FROM {contexts})) WHERE trim(s, ' ') <> ''),
+wrd AS (SELECT *, {words} AS w FROM sen),
+cnt AS (SELECT company, sentiment, source, topic, nth, word, count(*) AS c FROM (SELECT *, unnest(w) AS word FROM wrd) GROUP BY ALL),
+tot AS (SELECT company, sentiment, source, topic, word, sum(c) AS t FROM cnt GROUP BY ALL),
+sco AS (SELECT c.company, c.sentiment, c.source, c.topic, nth, sum(c * t) / sqrt(CAST(sum(c * c) AS DOUBLE)) AS score
+        FROM cnt c JOIN tot USING (company, sentiment, source, topic, word) GROUP BY ALL),
+rkd AS (SELECT w.*, row_number() OVER (PARTITION BY w.company, w.sentiment, w.source, w.topic ORDER BY coalesce(score, 0) DESC, w.nth) AS r
+        FROM wrd w LEFT JOIN sco s USING (company, sentiment, source, topic, nth)),
+nxt AS (SELECT b.company, b.sentiment, b.source, b.topic, arg_min(b.s, b.r) AS second
+        FROM rkd a JOIN rkd b USING (company, sentiment, source, topic) WHERE a.r = 1 AND b.r > 1
+          AND NOT coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 0) >= 0.5 GROUP BY ALL),
+summed AS (SELECT a.company, a.sentiment, a.source, a.topic, concat_ws(' ', a.s, n.second) AS context
+           FROM rkd a LEFT JOIN nxt n USING (company, sentiment, source, topic) WHERE a.r = 1)"""
+
+
 def _retr_cte(where: str = "") -> str:
     return f"""
 rows AS (SELECT * FROM scored {where}),
@@ -477,16 +498,50 @@ ch AS (SELECT CAST(id AS BIGINT) AS id, {CHUNK} AS chunk FROM (
 ctx AS (SELECT h.company, h.sentiment, h.source, h.topic, string_agg(ch.chunk, chr(10) ORDER BY h.rank) AS context
         FROM hits h JOIN ch ON ch.id = h.id WHERE ch.chunk IS NOT NULL
         GROUP BY h.company, h.sentiment, h.source, h.topic),
+{_summary('ctx').strip()},
 grid AS (SELECT c.company, s.sentiment, src.source, t.topic
          FROM (SELECT DISTINCT company FROM rows) c
          CROSS JOIN (VALUES ('negative'), ('neutral'), ('positive')) s(sentiment)
          CROSS JOIN (VALUES ('reddit'), ('trustpilot'), ('youtube')) src(source)
          CROSS JOIN (SELECT DISTINCT topic FROM cent) t),
 ans AS (SELECT g.company, g.sentiment, g.source, g.topic, coalesce(ctx.context, 'No reviews found') AS answer
-        FROM grid g LEFT JOIN ctx ON ctx.company = g.company AND ctx.sentiment = g.sentiment
+        FROM grid g LEFT JOIN summed ctx ON ctx.company = g.company AND ctx.sentiment = g.sentiment
           AND ctx.source = g.source AND ctx.topic = g.topic)"""
 
 
+# Text vectors: signed sums of word weights in whole ten-thousandths, by md5 of the word.
+_TOKENS = f"list_filter(string_split({CLEAN.replace('coalesce(text', 'coalesce(chunk')}, ' '), lambda x: x <> '')"
+TEXT_CTE = f"""
+ch AS (SELECT * FROM (SELECT id, company, sentiment, source, {CHUNK} AS chunk FROM (
+         SELECT *, array_to_string(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), ' ') AS j
+         FROM scored)) WHERE chunk IS NOT NULL),
+idf AS (SELECT word, count(DISTINCT id) AS df FROM (SELECT id, unnest({_TOKENS}) AS word FROM ch) GROUP BY 1),
+wgt AS (SELECT word, CAST(round(10000 * (1 + ln(CAST(1 + (SELECT count(*) FROM ch) AS DOUBLE) / (1 + df)))) AS BIGINT) AS weight FROM idf),
+txt AS (SELECT id, chunk FROM ch UNION ALL SELECT t, t FROM (VALUES ('Customer service'), ('Product quality'), ('Price'), ('General')) v(t)),
+tok AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest({_TOKENS}) AS word FROM txt) GROUP BY 1, 2),
+dim AS (SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS dim,
+          CAST(sum(CASE WHEN substr(md5(word), 9, 1) < '8' THEN 1 ELSE -1 END * n * coalesce(weight,
+            CAST(round(10000 * (1 + ln(CAST(1 + (SELECT count(*) FROM ch) AS DOUBLE)))) AS BIGINT))) AS BIGINT) AS v
+        FROM tok LEFT JOIN wgt USING (word) GROUP BY 1, 2),
+nrm AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS len FROM dim GROUP BY 1),
+vec AS (SELECT t.id, [coalesce(list_sum([CASE WHEN d.dim = i THEN d.v / nullif(l.len, 0) END FOR d IN m]), 0) FOR i IN range(64)] AS e
+        FROM (SELECT DISTINCT id FROM txt) t LEFT JOIN nrm l USING (id)
+        LEFT JOIN (SELECT id, list({{'dim': dim, 'v': v}}) AS m FROM dim GROUP BY 1) d ON d.id = t.id),
+near AS (SELECT c.company, c.sentiment, c.source, c.id, q.id AS topic,
+           list_sum(list_transform(list_zip(a.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist
+         FROM ch c JOIN vec a ON a.id = c.id CROSS JOIN (SELECT * FROM vec WHERE id IN ('Customer service', 'Product quality', 'Price', 'General')) q),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, sentiment, source, topic ORDER BY dist, id) AS rank FROM near) WHERE rank <= 3),
+ctx AS (SELECT h.company, h.sentiment, h.source, h.topic, string_agg(ch.chunk, chr(10) ORDER BY h.rank) AS context
+        FROM hits h JOIN ch ON ch.id = h.id GROUP BY h.company, h.sentiment, h.source, h.topic),
+{_summary('ctx').strip()},
+grid AS (SELECT c.company, s.sentiment, src.source, t.topic FROM (SELECT DISTINCT company FROM ch) c
+         CROSS JOIN (VALUES ('negative'), ('neutral'), ('positive')) s(sentiment)
+         CROSS JOIN (VALUES ('reddit'), ('trustpilot'), ('youtube')) src(source)
+         CROSS JOIN (VALUES ('Customer service'), ('Product quality'), ('Price'), ('General')) t(topic)),
+ans AS (SELECT g.company, g.sentiment, g.source, g.topic, coalesce(x.context, 'No reviews found') AS answer
+        FROM grid g LEFT JOIN summed x USING (company, sentiment, source, topic))"""
+
+
 ORACLES.update({
     "first_chunk": W(f"""
 SELECT id, chunk FROM (SELECT id, {CHUNK} AS chunk FROM (
@@ -507,6 +562,10 @@ SELECT * FROM (WITH {_retr_cte("WHERE date < TIMESTAMP '2024-01-15'").strip()}
                SELECT * FROM ans) WHERE company NOT IN (
   SELECT company FROM scored WHERE date >= TIMESTAMP '2024-01-15' AND NOT regexp_matches(company, '[123]$'))"""),
     "answers_read": W("SELECT * FROM ans WHERE company = 'src0'", ctes=_retr_cte()),
+    "embed_text": W("""
+SELECT id, CAST(dim AS INT) AS dim, round(v / len, 9) AS value FROM dim JOIN nrm USING (id) WHERE v <> 0 AND id IN (SELECT id FROM ch)""", ctes=TEXT_CTE),
+    "text_topk": W("SELECT company, sentiment, source, id, topic, rank, round(dist, 6) AS dist FROM hits", ctes=TEXT_CTE),
+    "retrieve_text": W("SELECT * FROM ans", ctes=TEXT_CTE),
 })
 
 

@@ -309,14 +309,23 @@ def _answers(spark, sf, rows=None):
     return RT.answers(rows.select("company").distinct(), _contexts(spark, sf, rows, topics), topics)
 
 
-def _text_answers(spark, sf):
+def _text_vectors(spark, sf):
+    """(chunks with their vectors, the weights of words over all chunks)."""
     rows = RT.chunks(_scored(spark, sf).select("id", *RT.GROUP, "text"))
-    vecs = RT.embed_text(rows)
-    topic_df = spark.createDataFrame([(t,) for t in RT.TOPICS], "chunk string")
-    topics = RT.embed_text(topic_df).select(F.col("chunk").alias("topic"), F.col("embedding").alias("vec"))
-    hits = RT.nearest(vecs, topics, RT.K)
-    ctx = RT.topic_context(hits, rows)
-    return RT.answers(rows.select("company").distinct(), ctx, topics)
+    weights = RT.word_weights(rows)
+    return RT.embed_text(rows.select("id", *RT.GROUP, "chunk"), weights), weights
+
+
+def _text_hits(spark, sf):
+    vecs, weights = _text_vectors(spark, sf)
+    named = spark.createDataFrame([(t, t) for t in RT.TOPICS], "id string, chunk string")
+    topics = RT.embed_text(named, weights).select(F.col("id").alias("topic"), F.col("embedding").alias("vec"))
+    return RT.nearest(vecs, topics, RT.K), vecs, topics
+
+
+def _text_answers(spark, sf):
+    hits, vecs, topics = _text_hits(spark, sf)
+    return RT.answers(vecs.select("company").distinct(), RT.topic_context(hits, vecs), topics)
 
 
 QUERIES.update({
@@ -331,8 +340,9 @@ QUERIES.update({
         # the new half has no review of the companies that end in 1, 2 or 3: their old answers stay
         _answers(s, d, _after(_scored(s, d)).filter(~F.col("company").rlike("[123]$")))),
     "answers_read": lambda s, d: RT.flatten_answers(RT.answers_read(RT.nest_answers(_answers(s, d)), "src0")),
-    "embed_text": lambda s, d: RT.embed_text(RT.chunks(_scored(s, d).select("id", "text"))).select(
-        "id", "embedding"),
+    "embed_text": lambda s, d: _text_vectors(s, d)[0].select("id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
+    .select("id", "dim", F.round("value", 9).alias("value")),
+    "text_topk": lambda s, d: _text_hits(s, d)[0].select("company", "sentiment", "source", "id", "topic", "rank", "dist"),
     "retrieve_text": _text_answers,
 })
 

@@ -25,7 +25,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    assert ROWS_ONLY == {"embed_text", "retrieve_text", "synth_reviews"}
+    assert ROWS_ONLY == {"synth_reviews"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
