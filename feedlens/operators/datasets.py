@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedlens.operators.parallel import replicate
+from feedlens.session import checkpoint_dir
 
 BUCKET_HEX = 3  # 4,096 hash-prefix buckets per stratum
 
@@ -176,35 +177,51 @@ def unseen_items(items: DataFrame, seen: DataFrame, keys: list[str]) -> DataFram
     return items.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
-def prior_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str,
-                out: str = "prior_total") -> DataFrame:
-    """Running sum of ``value`` over rows strictly before each row (in ``order``) within ``keys``.
+PIECE = "_piece"
 
-    Two levels, so no single window holds a whole key: ``bucket`` (a coarse,
-    order-preserving key such as the day) splits each key; bucket sums come
-    from a small per-(key, bucket) table with a running sum, and rows are only
-    ordered within their own (key, bucket).
+
+def in_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
+    """``df`` cut by ranges of (keys, order) into pieces of like size, numbered in that order (column ``_piece``).
+
+    The bounds are approximate quantiles that Spark samples, so neither a key nor a day
+    within it decides how large a piece is; only rows equal in keys and order stay together. The bounds
+    of another run may differ, so the rows are checkpointed with their numbers.
+    """
+    checkpoint_dir(df.sparkSession)
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(pieces, *by) if pieces else df.repartitionByRange(*by)
+    return ranged.withColumn(PIECE, F.spark_partition_id()).checkpoint()
+
+
+def prior_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "prior_total",
+                pieces: int | None = None) -> DataFrame:
+    """Running sum of ``value`` over rows strictly before each row (in ``order``) within ``keys``: a parallel prefix sum.
+
+    Three levels: rows are cut into range pieces, each (key, piece) has a sum, the sums of a
+    key are summed up in piece order (one row a piece, however many rows a key has), and rows are
+    ordered only within their own (key, piece). ``order`` should be total; NULL keys are a key.
     """
-    d = df.withColumn("_pt_b", bucket)
-    sums = d.groupBy(*keys, "_pt_b").agg(F.sum(value).alias("_pt_s"))
-    wb = Window.partitionBy(*keys).orderBy("_pt_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_pt_b", F.coalesce(F.sum("_pt_s").over(wb), F.lit(0)).alias("_pt_before"))
-    d = d.join(sums, [*keys, "_pt_b"])
-    wr = Window.partitionBy(*keys, "_pt_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum(value).over(wr), F.lit(0))
-    return d.withColumn(out, (F.col("_pt_before") + inner).cast("bigint")).drop("_pt_b", "_pt_before")
+    d = in_pieces(df, keys, order, pieces)
+    sums = d.groupBy(*keys, PIECE).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(PIECE).alias("_p"),
+                          F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col(PIECE) == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0))).join(offsets, same)
+    return d.withColumn(out, (F.col("_before") + F.col("_inner")).cast("bigint")).select(*df.columns, out)
 
 
 def company_budget(items: DataFrame, budget: int) -> DataFrame:
     """Walk items in order, keep each item whose earlier total of comments is below budget.
 
     ``items`` has one row per (company, item) with ``n_comments`` and an
-    ``item_order`` timestamp; a running sum replaces the crawler's loop,
-    computed per (company, day) so a company with many items is not ordered
-    in one task.
+    ``item_order`` timestamp; a parallel prefix sum replaces the crawler's loop, so neither a company
+    nor one of its days is ordered in one task.
     """
-    out = prior_total(items, ["company"], F.to_date("item_order"), ["item_order", "item"], "n_comments")
-    return out.filter(F.col("prior_total") < budget)
+    return prior_total(items, ["company"], ["item_order", "item"], "n_comments").filter(F.col("prior_total") < budget)
 
 
 def class_counts(df: DataFrame) -> DataFrame:

@@ -682,5 +682,11 @@ SELECT company, source, CAST({_parse('date')} AS DATE) AS day, round(avg({A1}),
 FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)}, sentiment FROM cued) GROUP BY 1, 2, 3""", ctes=CUE_CTE),
 })
 
+ORACLES["stream_since_highwater"] = ORACLES["since_highwater"]
+ORACLES["stream_highwater_marks"] = W("""
+SELECT r.company, greatest(max(r.date), max(hw.highwater)) AS highwater FROM reviews r LEFT JOIN hw ON hw.company = r.company
+WHERE hw.highwater IS NULL OR r.date >= hw.highwater GROUP BY 1""", ctes=HW_CTE)
+ORACLES["stream_older_rows"] = W("""
+SELECT r.company, count(*) AS n_older FROM reviews r JOIN hw ON hw.company = r.company WHERE r.date < hw.highwater GROUP BY 1""", ctes=HW_CTE)
 ORACLES["json_write"] = ORACLES["json_roundtrip"]
 ORACLES["json_read"] = ORACLES["json_roundtrip"]

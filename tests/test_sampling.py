@@ -37,22 +37,43 @@ def test_balance_company_without_neutral_or_others(spark):
     assert got == [("1", 1), ("2", 1), ("3", 1), ("4", 1)]
 
 
-def test_prior_total_matches_plain_window(spark):
-    """Two-level running total equals one window over the whole key (hot key included)."""
+def hot_items(spark, n):
+    """Three quarters of the rows are of one company, and two thirds of these of one day; some keys are NULL."""
     import datetime as dt
 
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 4 else None if i % 8 else "cold", f"v{i}", (i * 7) % 13,
+             base + dt.timedelta(hours=(i * 5) % 200) if i % 3 == 0 else base + dt.timedelta(days=2, seconds=(i * 11) % 977)) for i in range(n)]
+    return spark.createDataFrame(rows, "company string, item string, n_comments int, item_order timestamp_ntz")
+
+
+def test_prior_total_matches_plain_window(spark):
+    """The parallel prefix sum equals one window over the whole key (hot key and NULL key included)."""
     from feedlens.operators.datasets import prior_total
 
-    base = dt.datetime(2024, 1, 1)
-    rows = [("hot" if i % 4 else "cold", f"v{i}", (i * 7) % 13, base + dt.timedelta(hours=(i * 5) % 200))
-            for i in range(800)]
-    df = spark.createDataFrame(rows, "company string, item string, n_comments int, item_order timestamp_ntz")
-    got = {(r.company, r.item): r.prior_total for r in prior_total(
-        df, ["company"], F.to_date("item_order"), ["item_order", "item"], "n_comments").collect()}
+    df = hot_items(spark, 800)
     w = Window.partitionBy("company").orderBy("item_order", "item").rowsBetween(Window.unboundedPreceding, -1)
-    want = {(r.company, r.item): r.p for r in df.withColumn(
-        "p", F.coalesce(F.sum("n_comments").over(w), F.lit(0))).collect()}
-    assert got == want
+    want = {(r.company, r.item): r.p for r in df.withColumn("p", F.coalesce(F.sum("n_comments").over(w), F.lit(0))).collect()}
+    for pieces in (None, 1, 13):
+        out = prior_total(df, ["company"], ["item_order", "item"], "n_comments", pieces=pieces)
+        assert out.columns == [*df.columns, "prior_total"]
+        assert {(r.company, r.item): r.prior_total for r in out.collect()} == want
+    assert prior_total(df.limit(0), ["company"], ["item_order", "item"], "n_comments").count() == 0
+
+
+def test_hot_day_of_a_company_is_cut_into_pieces(spark):
+    """One company and day holds half of all rows: no task and no window gets much more than its share."""
+    from feedlens.operators.datasets import PIECE, in_pieces
+
+    n, pieces = 20_000, 20
+    d = in_pieces(hot_items(spark, n), ["company"], ["item_order", "item"], pieces)
+    day = d.filter("company = 'hot' AND to_date(item_order) = '2024-01-03'")
+    per_piece = [r["count"] for r in d.groupBy(PIECE).count().collect()]
+    assert day.count() > n / 2 and sum(per_piece) == n
+    assert max(per_piece) < 2 * n / pieces and day.select(PIECE).distinct().count() >= pieces / 2
+    # pieces follow the order: their ranges don't overlap
+    ends = d.filter("company = 'hot'").groupBy(PIECE).agg(F.min(F.struct("item_order", "item")).alias("a"), F.max(F.struct("item_order", "item")).alias("b")).orderBy(PIECE).collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
 
 
 def test_replicate_counts(spark):
