@@ -682,6 +682,25 @@ SELECT company, source, CAST({_parse('date')} AS DATE) AS day, round(avg({A1}),
 FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)}, sentiment FROM cued) GROUP BY 1, 2, 3""", ctes=CUE_CTE),
 })
 
+_PARSED = _parse("date")
+ORACLES["stream_volume"] = W(f"""
+SELECT company AS topic, count(*) AS n_rows, true AS has_data FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)} FROM wire) GROUP BY 1""", ctes=WIRE_CTE)
+_NULL_COLUMNS = ", ".join({"text": "CASE WHEN rid % 7 <> 0 THEN text END AS text", "company": "CASE WHEN rid % 13 <> 0 THEN company END AS company"}.get(c, c) for c in ALL_COLUMNS)
+ORACLES["stream_nulls"] = W(f"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE source IS NULL) AS null_source, count(*) FILTER (WHERE company IS NULL) AS null_company,
+  count(*) FILTER (WHERE text IS NULL) AS null_text
+FROM (SELECT DISTINCT {_NULL_COLUMNS} FROM wire)""", ctes=WIRE_CTE.replace("wire AS (SELECT ", "wire AS (SELECT CAST(id AS BIGINT) AS rid, "))
+# Landings 1 and 2 hold the rows whose id is no multiple of ten; the bound is two days before the newest row seen.
+ORACLES["stream_closed_days"] = W(f"""
+SELECT company, source, day, part, CAST(sum(v) AS BIGINT) AS s, count(*) AS n_rows FROM (
+  SELECT company, source, CAST(d AS DATE) AS day, {A1} AS v,
+    CASE WHEN landing = 3 AND CAST(d AS DATE) + INTERVAL 1 DAY <= b2 THEN 'correction'
+         WHEN CAST(d AS DATE) + INTERVAL 1 DAY <= greatest(b2, b3) THEN 'closed' ELSE 'open' END AS part
+  FROM (SELECT *, (SELECT max(d) - INTERVAL 2 DAY FROM landed WHERE landing < 3) AS b2, (SELECT max(d) - INTERVAL 2 DAY FROM landed) AS b3 FROM landed))
+GROUP BY 1, 2, 3, 4""", ctes=CUE_CTE + f""",
+landed AS (SELECT company, source, sentiment, d, min(landing) AS landing FROM (
+  SELECT {', '.join(ALL_COLUMNS)}, sentiment, {_PARSED} AS d, CASE WHEN CAST(rid AS BIGINT) % 10 = 0 THEN 3 ELSE 1 END AS landing FROM cued)
+  GROUP BY {', '.join(ALL_COLUMNS)}, sentiment, d)""")
 ORACLES["stream_since_highwater"] = ORACLES["since_highwater"]
 ORACLES["stream_highwater_marks"] = W("""
 SELECT r.company, greatest(max(r.date), max(hw.highwater)) AS highwater FROM reviews r LEFT JOIN hw ON hw.company = r.company

@@ -25,6 +25,7 @@ from feedlens.operators.sentiment_model import SentimentModel
 from feedlens.sources import files as FS
 from feedlens.sources import pages as PG
 from feedlens.sources.tables import reviews, scored, table
+from feedlens.streaming import days as DY
 from feedlens.streaming import highwater as HW
 from feedlens.streaming import pipeline as SP
 
@@ -478,7 +479,38 @@ def _highwater_pass(spark, sf):
     return base
 
 
+def _late_days(spark, sf):
+    """Three landings: the first half, the second half, and every tenth review, late."""
+    base = FS.scratch_path(spark, "days")
+    wire = IN.wire_rows(reviews(spark, sf), extra=("id", ))
+    late, first = F.col("id").cast("bigint") % 10 == 0, IN.parse_date(F.col("date")) < F.lit(CUT).cast("timestamp_ntz")
+    for part in (~late & first, ~late & ~first, late):
+        wire.filter(part).drop("id").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        DY.day_stream(spark, SP.file_source(spark, f"{base}/landing"), f"{base}/out", f"{base}/checkpoint", _cached_model(spark, sf, base))
+    return DY.read_days(spark, f"{base}/out")
+
+
+def _cached_model(spark, sf, base):
+    """The model of a run: fitted once, then read."""
+    path = f"{base}/model"
+    fs, p = DY._folder(spark, path)
+    return SentimentModel.stored(spark, path) if fs.exists(p) else SentimentModel.fitted(spark, _train_rows(spark, sf), path)
+
+
+def _null_wire(spark, sf):
+    """Wire rows in which every seventh review has no text and every thirteenth no company."""
+    path = FS.scratch_path(spark, "nulls")
+    k = F.col("id").cast("bigint")
+    wire = IN.wire_rows(reviews(spark, sf), extra=("id",))
+    wire = wire.withColumn("text", F.when(k % 7 != 0, F.col("text"))).withColumn("company", F.when(k % 13 != 0, F.col("company")))
+    wire.drop("id").write.parquet(path)
+    return path
+
+
 QUERIES.update({
+    "stream_volume": lambda s, d: SP.stream_volume(s, f"{_run_stream(s, d)[0]}/out"),
+    "stream_nulls": lambda s, d: SP.stream_nulls(s, f"{_run_stream(s, d, _null_wire)[0]}/out"),
+    "stream_closed_days": lambda s, d: _late_days(s, d).select("company", "source", "day", "part", "s", "n_rows"),
     "stream_since_highwater": lambda s, d: HW.passed(s, _highwater_pass(s, d), 1),
     "stream_older_rows": lambda s, d: HW.older(s, _highwater_pass(s, d), 1),
     "stream_highwater_marks": lambda s, d: HW.marks(s, _highwater_pass(s, d)),
