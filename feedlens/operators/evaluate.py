@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS
 
@@ -100,23 +99,19 @@ def eval_loss(df: DataFrame, gold: str = "gold") -> DataFrame:
     """
     idx = F.array_position(F.array(*[F.lit(x) for x in SENTIMENTS]), F.col(gold)) - 1
     eps = F.coalesce(*[F.when(F.col("source") == s, F.lit(e)) for s, e in SMOOTHING.items()])
-    wt = F.coalesce(*[F.when(F.col("source") == s, F.lit(w)) for s, w in WEIGHTS.items()])
     rows = (df.filter(F.col(gold).isNotNull() & F.col("source").isin(*SMOOTHING))
-            .select("source", wt.alias("weight"),
+            .select("source",
                     smoothed_ce([F.col("logit_neg"), F.col("logit_neu"), F.col("logit_pos")], idx, eps)
                     .alias("ce")))
-    per = rows.groupBy("source").agg(F.avg("ce").alias("loss"), F.first("weight").alias("weight"))
-    # The weighted total comes from a window over the (one row per source) result, so the
-    # per-source aggregate is computed once rather than once per union branch.
-    w = Window.partitionBy()
-    per = (per.withColumn("_total", F.sum(F.col("loss") * F.col("weight")).over(w))
-           .withColumn("_rn", F.row_number().over(w.orderBy("source"))))
-    own = F.struct(F.col("source"), F.col("loss"), F.col("weight"))
-    tot = F.struct(F.lit("total").alias("source"), F.col("_total").alias("loss"),
-                   F.lit(None).cast("double").alias("weight"))
-    both = per.select(F.explode(F.when(F.col("_rn") == 1, F.array(own, tot)).otherwise(F.array(own))).alias("r"))
-    return both.select(F.col("r.source").alias("source"), F.round("r.loss", DIGITS).alias("loss"),
-                       F.col("r.weight").alias("weight"))
+    # The sources are a fixed few: one row of partial means a task, one exchange of single rows, no grouping.
+    means = rows.agg(*[F.avg(F.when(F.col("source") == x, F.col("ce"))).alias(x) for x in SMOOTHING])
+    weighted = [F.col(x) * F.lit(w) for x, w in WEIGHTS.items()]
+    some = F.coalesce(*weighted)
+    total = F.when(some.isNotNull(), sum((F.coalesce(x, F.lit(0.0)) for x in weighted[1:]), F.coalesce(weighted[0], F.lit(0.0))))
+    own = [F.when(F.col(x).isNotNull(), F.struct(F.lit(x).alias("source"), F.col(x).alias("loss"), F.lit(w).cast("double").alias("weight"))) for x, w in WEIGHTS.items()]
+    tot = F.struct(F.lit("total").alias("source"), total.alias("loss"), F.lit(None).cast("double").alias("weight"))
+    return means.select(F.explode(F.array_compact(F.array(*own, tot))).alias("r")).select(
+        F.col("r.source").alias("source"), F.round("r.loss", DIGITS).alias("loss"), F.col("r.weight").alias("weight"))
 
 
 def metrics_long(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:

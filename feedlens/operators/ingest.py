@@ -272,30 +272,41 @@ def encode_payload(wire: DataFrame, max_rows: int = 100) -> DataFrame:
 
     Batching is local to each partition (no shuffle, no global numbering): a
     company's message is sent when it has ``max_rows`` rows, the rest at the end.
+    ``batch`` numbers a company's messages of a partition (W11) and ``first_row`` is the place
+    of the message's first row among the company's rows of the partition. An Arrow
+    batch is sorted by company once, and its runs are cut off.
     """
     out = T.StructType([T.StructField("topic", T.StringType()), T.StructField("n_rows", T.IntegerType()),
-                        T.StructField("payload", T.BinaryType())])
+                        T.StructField("payload", T.BinaryType()), T.StructField("batch", T.IntegerType()),
+                        T.StructField("first_row", T.LongType())])
     cols = [n for n, _ in WIRE_FIELDS]
 
     def run(batches: Iterator):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
         schema = _arrow_wire_schema()
         held: dict = {}  # company -> its rows not yet sent, fewer than ``max_rows``
+        sent: dict = {}  # company -> messages so far, each of ``max_rows`` rows
 
         def message(company, chunk):
             buf = io.BytesIO()
             pq.write_table(chunk, buf)
-            return pa.RecordBatch.from_arrays([pa.array([company], pa.string()), pa.array([chunk.num_rows], pa.int32()),
-                                               pa.array([buf.getvalue()], pa.binary())], names=["topic", "n_rows", "payload"])
+            n = sent[company] = sent.get(company, -1) + 1
+            return pa.RecordBatch.from_arrays([pa.array([company], pa.string()), pa.array([chunk.num_rows], pa.int32()), pa.array([buf.getvalue()], pa.binary()),
+                                               pa.array([n], pa.int32()), pa.array([n * max_rows], pa.int64())], names=out.names)
 
         for rb in batches:
             tbl = pa.Table.from_batches([rb]).select(cols).cast(schema)
-            for company in pc.unique(tbl["company"]).to_pylist():
-                match = pc.is_null(tbl["company"]) if company is None else pc.equal(tbl["company"], company)
-                own = pa.concat_tables([*([held.pop(company)] if company in held else []), tbl.filter(match)])
+            code = pc.dictionary_encode(tbl["company"].combine_chunks(), null_encoding="encode")
+            order = np.argsort(code.indices.to_numpy(), kind="stable")  # rows of a company keep their order
+            tbl, code = tbl.take(pa.array(order)), code.indices.to_numpy()[order]
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
+            for start, end in zip(starts, [*starts[1:], len(code)]):
+                company = tbl["company"][int(start)].as_py()
+                own = pa.concat_tables([*([held.pop(company)] if company in held else []), tbl.slice(start, end - start)])
                 full = own.num_rows - own.num_rows % max_rows
                 for at in range(0, full, max_rows):
                     yield message(company, own.slice(at, max_rows))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS, SOURCES
+from feedlens.session import checkpoint_dir
 
 SCALE = 6  # averages are rounded to 6 digits
 
@@ -197,19 +198,23 @@ def youtube_engagement(scored: DataFrame, company: str | None = None) -> DataFra
         F.round("overall_likes", SCALE).alias("overall_avg_likes"))
 
 
+#: Companies up to which their latest ids (three, some 100 bytes) are broadcast.
+BROADCAST_COMPANIES = 200_000
+
+
 def last_comment(scored: DataFrame, company: str | None = None) -> DataFrame:
     """Latest comment per source, three fixed columns, NULL when none.
 
-    The latest id per (company, source) is found without text (a window whose
-    ``<= 1`` becomes a partial group limit before its shuffle); the text of
-    those few rows is fetched by a join.
+    One narrow aggregate gives each company its latest id of each source, without
+    text; it is checkpointed and counted. While it is small, those ids are broadcast
+    and the texts are one filtered scan that moves nothing; a larger one is joined by shuffle.
     """
     df = for_company(scored, company).withColumn("_src", F.lower(F.col("source")))
-    latest = Window.partitionBy("company", "_src").orderBy(F.col("date").desc(), F.col("id").desc())
-    ids = (df.filter(F.col("_src").isin(*SOURCES)).select("company", "_src", "date", "id")
-           .withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= 1).select("company", "_src", "id"))
-    few = ids.join(df.select("company", "_src", "id", "text"), ["company", "_src", "id"])
-    all_companies = df.select("company", F.lit(None).cast("string").alias("_src"), F.lit(None).cast("string").alias("text")).distinct()
-    return few.select("company", "_src", "text").unionByName(all_companies).groupBy("company").agg(
-        *[F.max(F.when(F.col("_src") == x, F.col("text"))).alias(x) for x in SOURCES])
-
+    checkpoint_dir(df.sparkSession)
+    latest = df.groupBy("company").agg(*[F.max_by("id", F.when(F.col("_src") == x, F.struct("date", "id"))).alias(x) for x in SOURCES]).checkpoint()
+    ids = latest.select("company", F.explode(F.array(*[F.struct(F.lit(x).alias("_src"), F.col(x).alias("id")) for x in SOURCES])).alias("e"))
+    ids = ids.select("company", "e.*").filter(F.col("id").isNotNull())
+    ids = F.broadcast(ids) if latest.count() <= BROADCAST_COMPANIES else ids
+    few = df.select("company", "_src", "id", "text").join(ids, ["company", "_src", "id"]).select("company", "_src", "text")
+    everyone = latest.select("company", F.lit(None).cast("string").alias("_src"), F.lit(None).cast("string").alias("text"))
+    return few.unionByName(everyone).groupBy("company").agg(*[F.max(F.when(F.col("_src") == x, F.col("text"))).alias(x) for x in SOURCES])

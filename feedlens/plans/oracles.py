@@ -682,6 +682,15 @@ SELECT company, source, CAST({_parse('date')} AS DATE) AS day, round(avg({A1}),
 FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)}, sentiment FROM cued) GROUP BY 1, 2, 3""", ctes=CUE_CTE),
 })
 
+_BROKEN_CTE = WIRE_CTE.replace("wire AS (SELECT ", "wire AS (SELECT CAST(id AS BIGINT) AS rid, ")
+ORACLES["document_rejects"] = W("""
+SELECT CASE source WHEN 'youtube' THEN 'comments' WHEN 'trustpilot' THEN 'page' ELSE 'keyed' END AS kind, company,
+  CASE WHEN rid % 9 = 0 THEN 'malformed' WHEN source = 'youtube' THEN 'no $.items' WHEN source = 'trustpilot' THEN 'no $.props.pageProps.reviews' ELSE 'no $' END AS reason,
+  CASE WHEN rid % 9 = 1 THEN '["' || rid || '"]' WHEN source = 'youtube' THEN '{"items": [' || text WHEN source = 'trustpilot' THEN '{"props": ' || text
+       ELSE '{"a": [{"text": ' || text END AS document FROM wire WHERE rid % 9 IN (0, 1)""", ctes=_BROKEN_CTE)
+ORACLES["readable_documents"] = W("""
+SELECT company, CASE WHEN source = 'trustpilot' AND length(text) - length(replace(text, ' ', '')) < 3 THEN text || ' ' ELSE text END AS text, date
+FROM wire WHERE rid % 9 NOT IN (0, 1)""", ctes=_BROKEN_CTE)
 _PARSED = _parse("date")
 ORACLES["stream_volume"] = W(f"""
 SELECT company AS topic, count(*) AS n_rows, true AS has_data FROM (SELECT DISTINCT {', '.join(ALL_COLUMNS)} FROM wire) GROUP BY 1""", ctes=WIRE_CTE)

@@ -22,6 +22,7 @@ from feedlens.operators import retrieval as RT
 from feedlens.operators import scoring as SC
 from feedlens.operators import warehouse as WH
 from feedlens.operators.sentiment_model import SentimentModel
+from feedlens.sources import documents as DC
 from feedlens.sources import files as FS
 from feedlens.sources import pages as PG
 from feedlens.sources.tables import reviews, scored, table
@@ -355,7 +356,42 @@ QUERIES.update({
 def _keyed_rows(spark, sf):
     s = _scored(spark, sf).filter(F.col("source") == "youtube")
     topic = F.when(F.col("sentiment") == "neutral", "other-comments").otherwise("product-feedback")
-    return s.select("company", "text", "date", "videoid", topic.alias("topic"), "sentiment")
+    return s.select("id", "company", "text", "date", "videoid", topic.alias("topic"), "sentiment")
+
+
+def _mixed_documents(spark, sf):
+    """Documents of three kinds, some of them broken: cut off, or valid JSON of another shape."""
+    r = IN.wire_rows(reviews(spark, sf), extra=("id",))
+    k = F.col("id").cast("bigint")
+    r = r.withColumn("_broken", (k % 9).isin(0, 1)).withColumn("_cut", k % 9 == 0)
+    yt, tp, rd = (r.filter(F.col("source") == x) for x in ("youtube", "trustpilot", "reddit"))
+    shape = F.concat(F.lit('["'), "id", F.lit('"]'))
+    bad = lambda rows, start: rows.filter("_broken").select("company", F.when(F.col("_cut"), F.concat(F.lit(start), "text")).otherwise(shape).alias("d"))
+    comments = IN.comment_payloads(yt.filter("NOT _broken")).unionByName(bad(yt, '{"items": [').withColumnRenamed("d", "payload"))
+    page = F.floor(k / 300)
+    pages = PG.review_pages(tp.filter("NOT _broken"), page).unionByName(
+        bad(tp, '{"props": ').select("company", F.concat(F.lit("<html><script>"), "d", F.lit("</script></html>")).alias("html")))
+    keyed = FS.keyed_documents(rd.filter("NOT _broken").withColumn("topic", F.lit("t")).withColumn("sentiment", F.lit("s")), page).select(
+        F.lit(None).cast("string").alias("company"), "doc").unionByName(bad(rd, '{"a": [{"text": ').withColumnRenamed("d", "doc"))
+    return comments, pages, keyed
+
+
+def _document_rejects(spark, sf):
+    comments, pages, keyed = _mixed_documents(spark, sf)
+    parts = [("comments", DC.split_documents(comments, "payload", "comments")[1]),
+             ("page", DC.split_documents(pages.select("company", PG.last_script("html").alias("script")), "script", "page")[1]),
+             ("keyed", DC.split_documents(keyed, "doc", "keyed")[1])]
+    out = [df.select(F.lit(kind).alias("kind"), "company", "reason", "document") for kind, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _readable_documents(spark, sf):
+    """Rows of the documents that can be read, from the same mixed input."""
+    comments, pages, keyed = _mixed_documents(spark, sf)
+    rows = IN.nested_comments(DC.split_documents(comments, "payload", "comments")[0]).select("company", "text", "date")
+    good = DC.split_documents(pages.withColumn("script", PG.last_script("html")), "script", "page")[0]
+    return (rows.unionByName(PG.page_json_reviews(good).select("company", "text", "date"))
+            .unionByName(FS.flatten_keyed(DC.split_documents(keyed, "doc", "keyed")[0]).select("company", "text", "date")))
 
 
 def _json_roundtrip(spark, sf):
@@ -372,8 +408,11 @@ def _train_rows(spark, sf):
 
 def _json_write(spark, sf):
     df = _train_rows(spark, sf)
-    path = FS.write_json(df, FS.scratch_path(spark, "jsonl"))
-    FS.write_json(df.filter(F.lit(False)), path)  # S10: appending an empty batch leaves the data as it was
+    # The older half first, then the newer one (and a batch of none) appended to it
+    first = F.col("id").cast("bigint") % 2 == 0
+    path = FS.write_json(df.filter(first), FS.scratch_path(spark, "jsonl"))
+    FS.write_json(df.filter(~first), path)
+    FS.write_json(df.filter(F.lit(False)), path)
     return spark.read.schema(df.schema).json(path)
 
 
@@ -395,12 +434,14 @@ def _paged(spark, sf):
 
 
 QUERIES.update({
+    "document_rejects": _document_rejects,
+    "readable_documents": _readable_documents,
     "page_title_text": lambda s, d: PG.page_title_text(table(s, d, "pages")),
     "page_json_reviews": lambda s, d: PG.page_json_reviews(PG.review_pages(_paged(s, d), F.col("page"))),
     "review_blocks": lambda s, d: PG.review_blocks(PG.block_pages(_paged(s, d), F.col("page"), F.pmod(F.xxhash64("id"), F.lit(4)))),
     "nested_submissions": lambda s, d: IN.nested_submissions(IN.submission_payloads(
         reviews(s, d).filter(F.col("source") == "reddit"), F.floor(F.col("id").cast("bigint") / 300))),
-    "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d))),
+    "flatten_keyed": lambda s, d: FS.flatten_keyed(FS.keyed_documents(_keyed_rows(s, d), F.floor(F.col("id").cast("bigint") / 300))),
     "json_roundtrip": _json_roundtrip,
     "json_write": _json_write,
     "json_read": _json_read,

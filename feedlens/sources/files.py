@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,11 +53,18 @@ KEYED_SCHEMA = "map<string, array<struct<text: string, date: string, yt_videoid:
                "topic: string, sentiment: string>>>"
 
 
-def keyed_documents(rows: DataFrame) -> DataFrame:
-    """{company: [comment]} documents built from rows (one small document per comment)."""
+def keyed_documents(rows: DataFrame, document: Column | None = None) -> DataFrame:
+    """{company: [comment, ..], ..} documents built from rows.
+
+    Rows with the same ``document`` are one document with a list for each of their companies; by default
+    each row is one.
+    """
     c = F.struct(F.col("text"), F.col("date").cast("string").alias("date"),
                  F.col("videoid").alias("yt_videoid"), F.col("topic"), F.col("sentiment"))
-    return rows.select(F.to_json(F.create_map(F.col("company"), F.array(c))).alias("doc"))
+    if document is None:
+        return rows.select(F.to_json(F.create_map(F.col("company"), F.array(c))).alias("doc"))
+    lists = rows.select(document.alias("_d"), "company", c.alias("c")).groupBy("_d", "company").agg(F.collect_list("c").alias("items"))
+    return lists.groupBy("_d").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("company", "items")))).alias("doc")).select("doc")
 
 
 def flatten_keyed(docs: DataFrame, col: str = "doc") -> DataFrame:

@@ -138,6 +138,11 @@ def block_pages(rows: DataFrame, page: Column, style: Column | None = None) -> D
     return rows.select("company", page.alias("page"), block.alias("b")).groupBy("company", "page").agg(html.alias("html"))
 
 
+def last_script(html: str) -> Column:
+    """Content of a page's last script; NULL without one."""
+    return F.try_element_at(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), F.lit(-1))
+
+
 def page_json_reviews(pages: DataFrame, company_col: str = "company") -> DataFrame:
     """The last ``<script>`` of a page holds JSON; one row per review in it.
 
@@ -145,9 +150,7 @@ def page_json_reviews(pages: DataFrame, company_col: str = "company") -> DataFra
     text = title + ' ' + text with missing parts as ''; location from the
     consumer's country code, 'N/A' when absent.
     """
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
-    last = F.element_at(scripts, -1)
-    doc = F.from_json(last, REVIEWS_JSON)
+    doc = F.from_json(last_script("html"), REVIEWS_JSON)
     r = pages.select(company_col, F.explode(doc["props"]["pageProps"]["reviews"]).alias("r"))
     return r.select(
         F.col("r.dates.publishedDate").alias("date"),
