@@ -699,6 +699,9 @@ ORACLES["stream_nulls"] = W(f"""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE source IS NULL) AS null_source, count(*) FILTER (WHERE company IS NULL) AS null_company,
   count(*) FILTER (WHERE text IS NULL) AS null_text
 FROM (SELECT DISTINCT {_NULL_COLUMNS} FROM wire)""", ctes=WIRE_CTE.replace("wire AS (SELECT ", "wire AS (SELECT CAST(id AS BIGINT) AS rid, "))
+ORACLES["canonical_nulls"] = W("""
+SELECT 0::BIGINT AS null_source, count(*) FILTER (WHERE text IS NULL OR CAST(id AS BIGINT) % 7 = 0) AS null_text,
+  count(*) FILTER (WHERE company IS NULL OR CAST(id AS BIGINT) % 13 = 0) AS null_company FROM reviews""")
 # Landings 1 and 2 hold the rows whose id is no multiple of ten; the bound is two days before the newest row seen.
 ORACLES["stream_closed_days"] = W(f"""
 SELECT company, source, day, part, CAST(sum(v) AS BIGINT) AS s, count(*) AS n_rows FROM (

@@ -39,11 +39,23 @@ def _scored(spark, sf):
     return scored(spark, sf)
 
 
+_STORED: dict[tuple[str, str], str] = {}  # (application, input) -> its warehouse
+
+
 def _warehouse(spark, sf):
-    """The four tables, written as Parquet and read back."""
-    path = FS.scratch_path(spark, "warehouse")
-    WH.write_warehouse(SC.score_reviews(reviews(spark, sf)), path)
-    return WH.read_warehouse(spark, path)
+    """The four tables, written once for an application and input, and read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = FS.scratch_path(spark, "warehouse")
+        prefix = "feedlens_" + path.rsplit("-", 1)[1]
+        WH.store_warehouse(SC.score_reviews(reviews(spark, sf)), path, prefix)
+        _STORED[key] = prefix
+    return WH.stored_warehouse(spark, _STORED[key])
+
+
+def _null_canonical(spark, sf):
+    """Canonical reviews of which every seventh has no text and every thirteenth no company."""
+    return IN.canonicalize(spark.read.schema(IN.WIRE_SCHEMA).parquet(_null_wire(spark, sf)))
 
 
 def _faulty_warehouse(spark, sf):
@@ -94,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "trustpilot_detail": lambda s, d: WH.detail(_warehouse(s, d), "trustpilot"),
     "pk_violations": lambda s, d: WH.pk_violations(_faulty_warehouse(s, d)),
     "fk_violations": lambda s, d: WH.fk_violations(_faulty_warehouse(s, d)),
+    "canonical_nulls": lambda s, d: WH.canonical_nulls(_null_canonical(s, d)),
     "null_violations": lambda s, d: WH.null_violations(_faulty_warehouse(s, d)),
 }
 
