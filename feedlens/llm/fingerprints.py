@@ -8,7 +8,7 @@ a wide vector, and the fingerprint is the sum of the vectors:
 * ``EXACT`` lanes of 32 uniform bits from the whole paragraph, summed modulo
   2**32: equal multisets of paragraphs have equal sums, in any order;
 * ``SIGNS`` narrow lanes that hold, for the paragraph's pairs of neighbouring
-  words (a lone word for itself), the sum of hashed signs modulo 2**32: the same kind of sum, whose inner
+  words (a lone word for itself), the sum of hashed signs (not reduced): the same kind of sum, whose inner
   product estimates how many runs two texts share (cosine; its standard error for one pair of
   texts is about 1 / sqrt(SIGNS), 0.09);
 * the numbers of paragraphs and runs.
@@ -96,7 +96,10 @@ def likeness(a: str, b: str, same: Column) -> Column:
 
 
 def followed(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4096, most_ranges: int = 10_000) -> DataFrame:
-    """(doc_id, text, n_chars, next_id, next_text): each row with the row that follows by (doc_id, text).
+    """(row, doc_id, text, n_chars, next_row, head): each row with the beginning of the row that follows by (doc_id, text).
+
+    ``head`` is what replaces the row's last quarter: that many characters of the next text, so that no
+    text is written twice.
 
     Rows are cut into ranges of doc_id (boundaries: approximate quantiles, an
     array of at most ``most_ranges``); a window per range finds the follower,
@@ -118,19 +121,20 @@ def followed(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4096, m
     w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     t = (t.withColumn("next_text", F.lead("text").over(w)).withColumn("nth", F.row_number().over(w).cast("long"))
          .withColumn("last", F.lead("n_chars").over(w).isNull()))
-    t = written(spark, t, "followed")
+    head = F.expr("left(next_text, CAST(n_chars DIV 4 AS INT))")
+    t = written(spark, t.withColumn("head", head).drop("next_text"), "followed")
     first = t.where("nth = 1").select("part", "text")
     there = [r["part"] for r in first.select("part").orderBy("part").collect()]  # at most most_ranges + 1
     row = F.shiftleft((F.col("part") + 1).cast("long"), 40) + F.col("nth")
-    cols = ["row", "doc_id", "text", "n_chars", "next_row", "next_text"]
+    cols = ["row", "doc_id", "text", "n_chars", "next_row", "head"]
     t = t.withColumn("row", row).withColumn("next_row", F.col("row") + 1)
     if not there:
         return t.select(*cols)
     after = F.create_map(*[F.lit(x) for p, q in zip(there, [*there[1:], there[0]]) for x in (p, q)])
-    ends = t.where("last").drop("next_text", "next_row").withColumn("after", after[F.col("part")])
+    ends = t.where("last").drop("head", "next_row").withColumn("after", after[F.col("part")])
     heads = first.select(F.col("part").alias("after"), F.col("text").alias("next_text"),
                          (F.shiftleft((F.col("part") + 1).cast("long"), 40) + 1).alias("next_row"))
-    ends = ends.join(heads, "after")
+    ends = ends.join(heads, "after").withColumn("head", head)
     return t.where("NOT last").select(*cols).unionByName(ends.select(*cols))
 
 
@@ -145,7 +149,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
          .withColumn("stays", F.expr("left(text, CAST(n_chars AS INT) - k)"))
          .withColumn("cut_line", F.substring_index("stays", "\n", -1))
          .withColumn("n_whole", F.expr("char_length(stays) - char_length(cut_line)")))
-    f = f.withColumn("head", F.expr("CASE WHEN k > 0 THEN left(next_text, k) ELSE '' END"))
+    f = f.withColumn("head", F.coalesce("head", F.lit("")))
     pieces = F.expr("""filter(array(
         CASE WHEN n_whole > 0 THEN named_struct('body', left(stays, n_whole - 1), 'of_text', 1L, 'of_edited', 1L) END,
         named_struct('body', substring(text, n_whole + 1, CAST(n_chars AS INT)), 'of_text', 1L, 'of_edited', 0L),
