@@ -6,10 +6,10 @@ engine, on any cluster size.
 
 Scale: a stratum (one company x sentiment) may hold a third of all rows, and
 the cut (20 % for a split, a class count for balancing) is large, so a window
-over the stratum would sort that third in one task. ``rank_cut`` instead
-ranks inside (stratum, hash-prefix bucket) pieces, 1/4096 of a stratum
-each, and adds the number of rows in earlier buckets, taken from a small
-per-bucket histogram with a running sum.
+over the stratum would sort that third in one task. ``cuts`` instead finds the row at
+the wanted rank: a histogram over hash-prefix buckets says in which bucket it lies,
+and only that bucket, 1/4096 of a stratum, is ranked. Every other row is then decided
+where it is read, by comparing its (md5, id) with the cut.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlens.operators.parallel import replicate
+from feedlens.operators.parallel import replicate, small_table
 from feedlens.session import checkpoint_dir
 
 BUCKET_HEX = 3  # 4,096 hash-prefix buckets per stratum
@@ -28,34 +28,55 @@ def md5_key(id_col: str = "id") -> Column:
     return F.md5(F.col(id_col).cast("string"))
 
 
-def rank_cut(df: DataFrame, keys: list[str], k: Column | str | None = None, order: Column | None = None,
-             id_col: str = "id", flag: str = "in_cut", bucket_hex: int = BUCKET_HEX,
-             k_of_n=None) -> DataFrame:
-    """Flag the first ``k`` rows of each stratum in ``order`` (default md5(id), then id).
+#: Strata up to which their cuts (some 100 bytes each) are broadcast; beyond it the join shuffles.
+BROADCAST_STRATA = 200_000
 
-    Exact (equal to ``row_number() <= k`` over the stratum) but ranked per
-    (stratum, hash-prefix bucket): the rows are shuffled once on that pair
-    (the join with the bucket histogram and the window share the
-    partitioning), each window partition is one bucket of one stratum, and
-    the running count of earlier buckets comes from the small histogram.
-    Either ``k`` is a column of ``df`` (constant within a stratum) or
-    ``k_of_n`` maps the stratum size (a column) to k, taken from the same
-    histogram so no separate count-and-join is needed.
+
+def cuts(df: DataFrame, keys: list[str], ranks, order: Column | None = None, id_col: str = "id", bucket_hex: int = BUCKET_HEX) -> DataFrame:
+    """For each stratum the rows at given ranks: (keys.., n, name.., at_name..), ``at_name`` = (order, id) of the row of that rank.
+
+    ``ranks`` adds to a table with the strata's sizes (keys.., n; several rows a stratum) a column for each
+    rank wanted; what it adds with a leading underscore is kept as it is. A rank below 1 gives NULL, one beyond
+    the stratum its last row. A row is among the first k when its (order, id) is not above the cut, so no rows are
+    shuffled but narrow histograms and the buckets that hold a cut:
+
+    1. rows by (stratum, hash-prefix bucket), one partial aggregate; the bucket in which each wanted rank falls,
+       from a running sum over a stratum's buckets;
+    2. the rank inside those buckets alone, 1 / 4096 of a stratum each, found by a broadcast of the (few) buckets.
     """
     o = md5_key(id_col) if order is None else order
-    d = df.withColumn("_rc_o", o).withColumn("_rc_b", F.substring("_rc_o", 1, bucket_hex))
-    hist = d.groupBy(*keys, "_rc_b").agg(F.count(F.lit(1)).alias("_rc_n"))
-    w = Window.partitionBy(*keys).orderBy("_rc_b").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.coalesce(F.sum("_rc_n").over(w), F.lit(0)).alias("_rc_before")]
-    if k_of_n is not None:
-        cols.append(k_of_n(F.sum("_rc_n").over(Window.partitionBy(*keys))).alias("_rc_k"))
-    else:
-        d = d.withColumn("_rc_k", F.col(k) if isinstance(k, str) else k)
-    hist = hist.select(*keys, "_rc_b", *cols)
-    d = d.join(hist, [*keys, "_rc_b"])
-    wr = Window.partitionBy(*keys, "_rc_b").orderBy("_rc_o", id_col)
-    d = d.withColumn(flag, F.col("_rc_before") + F.row_number().over(wr) <= F.col("_rc_k"))
-    return d.drop("_rc_o", "_rc_b", "_rc_k", "_rc_before")
+    d = df.select(*keys, id_col, o.alias("_o")).withColumn("_b", F.substring("_o", 1, bucket_hex))
+    stratum = Window.partitionBy(*keys)
+    hist = (d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("n", F.sum("_n").over(stratum))
+            .withColumn("_to", F.sum("_n").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))))
+    known = hist.columns
+    sized = ranks(hist)
+    kept = [c for c in sized.columns if c not in known]
+    names = [c for c in kept if not c.startswith("_")]
+    # A row for each rank, in its bucket; one without a name, in the first bucket, stands for the stratum.
+    wanted = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).cast("bigint").alias("rank")),
+                     *[F.struct(F.lit(n).alias("name"), F.when(F.col(n).isNotNull(), F.least(F.col(n), F.col("n"))).cast("bigint").alias("rank")) for n in names])
+    at = (sized.withColumn("_w", F.explode(wanted)).filter((F.col("_w.rank") <= F.col("_to")) & (F.col("_w.rank") > F.col("_to") - F.col("_n")))
+          .select(*keys, "n", *kept, "_b", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_to") + F.col("_n")).alias("_need")))
+    at, few = small_table(at, BROADCAST_STRATA * (1 + len(names)))
+    strata = at.filter("_name IS NULL").select(*keys, "n", *kept)
+    inside = Window.partitionBy(*keys, "_name").orderBy("_o", id_col)
+    found = (d.join(at.filter("_name IS NOT NULL").select(*keys, "_b", "_name", "_need"), [*keys, "_b"])
+             .withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") == F.col("_need"))
+             .groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.struct("_o", F.col(id_col).alias("_id")))).alias(f"at_{n}") for n in names]))
+    out = strata.join(found, keys, "left")
+    return F.broadcast(out) if few else out  # a row for each stratum that was just counted
+
+
+def with_cuts(df: DataFrame, keys: list[str], table: DataFrame, order: Column | None = None, id_col: str = "id") -> DataFrame:
+    """``df`` with the columns of ``table`` (from :func:`cuts`) and its own (order, id) as ``_at``; rows don't move while strata are few."""
+    o = md5_key(id_col) if order is None else order
+    return df.join(table, keys).withColumn("_at", F.struct(o.alias("_o"), F.col(id_col).alias("_id")))
+
+
+def until(name: str) -> Column:
+    """Whether a row is among the first ``name`` of its stratum."""
+    return F.coalesce(F.col("_at") <= F.col(f"at_{name}"), F.lit(False))
 
 
 def drop_unknown(df: DataFrame) -> DataFrame:
@@ -66,8 +87,9 @@ def drop_unknown(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, test_size: float = 0.2,
                      strata: tuple[str, ...] = ("company", "sentiment")) -> DataFrame:
     """Per stratum the first ceil(test_size * n) rows by md5(id) are test, the rest train."""
-    cut = rank_cut(df, list(strata), flag="_test", k_of_n=lambda n: F.ceil(n * F.lit(test_size)))
-    return cut.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    table = cuts(df, list(strata), lambda t: t.withColumn("test", F.ceil(F.col("n") * F.lit(test_size))))
+    out = with_cuts(df, list(strata), table)
+    return out.select(*df.columns, F.when(until("test"), "test").otherwise("train").alias("split"))
 
 
 def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:
@@ -80,56 +102,40 @@ def balance(train: DataFrame, neutral: str = "neutral") -> DataFrame:
     without neutral rows keeps its other rows; a company without non-neutral
     rows keeps its neutral rows as they are.
 
-    One pass: the per-company target comes from a small aggregate, one rank
-    cut over the (company, sentiment) strata decides every neutral row, and
-    the number of copies is a column that chunked replication expands.
+    Targets and cuts come from the histogram of :func:`cuts`; rows are decided where they are
+    read, and chunked replication expands the copies.
     """
-    per = train.groupBy("company", "sentiment").agg(F.count(F.lit(1)).alias("_c"))
-    tgt = per.groupBy("company").agg(
-        F.max(F.when(F.col("sentiment") != neutral, F.col("_c"))).alias("_target"),
-        F.max(F.when(F.col("sentiment") == neutral, F.col("_c"))).alias("_cur"))
-    d = train.join(tgt, "company")
-    is_neu = F.col("sentiment") == neutral
-    short = F.col("_cur") < F.col("_target")
-    k = F.when(is_neu & short, F.col("_target") % F.col("_cur")).when(is_neu, F.col("_target")).otherwise(0)
-    d = rank_cut(d.withColumn("_k", k), ["company", "sentiment"], "_k", flag="_in")
-    extra = F.when(F.col("_in"), 1).otherwise(0)
-    copies = (F.when(~is_neu | F.col("_target").isNull(), 1)
-              .when(short, F.floor(F.col("_target") / F.col("_cur")) + extra)
-              .otherwise(extra)).cast("bigint")
-    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return replicate(d.select(*train.columns, "_copies"), "_copies", "copy").drop("_copies")
+    return _balanced(train, 0.0, neutral)
 
 
 def split_balanced(df: DataFrame, test_size: float = 0.2, neutral: str = "neutral") -> DataFrame:
     """U6 then U7 in one go: the balanced training part of a stratified split.
 
-    The same rows as ``balance`` over the train rows of ``stratified_split``. The
-    bucket histogram holds all that both steps need: the test cut, the train
-    size of every stratum, and so the target of each company. Rows are ranked once;
-    a train row's rank is its rank less the test cut. Two scans, one join.
+    The same rows as ``balance`` over the train rows of ``stratified_split``: both are cuts by
+    rank in the same order, a train row's rank being its rank less the test cut.
     """
+    return _balanced(df, test_size, neutral)
+
+
+def _balanced(df: DataFrame, test_size: float, neutral: str) -> DataFrame:
     keys = ["company", "sentiment"]
-    d = df.withColumn("_o", md5_key()).withColumn("_b", F.substring("_o", 1, BUCKET_HEX))
-    hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    stratum = Window.partitionBy(*keys)
-    hist = hist.select(*keys, "_b", F.coalesce(F.sum("_n").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                                               F.lit(0)).alias("_before"), F.sum("_n").over(stratum).alias("_all"))
-    hist = hist.withColumn("_cut", F.ceil(F.col("_all") * F.lit(test_size))).withColumn("_train", F.nullif(F.col("_all") - F.col("_cut"), F.lit(0)))
-    company = Window.partitionBy("company")
+    company = Window.partitionBy("company")  # rows of the histogram
     is_neu = F.col("sentiment") == neutral
-    hist = (hist.withColumn("_target", F.max(F.when(~is_neu, F.col("_train"))).over(company))
-            .withColumn("_cur", F.max(F.when(is_neu, F.col("_train"))).over(company)).drop("_all", "_train"))
-    d = d.join(hist, [*keys, "_b"])
-    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o", "id"))
-    d = d.withColumn("_r", F.col("_before") + place - F.col("_cut")).filter(F.col("_r") > 0)  # rank among train rows
-    short = F.col("_cur") < F.col("_target")
-    first = lambda k: F.when(F.col("_r") <= k, 1).otherwise(0)
+
+    def ranks(strata: DataFrame) -> DataFrame:
+        t = strata.withColumn("test", F.ceil(F.col("n") * F.lit(test_size))).withColumn("_train", F.nullif(F.col("n") - F.col("test"), F.lit(0)))
+        t = (t.withColumn("_target", F.max(F.when(~is_neu, F.col("_train"))).over(company))
+             .withColumn("_cur", F.max(F.when(is_neu, F.col("_train"))).over(company)))
+        extra = F.when(F.col("_cur") < F.col("_target"), F.col("_target") % F.col("_cur")).otherwise(F.col("_target"))
+        return t.withColumn("more", F.when(is_neu, F.col("test") + F.coalesce(extra, F.lit(0))))
+
+    d = with_cuts(df, keys, cuts(df, keys, ranks)).filter(~until("test"))
+    once = F.when(until("more"), 1).otherwise(0)
     copies = (F.when(~is_neu | F.col("_target").isNull(), 1)
-              .when(short, F.floor(F.col("_target") / F.col("_cur")) + first(F.col("_target") % F.col("_cur")))
-              .otherwise(first(F.col("_target")))).cast("bigint")
-    d = d.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return replicate(d.select(*df.columns, "_copies"), "_copies", "copy").drop("_copies")
+              .when(F.col("_cur") < F.col("_target"), F.floor(F.col("_target") / F.col("_cur")) + once)
+              .otherwise(once)).cast("bigint")
+    d = d.select(*df.columns, copies.alias("_copies")).filter(F.col("_copies") > 0)
+    return replicate(d, "_copies", "copy").drop("_copies")
 
 
 def quota_sample(df: DataFrame, quota: int = 80, key: str = "stars") -> DataFrame:

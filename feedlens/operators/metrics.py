@@ -17,10 +17,9 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedlens.functions.score import SENTIMENTS, SOURCES
-from feedlens.session import checkpoint_dir
+from feedlens.operators.parallel import small_table
 
 SCALE = 6  # averages are rounded to 6 digits
 
@@ -206,15 +205,14 @@ def last_comment(scored: DataFrame, company: str | None = None) -> DataFrame:
     """Latest comment per source, three fixed columns, NULL when none.
 
     One narrow aggregate gives each company its latest id of each source, without
-    text; it is checkpointed and counted. While it is small, those ids are broadcast
-    and the texts are one filtered scan that moves nothing; a larger one is joined by shuffle.
+    text, computed once. While they are few, those ids are broadcast
+    and the texts are one filtered scan that moves nothing; more of them are joined by shuffle.
     """
     df = for_company(scored, company).withColumn("_src", F.lower(F.col("source")))
-    checkpoint_dir(df.sparkSession)
-    latest = df.groupBy("company").agg(*[F.max_by("id", F.when(F.col("_src") == x, F.struct("date", "id"))).alias(x) for x in SOURCES]).checkpoint()
+    latest = df.groupBy("company").agg(*[F.max_by("id", F.when(F.col("_src") == x, F.struct("date", "id"))).alias(x) for x in SOURCES])
+    latest, _ = small_table(latest, BROADCAST_COMPANIES)
     ids = latest.select("company", F.explode(F.array(*[F.struct(F.lit(x).alias("_src"), F.col(x).alias("id")) for x in SOURCES])).alias("e"))
     ids = ids.select("company", "e.*").filter(F.col("id").isNotNull())
-    ids = F.broadcast(ids) if latest.count() <= BROADCAST_COMPANIES else ids
     few = df.select("company", "_src", "id", "text").join(ids, ["company", "_src", "id"]).select("company", "_src", "text")
     everyone = latest.select("company", F.lit(None).cast("string").alias("_src"), F.lit(None).cast("string").alias("text"))
     return few.unionByName(everyone).groupBy("company").agg(*[F.max(F.when(F.col("_src") == x, F.col("text"))).alias(x) for x in SOURCES])

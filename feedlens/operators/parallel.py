@@ -10,6 +10,9 @@ and runs nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from feedlens.session import checkpoint_dir
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,3 +36,16 @@ def replicate(df: DataFrame, times: str, out: str = "copy", chunk: int = 100_000
     hi = F.least(n, (F.col("_rp_c") + 1) * chunk)
     return (c.withColumn("_rp_k", F.explode(F.sequence(lo, hi)))
             .withColumn(out, F.col("_rp_k").cast("int")).drop("_rp_c", "_rp_k"))
+
+
+def small_table(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """A table of a row for each company, stratum or the like, computed now and once, and whether it is small.
+
+    Up to ``most`` rows are fetched by one bounded job and marked for broadcast; a larger
+    table is checkpointed in the shared folder, and joins with it shuffle.
+    """
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(), False

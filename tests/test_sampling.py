@@ -1,9 +1,9 @@
-"""Exact seedless sampling: the bucketed rank cut equals a plain row_number cut, hot stratum included."""
+"""Exact seedless sampling: cuts found through bucket histograms equal a plain row_number cut, hot stratum included."""
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlens.operators.datasets import balance, md5_key, rank_cut
+from feedlens.operators.datasets import balance, cuts, md5_key, split_balanced, stratified_split, until, with_cuts
 
 
 def _frame(spark):
@@ -12,12 +12,29 @@ def _frame(spark):
     return spark.createDataFrame(rows, "id string, company string, sentiment string")
 
 
-def test_rank_cut_matches_row_number(spark):
-    df = _frame(spark).withColumn("k", F.lit(777))
-    got = {r.id for r in rank_cut(df, ["company"], "k", bucket_hex=1).filter("in_cut").collect()}
+def first_k(df, keys, k_of_n, **options):
+    table = cuts(df, keys, lambda t: t.withColumn("k", k_of_n(F.col("n"))), **options)
+    return {r.id for r in with_cuts(df, keys, table).filter(until("k")).collect()}
+
+
+def test_cuts_match_row_number(spark):
+    df = _frame(spark)
     w = Window.partitionBy("company").orderBy(md5_key(), F.col("id"))
-    want = {r.id for r in df.withColumn("r", F.row_number().over(w)).filter("r <= 777").collect()}
-    assert got == want
+    ranked = df.withColumn("r", F.row_number().over(w)).select("id", "r").collect()
+    for k in (-1, 0, 1, 777, 10**6):
+        assert first_k(df, ["company"], lambda n: F.lit(k), bucket_hex=1) == {r.id for r in ranked if r.r <= k}  # noqa: B023
+    assert first_k(df, ["company"], lambda n: F.lit(None).cast("long")) == set()
+
+
+def test_rows_of_a_split_do_not_move(spark):
+    """Only histograms, and the buckets that hold a cut, are exchanged; the rows meet their cuts by broadcast."""
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    split, balanced = text(stratified_split(_frame(spark))), text(split_balanced(_frame(spark)))
+    for plan in (split, balanced):
+        top = plan[:plan.index("BroadcastExchange")]  # what the rows go through before they are decided
+        assert "Window" not in top and "Sort" not in top and plan.count("Window [") == 1
+        assert plan.count("BroadcastHashJoin") >= 2
+    assert "Exchange hashpartitioning" not in split[:split.index("BroadcastExchange")]
 
 
 def test_balance_up_and_down(spark):
@@ -93,12 +110,12 @@ from hypothesis import strategies as st  # noqa: E402
 @settings(max_examples=8, deadline=None)
 @given(sizes=st.lists(st.integers(min_value=1, max_value=300), min_size=1, max_size=5),
        frac=st.floats(min_value=0.0, max_value=1.0))
-def test_rank_cut_property(spark, sizes, frac):
+def test_cuts_property(spark, sizes, frac):
     """For random strata sizes and cut points the bucketed cut equals row_number() <= k."""
     rows = [(f"{s}-{i}", f"s{s}") for s, n in enumerate(sizes) for i in range(n)]
     df = spark.createDataFrame(rows, "id string, company string")
     k = lambda n: F.floor(n * F.lit(frac)).cast("bigint")
-    got = {r.id for r in rank_cut(df, ["company"], k_of_n=k, bucket_hex=1).filter("in_cut").collect()}
+    got = first_k(df, ["company"], k, bucket_hex=1)
     w = Window.partitionBy("company").orderBy(md5_key(), F.col("id"))
     n = F.count(F.lit(1)).over(Window.partitionBy("company"))
     want = {r.id for r in df.withColumn("r", F.row_number().over(w)).withColumn("n", n)
