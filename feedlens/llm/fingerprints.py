@@ -85,11 +85,12 @@ def as_string(prefix: str = "") -> Column:
 def signed(p: str) -> Column:
     """The sums of signs of lanes struct ``p``: twice the set bits less the number of runs, as an array."""
     halves = ", ".join(f"2 * ({p}.s{i} & 4294967295L) - {p}.n_runs, 2 * shiftrightunsigned({p}.s{i}, 32) - {p}.n_runs" for i in range(PACKED))
-    return F.expr(f"transform(array({halves}), v -> CAST(v AS DOUBLE))")
+    return F.expr(f"transform(array({halves}), v -> CAST(v AS INT))")
 
 
 def likeness(a: str, b: str, same: Column) -> Column:
     """Estimated cosine (0 to 1) of two texts' runs from their arrays of signed sums; 1.0 for equal fingerprints only."""
+    a, b = (f"CAST({x} AS ARRAY<DOUBLE>)" for x in (a, b))
     dot = f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (t, v) -> t + v)"
     norms = " * ".join(f"sqrt(aggregate({p}, 0D, (t, v) -> t + v * v))" for p in (a, b))
     return F.when(same, 1.0).otherwise(F.expr(f"coalesce(greatest(0D, least(0.9999D, try_divide({dot}, {norms}))), 0D)"))
@@ -157,12 +158,16 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     sums = lane_sums(f.select("row", F.explode(pieces).alias("p")).select("row", "p.*"), "row", "body",
                      {"t": "of_text", "d": "of_edited"})
     sums = sums.select("row", as_struct("t").alias("t"), as_struct("d").alias("d"))
-    sums = written(spark, sums.select("row", as_string("t.").alias("t"), as_string("d.").alias("d"),
-                                      signed("t").alias("t_signs"), signed("d").alias("d_signs")), "lanes")
+    # What an edit changed is known here; the next row's side of a comparison is its signs and a digest of its lanes.
+    sums = sums.select("row", as_string("t.").alias("t"), as_string("d.").alias("d"), signed("t").alias("t_signs"), signed("d").alias("d_signs"))
+    near_edited = likeness("t_signs", "d_signs", F.col("t") == F.col("d"))
+    sums = written(spark, sums.select("row", "t", "d", "t_signs", near_edited.alias("near_edited")), "lanes")
     meta = f.select("row", "doc_id", "n_chars", "next_row",
                     F.sha2(F.concat("stays", "head").cast("binary"), 256).alias("edited_sha256"))
-    following = sums.select(F.col("row").alias("next_row"), F.col("t").alias("n"), F.col("t_signs").alias("n_signs"))
-    return (meta.join(sums, "row").join(following, "next_row")
+    following = sums.select(F.col("row").alias("next_row"), F.md5("t").alias("n"), F.col("t_signs").alias("n_signs"))
+    # The narrow rows meet their successors first, so the long strings are shuffled once.
+    near = (meta.select("row", "next_row").join(sums.select("row", "t_signs", F.md5("t").alias("t")), "row").join(following, "next_row")
+            .select("row", likeness("t_signs", "n_signs", F.col("t") == F.col("n")).alias("near_next")))
+    return (meta.drop("next_row").join(sums.drop("t_signs"), "row").join(near, "row")
             .select("doc_id", "n_chars", "edited_sha256", F.col("t").alias("fingerprint"), F.col("d").alias("edited_fingerprint"),
-                    likeness("t_signs", "d_signs", F.col("t") == F.col("d")).alias("near_edited"),
-                    likeness("t_signs", "n_signs", F.col("t") == F.col("n")).alias("near_next")))
+                    "near_edited", "near_next"))
