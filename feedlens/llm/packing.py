@@ -4,11 +4,11 @@
   texts longer than a sequence are cut; the first piece takes the remainder).
   What moves on is one narrow row a piece: ids are hashed, not shuffled.
 * **Pattern packing.** The histogram of piece lengths (at most ``capacity``
-  rows) is all the driver sees. Patterns of up to three lengths that fill a
+  rows) is all the driver sees. All patterns of up to three lengths that fill a
   sequence exactly are enumerated, their repeat counts are fitted to the
-  histogram by non-negative least squares (multiplicative updates on the sparse
-  pattern matrix), rounded down, and the residual counts are packed best-fit
-  decreasing, still as counts.
+  histogram by non-negative least squares (errors weighed by length), thinned out
+  to as many patterns as lengths, rounded down, and the residual counts are packed
+  best-fit decreasing, still as counts.
 * **Assignment.** Pieces of one length are interchangeable, so a piece needs only
   its rank among them. Ranks come from windows over (length, hash bucket) plus the
   counts of earlier buckets: a length that a third of all pieces share spreads over
@@ -128,68 +128,85 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
                                       ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def patterns(lengths: np.ndarray, capacity: int, steps: int = 24) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill ``capacity`` exactly, of ``lengths`` that occur.
+def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Rows of three lengths (descending, 0: none) that fill ``capacity`` exactly, of ``lengths`` that occur: all there are.
 
-    All singles and pairs; triples with a first length on each occurring value and
-    ``steps`` evenly spaced second ones, so the matrix stays small.
+    At most about capacity ** 2 / 12 rows, whatever the input.
     """
+    some = np.concatenate([[0], lengths])
     there = np.zeros(capacity + 1, bool)
-    there[lengths] = True
-    found = set()
-    for a in lengths.tolist():
-        if a == capacity:
-            found.add((a, 0, 0))
-        elif there[capacity - a]:
-            found.add((max(a, capacity - a), min(a, capacity - a), 0))
-        rest = capacity - a
-        for b in np.unique(np.linspace(1, max(1, rest - 1), steps).astype(int)).tolist():
-            c = rest - b
-            if c > 0 and there[b] and there[c]:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-    return np.array(sorted(found), np.int64).reshape(-1, 3)
-
-
-def fit(rows: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|, A being the pattern matrix."""
+    there[some] = True
+    a, b = np.meshgrid(lengths, some, indexing="ij")
+    c = capacity - a - b
+    inside = (a >= b) & (b >= c) & (c >= 0)
+    a, b, c = a[inside], b[inside], c[inside]
+    return np.stack([a, b, c], axis=1)[there[c]]
+
+
+def fit(rows: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise sum over lengths of (length * (pieces that x takes - counts)) ** 2.
+
+    Accelerated projected gradient; momentum starts anew where it points uphill. An
+    error weighs as its tokens, so what stays over is short pieces, which pack well.
+    """
     if not len(rows):
         return np.zeros(0)
-    real = rows > 0
-    which, owner = rows[real], np.nonzero(real)[0]
+    weight = np.arange(len(counts)) / (len(counts) - 1)      # no piece (0) weighs nothing
+    share, wanted = weight[rows], counts * weight
 
     def made(x: np.ndarray) -> np.ndarray:
-        return np.bincount(which, x[owner], minlength=len(counts))
+        return np.bincount(rows.ravel(), (x[:, None] * share).ravel(), minlength=len(counts))
 
     def along(v: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, v[which], minlength=len(rows))
-
-    wanted, x = along(counts.astype(float)), np.full(len(rows), max(1.0, counts.sum() / (3.0 * len(rows))))
+        return (v[rows] * share).sum(axis=1)
+
+    v = np.ones(len(rows))
+    for _ in range(20):                                      # largest curvature, by power iteration
+        u = along(made(v))
+        steepest = np.linalg.norm(u)
+        v = u / steepest
+    x = ahead = np.zeros(len(rows))
+    t = 1.0
     for _ in range(rounds):
-        x *= wanted / np.maximum(along(made(x)), 1e-9)
+        new = np.maximum(ahead - along(made(ahead) - wanted) / (1.02 * steepest), 0.0)
+        if (ahead - new) @ (new - x) > 0:
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        x, ahead, t = new, new + (t - 1) / after * (new - x), after
     return x
 
 
+def fitted(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns, no more of them than lengths, and their repeat counts.
+
+    A least-squares solution never needs more patterns than there are lengths, but the
+    gradient spreads it over all: the half with the largest counts is kept and fitted
+    again until that few are left, so that counts are large enough to round.
+    """
+    lengths = np.flatnonzero(counts)
+    rows = patterns(lengths, capacity)
+    x = fit(rows, counts)
+    while len(rows) > len(lengths):
+        rows = rows[np.argsort(-x, kind="stable")[:max(len(lengths), len(rows) // 2)]]
+        x = fit(rows, counts)
+    return rows, x
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """[({length: times}, repeats)]: sequences that hold exactly ``counts[length]`` pieces of each length."""
+    """[({length: times}, repeats)]: sequences that hold exactly ``counts[length]`` pieces of each length.
+
+    Fitted patterns first, their counts rounded down and bound by the pieces there are; the rest best-fit.
+    """
     left = counts.astype(np.int64).copy()
-    rows = patterns(np.flatnonzero(left), capacity)
-    x, out = fit(rows, left), []
+    rows, x = fitted(left, capacity)
+    out = []
     for i in np.argsort(-x, kind="stable").tolist():
-        if x[i] < 1:
-            break
-        need: dict[int, int] = {}
-        for length in rows[i].tolist():
-            if length:
-                need[length] = need.get(length, 0) + 1
-        n = min(int(x[i]), *(int(left[k]) // m for k, m in need.items()))
+        lengths, times = np.unique(rows[i][rows[i] > 0], return_counts=True)
+        n = min(int(x[i]), int((left[lengths] // times).min()))
         if n > 0:
-            out.append((need, n))
-            for k, m in need.items():
-                left[k] -= n * m
-    out += best_fit(left, capacity)
-    # Rounding can cost a sequence or two where counts are small: then best fit alone may need fewer.
-    plain = best_fit(counts.astype(np.int64), capacity)
-    return min(out, plain, key=lambda p: sum(n for _, n in p))
+            out.append((dict(zip(lengths.tolist(), times.tolist())), n))
+            left[lengths] -= n * times
+    return out + best_fit(left, capacity)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

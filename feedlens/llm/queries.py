@@ -49,11 +49,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """Place of a public vocabulary file; $FEEDLENS_TOKENIZERS names another folder."""
-    import os
+    """Place of a public vocabulary file."""
+    import public_tokenizers
 
-    folder = os.environ.get("FEEDLENS_TOKENIZERS", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    return public_tokenizers.path(name)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

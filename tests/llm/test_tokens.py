@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -96,3 +97,45 @@ def test_plans_hold_exactly_the_histogram(capacity):
         assert (held == counts).all()
         least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
         assert sum(n for _, n in chosen) <= least * 1.1 + 2
+
+
+def test_patterns_are_all_exact_fillings_of_up_to_three_lengths():
+    lengths = np.array([1, 3, 4, 5, 8, 11, 16])
+    want = {(a, b, c) for a in [0, *lengths] for b in [0, *lengths] for c in [0, *lengths] if a >= b >= c and a + b + c == 16}
+    got = [tuple(r) for r in packing.patterns(lengths, 16).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fit_is_the_non_negative_least_squares_solution():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 500, 33)
+    counts[0] = 0
+    rows = packing.patterns(np.flatnonzero(counts), 32)
+    x = packing.fit(rows, counts, rounds=20_000)
+    a = np.zeros((33, len(rows)))
+    np.add.at(a, (rows.ravel(), np.repeat(np.arange(len(rows)), 3)), 1.0)
+    a *= (np.arange(33) / 32)[:, None]
+    slope = a.T @ (a @ x - counts * np.arange(33) / 32)
+    assert (x >= 0).all() and slope.min() > -1e-3 and np.abs(slope[x > 1e-3]).max() < 1e-3  # the conditions of the optimum
+
+
+def histogram(sf):
+    counts = np.zeros(packing.CAPACITY + 1, np.int64)
+    for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall():
+        n = len(ids_of(t))
+        counts[(n - 1) % packing.CAPACITY + 1] += 1
+        counts[packing.CAPACITY] += (n - 1) // packing.CAPACITY
+    return counts
+
+
+@pytest.mark.parametrize("sf, times, more", [("sf0.01", 1, 1.0), ("sf0.01", 5, 1.0), ("sf0.01", 50, 1.0), ("sf0.001", 50, 1.006)])
+def test_fitted_patterns_carry_the_packing(sf, times, more):
+    counts = times * histogram(sf)
+    rows, x = packing.fitted(counts, packing.CAPACITY)
+    assert len(rows) <= (counts > 0).sum()
+    chosen = packing.plan(counts, packing.CAPACITY)
+    # Sequences of several pieces that come from rounded patterns, among all of several pieces.
+    mixed = sum(n for need, n in chosen if sum(need.values()) > 1)
+    fitted = int(np.floor(x[rows[:, 1] > 0]).sum())
+    assert fitted >= (0.1 if times == 1 else 0.4) * mixed
+    assert sum(n for _, n in chosen) <= more * sum(n for _, n in packing.best_fit(counts, packing.CAPACITY))
