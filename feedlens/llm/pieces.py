@@ -6,8 +6,9 @@ becomes U+2581, one is put in front, and the best-scored merge of neighbouring
 symbols is applied until none is left. Dropout skips a candidate merge when the
 keyed hash of (seed, text, place of the word in the text, merged piece, position) falls below
 ``dropout``, so a seed always gives the same segmentation and another seed gives another
-one, and every occurrence of a word draws its own merges. Which of a word's possible merges an
-occurrence skips decides its segmentation: that is remembered by (word, skipped merges).
+one, and every occurrence of a word draws its own merges. Only merges that come up draw, so a word
+has a small tree of decisions: a node is the segmentation under some skipped merges with the merges
+made on the way, a child skips one more of them. The nodes met are remembered; an occurrence walks them by its own draws.
 
 Decoding joins the pieces' bytes. It is lossless for every text: symbols without a
 piece, and a literal U+2581, are spelt in bytes. ``dropout=0`` gives the model's own ids.
@@ -32,13 +33,28 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.common import python_ready, texts
 
-SEED, DROPOUT, VARIANTS = 20240229, 0.1, 4
+SEED, DROPOUT = 20240229, 0.1
 SPACE = "▁"
 INFINITE = float("inf")
+NONE = (INFINITE, -1)
+
+
+class Node:
+    """A word's segmentation when the merges ``skipped`` are skipped: its ids and the draws of the merges made, in order.
+
+    ``children[i]``: the node where merge i is skipped as well; its first i merges are the same.
+    """
+
+    __slots__ = ("ids", "draws", "raw", "n", "skipped", "children")
+
+    def __init__(self, ids: bytes | None, draws: tuple[int, ...], skipped: frozenset[int]):
+        self.ids, self.draws, self.n, self.skipped = ids, draws, len(draws), skipped
+        self.raw = np.array(draws, np.uint32).tobytes()
+        self.children: dict[int, Node] = {}
 
 
 class Pieces:
-    """One model's pieces with a remembered segmentation of each (word, skipped merges)."""
+    """One model's pieces with remembered decision trees of words."""
 
     LIMIT = 300_000
 
@@ -57,50 +73,49 @@ class Pieces:
                 self.id[p], self.rank[p] = i, (-sp.get_score(i), i)
                 self.bytes[i] = p.replace(SPACE, " ").encode()
         self.seed, self.threshold = seed, int(dropout * (1 << 32))
-        self.longest = max(map(len, self.rank), default=0)
-        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}".encode()) & 0xFFFFFFFF for v in range(VARIANTS)]
-        #: word -> (hash constants of its possible merges, their number, ids by skipped merges); size counts the ids.
-        self.known: dict[str, tuple[bytes, int, dict[bytes, bytes]]] = {}
+        self.unremembered = Node(None, (), frozenset())
+        #: word -> root of its tree; size counts nodes.
+        self.known: dict[str, Node] = {}
         self.size = 0
 
-    def offer(self, piece: str, key: int, at: int) -> float:
-        """Priority of a candidate merge (less is better); infinite when it is no piece or is skipped."""
-        s = self.rank.get(piece)
-        if s is None:
-            return INFINITE
-        if self.threshold:
-            x = (key + s[1] * 0x9E3779B1 + at * 0x85EBCA77) & 0xFFFFFFFF
-            x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-            if x ^ (x >> 13) < self.threshold:
-                return INFINITE
-        return s[0]
-
-    def merged(self, sym: list[str], key: int) -> list[str]:
-        """Merge the best candidate, the leftmost of equals, until none is left; ``sym`` is used up."""
-        if len(sym) > 48:
-            return self._merged_long(sym, key)
-        offer, at = self.offer, 0
-        start = []
+    @staticmethod
+    def draw(rank: tuple[float, int], at: int) -> int:
+        """What the merge into the piece of ``rank`` at symbol ``at`` adds to an occurrence's key."""
+        return (rank[1] * 0x9E3779B1 + at * 0x85EBCA77) & 0xFFFFFFFF
+
+    def skips(self, key: int, draw: int) -> bool:
+        x = (key + draw) & 0xFFFFFFFF
+        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        return x ^ (x >> 13) < self.threshold
+
+    def node(self, word: str, skipped: frozenset[int]) -> Node:
+        """Merge the best candidate, the leftmost of equals, until none is left; those in ``skipped`` are not made."""
+        sym, get, at, start, draws = self.symbols(word), self.rank.get, 0, [], []
         for s in sym:
             start.append(at)
             at += len(s)
-        wait = [offer(a + b, key, i) for a, b, i in zip(sym, sym[1:], start)]
-        while wait:
-            best = min(wait)
+        wait = [get(a + b, NONE) for a, b in zip(sym, sym[1:])]
+        cost = [w[0] for w in wait]
+        while cost:
+            best = min(cost)
             if best == INFINITE:
                 break
-            i = wait.index(best)
+            i = cost.index(best)
+            d = self.draw(wait[i], start[i])
+            if d in skipped:
+                cost[i] = INFINITE
+                continue
+            draws.append(d)
             sym[i] += sym.pop(i + 1)
-            start.pop(i + 1)
-            wait.pop(i)
-            if i < len(wait):
-                wait[i] = offer(sym[i] + sym[i + 1], key, start[i])
-            if i:
-                wait[i - 1] = offer(sym[i - 1] + sym[i], key, start[i - 1])
-        return sym
-
-    def _merged_long(self, symbols: list[str], key: int) -> list[str]:
-        """The same with an agenda, for words of many symbols."""
+            start.pop(i + 1), wait.pop(i), cost.pop(i)
+            for k in (i - 1, i):
+                if 0 <= k < len(wait):
+                    wait[k] = get(sym[k] + sym[k + 1], NONE)
+                    cost[k] = wait[k][0]
+        return Node(self.ids_of(sym), tuple(draws), skipped)
+
+    def merged(self, symbols: list[str], key: int) -> list[str]:
+        """The same under ``key`` with an agenda, for words of many symbols."""
         start = list(itertools.accumulate(map(len, symbols), initial=0))
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         agenda: list[tuple[float, int, int, str]] = []
@@ -108,9 +123,9 @@ class Pieces:
 
         def push(i: int, j: int) -> None:
             p = sym[i] + sym[j]
-            s = self.offer(p, key, start[i])
-            if s != INFINITE:
-                heapq.heappush(agenda, (s, i, j, p))
+            s = self.rank.get(p)
+            if s is not None and not self.skips(key, self.draw(s, start[i])):
+                heapq.heappush(agenda, (s[0], i, j, p))
 
         for i in range(len(symbols) - 1):
             push(i, i + 1)
@@ -126,44 +141,53 @@ class Pieces:
                 push(before[i], i)
         return [s for s in sym if s is not None]
 
-    def segment(self, word: str, variant: int) -> bytes:
-        """ids of one word under one of ``VARIANTS`` fixed keys."""
-        return self.drawn(word, self.keys[variant])
-
     @staticmethod
     def symbols(word: str) -> list[str]:
         body = word.lstrip(" ")
         # A literal U+2581 is no space: as a symbol it has no piece.
         return [SPACE] * (len(word) - len(body)) + [c if c != SPACE else "\0" + c for c in body]
 
-    def drawn(self, word: str, key: int) -> bytes:
-        """ids (little-endian uint32) of one word under ``key``; ``word`` starts with its spaces as plain spaces."""
+    def ids_of(self, sym: list[str]) -> bytes:
+        """ids of symbols as little-endian uint32."""
         ids: list[int] = []
-        for s in self.merged(self.symbols(word), key):
+        for s in sym:
             i = self.id.get(s)
             ids += [i] if i is not None else [self.byte_id[b] for b in s.lstrip("\0").encode("utf-8", "surrogatepass") or b"\0"]
         return np.array(ids, "<u4").tobytes()
 
-    def learnt(self, word: str) -> tuple[bytes, int, dict[bytes, bytes] | None]:
-        """The word's entry in ``known``: its possible merges are the pieces that two possible parts make."""
-        sym = self.symbols(word)
-        if len(sym) > 48:
-            return b"", 0, None  # not remembered
+    def drawn(self, word: str, key: int) -> bytes:
+        """ids of one word under ``key``; ``word`` starts with its spaces as plain spaces."""
+        return self.ids_of(self.merged(self.symbols(word), key))
+
+    def root(self, word: str) -> Node:
+        """The word's segmentation without skipped merges, remembered unless the word has many symbols."""
+        if len(word) > 48:
+            return self.unremembered
         if self.size >= self.LIMIT:
             self.known.clear()
             self.size = 0
-        n, start, out = len(sym), list(itertools.accumulate(map(len, sym), initial=0)), []
-        made = {(i, i + 1) for i in range(n)}
-        if self.threshold:
-            for width in range(2, min(n, self.longest) + 1):
-                for i in range(n - width + 1):
-                    s = self.rank.get("".join(sym[i:i + width]))
-                    if s is not None and any((i, k) in made and (k, i + width) in made for k in range(i + 1, i + width)):
-                        made.add((i, i + width))
-                        out.append((s[1] * 0x9E3779B1 + start[i] * 0x85EBCA77) & 0xFFFFFFFF)
         self.size += 1
-        e = self.known[word] = (np.array(out, np.uint32).tobytes(), len(out), {})
-        return e
+        n = self.known[word] = self.node(word, frozenset())
+        return n
+
+    def walked(self, word: str, node: Node, first: int, key: int) -> bytes:
+        """ids of an occurrence whose draws skip merge ``first`` of ``node``."""
+        threshold = self.threshold
+        while True:
+            child = node.children.get(first)
+            if child is None:
+                child = self.node(word, node.skipped | {node.draws[first]})
+                if self.size < self.LIMIT:
+                    node.children[first] = child
+                    self.size += 1
+            node = child
+            for first in range(first, node.n):
+                x = (key + node.draws[first]) & 0xFFFFFFFF
+                x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+                if x ^ (x >> 13) < threshold:
+                    break
+            else:
+                return node.ids
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -180,28 +204,29 @@ class Pieces:
             words = [*joined, " " * spaces + words[-1]]
         else:
             words = [" " + w for w in words]
-        known, out, at = self.known, [], 0
-        entries = [known.get(w) or self.learnt(w) for w in words]
+        known = self.known
+        nodes = [known.get(w) or self.root(w) for w in words]
+        out = [n.ids for n in nodes]
         base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF)
         x = (np.arange(len(words), dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         keys = (x >> np.uint64(32)).astype(np.uint32)
-        # As in offer(), for all possible merges of all words at once.
-        x = np.repeat(keys, [e[1] for e in entries]) + np.frombuffer(b"".join([e[0] for e in entries]), np.uint32)
-        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        skipped = ((x ^ (x >> np.uint32(13))) < np.uint64(self.threshold)).tobytes()
-        for n, (_, size, ids) in enumerate(entries):
-            if ids is None:
-                out.append(self.drawn(words[n], int(keys[n])))
-                continue
-            these = skipped[at:at + size]
-            at += size
-            b = ids.get(these)
-            if b is None:
-                b = ids[these] = self.drawn(words[n], int(keys[n]))
-                self.size += 1
-            out.append(b)
+        if None in out:
+            for n in [i for i, ids in enumerate(out) if ids is None]:
+                out[n] = self.drawn(words[n], int(keys[n]))
+        if self.threshold:
+            # As in skips(), for the merges of all words at once when none is skipped.
+            size = np.fromiter([n.n for n in nodes], np.int64, len(nodes))
+            x = np.repeat(keys, size) + np.frombuffer(b"".join([n.raw for n in nodes]), np.uint32)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            hits = np.flatnonzero((x ^ (x >> np.uint32(13))) < np.uint64(self.threshold))
+            end = np.cumsum(size)
+            at = np.searchsorted(end, hits, side="right")          # words of the skipped merges
+            at, where = np.unique(at, return_index=True)
+            first = hits[where] - (end - size)[at]
+            for n, i, key in zip(at.tolist(), first.tolist(), keys[at].tolist()):
+                out[n] = self.walked(words[n], nodes[n], i, key)
         return b"".join(out)
 
     def decode(self, ids) -> str:
