@@ -21,8 +21,9 @@ reach the bound that the two sizes set, ceil(3 (|x| + |y|) / 7):
 
 Edge cases: null or wordless text: empty set, linked with nothing; fewer than
 five words: the whole sequence is the one shingle; equal rows, ties and repeated
-doc_ids are members of one row; an empty table gives an empty result; other columns are
-not read.
+doc_ids are members of one row; a row with a null doc_id links like any other, and its component
+is the smallest doc_id of those it reaches, null where all of them are null; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,7 +135,10 @@ def entries(docs: DataFrame, sketch) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the rows whose one member document is in ``wanted`` (doc_id, key); once a task."""
+    """(key, shingles) of the rows whose one member document is in ``wanted`` (doc_id, key); once a task.
+
+    Members without a doc_id are found by their key among all rows that have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,7 +152,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Repeated rows of one doc_id may give a key from several tasks: links are made distinct later.
     chosen = docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    return chosen.select("doc_id", "text").mapInArrow(run, "key long, shingles array<long>")
+    found = chosen.select("doc_id", "text").mapInArrow(run, "key long, shingles array<long>")
+    nameless = wanted.where("doc_id IS NULL").select("key").distinct()
+    if nameless.isEmpty():
+        return found
+    rest = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(run, "key long, shingles array<long>")
+    return found.unionByName(rest.join(small(nameless), "key", "left_semi"))
 
 
 _BOUND = "least({a}n - {a}pos, {b}n - {b}pos) >= CAST(ceil(3 * ({a}n + {b}n) / 7) AS INT)"

@@ -65,6 +65,22 @@ def test_components_of_near_copies_ties_and_odd_texts(spark, make):
     assert got_components(spark, make(rows)) == brute_components(rows)
 
 
+def test_rows_without_an_id_link_and_bridge(spark, make):
+    base = [f"w{i}" for i in range(100)]
+
+    def edited(k, prefix="e"):
+        return " ".join([f"{prefix}{i}" if i >= 100 - k else w for i, w in enumerate(base)])
+
+    alone = " ".join(f"u{i}" for i in range(60))
+    rows = [(None, edited(1)), (9, edited(0)),                # a near-copy without an id
+            (20, edited(14)), (None, edited(27)), (None, edited(27)), (None, alone), (None, alone + " tail"), (None, None)]
+    rows += [(5, " ".join(f"b{i}" for i in range(100))), (None, " ".join([f"b{i}" for i in range(87)] + [f"m{i}" for i in range(13)])),
+             (3, " ".join([f"b{i}" for i in range(79)] + [f"t{i}" for i in range(8)] + [f"m{i}" for i in range(13)]))]
+    want = brute_components(rows)
+    assert got_components(spark, make(rows)) == want
+    assert {(i, c) for i, _, c in want if i is not None} >= {(5, 3), (3, 3), (9, 9)}  # 5 and 3 meet only through the row without an id
+
+
 def test_kept_row_is_the_first_of_its_component(spark, make):
     text = " ".join(f"w{i}" for i in range(80))
     df = make([(1, "else"), (5, text), (3, text + " tail"), (9, text.upper()), (None, "no id at all")])
