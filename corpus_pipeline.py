@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlens.llm import exact_dedup, jaccard_join, packing, quality, windows
-from feedlens.llm.common import ROW, numbered, written
+from feedlens.llm.common import written
 from feedlens.llm.queries import tokenizer_path
 from feedlens.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest-neighbour classifier rejects go."""
+    """Rows whose text the nearest-neighbour classifier rejects go."""
     return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
@@ -36,7 +36,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences: a row for each piece."""
-    return packing.pack(spark, docs.drop(ROW), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(spark, docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
@@ -47,15 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next.
-
-    The rows that the first stage keeps get the row key by which the later ones decide, once.
-    """
+    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(spark, docs, f"stage-{i + 1}")
-        if i == 0:
-            docs = numbered(spark, docs)
     return docs
