@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,11 @@ SHINGLE, SIMILARITY = 5, 0.75
 #: Rows up to which a narrow table of ids or keys (16 bytes a row) is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000
 
-#: Column of the row key that :func:`numbered` adds.
-ROW = "__row"
+#: Spark's setting by which a query's shuffle files go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders written inside the open :func:`scratch` blocks, innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,19 +44,47 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, few: bool = False, stays: bool = False) -> DataFrame:
     """Cut the lineage: ``df`` as a Parquet table in the shared checkpoint folder, read back.
 
     ``few``: a table that is narrow and far smaller than the input is written by
-    no more than two tasks a core, whatever the shuffle's partitions.
+    no more than two tasks a core, whatever the shuffle's partitions. ``stays``: the
+    table outlives the innermost :func:`scratch` block. The shuffle files
+    behind the table are removed once it is whole: nothing reads them again.
     """
     path = f"{checkpoint_dir(spark).rstrip('/')}/feedlens-llm/{name}-{uuid.uuid4().hex}"
+    blocks = _SCRATCH.get()[:-1] if stays else _SCRATCH.get()
+    if blocks:
+        blocks[-1].append(path)
     out = df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df
-    # Row groups of 16 MB: tables that hold texts are read back by enough tasks.
-    out.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # A plan fixes the setting when it is made: one made under it. Row groups of 16 MB: tables that
+        # hold texts are read back by enough tasks.
+        out.select("*").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those that stay.
+
+    For operators whose result is a small written table: what led to it is dead then.
+    """
+    mine: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), mine))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast when its counted rows are within BROADCAST_ROWS, else unmarked."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
@@ -64,17 +97,29 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def numbered(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a key of its own for every row, written; a table that has it is given back as it is.
+def numbered(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for every row, and the key's column (a name that is free).
 
-    The key (a long, not negative) follows the order of ``id_col``, null ids last. Equal ids are
-    ordered arbitrarily, and spread over tasks however many there are.
+    The key (a long, not negative) follows the order of ``id_col``, null ids last. Where every row
+    has such an id of its own, the id is the key: only ids are shuffled to see that. Else rows
+    are sorted and written; equal ids are ordered arbitrarily, and spread over tasks however many there are.
     """
-    if ROW in docs.columns:
-        return docs
-    plain = docs.withColumn(ROW, F.monotonically_increasing_id())
-    in_order = plain.orderBy(F.col(id_col).isNull(), F.col(id_col).cast("long"), ROW)
-    return written(spark, in_order.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    key = free_name(docs, "__row")
+    number = F.col(id_col).cast("long")
+    ids = docs.select(number.alias("k")).groupBy("k").count()
+    if not ids.where("k IS NULL OR k < 0 OR count > 1").limit(1).count():
+        return docs.withColumn(key, number), key
+    plain = docs.withColumn(key, F.monotonically_increasing_id())
+    in_order = plain.orderBy(F.col(id_col).isNull(), number, key)
+    return written(spark, in_order.withColumn(key, F.monotonically_increasing_id()), "numbered", stays=True), key
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it needs to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def released() -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from feedlens.llm.common import ROW, ascii_lower, numbered, small, texts, written
+from feedlens.llm.common import ascii_lower, free_name, numbered, scratch, small, texts, written
 
 MAX_DEPTH = 14   # directory of at most 16,384 slots
 SALTS = 32       # overflow pages of a chained bucket
@@ -125,10 +125,12 @@ def keep_last(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
 
     Decided by row: rows with one id, or none, are told apart by their texts.
     """
-    rows = numbered(spark, docs, id_col)
+    rows, key = numbered(spark, docs, id_col)
     # Row keys without an id lie below all others: they never win over a number.
-    flipped = -1 - F.col(ROW)
-    own = rows.withColumn(ROW, F.when(F.col(id_col).isNull(), flipped).otherwise(F.col(ROW)))
-    gone = exact_groups(spark, own, ROW, text_col).where("NOT kept").select(F.col("doc_id").alias(ROW))
-    gone = written(spark, gone.select(F.when(F.col(ROW) < 0, flipped).otherwise(F.col(ROW)).alias("__gone")), "gone")
-    return rows.join(small(gone), rows[ROW] == F.col("__gone"), "left_anti").select(*docs.columns)
+    flipped = -1 - F.col(key)
+    own = rows.withColumn(key, F.when(F.col(id_col).isNull(), flipped).otherwise(F.col(key)))
+    name = free_name(rows, "__gone")
+    with scratch(spark):
+        gone = exact_groups(spark, own, key, text_col).where("NOT kept").select(F.col("doc_id").alias(key))
+        gone = written(spark, gone.select(F.when(F.col(key) < 0, flipped).otherwise(F.col(key)).alias(name)), "gone", stays=True)
+    return rows.join(small(gone), rows[key] == gone[name], "left_anti").select(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from feedlens.llm.common import ROW, numbered, python_ready, rows_of, shingle_hashes, small, texts, word_hashes, written
+from feedlens.llm.common import free_name, numbered, python_ready, rows_of, scratch, shingle_hashes, small, texts, word_hashes, written
 from feedlens.llm.components import components
 
 #: Counters of the frequency sketch: one byte each when broadcast, at any input.
@@ -223,8 +223,10 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
     Decided by row: rows with one id, or none, are told apart by their texts.
     """
-    rows = numbered(spark, docs, id_col)
-    gone = (jaccard_components(spark, rows, ROW, text_col).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__gone")))
-    gone = written(spark, gone, "gone")
-    return rows.join(small(gone), rows[ROW] == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows, key = numbered(spark, docs, id_col)
+    name = free_name(rows, "__gone")
+    with scratch(spark):
+        gone = (jaccard_components(spark, rows, key, text_col).where("doc_id <> component_id")
+                .select(F.col("doc_id").alias(name)))
+        gone = written(spark, gone, "gone", stays=True)
+    return rows.join(small(gone), rows[key] == gone[name], "left_anti").select(*docs.columns)

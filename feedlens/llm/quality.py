@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import fold, python_ready, texts
+from feedlens.llm.common import fold, free_name, numbered, python_ready, scratch, small, texts, written
 
 SAMPLE, RANK, K = 4000, 48, 15
 HASHED, CLASSES = 1024, 7
@@ -119,7 +119,14 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     """(doc_id, held_out, score, predicted) for every row."""
     python_ready(spark)
     docs = texts(docs, id_col, text_col)
-    shared = spark.sparkContext.broadcast(train(spark, docs, labels, sample=sample))
+    scored = judged(spark, docs, train(spark, docs, labels, sample=sample))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def judged(spark: SparkSession, docs: DataFrame, fitted: Model) -> DataFrame:
+    """(doc_id, score) for every row of ``docs`` (doc_id, text)."""
+    shared = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -129,19 +136,24 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
                 x = np.array([terms(t) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x).astype(float))], ["doc_id", "score"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return docs.mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(fold(id_col, 5) == 0, F.lit(False))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is predicted good (equal ids share the better verdict)."""
-    from feedlens.llm.common import small, written
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is predicted good.
 
-    judged = score(spark, docs, labels, id_col, text_col).groupBy("doc_id").agg(F.max("predicted").alias("p"))
-    bad = written(spark, judged.where("p = 0").select(F.col("doc_id").alias("__gone")), "rejected")
-    return docs.join(small(bad), docs[id_col] == F.col("__gone"), "left_anti")
+    Decided by row: rows with one id, or none, are told apart; a row without an id goes when its text is rejected.
+    """
+    python_ready(spark)
+    rows, key = numbered(spark, docs, id_col)
+    name = free_name(rows, "__gone")
+    with scratch(spark):
+        fitted = train(spark, texts(docs, id_col, text_col), labels)
+        bad = judged(spark, texts(rows, key, text_col), fitted).where(F.col("score") < threshold)
+        bad = written(spark, bad.select(F.col("doc_id").alias(name)), "rejected", stays=True)
+    return rows.join(small(bad), rows[key] == bad[name], "left_anti").select(*docs.columns)
