@@ -354,8 +354,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         is_hot, _ = _is_in(ctx, context_hot)
         if is_hot.any():
             rows.append(("h", here, 0, ctx[is_hot].tobytes(), s2[is_hot].tobytes(), s1[is_hot].tobytes()))
-        ctx, s2, s1 = ctx[~is_hot], s2[~is_hot].astype(np.float32), s1[~is_hot]
-        rows += _cut(ctx, [s2, s1.astype(np.float32)], "c", bits)
+        rows += _cut(ctx[~is_hot], [s2[~is_hot], s1[~is_hot]], "c", bits)  # doubles: a frequent context backs off with a mass near 1 / C
         # Counts of words as contexts: at home here, unless hot.
         home = (r.cword > 0) & ~_is_in(r.words, context_hot)[0]
         rows += _cut(r.words[home], [r.cword[home]], "n", bits)
@@ -421,7 +420,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         words, total = cat(_arr(n["a"], np.uint64), np.uint64), cat(_arr(n["b"], np.int64), np.int64)
         o = np.argsort(words)
         words, total = words[o], total[o]
-        h, s2, s1 = cat(_arr(c["a"], np.uint64), np.uint64), cat(_arr(c["b"], np.float32), np.float32), cat(_arr(c["c"], np.float32), np.float32)
+        h, s2, s1 = cat(_arr(c["a"], np.uint64), np.uint64), cat(_arr(c["b"], np.float64), np.float64), cat(_arr(c["c"], np.float64), np.float64)
         there, at = _is_in(h, words)
         at = at[there]
         weight = _back_off(total, np.bincount(at, s2[there], len(words)), np.bincount(at, s1[there], len(words)))
@@ -432,6 +431,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 inside, at = _is_in(a, keys)
                 x[inside] = w[at[inside]]
             rows.append(("d", 0, block, np.bincount(b.astype(np.int64), x).tobytes(), b"", b""))
+        del c, n, u, words, total, h, s2, s1, there, at, weight
+        released()
         return pa.Table.from_batches([_batch(rows, OUT)])
 
     corrected = (parts.where("kind IN ('c', 'n', 'u')").groupBy("dest").applyInArrow(backed, OUT))
