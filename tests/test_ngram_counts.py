@@ -50,3 +50,11 @@ def test_no_map_of_all_grams_before_the_only_exchange(spark):
     docs = spark.createDataFrame(ROWS, "company string, text string")
     plan = NG.ngram_counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sums_of_counts_travel_packed(spark):
+    grams = [("a", 1, "x", 2), ("a", 1, "x", 3), ("a", 2, "x y", 1), (None, 3, "x y z", 4_000_000_000), (None, 3, "x y z", 4_000_000_000), ("b", 2, " ", 1)]
+    state = spark.createDataFrame(grams, "company string, n int, gram string, count bigint")
+    merged = NG.merge_counts(state.repartition(3), state.limit(1))
+    assert "HashAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert found(merged.collect()) == Counter({("a", 1, "x"): 7, ("a", 2, "x y"): 1, (None, 3, "x y z"): 8_000_000_000, ("b", 2, " "): 1})
