@@ -123,8 +123,8 @@ class SentimentModel:
     def _joined(self, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
         words, split = words_of(text_col)
         used = df.select(id_col, split.alias("_tokens")).select(id_col, F.explode(words).alias("word"))
-        used = used.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
-        sums = used.join(self.table, "word").groupBy(id_col).agg(*[F.sum(F.col("n") * F.col(x)).alias(f"_{x}") for x in SENTIMENTS])
+        # Not counted by (id, word) first: a task would hold a map of nearly all its tokens, and move them twice.
+        sums = used.join(self.table, "word").groupBy(id_col).agg(*[F.sum(x).alias(f"_{x}") for x in SENTIMENTS])
         priors = self.table.filter(F.col("word").isNull()).select(F.struct(*SENTIMENTS)).scalar()
         out = df.withColumn("_prior", priors).join(sums, id_col, "left")
         logits = F.array(*[(F.coalesce(F.col(f"_{x}"), F.lit(0)) + F.col(f"_prior.{x}")) / F.lit(float(UNIT)) for x in SENTIMENTS])

@@ -75,3 +75,16 @@ def test_learns_planted_words_and_texts_do_not_move(spark, tmp_path):
     assert {r.id: r.sentiment for r in model.apply(probe).collect()} == {"a": "negative", "b": "neutral", "c": "positive"}
     plan = score_reviews(planted.drop("k"), model)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange hash" not in plan
+
+
+def test_no_map_of_words_by_text_for_a_large_model(spark):
+    from feedlens.operators.sentiment_model import SentimentModel, fit
+
+    rows = [(1, "good good day", "positive"), (2, "bad day", "negative"), (None, "good", "neutral"), (4, None, "neutral"), (5, "", "positive"), (6, "bad bad night bad", "negative")]
+    df = spark.createDataFrame(rows, "id int, text string, sentiment string")
+    model = fit(df).cache()
+    small, large = ({r.id: r.logits for r in SentimentModel(model, m).logits(df).collect() if r.id} for m in (100, 0))
+    assert small == large
+    plan = SentimentModel(model, 0).logits(df)._jdf.queryExecution().executedPlan().toString()
+    by_text = [x for x in plan.splitlines() if "HashAggregate(keys=[id" in x]
+    assert by_text and not any("word" in x.split("functions")[0] for x in by_text)
