@@ -106,7 +106,9 @@ def first_chunk(text: Column, size: int = 100) -> Column:
     characters; a first token longer than ``size`` is kept whole. NULL for an
     empty text.
     """
-    joined = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), " ")
+    # Tokens have a character at least, so the first ``size`` / 2 + 1 reach beyond the chunk, and only they are split.
+    start = F.regexp_extract(F.coalesce(text, F.lit("")), r"^ *+(?:[^ ]++ *+){0,%d}+" % (size // 2 + 2), 0)
+    joined = F.array_join(F.filter(F.split(start, " "), lambda w: w != ""), " ")
     head = F.regexp_extract(joined, r"(?s)^(.{1,%d})(?: |\z)" % size, 1)
     first = F.substring_index(joined, " ", 1)
     return F.when(joined == "", F.lit(None)).when(head != "", head).otherwise(first)

@@ -109,3 +109,24 @@ def test_ngram_edge_rules(spark):
     assert top == ["cat", "dog"]  # tie at count 1 broken by gram ascending
     report = {r.bigram for r in top_n_report(ngram_counts(docs), 2, 20).collect()}
     assert report == {"the cat", "dog cat"}  # grams with an empty token fail the well-formed filter
+
+
+def test_first_chunk_splits_only_the_beginning(spark):
+    from pyspark.sql import functions as F
+
+    from feedlens.functions.text import first_chunk
+
+    texts = ["", "   ", "a", "  a  b ", "x" * 150 + " y", "a " * 300, "  a" * 300, "ab\ncd " * 40, "é  " * 99, "w" * 99 + "  z" * 9, "w" * 100 + " z", "q" * 50 + " " * 500 + "r" * 49 + " s", "q" * 50 + " " * 500 + "r" * 50]
+
+    def plain(text, size):
+        words = [w for w in text.split(" ") if w]
+        out = words[:1]
+        while len(out) < len(words) and len(" ".join(words[:len(out) + 1])) <= size:
+            out = words[:len(out) + 1]
+        return " ".join(out) if out else None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for size in (100, 7, 1):
+        got = {r.i: r.c for r in df.select("i", first_chunk(F.col("t"), size).alias("c")).collect()}
+        assert got == {i: plain(t, size) for i, t in enumerate(texts)}
+    assert "split(regexp_extract(" in df.select(first_chunk(F.col("t"))).filter("true")._jdf.queryExecution().analyzed().toString()
