@@ -539,7 +539,7 @@ def _late_days(spark, sf):
     wire = IN.wire_rows(reviews(spark, sf), extra=("id", ))
     late, first = F.col("id").cast("bigint") % 10 == 0, IN.parse_date(F.col("date")) < F.lit(CUT).cast("timestamp_ntz")
     for part in (~late & first, ~late & ~first, late):
-        wire.filter(part).drop("id").coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        wire.filter(part).drop("id").write.mode("append").parquet(f"{base}/landing")
         DY.day_stream(spark, SP.file_source(spark, f"{base}/landing"), f"{base}/out", f"{base}/checkpoint", _cached_model(spark, sf, base))
     return DY.read_days(spark, f"{base}/out")
 
