@@ -88,3 +88,18 @@ def test_no_map_of_words_by_text_for_a_large_model(spark):
     plan = SentimentModel(model, 0).logits(df)._jdf.queryExecution().executedPlan().toString()
     by_text = [x for x in plan.splitlines() if "HashAggregate(keys=[id" in x]
     assert by_text and not any("word" in x.split("functions")[0] for x in by_text)
+
+
+def test_a_large_model_in_parts_keeps_rows_apart_and_words_packed(spark, monkeypatch, tmp_path):
+    """A row for each text and part crosses the network, not one for each word; rows with the same id are told apart."""
+    from feedlens.operators import sentiment_model as SM
+
+    monkeypatch.setattr(SM, "PART_WORDS", 3)
+    rows = [(str(i), " ".join(f"w{chr(97 + (i * j) % 26)}" for j in range(i)), SENTIMENTS[i % 3]) for i in range(60)]
+    rows += [("7", "wb wc unknown", "neutral"), ("7", "wb wc unknown", "neutral"), (None, "we we", "positive"), (None, "wf", "negative"), ("61", None, "neutral")]
+    df = spark.createDataFrame(rows, "id string, text string, sentiment string")
+    table = SentimentModel.fitted(spark, df, str(tmp_path / "m")).table
+    small, large = (sorted((r.id or "", r.text or "", r.logits) for r in SentimentModel(table, m).logits(df).collect()) for m in (1000, 0))
+    assert small == large and len(large) == len(rows)
+    plan = SentimentModel(table, 0).logits(df)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(filter" not in plan and SentimentModel(table, 0).parts() > 5
