@@ -28,18 +28,22 @@ from feedlens.operators.parallel import spread
 NAMES = {1: "word", 2: "bigram", 3: "trigram"}
 #: Bytes of cleaned text that a task counts at once.
 CHUNK = 8_000_000
+#: Bytes of a word that are hashed for all words at once.
+HASHED = 32
 #: Buckets of a company's grams, and parts of those that begin with the same word, by their second word.
 BUCKETS, PARTS = 1024, 16
 GROUPED = "company string, bucket int, grams string, counts array<int>"
 
 
 def ngram_counts(docs: DataFrame, max_n: int = 3, stop_words: list[str] = STOP_WORDS,
-                 text_col: str = "text", ns: tuple[int, ...] | None = None) -> DataFrame:
+                 text_col: str = "text", ns: tuple[int, ...] | None = None, most: int | None = None) -> DataFrame:
     """T2 + A8/A9/A10: (company, n, gram, count) for every gram of every text.
 
     Unigrams drop empty tokens and stop words; bigrams and trigrams keep both
     (the reference rule). ``ns`` restricts generation to some n (a filter on
     ``n`` cannot be pushed below the counting, so callers needing one n say so).
+    ``most``: for callers that rank (:func:`top_k` with a k no larger): all that may be among the first
+    ``most`` of a (company, n) is there with its exact count, most of the rest is not.
     """
     docs = spread(docs.select("company", text_col))
     wanted = ns or tuple(range(1, max_n + 1))
@@ -52,11 +56,15 @@ def ngram_counts(docs: DataFrame, max_n: int = 3, stop_words: list[str] = STOP_W
     # As many partitions as the session asks for: coalesced by their bytes they would hold too many grams.
     target = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = grouped.repartition(target, "company", "bucket").sortWithinPartitions("company", "bucket")
-    return grouped.mapInArrow(_summed, "company string, n int, gram string, count bigint")
+    return grouped.mapInArrow(lambda batches: _summed(batches, most), "company string, n int, gram string, count bigint")
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition's grams, its rows sorted by company and bucket: some ``CHUNK`` bytes of whole buckets at once."""
+def _summed(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of a partition's grams, its rows sorted by company and bucket: some ``CHUNK`` bytes of whole buckets at once.
+
+    A gram lies in one bucket, so its count is whole here: with ``most``, only those that rank so high among the grams
+    counted with them go on, and all that tie with the last of them.
+    """
     def summed(rows: pa.Table) -> pa.Table:
         # A token holds neither space nor line end: cleaning makes spaces of line ends, and texts are split at spaces.
         grams = pc.split_pattern(rows["grams"].combine_chunks(), "\n")
@@ -65,6 +73,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.table({"own": own, "gram": grams.flatten(), "count": rows["counts"].combine_chunks().flatten()})
         t = t.group_by(["own", "gram"], use_threads=False).aggregate([("count", "sum")])
         n = pc.add(pc.count_substring(t["gram"], " "), 1).cast(pa.int32())
+        if most is not None:
+            keep = pa.array(_leading(t["own"].to_numpy().astype(np.int64) * (1 << 31) + n.to_numpy(), t["count_sum"].to_numpy(), most))
+            t, n = t.filter(keep), n.filter(keep)
         return pa.table({"company": company.dictionary.take(t["own"].combine_chunks()), "n": n, "gram": t["gram"], "count": t["count_sum"].cast(pa.int64())})
 
     held, size, last = [], 0, None
@@ -84,6 +95,17 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed(pa.Table.from_batches(held)).to_batches(max_chunksize=100_000)
 
 
+def _leading(group: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have one of the ``most`` highest counts of their group, ties included."""
+    order = np.lexsort((-count, group))
+    group, count = group[order], count[order]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(group)])
+    keep = np.empty(len(group), bool)
+    keep[order] = count >= np.repeat(count[starts + np.minimum(most, sizes) - 1], sizes)
+    return keep
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of a task in tables of about ``CHUNK`` bytes of text (a longer text is a table of its own)."""
     held, size = [], 0
@@ -113,7 +135,7 @@ def _grouped(rows: pa.Table, wanted: tuple[int, ...], stop_words: list[str]) ->
     place[order] = np.arange(len(order))
     code = place[coded.indices.to_numpy(zero_copy_only=False)]
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # tokens from here to the end of the text
-    crc = np.array([zlib.crc32(w.encode()) for w in words.to_pylist()], np.int64)
+    crc = _hashes(words)
 
     # A gram of n tokens is (the number of its first n - 1, its last token); of one: (company, token).
     at = np.arange(len(code))
@@ -124,7 +146,7 @@ def _grouped(rows: pa.Table, wanted: tuple[int, ...], stop_words: list[str]) ->
         at = at[more]
         key = prefix[more] * len(words) + code[at + n - 1]
         if n < max(wanted):
-            numbers, prefix, count = np.unique(key, return_inverse=True, return_counts=True)
+            numbers, prefix, count = _numbered(key)
         else:
             numbers, count = np.unique(key, return_counts=True)
         parent, last = np.divmod(numbers, max(len(words), 1))
@@ -173,6 +195,34 @@ def sum_counts(grams: DataFrame) -> DataFrame:
     return packed.sortWithinPartitions("company", "bucket").mapInArrow(_summed, "company string, n int, gram string, count bigint")
 
 
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """A number below 2**31 for each word, the same wherever it is met."""
+    out = np.full(len(words), 0xCBF29CE484222325, np.uint64)
+    if not len(words):
+        return out.astype(np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data, sizes = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.diff(ends)
+    left = np.flatnonzero(sizes)
+    for k in range(HASHED):  # byte k of all words that have one
+        out[left] = (out[left] ^ data[ends[left] + k]) * np.uint64(0x100000001B3)
+        left = left[sizes[left] > k + 1]
+    for i in left.tolist():  # few are longer
+        out[i] ^= np.uint64(zlib.crc32(data[ends[i] + HASHED:ends[i + 1]]))
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return (out >> np.uint64(33)).astype(np.int64)
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with inverse and counts; by a table of all keys where there are hardly more of them than rows."""
+    if not len(key) or key.max() > 4 * len(key):
+        return np.unique(key, return_inverse=True, return_counts=True)
+    count = np.bincount(key)
+    numbers = np.flatnonzero(count)
+    at = np.zeros(len(count), np.int64)
+    at[numbers] = np.arange(len(numbers))
+    return numbers, at[key], count[numbers]
+
+
 def _packed(rows: pa.Table) -> pa.Table:
     """Rows of grams as a row for each company and bucket."""
     company = rows["company"].combine_chunks().dictionary_encode(null_encoding="encode")

@@ -111,8 +111,8 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _grams(spark, sf, ns=None):
-    return NG.ngram_counts(reviews(spark, sf).select("company", "text"), ns=ns)
+def _grams(spark, sf, ns=None, most=None):
+    return NG.ngram_counts(reviews(spark, sf).select("company", "text"), ns=ns, most=most)
 
 
 def _merged(spark, sf):
@@ -130,14 +130,14 @@ QUERIES.update({
     "bigram_counts": lambda s, d: NG.counts_of(_grams(s, d, (2,)), 2),
     "trigram_counts": lambda s, d: NG.counts_of(_grams(s, d, (3,)), 3),
     "ngram_merge": _merged,
-    "ngram_top100": lambda s, d: NG.top_k(_grams(s, d), 100),
-    "ngram_map": lambda s, d: NG.map_digest(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
-    "ngram_unpack": lambda s, d: NG.from_maps(NG.to_maps(NG.top_k(_grams(s, d), 100).drop("rank"))),
+    "ngram_top100": lambda s, d: NG.top_k(_grams(s, d, most=100), 100),
+    "ngram_map": lambda s, d: NG.map_digest(NG.to_maps(NG.top_k(_grams(s, d, most=100), 100).drop("rank"))),
+    "ngram_unpack": lambda s, d: NG.from_maps(NG.to_maps(NG.top_k(_grams(s, d, most=100), 100).drop("rank"))),
     "word_cloud": lambda s, d: NG.counts_of(_grams(s, d, (1,)), 1),
-    "top_words": lambda s, d: NG.top_n_report(_grams(s, d, (1,)), 1, 20),
-    "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d, (2,)), 2, 20),
-    "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d, (3,)), 3, 20),
-    "top_word": lambda s, d: NG.top_word(_grams(s, d)),
+    "top_words": lambda s, d: NG.top_n_report(_grams(s, d, (1,), 20), 1, 20),
+    "top_bigrams": lambda s, d: NG.top_n_report(_grams(s, d, (2,), 20), 2, 20),
+    "top_trigrams": lambda s, d: NG.top_n_report(_grams(s, d, (3,), 20), 3, 20),
+    "top_word": lambda s, d: NG.top_word(_grams(s, d, most=1)),
 })
 
 

@@ -58,3 +58,32 @@ def test_sums_of_counts_travel_packed(spark):
     merged = NG.merge_counts(state.repartition(3), state.limit(1))
     assert "HashAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
     assert found(merged.collect()) == Counter({("a", 1, "x"): 7, ("a", 2, "x y"): 1, (None, 3, "x y z"): 8_000_000_000, ("b", 2, " "): 1})
+
+
+def test_ranked_grams_leave_the_counting_few_and_exact(spark):
+    """Before the window sees them, all grams but those that may be among the first are gone; ties and counts stay exact."""
+    rows = [(c, " ".join(f"w{chr(97 + i * j % 26)}{chr(97 + j % 7)}" for j in range(40))) for i in range(60) for c in ("a", "b", None)] + [("d", ""), ("e", None)]
+    docs = spark.createDataFrame(rows, "company string, text string")
+    whole, few = NG.ngram_counts(docs), NG.ngram_counts(docs, most=5)
+    want, got = ({tuple(r) for r in NG.top_k(x, 5).collect()} for x in (whole, few))
+    assert want == got and few.count() < whole.count() / 2
+    assert {tuple(r) for r in NG.top_word(whole).collect()} == {tuple(r) for r in NG.top_word(NG.ngram_counts(docs, most=1)).collect()}
+    assert {tuple(r) for r in few.collect()} <= {tuple(r) for r in whole.collect()}
+
+
+def test_word_hashes_do_not_depend_on_the_batch():
+    words = ["", "a", "b", "ab", "ba", "é", "x" * 32, "x" * 33, "x" * 32 + "y", "long" * 50_000]
+    got = NG._hashes(pa.array(words)).tolist()
+    assert len(set(got)) == len(words) and min(got) >= 0 and max(got) < 2**31
+    assert [NG._hashes(pa.array([w]))[0] for w in words] == got and NG._hashes(pa.array(["zz", *words]).slice(1)).tolist() == got
+    assert NG._hashes(pa.array([], pa.string())).tolist() == [] and len({x % NG.BUCKETS for x in NG._hashes(pa.array([f"w{i}" for i in range(20_000)])).tolist()}) == NG.BUCKETS
+
+
+@pytest.mark.parametrize("top", [5, 10_000])
+def test_numbers_of_keys_by_table_and_by_sort(top):
+    import numpy as np
+
+    for size in (0, 1, 500):
+        key = np.random.default_rng(1).integers(0, top, size)
+        for x, y in zip(NG._numbered(key), np.unique(key, return_inverse=True, return_counts=True)):
+            assert x.tolist() == y.tolist()
