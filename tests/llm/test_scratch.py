@@ -66,3 +66,14 @@ def test_quality_stage_drops_rows_not_ids(spark):
     out = quality.keep_good(spark, docs.withColumn("was", F.lit(None).cast("long")).unionByName(odd), labels)
     assert sorted(str((r.doc_id, r.was)) for r in out.where("was IS NOT NULL").collect()) == sorted(str(x) for x in ((10**9, good), (None, good)))
     assert {r.doc_id for r in out.where("was IS NULL").select("doc_id").collect()} == {i for i, p in scored.items() if p}
+
+
+def test_workers_remember_few_words_and_find_windows_in_small_batches():
+    """What a task's worker holds besides its batch stays small: executors run one for each core."""
+    from feedlens.llm import katz, windows
+    from feedlens.llm.common import WORD_HASHES, word_hashes
+
+    for start in range(0, 300_000, 50_000):
+        word_hashes(" ".join(f"w{i}" for i in range(start, start + 50_000)))
+        assert len(WORD_HASHES) <= 100_000
+    assert windows.TOKENS <= 150_000 and katz.BLOCK <= 500_000 and katz.RANGE_BYTES <= 8_000_000
