@@ -273,7 +273,7 @@ class Pieces:
     def _merged_together(self, char: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: np.ndarray | None):
         """(ids, their number for each word, draws of the merges made, their number) of words of about one length."""
         n, width = len(size), int(size.max())
-        place = np.arange(width + 1)
+        place = np.arange(width + 1, dtype=np.int32)
         sym = np.where(place < size[:, None], char[np.minimum(starts[:, None] + place, len(char) - 1)], -1)
         after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
         merge, cost = self._offers(sym[:, :-1], sym[:, 1:])
@@ -322,9 +322,19 @@ class Pieces:
     def _offers(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, its place among all scores) that neighbours a, b merge into; -1 stands for no symbol."""
         key = a.astype(np.int64) * len(self.bytes) + b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        hit = (self.pairs[at] == key) & (a >= 0) & (b >= 0)
-        return self.pair_piece[at], np.where(hit, self.pair_cost[at], self.no_offer)
+        slot = self._slot(key)
+        found = self.slot_pair[slot]
+        off = np.flatnonzero((found != key) & (found >= 0))  # taken by another pair: the next places
+        while len(off):
+            at = (slot.flat[off] + 1) & (len(self.slot_pair) - 1)
+            slot.flat[off] = at
+            found.flat[off] = there = self.slot_pair[at]
+            off = off[(there != key.flat[off]) & (there >= 0)]
+        hit = (found == key) & (a >= 0) & (b >= 0)
+        return self.slot_piece[slot], np.where(hit, self.slot_cost[slot], self.no_offer)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.slot_shift).view(np.int64)
 
     def _tables(self) -> None:
         """Pieces of characters, and the pairs of pieces that merge, as arrays."""
@@ -339,9 +349,20 @@ class Pieces:
         place = {s: n for n, s in enumerate(sorted({r[0] for r in self.rank.values()}))}
         found = [(self.id[p[:k]] * len(self.bytes) + self.id[p[k:]], i, place[cost])
                  for p, (cost, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
-        pairs, piece, cost = (np.array(x, np.int64) for x in zip(*(found or [(-1, -1, 0)])))
-        order = np.argsort(pairs)
-        self.pairs, self.pair_piece, self.pair_cost = pairs[order], piece[order].astype(np.int32), cost[order].astype(np.int32)
+        pairs, piece, cost = (np.array(x, np.int64) for x in zip(*(found or [(0, -1, len(place))])))
+        # Each pair lies in the first free slot from its hash's; at least three of four slots are free.
+        bits = (4 * len(pairs) - 1).bit_length()
+        self.slot_shift = np.uint64(64 - bits)
+        self.slot_pair = np.full(1 << bits, -1, np.int64)
+        self.slot_piece, self.slot_cost = np.zeros((2, 1 << bits), np.int32)
+        left, slot = np.arange(len(pairs)), self._slot(pairs)
+        while len(left):
+            free = self.slot_pair[slot[left]] < 0
+            at, first = np.unique(slot[left[free]], return_index=True)
+            mine = left[free][first]
+            self.slot_pair[at], self.slot_piece[at], self.slot_cost[at] = pairs[mine], piece[mine], cost[mine]
+            left = np.setdiff1d(left, mine, assume_unique=True)
+            slot[left] = (slot[left] + 1 - (self.slot_pair[slot[left]] < 0)) & ((1 << bits) - 1)
         self.no_offer = np.int32(len(place))
 
     @staticmethod
@@ -471,7 +492,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model: str, id_col: str = "d
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = part.column("ids")
-                flat, ends = ids.flatten().to_pylist(), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
                 out = [p.decode(flat[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
 
