@@ -122,7 +122,7 @@ class Pieces:
         self._tables()
         #: word -> its place in ``own``, for encode_all.
         self.number: dict[str, int] = {}
-        self.own = Segments(0).closed()
+        self.own = Segments(1).closed()  # place 0: words that are not remembered
         self.unremembered = Node(None, (), frozenset())
         #: word -> root of its tree; size counts nodes.
         self.known: dict[str, Node] = {}
@@ -429,14 +429,14 @@ class Pieces:
         keys = np.concatenate([self.keys(t, len(ws)) for t, ws in zip(texts, by_text) if ws])
         del by_text
         if len(self.number) >= self.LIMIT:
-            self.number, self.own = {}, Segments(0).closed()
+            self.number, self.own = {}, Segments(1).closed()
         new = [w for w in set(words).difference(self.number) if len(w) <= LONG]
         if new:
-            self.number.update(zip(new, itertools.count(len(self.number))))
+            self.number.update(zip(new, itertools.count(len(self.number) + 1)))
             self.own = self.own.followed(self.together(new))
         get, own = self.number.get, self.own
-        at = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-        seen = at >= 0
+        at = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
+        seen = at > 0
         m = np.where(seen, own.n_draws[at], 0)
         x = np.repeat(keys, m) + own.draws[spread(own.draws_at[at], m)]
         x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)   # as in skips()

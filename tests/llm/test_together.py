@@ -42,3 +42,8 @@ def test_rare_words_grow_no_trees(spark, make, monkeypatch):
     rows = [(i, t) for i, t in enumerate([*texts, None, "", *texts])]
     got = {r.doc_id: list(r.ids) for r in pieces.encode(spark, make(rows), PIECES).collect()}
     assert got == {i: np.frombuffer(p.encode(t or ""), "<u4").tolist() for i, t in rows}
+
+
+def test_a_first_text_of_one_very_long_word():
+    p = pieces.Pieces(PIECES)
+    assert p.encode_all(["x" * 5000])[0].tobytes() == pieces.Pieces(PIECES).encode("x" * 5000)
