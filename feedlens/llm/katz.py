@@ -389,6 +389,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             if sum(x.nbytes for v in held.values() for x in v) > MERGE_BYTES:
                 yield from flush()
         yield from flush()
+        released()
 
     context_hot = np.unique(np.append(hot[0], BEGIN))
     parts = tables.write(ranges.applyInArrow(scores, OUT).mapInArrow(merged, OUT), "scores", "dest", 1 << BUCKET_BITS)
@@ -424,13 +425,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         there, at = _is_in(h, words)
         at = at[there]
         weight = _back_off(total, np.bincount(at, s2[there], len(words)), np.bincount(at, s1[there], len(words)))
-        rows = []
-        for block, a, b in zip(u["block"].to_pylist(), _arr(u["a"], np.uint64), _arr(u["b"], np.uint32)):
-            x = np.zeros(len(a))
-            for keys, w in ((words, weight), (context_hot, hot_weight)):
-                inside, at = _is_in(a, keys)
-                x[inside] = w[at[inside]]
-            rows.append(("d", 0, block, np.bincount(b.astype(np.int64), x).tobytes(), b"", b""))
+        rows = _by_block(u["block"].to_numpy(), _arr(u["a"], np.uint64), _arr(u["b"], np.uint32), ((words, weight), (context_hot, hot_weight)))
         del c, n, u, words, total, h, s2, s1, there, at, weight
         released()
         return pa.Table.from_batches([_batch(rows, OUT)])
@@ -448,6 +443,12 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 if kind == "r":
                     documents.append([np.frombuffer(t[k][i].as_buffer(), x).copy() for k, x in (("a", np.int64), ("b", bool), ("c", bool), ("d", np.uint32))])
                     continue
+                if kind == "b":  # back-offs of some documents
+                    some = np.frombuffer(t["b"][i].as_buffer(), np.uint32)
+                    if some[-1] >= len(sums["a"]):
+                        sums["a"] = np.append(sums["a"], np.zeros(int(some[-1]) + 1 - len(sums["a"])))
+                    sums["a"][some] += np.frombuffer(t["a"][i].as_buffer(), np.float64)
+                    continue
                 for name, x in (("a", np.float64), ("b", np.float64), ("c", np.uint32)):
                     v = np.frombuffer(t[name][i].as_buffer(), x)
                     if len(v) > len(sums[name]):
@@ -471,6 +472,20 @@ def _back_off(total: np.ndarray, seen2: np.ndarray, seen1: np.ndarray) -> np.nda
     return np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(1 - seen1, 1e-12)) + np.log10(total + 1.0)
 
 
+def _by_block(block: np.ndarray, events: list[np.ndarray], who: list[np.ndarray], weights: tuple) -> list[tuple]:
+    """A row for each block, however many ranges its back-off events come from: sums of the documents that have any."""
+    rows, order = [], np.argsort(block, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        h = np.concatenate([events[i] for i in own])
+        docs, of = np.unique(np.concatenate([who[i] for i in own]), return_inverse=True)
+        x = np.zeros(len(h))
+        for keys, w in weights:
+            inside, at = _is_in(h, keys)
+            x[inside] = w[at[inside]]
+        rows.append(("b", 0, int(block[own[0]]), np.bincount(of, x).tobytes(), docs.tobytes(), b""))
+    return rows
+
+
 def _cut(keys: np.ndarray, values: list[np.ndarray], kind: str, bits: int) -> list[tuple]:
     """Rows of sorted ``keys`` by range of the key."""
     rows, dest = [], (keys >> np.uint64(64 - bits)).astype(np.int64)

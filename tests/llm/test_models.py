@@ -125,6 +125,15 @@ def test_katz_matches_brute_force(spark, monkeypatch, block, bytes_a_range, shar
     assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
 
 
+def test_back_offs_leave_a_range_as_one_row_a_block():
+    keys, hot = np.array([5, 9], np.uint64), np.array([7], np.uint64)
+    events = [np.array(v, np.uint64) for v in ([5, 7], [9, 9, 1], [9])]
+    who = [np.array(v, np.uint32) for v in ([3, 3], [0, 4, 4], [3])]
+    rows = katz._by_block(np.array([8, 2, 8]), events, who, ((keys, np.array([0.5, 2.0])), (hot, np.array([0.25]))))
+    found = {(r[0], r[2]): dict(zip(np.frombuffer(r[4], np.uint32).tolist(), np.frombuffer(r[3]).tolist())) for r in rows}
+    assert found == {("b", 8): {3: 2.75}, ("b", 2): {0: 2.0, 4: 2.0}} and len(rows) == 2
+
+
 def test_katz_on_odd_rows(spark, odd, empty, make):
     from .conftest import ODD
 
