@@ -66,3 +66,11 @@ def test_deltas_of_earlier_versions_are_read_as_rows(spark):
     assert counted(state.read()) == want
     state.compact()
     assert counted(state.read()) == want
+
+
+def test_a_model_is_broadcast_once_for_all_micro_batches(spark, tmp_path):
+    model = Q.SentimentModel.fitted(spark, spark.createDataFrame([("good", "positive"), ("bad", "negative")], "text string, sentiment string"), str(tmp_path / "model"))
+    rows = spark.createDataFrame([("1", "good"), ("2", "bad bad")], "id string, text string")
+    first = {r.id: r.sentiment for r in model.apply(rows).collect()}
+    sent = model._sent
+    assert {r.id: r.sentiment for r in model.apply(rows).collect()} == first == {"1": "positive", "2": "negative"} and model._sent is sent
