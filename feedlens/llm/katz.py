@@ -15,7 +15,8 @@ Jobs. Words and contexts are 64-bit hashes. No text is shuffled:
    n-gram table, bucketed on shared storage, which later passes read without a shuffle.
 2. *Counts of counts.* Per range: c(h, w), c(w), and how many are 1, 2, .. K + 1.
 3. *Scores.* Per range, with the discounts known: every document's sum over the pairs of
-   this range; for each context the seen mass (for a(h)); for each unseen pair a back-off event.
+   this range; for each context the seen mass (for a(h)); for each unseen pair a back-off event. A task's
+   worker sends its sums on a few blocks at a time, and the events as one row for each range of the context, whatever the number of blocks.
 4. *Back-off.* Per range of the context's hash: a(h), applied to its events, summed by block.
 5. Sums by block give the documents' scores.
 
@@ -47,10 +48,13 @@ from feedlens.session import checkpoint_dir
 
 K = 5
 BLOCK = 1_000_000          # tokens held by one task at a time
-RANGE_BYTES = 24_000_000   # text bytes per range of words: what a task holds at a time grows no further
+RANGE_BYTES = 12_000_000   # text bytes per range of words: what a task holds of the n-gram table at a time grows no further
+SENT_BYTES = 4_000_000     # a batch that goes to or comes from a worker, about
 BUCKET_BITS = 6            # the ranges lie in 2**BUCKET_BITS buckets, one task each
 MERGE_BYTES = 64_000_000   # documents' sums that a task gathers over its ranges before it sends them on
 HOT_TEXTS, HOT_SHARE, HOT_MOST = 500, 0.002, 500
+#: Spark's setting for the bytes of an Arrow batch that goes to a worker.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 END, BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n end")), np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -254,6 +258,15 @@ class _Tables:
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, hold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(SENT_BYTES))  # a range's rows are megabytes each: not all of them in one batch
+    try:
+        return _scored(spark, docs, id_col, text_col, folds, hold)
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if before is None else spark.conf.set(_BATCH_BYTES, before)
+
+
+def _scored(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, folds: int, hold: int) -> DataFrame:
     python_ready(spark)
     docs = texts(docs, id_col, text_col)
     docs = docs.withColumn("held", F.coalesce(fold(F.col("doc_id"), folds) == hold, F.lit(False)))
@@ -314,9 +327,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     p_unknown = (1 + lost) / (n_train + 1)
     n_docs = docs.where("NOT held").count()
 
-    OUT = "kind string, dest int, block long, a binary, b binary, c binary"
+    OUT = "kind string, dest int, block long, a binary, b binary, c binary, d binary"
 
-    def scores(t: pa.Table) -> pa.Table:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         r = _Range(t, hot, totals)
         here = int(t["range"][0].as_py())
         cp, cw = r.upair, r.cword[r.uword]
@@ -326,26 +340,40 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         part = np.where(cp > 0, np.log10(np.maximum(seen, 1e-300)), np.log10(p1))
         base = np.log10(cw + 1.0)
         part -= np.where(r.uw == END, 0.0, base)
-        rows, at, occ_end = [], 0, np.cumsum(r.occ)
+        rows, at, size = [], 0, 0
         unseen = cp == 0
         docs_in = _arr(t["docs"], np.uint32)
+        events: list[tuple[np.ndarray, ...]] = []
         for i, block in enumerate(r.blocks.tolist()):
             e = slice(at, at + int(r.size[i]))
             at += int(r.size[i])
             u, d = np.repeat(r.of[e], r.occ[e]), docs_in[i].astype(np.int64)
-            n = int(d.max()) + 1 if len(d) else 0
-            rows.append(("d", here, block, np.bincount(d, part[u], n).tobytes(), np.bincount(d, base[u], n).tobytes(),
-                         np.bincount(d, cw[u] > 0, n).astype(np.uint32).tobytes()))
+            some = np.flatnonzero(np.bincount(d)).astype(np.uint32)  # documents of the block that have pairs here
+            sums = np.bincount(d, part[u])[some], np.bincount(d, base[u])[some], np.bincount(d, cw[u] > 0)[some].astype(np.uint32)
+            rows.append(("d", here, block, *(x.tobytes() for x in sums), some.tobytes()))
+            size += 24 * len(some)
+            if size >= SENT_BYTES:
+                yield _batch(rows, OUT)
+                rows, size = [], 0
             back = unseen[u]
             if back.any():
-                # Events by range of their context; those of hot contexts stay here.
-                h, who = r.uh[u[back]], d[back]
-                far = np.where(_is_in(h, context_hot)[0], here, (h >> np.uint64(64 - bits)).astype(np.int64))
-                o = np.argsort(far, kind="stable")
-                h, who, far = h[o], who[o].astype(np.uint32), far[o]
-                for x in np.unique(far).tolist():
-                    a, b = np.searchsorted(far, [x, x + 1])
-                    rows.append(("u", x, block, h[a:b].tobytes(), who[a:b].tobytes(), b""))
+                events.append((r.uh[u[back]], d[back].astype(np.uint32), np.full(int(back.sum()), block)))
+        del t, docs_in
+        if events:
+            # Events by range of their context; those of hot contexts stay here.
+            h, who, of = (np.concatenate(x) for x in zip(*events))
+            far = np.where(_is_in(h, context_hot)[0], here, (h >> np.uint64(64 - bits)).astype(np.int64))
+            o = np.argsort(far, kind="stable")
+            h, who, of, far = h[o], who[o], of[o], far[o]
+            for x in np.unique(far).tolist():
+                a, b = np.searchsorted(far, [x, x + 1])
+                rows.append(("u", x, 0, h[a:b].tobytes(), who[a:b].tobytes(), of[a:b].tobytes(), b""))
+                size += 20 * (b - a)
+                if size >= SENT_BYTES:
+                    yield _batch(rows, OUT)
+                    rows, size = [], 0
+            del h, who, of, far, o
+        del events
         # Seen mass of each context, under both orders, by range of the context. A hot pair
         # is in many ranges: its mass is added once, on the driver.
         known = (cp > 0) & ~r.hot_p
@@ -353,14 +381,16 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         s2, s1 = np.bincount(back, seen[known], len(ctx)), np.bincount(back, p1[known], len(ctx))
         is_hot, _ = _is_in(ctx, context_hot)
         if is_hot.any():
-            rows.append(("h", here, 0, ctx[is_hot].tobytes(), s2[is_hot].tobytes(), s1[is_hot].tobytes()))
+            rows.append(("h", here, 0, ctx[is_hot].tobytes(), s2[is_hot].tobytes(), s1[is_hot].tobytes(), b""))
         rows += _cut(ctx[~is_hot], [s2[~is_hot], s1[~is_hot]], "c", bits)  # doubles: a frequent context backs off with a mass near 1 / C
         # Counts of words as contexts: at home here, unless hot.
         home = (r.cword > 0) & ~_is_in(r.words, context_hot)[0]
         rows += _cut(r.words[home], [r.cword[home]], "n", bits)
         del r, cp, cw, p1, seen, part, base, unseen, known, back, ctx, s1, s2
+        if rows:
+            yield _batch(rows, OUT)
+        del rows
         released()
-        return pa.Table.from_batches([_batch(rows, OUT)])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sums of one block's documents over all ranges of the task are one row: they do not grow with the ranges.
@@ -368,7 +398,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
         def flush() -> Iterator[pa.RecordBatch]:
             for block, v in held.items():
-                yield _batch([("d", block % (1 << bits), block, *(x.tobytes() for x in v))], OUT)
+                yield _batch([("d", block % (1 << bits), block, *(x.tobytes() for x in v), b"")], OUT)
             held.clear()
 
         for t in batches:
@@ -377,15 +407,15 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 yield t.filter(pa.array(~is_d))
             t = t.filter(pa.array(is_d))
             for i, block in enumerate(t["block"].to_pylist()):
-                new = [np.frombuffer(t[c][i].as_buffer(), x) for c, x in (("a", np.float64), ("b", np.float64), ("c", np.uint32))]
-                old = held.get(block)
-                if old is None or len(old[0]) < len(new[0]):
-                    new, old = [x.copy() for x in new], old or [x[:0] for x in new]
-                    held[block] = new
-                else:
-                    new, old = old, new
-                for x, y in zip(new, old):
-                    x[:len(y)] += y
+                some = np.frombuffer(t["d"][i].as_buffer(), np.uint32)
+                sums = held.get(block)
+                if sums is None or len(sums[0]) <= some[-1]:
+                    grown = [np.zeros(int(some[-1]) + 1, x) for x in (np.float64, np.float64, np.uint32)]
+                    for x, y in zip(grown, sums or []):
+                        x[:len(y)] = y
+                    sums = held[block] = grown
+                for x, c, kind in zip(sums, "abc", (np.float64, np.float64, np.uint32)):
+                    x[some] += np.frombuffer(t[c][i].as_buffer(), kind)
             if sum(x.nbytes for v in held.values() for x in v) > MERGE_BYTES:
                 yield from flush()
         yield from flush()
@@ -416,7 +446,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         pick = lambda k: t.filter(pa.array(kind == k))
         c, n, u = pick("c"), pick("n"), pick("u")
         if not len(u):
-            return pa.Table.from_batches([], pa.schema([("kind", pa.string()), ("dest", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
+            return pa.Table.from_batches([], pa.schema([("kind", pa.string()), ("dest", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd")]))
         cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
         words, total = cat(_arr(n["a"], np.uint64), np.uint64), cat(_arr(n["b"], np.int64), np.int64)
         o = np.argsort(words)
@@ -425,7 +455,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         there, at = _is_in(h, words)
         at = at[there]
         weight = _back_off(total, np.bincount(at, s2[there], len(words)), np.bincount(at, s1[there], len(words)))
-        rows = _by_block(u["block"].to_numpy(), _arr(u["a"], np.uint64), _arr(u["b"], np.uint32), ((words, weight), (context_hot, hot_weight)))
+        rows = _by_block(_arr(u["c"], np.int64), _arr(u["a"], np.uint64), _arr(u["b"], np.uint32), ((words, weight), (context_hot, hot_weight)))
         del c, n, u, words, total, h, s2, s1, there, at, weight
         released()
         return pa.Table.from_batches([_batch(rows, OUT)])
@@ -472,18 +502,23 @@ def _back_off(total: np.ndarray, seen2: np.ndarray, seen1: np.ndarray) -> np.nda
     return np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(1 - seen1, 1e-12)) + np.log10(total + 1.0)
 
 
-def _by_block(block: np.ndarray, events: list[np.ndarray], who: list[np.ndarray], weights: tuple) -> list[tuple]:
-    """A row for each block, however many ranges its back-off events come from: sums of the documents that have any."""
-    rows, order = [], np.argsort(block, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-        h = np.concatenate([events[i] for i in own])
-        docs, of = np.unique(np.concatenate([who[i] for i in own]), return_inverse=True)
-        x = np.zeros(len(h))
-        for keys, w in weights:
-            inside, at = _is_in(h, keys)
-            x[inside] = w[at[inside]]
-        rows.append(("b", 0, int(block[own[0]]), np.bincount(of, x).tobytes(), docs.tobytes(), b""))
-    return rows
+def _by_block(blocks: list, events: list[np.ndarray], documents: list[np.ndarray], weights: tuple) -> list[tuple]:
+    """A row for each block, however many ranges its back-off events come from: sums of the documents that have any.
+
+    ``blocks``: of each array of events, one block or a block an event.
+    """
+    h, who = np.concatenate(events), np.concatenate(documents)
+    block = np.concatenate([np.broadcast_to(b, len(e)) for b, e in zip(blocks, events)])
+    x = np.zeros(len(h))
+    for keys, w in weights:
+        inside, at = _is_in(h, keys)
+        x[inside] = w[at[inside]]
+    order = np.lexsort((who, block))
+    block, who, x = block[order], who[order], x[order]
+    first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (who[1:] != who[:-1])))
+    block, who, x = block[first], who[first], np.add.reduceat(x, first)
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    return [("b", 0, int(block[a]), x[a:b].tobytes(), who[a:b].tobytes(), b"", b"") for a, b in zip(cuts, cuts[1:])]
 
 
 def _cut(keys: np.ndarray, values: list[np.ndarray], kind: str, bits: int) -> list[tuple]:
@@ -492,5 +527,5 @@ def _cut(keys: np.ndarray, values: list[np.ndarray], kind: str, bits: int) -> li
     for x in np.unique(dest).tolist():
         a, b = np.searchsorted(dest, [x, x + 1])
         v = [y[a:b].tobytes() for y in values] + [b""]
-        rows.append((kind, x, 0, keys[a:b].tobytes(), v[0], v[1]))
+        rows.append((kind, x, 0, keys[a:b].tobytes(), v[0], v[1], b""))
     return rows
